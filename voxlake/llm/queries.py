@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import exact_dedup, mixing, sharding, url_cascade
+from voxlake.llm import bpe, exact_dedup, mixing, quality_cnn, sharding, url_cascade, vptree, warc
+from voxlake.llm.scratch import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,15 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
@@ -27,10 +38,29 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op6_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op4_exact_dedup, op5_sharding, op8_mixing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+
+
+_ALL = (
+    op1_url_filters,
+    op2_quality_classifier,
+    op3_byte_bpe,
+    op4_exact_dedup,
+    op5_sharding,
+    op6_vp_tree_neighbours,
+    op8_mixing,
+    op9_warc,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_cascade.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL}
