@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, mixing, quality_cnn, sharding, url_cascade, vptree, warc
+from voxlake.llm import bpe, exact_dedup, mixing, near_dedup, quality_cnn, sharding, url_cascade, vptree, warc
 from voxlake.llm.scratch import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filters,
     op2_quality_classifier,
@@ -60,6 +64,7 @@ _ALL = (
     op6_vp_tree_neighbours,
     op8_mixing,
     op9_warc,
+    op10_near_dedup,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
