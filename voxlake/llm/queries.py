@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, mixing, near_dedup, quality_cnn, sharding, url_cascade, vptree, warc
+from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_cnn, sharding, url_cascade, vptree, warc
 from voxlake.llm.scratch import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.matches(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ _ALL = (
     op4_exact_dedup,
     op5_sharding,
     op6_vp_tree_neighbours,
+    op7_line_dedup,
     op8_mixing,
     op9_warc,
     op10_near_dedup,
