@@ -8,7 +8,7 @@ is encoded once; the ids return to their blocks by a second, and position by pos
 What travels is each block's distinct words and short codes, never the text, and a word that fills the corpus is one
 entry for each block. Decoding looks ids up in the table of token bytes, whose size is the vocabulary's.
 
-A block's name is a hash of its content. Should a lost task be computed again from rows in another grouping (the input
+A block's name is a hash of its words. Should a lost task be computed again from rows in another grouping (the input
 isn't a file scan), names don't meet and the job fails rather than giving wrong ids; materialise such an input first.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded each for itself; ids and keys may be null
@@ -18,14 +18,17 @@ or repeat; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import tiktoken
 import xxhash
 import zstandard
@@ -34,7 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text in one block.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
+#: Documents whose codes travel in one row.
+ROW_DOCS = 512
 #: A space that stands between other white space may lie inside a pre-token; such texts are split by the pattern itself.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -50,18 +55,77 @@ class Vocabulary(NamedTuple):
             return cls(f.read(), pattern)
 
 
-_loaded: dict[int, tuple] = {}
+class _Loaded(NamedTuple):
+    encoding: tiktoken.Encoding
+    ranks: dict[bytes, int]
+    first: int  # the code of the first word that is no single token
+    split: Callable[[str], list[str]]
+    alone: dict[str, int]  # words of one token
+    spaced: dict[str, int]  # the same without their leading space
 
 
-def _load(vocabulary: Vocabulary) -> tuple[tiktoken.Encoding, dict[bytes, int]]:
+_loaded: dict[int, _Loaded] = {}
+
+
+def _load(vocabulary: Vocabulary) -> _Loaded:
+    """Once for each Python process."""
     key = hash(vocabulary)
     if key not in _loaded:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.ranks.splitlines())}
-        _loaded[key] = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}), ranks
+        encoding = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        split, alone = regex.compile(vocabulary.pattern).findall, {}
+        for token, rank in ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                if split(text := token.decode()) == [text]:
+                    alone[text] = rank
+        spaced = {t[1:]: r for t, r in alone.items() if t[0] == " " and " " not in t[1:]}
+        _loaded[key] = _Loaded(encoding, ranks, max(ranks.values(), default=-1) + 1, split, alone, spaced)
     return _loaded[key]
 
 
-class _Codes(dict):
+def _read(text: str, split) -> tuple[list[str], list[str]]:
+    """Words as they stand, and then words without the space before them."""
+    if not text:
+        return [], []
+    if _UNSAFE.search(text):
+        return split(text), []
+    head, *rest = text.split(" ")
+    return [head] if head else [], rest
+
+
+def _ordered(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of distinct words, ascending: their order by bucket, then by bytes; the buckets in that order; the block's name."""
+    encoded = [w.encode() for w in words.to_pylist()]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(encoded))
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order], xxhash.xxh3_64_intdigest(b"\xff".join(encoded)) - (1 << 63)
+
+
+class _Words:
+    """A block's distinct words."""
+
+    def __init__(self, loaded: _Loaded) -> None:
+        self.loaded, self.chars, self.whole, self.rest = loaded, 0, set(), set()
+
+    def add(self, key, text: str) -> None:
+        whole, rest = _read(text, self.loaded.split)
+        self.whole.update(whole)
+        self.rest.update(rest)
+        self.chars += len(text)
+
+    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        new = (self.whole - self.loaded.alone.keys()) | {" " + w for w in self.rest - self.loaded.spaced.keys()}
+        words = pa.array(sorted(new), pa.string())
+        order, bucket, name = _ordered(words, buckets)
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+        listed, ends = words.take(pa.array(order)).to_pylist(), np.append(edges[1:], len(bucket))
+        packed = [zstandard.ZstdCompressor(level=1).compress(b"\xff".join(w.encode() for w in listed[x:y])) for x, y in zip(edges, ends, strict=False)]
+        if packed:
+            columns = [pa.array([name] * len(packed), pa.int64()), pa.array(bucket[edges].astype(np.int32)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "words"])
+
+
+class _Places(dict):
     """Codes of words; a new word gets the next place in the block's list. prefix: what stands before each key."""
 
     def __init__(self, known: dict[str, int], words: list[str], first: int, prefix: str) -> None:
@@ -74,64 +138,51 @@ class _Codes(dict):
         return code
 
 
-class _Block:
-    def __init__(self, ranks: dict[bytes, int], split) -> None:
-        texts = {}
-        for token, rank in ranks.items():
-            try:
-                text = token.decode()
-            except UnicodeDecodeError:
-                continue
-            if split(text) == [text]:
-                texts[text] = rank
-        self.spaced = {t[1:]: r for t, r in texts.items() if t[0] == " " and " " not in t[1:]}
-        self.plain = {t: r for t, r in texts.items()}
-        self.first, self.split = max(ranks.values(), default=-1) + 1, split
-        self.clear()
-
-    def clear(self) -> None:
+class _Coded:
+    """A block's documents as codes."""
+
+    def __init__(self, loaded: _Loaded) -> None:
+        self.loaded, self.chars = loaded, 0
         self.words: list[str] = []
-        self.after = _Codes(self.spaced, self.words, self.first, " ")
-        self.alone = _Codes(self.plain, self.words, self.first, "")
-        self.codes: list[np.ndarray] = []
+        self.alone = _Places(loaded.alone, self.words, loaded.first, "")
+        self.spaced = _Places(loaded.spaced, self.words, loaded.first, " ")
         self.keys: list = []
-        self.chars = 0
+        self.codes: list[np.ndarray] = []
 
     def add(self, key, text: str) -> None:
-        self.chars += len(text)
+        whole, rest = _read(text, self.loaded.split)
+        found = chain(map(self.alone.__getitem__, whole), map(self.spaced.__getitem__, rest))
+        self.codes.append(np.fromiter(found, np.int32, len(whole) + len(rest)))
         self.keys.append(key)
-        if not text:
-            found = iter(())
-        elif _UNSAFE.search(text):
-            found = map(self.alone.__getitem__, self.split(text))
-        else:
-            head, *rest = text.split(" ")
-            found = chain([self.alone[head]] if head else [], map(self.after.__getitem__, rest))
-        self.codes.append(np.fromiter(found, np.int32))
-
-    def close(self, buckets: int) -> tuple[int, list[tuple[int, list[str]]]]:
-        """The block's name and its words by bucket. Places now follow (bucket, word)."""
-        # a word may have been met both after a space and in a text split by the pattern: one place for both
-        distinct = sorted({w: zlib.crc32(w.encode()) % buckets for w in self.words}.items(), key=lambda x: (x[1], x[0]))
-        place = {w: k for k, (w, _) in enumerate(distinct)}
-        moved = np.array([place[w] for w in self.words], np.int32)
-        name = xxhash.xxh3_64()
-        for word, _ in distinct:
-            name.update(word.encode() + b"\xff")
-        for key, codes in zip(self.keys, self.codes, strict=True):
-            new = codes >= self.first
-            codes[new] = moved[codes[new] - self.first] + self.first
-            name.update(repr(key).encode())
-            name.update(codes.tobytes())
-        by: dict[int, list[str]] = {}
-        for word, bucket in distinct:
-            by.setdefault(bucket, []).append(word)
-        return name.intdigest() - (1 << 63), [*by.items()]
+        self.chars += len(text)
+
+    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        listed = pa.array(self.words, pa.string())
+        sort = pc.array_sort_indices(listed)
+        ascending = listed.take(sort)
+        # a word can have been met after a space and in a text that the pattern split: one place for both
+        new = np.append(True, np.asarray(pc.not_equal(ascending[1:], ascending[:-1])).astype(bool))[: len(listed)]
+        order, _, name = _ordered(ascending.filter(pa.array(new, pa.bool_())), buckets)
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        place = np.empty(len(listed), np.int64)
+        place[sort.to_numpy()] = moved[np.cumsum(new) - 1]
+        lookup = np.append(np.arange(self.loaded.first), self.loaded.first + place).astype(np.int32)
+        for at in range(0, len(self.keys), ROW_DOCS):
+            keys, codes = self.keys[at : at + ROW_DOCS], self.codes[at : at + ROW_DOCS]
+            sizes = np.fromiter(map(len, codes), np.int32, len(codes))
+            row = {
+                "block": pa.array([name], pa.int64()),
+                "keys": pa.array([keys], pa.list_(pa.int64())),
+                "sizes": pa.array([_pack(sizes)], pa.binary()),
+                "codes": pa.array([_pack(lookup[np.concatenate(codes)])], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(row)
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Equal-weight bytes stand together, which compresses best."""
-    return zstandard.ZstdCompressor(level=1).compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes()) if len(codes) else b""
+    """Bytes of one weight stand together, which compresses best."""
+    return zstandard.ZstdCompressor(level=1).compress(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()) if len(codes) else b""
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -139,59 +190,46 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
-_WORD_ROWS = "block long, bucket int, words array<string>"
-_CODE_ROWS = "block long, key long, codes binary"
-_ID_ROWS = "block long, bucket int, sizes array<int>, ids array<int>"
+_WORD_ROWS = "block long, bucket int, words binary"
+_CODE_ROWS = "block long, keys array<long>, sizes binary, codes binary"
+_ID_ROWS = "block long, bucket int, sizes binary, ids binary"
+
 
+def _blocks(shared: Broadcast, buckets: int, chars: int, kind):
+    """The rows of every block of a task's documents. kind: _Words or _Coded, which cut blocks alike."""
 
-def _blocks(shared: Broadcast, buckets: int, chars: int, emit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ranks = _load(shared.value)
-        split = __import__("regex").compile(shared.value.pattern).findall
-        block = _Block(ranks, split)
+        loaded = _load(shared.value)
+        block, some = kind(loaded), False
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block.add(key, text.as_py() or "")
+                some = True
                 if block.chars >= chars:
-                    yield from emit(block, *block.close(buckets))
-                    block.clear()
-        if block.keys:
-            yield from emit(block, *block.close(buckets))
+                    yield from block.close(buckets)
+                    block, some = kind(loaded), False
+        if some:
+            yield from block.close(buckets)
 
     return run
 
 
-def _emit_words(block: _Block, name: int, words: list[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch]:
-    if words:
-        columns = [pa.array([name] * len(words), pa.int64()), pa.array([b for b, _ in words], pa.int32()), pa.array([w for _, w in words], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "words"])
-
-
-def _emit_codes(block: _Block, name: int, words: list) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(block.keys), 4096):
-        keys, codes = block.keys[at : at + 4096], block.codes[at : at + 4096]
-        columns = [pa.array([name] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(map(_pack, codes), pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "key", "codes"])
-
-
 def _encode_words(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _ = _load(shared.value)
+        encode = _load(shared.value).encoding.encode_ordinary
         at, known = None, {}
         for batch in batches:
-            sizes, ids = [], []
-            for bucket, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for block, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     at, known = bucket, {}
                 found = []
-                for word in words:
+                for word in zstandard.ZstdDecompressor().decompress(packed).split(b"\xff"):
                     if word not in known:
-                        known[word] = encoding.encode_ordinary(word)
+                        known[word] = encode(word.decode())
                     found.append(known[word])
-                sizes.append([*map(len, found)])
-                ids.append([*chain.from_iterable(found)])
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "sizes", "ids"])
+                sizes = np.fromiter(map(len, found), np.int32, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "sizes": [_pack(sizes)], "ids": [_pack(ids)]})
 
     return run
 
@@ -200,27 +238,26 @@ def _assemble(first: int):
     """The documents of one block, from their codes and the ids of the block's words in the order of places."""
 
     def run(codes: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("bucket")
-        if found.num_rows:  # blocks of equal content share a name, and their words come once for each
-            order = found.column("bucket").to_numpy()
-            found = found.filter(pa.array(np.append(True, order[1:] != order[:-1])))
-        flat = lambda name: found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
-        sizes = np.concatenate([np.ones(first, np.int64), flat("sizes")])
-        ids = np.concatenate([np.arange(first, dtype=np.int64), flat("ids")])
+        words = {}  # blocks of equal words share a name, and their words come once for each
+        for bucket, sizes, ids in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("ids"), strict=True):
+            words.setdefault(bucket, (sizes, ids))
+        flat = [np.concatenate([start, *(_unpack(words[b][k].as_py()) for b in sorted(words))]).astype(np.int64) for k, start in enumerate((np.ones(first, np.int64), np.arange(first)))]
+        sizes, ids = flat
         starts = np.cumsum(sizes) - sizes
-        out, lengths = [], []
-        for packed in codes.column("codes"):
-            places = _unpack(packed.as_py())
+        keys, lengths, out = [], [], []
+        for row in range(codes.num_rows):
+            places = _unpack(codes.column("codes")[row].as_py())
             if len(places) and places.max() >= len(sizes):
                 raise RuntimeError("a block's words are missing: its rows were read in another grouping; materialise the input")
+            keys.append(codes.column("keys")[row].values)
             n = sizes[places]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(ids[np.repeat(starts[places] - (ends - n), n) + np.arange(total)].astype(np.int32))
-            lengths.append(total)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-        return pa.table({"doc_id": codes.column("key"), "ids": pa.ListArray.from_arrays(offsets, values)})
+            ends = np.append(0, np.cumsum(n))
+            out.append(ids[np.repeat(starts[places] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int32))
+            documents = np.append(0, np.cumsum(_unpack(codes.column("sizes")[row].as_py())))
+            lengths.append(np.diff(ends[documents]))
+        offsets = pa.array(np.append(0, np.cumsum(np.concatenate(lengths))).astype(np.int32))
+        values = pa.array(np.concatenate(out))
+        return pa.table({"doc_id": pa.concat_arrays(keys), "ids": pa.ListArray.from_arrays(offsets, values)})
 
     return run
 
@@ -231,11 +268,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHA
     shared = spark.sparkContext.broadcast(vocabulary)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    words = rows.mapInArrow(_blocks(shared, buckets, block_chars, _emit_words), _WORD_ROWS)
-    codes = rows.mapInArrow(_blocks(shared, buckets, block_chars, _emit_codes), _CODE_ROWS)
+    words = rows.mapInArrow(_blocks(shared, buckets, block_chars, _Words), _WORD_ROWS)
+    codes = rows.mapInArrow(_blocks(shared, buckets, block_chars, _Coded), _CODE_ROWS)
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(shared), _ID_ROWS)
-    first = max(_load(vocabulary)[1].values(), default=-1) + 1
-    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(first), "doc_id long, ids array<int>")
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(_load(vocabulary).first), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -243,7 +279,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in _load(shared.value)[1].items()}
+        table = {rank: token for token, rank in _load(shared.value).ranks.items()}
         for batch in batches:
             found = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
