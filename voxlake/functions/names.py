@@ -10,7 +10,7 @@ SEPARATOR, END = "__", "<end>"
 
 def _part(value: Column, what: str) -> Column:
     clean = F.upper(F.trim(value))
-    good = ~F.contains(clean, F.lit(SEPARATOR))
+    good = F.coalesce(~F.contains(clean, F.lit(SEPARATOR)), F.lit(True))
     return F.when(good, clean).otherwise(F.raise_error(F.concat(F.lit(f"{what} must not hold {SEPARATOR}: "), clean)))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 from voxlake.operators.slices import PLANES
+from voxlake.scratch import written
 
 
 def slice_vectors(voxels: DataFrame, axis: str, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -77,7 +78,7 @@ def smoothed(cells: DataFrame, sigma: float, row: str = "i", col: str = "j", val
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel(sigma)])
     rows = cells.select("pair_id", row, col, F.coalesce(value, F.lit(0.0)).alias("_v"), F.col(value).isNotNull().cast("double").alias("_w"))
     for axis, other in ((col, row), (row, col)):
-        spread = rows.select("pair_id", other, axis, "_v", "_w", F.explode(taps).alias("t")).select("pair_id", other, (F.col(axis) - F.col("t.k")).alias(axis), (F.col("_v") * F.col("t.w")).alias("_v"), (F.col("_w") * F.col("t.w")).alias("_w"))
+        spread = rows.select("pair_id", other, axis, "_v", "_w", F.explode(taps).alias("_tap")).select("pair_id", other, (F.col(axis) - F.col("_tap.k")).alias(axis), (F.col("_v") * F.col("_tap.w")).alias("_v"), (F.col("_w") * F.col("_tap.w")).alias("_w"))
         rows = spread.groupBy("pair_id", other, axis).agg(F.sum("_v").alias("_v"), F.sum("_w").alias("_w"))
     known = cells.where(F.col(value).isNotNull()).select("pair_id", row, col)
     out = known.join(rows, ["pair_id", row, col]).select("pair_id", row, col, F.when(F.col("_w") > 2.3e-15, F.col("_v") / F.col("_w")).alias(value))
@@ -86,6 +87,7 @@ def smoothed(cells: DataFrame, sigma: float, row: str = "i", col: str = "j", val
 
 def reweighted(matrix: DataFrame, blend: bool = True, eps: float = 1e-10) -> DataFrame:
     """To [0, 1]; then the mean of row and column shares weighted by each other's sums, to [0, 1] again."""
+
     def unit(rows: DataFrame) -> DataFrame:
         ends = rows.groupBy("pair_id").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
         span = F.col("_b") - F.col("_a")
@@ -171,12 +173,16 @@ class SliceSearch:
         mv, mr = self._chosen(moving, axis)
         cut = lambda v, r: v.join(r.select("pair_id", "first", "last"), "pair_id").where("idx >= first AND idx < last").withColumn("idx", F.col("idx") - F.col("first")).drop("first", "last")
         every = lambda r: r.select("pair_id", F.explode(F.expr("sequence(0, last - first - 1)")).alias("idx"))
-        matrix = reweighted(smoothed(cosine_matrix(cut(fv, fr), cut(mv, mr), every(fr), every(mr)), self.smooth_matrix), self.blend)
+        # small tables that several later steps read
+        fr, mr = written(fr, "slices"), written(mr, "slices")
+        matrix = written(cosine_matrix(cut(fv, fr), cut(mv, mr), every(fr), every(mr)), "slice-matrix")
+        matrix = written(reweighted(written(smoothed(matrix, self.smooth_matrix), "slice-matrix"), self.blend), "slice-matrix")
         both = fr.select("pair_id", F.col("first").alias("f0"), F.col("n").alias("fn")).join(mr.select("pair_id", F.col("first").alias("m0"), F.col("n").alias("mn")), "pair_id")
         both = both.withColumns({"add": F.col("m0") - F.col("f0"), "half": F.greatest(F.floor(F.least("fn", "mn") * self.reach).cast("int"), F.lit(1))})
         shifts = both.select("pair_id", F.posexplode(F.expr("sequence(-half - add, half - add)")).alias("t", "shift"))
         factors = scales(*self.scale_range, self.n_scales)
-        table = smoothed(scores(matrix, factors, shifts, self.min_overlap), self.smooth_scores, "s", "t", "score")
+        table = written(scores(matrix, factors, shifts, self.min_overlap), "slice-scores")
+        table = written(smoothed(table, self.smooth_scores, "s", "t", "score"), "slice-scores")
         found = best(table, factors, self.weight).join(both, "pair_id")
         shift = F.rint(F.col("f0") * (1.0 - F.col("scale")) + F.col("shift") + F.col("add"))
         return found.select("pair_id", "scale", shift.alias("shift"))
@@ -206,8 +212,6 @@ def refined(search: SliceSearch, fixed: DataFrame, moving: DataFrame, order: str
     affine is a written table of one row for each pair."""
     from voxlake.operators.grids import XYZ, shapes
     from voxlake.operators.warp import trilinear_features
-    from voxlake.scratch import written
-
     sizes = shapes(moving, ["pair_id"])
     known = fixed.select("pair_id").distinct().withColumns({f"s{c}": F.lit(1.0) for c in XYZ} | {f"t{c}": F.lit(0.0) for c in XYZ})
     for _ in range(rounds):

@@ -84,6 +84,7 @@ def assert_no_leakage(samples: DataFrame, fitted: DataFrame, context: str = "")
 
 def folds(order: DataFrame, per_fold: int) -> DataFrame:
     """fold, sample, role: of order(pos, sample), each fold tests its own run of per_fold samples and searches with the rest."""
+    order = order.select("pos", "sample")
     every = order.select(F.floor(F.col("pos") / per_fold).cast("int").alias("fold")).distinct()
     own = F.when(F.col("fold") == F.floor(F.col("pos") / per_fold), "test").otherwise("search")
     return order.join(F.broadcast(every)).select("fold", "sample", own.alias("role"))
