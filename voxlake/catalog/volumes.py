@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from voxlake.catalog.base import INTEN, TOK, VOX, Catalog, entities, inten, r6, tok, vox
 from voxlake.functions import grammar, names
 from voxlake.functions import vectors as V
-from voxlake.operators import features, grids, intensity, slices
-from voxlake.plans import preprocess
+from voxlake.operators import encoders, features, grids, intensity, slices
+from voxlake.plans import axes, preprocess
 from voxlake.sources import datasets, views
 
 C = Catalog()
@@ -385,6 +385,21 @@ def F11_X6_fit_masks(spark, folder):
     return out
 
 
+@C.add(
+    _SLC
+    + """ SELECT vid, dim, slice_idx, CAST(row // 2 AS INTEGER) AS tok_y, CAST(col // 2 AS INTEGER) AS tok_x, [round(avg(value), 6) + 0.0, round(stddev_pop(value), 6) + 0.0, round(min(value), 6) + 0.0, round(max(value), 6) + 0.0,
+  round(avg(value * (row % 2 - 0.5::DOUBLE)), 6) + 0.0, round(avg(value * (col % 2 - 0.5::DOUBLE)), 6) + 0.0] AS feat FROM sl GROUP BY vid, dim, slice_idx, row // 2, col // 2"""
+)
+def E1_E9_patch_tokens(spark, folder):
+    return encoders.extract(encoders.get("patch_statistics", patch=2), _slices(spark, folder)).withColumn("feat", F.transform("feat", r6))
+
+
+@C.add()
+def E4_E5_three_axis_features(spark, folder):
+    model = axes.ThreeAxes(patch=2, every=2, channels=3).fit(vox(spark, folder))
+    return model.transform(vox(spark, folder)).withColumn("feat", F.transform("feat", r6))
+
+
 # ---- intensities -----------------------------------------------------------------------------------------------------
 
 _BOUNDS = INTEN + """, bd AS (SELECT vid, quantile_cont(value, 0.02) FILTER (msk) AS low, quantile_cont(value, 0.97) FILTER (msk) AS high FROM inten GROUP BY vid)"""
