@@ -1,0 +1 @@
+"""Column expressions and short parameter notations."""

@@ -1,0 +1 @@
+"""Plans of several operators: preprocessing pipelines, three-axis features, experiments."""

@@ -1,0 +1 @@
+"""Volume files, views of plain tables, reports and runs."""

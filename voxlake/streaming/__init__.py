@@ -1,0 +1 @@
+"""Nothing here yet: the computations that this library covers have no streams, watermarks or late data."""
