@@ -97,7 +97,7 @@ class Level:
         return found
 
 
-def _level(rows: DataFrame, number: int, rate: float, salt: int, max_bytes: int) -> Level:
+def bloom(rows: DataFrame, number: int, rate: float, salt: int, max_bytes: int) -> Level:
     """The filter of rows(h1, h2), `number` of them; only words with a bit set travel."""
     bits = max(64, math.ceil(number * -math.log(rate) / math.log(2) ** 2))
     words = -(-bits // 64)
@@ -125,7 +125,7 @@ def member(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return passed % 2 == 1
 
 
-def _held(level: Level):
+def held(level: Level):
     @F.pandas_udf("boolean")
     def held(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(level.holds(a.to_numpy(np.int64), b.to_numpy(np.int64)))
@@ -140,16 +140,16 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
     number = inside.count()
     if not number:
         return []
-    levels = [_level(inside, number, FIRST_RATE, 1, max_bytes)]
-    taken = hashed(universe).where(_held(levels[0])("h1", "h2")).distinct()
+    levels = [bloom(inside, number, FIRST_RATE, 1, max_bytes)]
+    taken = hashed(universe).where(held(levels[0])("h1", "h2")).distinct()
     outside = materialise(taken.join(inside, "key", "left_anti"), "cascade-false")
     sides = [inside, outside]
     while number := sides[1].count():
         if len(levels) >= MAX_LEVELS:
             raise RuntimeError(f"{number} keys are still judged wrongly after {MAX_LEVELS} levels")
-        level = _level(sides[1], number, LATER_RATE, len(levels) + 1, max_bytes)
+        level = bloom(sides[1], number, LATER_RATE, len(levels) + 1, max_bytes)
         levels.append(level)
-        sides = [sides[1], materialise(sides[0].where(_held(level)("h1", "h2")), "cascade-false")]
+        sides = [sides[1], materialise(sides[0].where(held(level)("h1", "h2")), "cascade-false")]
     return levels
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm.scratch import materialise
+from voxlake.llm.url_cascade import MAX_FILTER_BYTES, FilterTooLarge, bloom, held
 
 BLOCK_LINES, BATCH = 256, 64
 DATE = "1970-01-01T00:00:00Z"
@@ -42,6 +43,10 @@ DATE = "1970-01-01T00:00:00Z"
 MAX_ARCHIVES = 1_000_000
 #: Characters of a key that these rows hold.
 KEY_CHARS = 128
+#: False positives of the filter that spares rows of unrepeated payloads the join.
+FILTER_RATE = 0.01
+#: Records that one reading task takes, on average.
+READ_RECORDS = 4096
 
 _PARTS = "first string, last string, archive string, idx string, at long, size long, records long"
 
@@ -142,12 +147,30 @@ class Store:
     archives: DataFrame  # one row for each archive
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> Store:
+def _with_first(rows: DataFrame, repeats: DataFrame, max_bytes: int) -> DataFrame:
+    """rows(_same, ...) with _first of repeats(_same, _first). Rows that a Bloom filter of repeats (up to max_bytes) rules out
+    aren't moved; the others join exactly. Where the filter would be larger, all rows join."""
+    number = repeats.count()
+    null = F.lit(None).cast("long").alias("_first")
+    if not number:
+        return rows.select("*", null)
+    keys = [F.xxhash64("_same"), F.xxhash64(F.lit("second"), "_same")]
+    try:
+        level = bloom(repeats.select(keys[0].alias("h1"), keys[1].alias("h2")), number, FILTER_RATE, 1, max_bytes)
+    except FilterTooLarge:
+        return rows.join(repeats, "_same", "left")
+    tested = rows.withColumn("_maybe", held(level)(*keys))
+    maybe = tested.where("_maybe").drop("_maybe").join(repeats, "_same", "left")
+    return tested.where("NOT _maybe").drop("_maybe").select("*", null).unionByName(maybe)
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, max_filter_bytes: int = MAX_FILTER_BYTES) -> Store:
     """Archive every row of pages(page_id, url, html) in folder. Payloads of fewer than min_bytes are always stored."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"key": url_key(F.col("url")), "_same": F.sha2("payload", 256)})
     alike = rows.where(F.octet_length("payload") >= min_bytes).groupBy("_same").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(alike.where("_n > 1").select("_same", "_first"), "_same", "left")
+    repeats = materialise(alike.where("_n > 1").select("_same", "_first"), "warc-repeats")
+    rows = _with_first(rows, repeats, max_filter_bytes)
     other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     rows = rows.select("key", "page_id", "url", F.when(other & (F.octet_length("payload") >= min_bytes), F.col("_first")).alias("refers_to"), "payload")
     # splitters hold the beginning of a key and the id: the order of keys decides within that
@@ -214,8 +237,10 @@ def read(store: Store) -> DataFrame:
                         yield _batch([_capture(x, archive.read_at(x["n"], x["o"])) for x in lines[k : k + BATCH]])
 
     shape = "archive string, idx string, at long, size long"
+    # short rows that stand for long reads: their bytes say nothing about the work, so the number of tasks is stated
+    number = store.archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     found = store.archives.repartition("idx").mapInArrow(blocks, shape)
-    return found.repartition("idx", "at").mapInArrow(records, _CAPTURE)
+    return found.repartition(max(1, -(-number // READ_RECORDS)), "idx", "at").mapInArrow(records, _CAPTURE)
 
 
 def look_up(store: Store, urls: DataFrame) -> DataFrame:
