@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from voxlake.llm.scratch import released, small_batches
+
 CHUNK = 4096
 
 
@@ -50,6 +52,7 @@ def count(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], size:
 
     shape = "chunk int, counts binary"
     out = np.zeros(size, np.int64)
-    for row in rows.mapInArrow(own, shape).repartition("chunk").mapInArrow(_sum, shape).toLocalIterator():
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpacked(bytes(row["counts"]))
+    with small_batches(rows.sparkSession):
+        for row in rows.mapInArrow(released(own), shape).repartition("chunk").mapInArrow(_sum, shape).toLocalIterator():
+            out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpacked(bytes(row["counts"]))
     return out

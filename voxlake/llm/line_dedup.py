@@ -7,9 +7,10 @@ lines. Lines with equal sets are one set, which counts from its first line on.
 A set's words are ordered by rarity: by a frequency that is counted over all lines in a bounded table of hashed counters,
 then by hash. Any one order gives the same result; this one makes beginnings rare. Sets that match share a word in their
 first few: the shorter is indexed by the words of its short prefix, the longer asks with its longer one, and length and
-position filters apply within the join. Frequent words carry a class of lengths in their key. Candidates' words are then
-read again from the texts, and their similarity is computed in full. Words are compared by 64-bit hash, sets are named by
-128 bits.
+position filters apply within the join. Frequent words carry a class of lengths in their key. Of the candidates, those go
+whose sketches (256 bits of a set's words) differ in more places than two similar sets could have different words, which
+loses none; the others' words are read again from the texts, and their similarity is computed in full. Words are compared
+by 64-bit hash, sets are named by 128 bits, and by half of them up to the sketches.
 
 Defined results: null and empty texts and lines of white space match nothing and stay; repeated rows (of one id and text)
 are in the same place, so none is later than the other; ids may be null (last) or repeat (then hashes order the rows); an
@@ -24,14 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm import counters
-from voxlake.llm.scratch import materialise
-from voxlake.llm.shingles import mix
+from voxlake.llm.scratch import materialise, released
+from voxlake.llm.shingles import mix, string_hashes
 
 SIMILARITY = 0.8
 #: Counters of words (8 bytes each on the driver, 4 in tasks).
@@ -58,7 +58,7 @@ class Lines:
         self.number = np.arange(len(flat)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         lists = pc.ascii_split_whitespace(flat)
         words = lists.flatten().dictionary_encode()
-        table = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+        table = string_hashes(words.dictionary)
         codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         line = np.repeat(np.arange(len(flat)), np.asarray(pc.list_value_length(lists)).astype(np.int64))
         real = np.asarray(pc.not_equal(words.dictionary, "")).astype(bool)[codes] if len(codes) else np.zeros(0, bool)
@@ -78,6 +78,25 @@ class Lines:
             sums = [np.append(np.uint64(0), np.cumsum(mix(self.hashes ^ k))) for k in (_A, _B)]
             self.n1, self.n2 = (mix(s[ends[1:]] - s[ends[:-1]] + self.size.astype(np.uint64)) for s in sums)
 
+    def sketches(self) -> list[np.ndarray]:
+        """Four times 64 bits of each set: a bit for the last byte of each word's hash. Empty sets have none."""
+        some = np.flatnonzero(self.size)
+        bit = np.left_shift(np.uint64(1), self.hashes & np.uint64(63))
+        part = self.hashes >> np.uint64(6) & np.uint64(3)
+        out = []
+        for k in range(4):
+            bits = np.zeros(len(self.size), np.uint64)
+            if len(some):
+                bits[some] = np.bitwise_or.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), self.start[some])
+            out.append(bits)
+        return out
+
+
+def _word_list(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of all words of a batch of texts, repeats counted."""
+    words = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten().dictionary_encode()
+    return string_hashes(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -99,8 +118,9 @@ def _class(n: np.ndarray, t: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -math.log(t) + 1e-9).astype(np.int64)
 
 
-_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long"
-_ENTRIES = "word long, n1 long, n2 long, size int, at int, indexed boolean, asking boolean"
+_SKETCH = ["k0", "k1", "k2", "k3"]
+_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long, size int, k0 long, k1 long, k2 long, k3 long"
+_ENTRIES = "word long, name long, place long"
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,44 +129,39 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(x.size)
         row = pa.array(x.text[some])
         columns = [*(batch.column(k).take(row) for k in range(3)), pa.array(x.number[some].astype(np.int32)), pa.array(_signed(x.n1[some])), pa.array(_signed(x.n2[some]))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2"])
+        columns += [pa.array(x.size[some].astype(np.int32)), *(pa.array(_signed(k[some])) for k in x.sketches())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2", "size", *_SKETCH])
 
 
-def _entries(shared: Broadcast, t: float):
-    """The prefix words of every set of a step once, with keys. Words that no other line can hold are left out."""
+def _entries(shared: Broadcast, t: float, asking: bool):
+    """word (a key), name (half of the set's) and place (its size and the word's position) of the prefix words of every set of
+    a step once: of the longer prefix if asking, else of the shorter. Words that no other line can hold are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
         for batch in _steps(batches):
             x = Lines(batch.column(0), frequency)
-            _, first = np.unique(np.stack([x.n1, x.n2], 1), axis=0, return_index=True)
+            _, first = np.unique(x.n1, return_index=True)
             once = np.zeros(len(x.size), bool)
             once[first] = True
             n = x.size
-            smallest = np.ceil(t * n - 1e-9).astype(np.int64)
+            own = n - least_overlap(n, n, t) + 1
             # a set meets only its own kind where any partner's overlap would be the whole of both
-            asks = np.where(smallest < n, n - np.maximum(smallest, 1) + 1, np.where(least_overlap(n, n, t) < n, n - least_overlap(n, n, t) + 1, 0))
-            longest = np.floor(n / t + 1e-9).astype(np.int64)
-            shows = np.where((longest > n) | (least_overlap(n, n, t) < n), n - least_overlap(n, n, t) + 1, 0)
+            if asking:
+                smallest = np.ceil(t * n - 1e-9).astype(np.int64)
+                prefix = np.where(smallest < n, n - np.maximum(smallest, 1) + 1, np.where(own > 1, own, 0))
+            else:
+                prefix = np.where((np.floor(n / t + 1e-9) > n) | (own > 1), own, 0)
             at = np.arange(len(x.line)) - x.start[x.line]
-            keep = once[x.line] & (at < np.maximum(asks, shows)[x.line]) & (x.often > 1)
-            word, line, at, often = x.hashes[keep], x.line[keep], at[keep], x.often[keep]
-            own, shown, asking = _class(n, t)[line], at < shows[line], at < asks[line]
-            many = often > FREQUENT
+            keep = once[x.line] & (at < prefix[x.line]) & (x.often > 1)
+            word, line, at = x.hashes[keep], x.line[keep], at[keep]
+            many, kind = x.often[keep] > FREQUENT, _class(n, t)[line]
             with np.errstate(over="ignore"):
-                key = lambda c: mix(word + (np.where(many, c + 1, 0)).astype(np.uint64) * _A)
-                here, below = key(own), key(own - 1)
-            again = many & asking
-            columns = {
-                "word": _signed(np.concatenate([here, below[again]])),
-                "n1": _signed(np.concatenate([x.n1[line], x.n1[line[again]]])),
-                "n2": _signed(np.concatenate([x.n2[line], x.n2[line[again]]])),
-                "size": np.concatenate([n[line], n[line[again]]]).astype(np.int32),
-                "at": np.concatenate([at, at[again]]).astype(np.int32),
-                "indexed": np.concatenate([shown, np.zeros(again.sum(), bool)]),
-                "asking": np.concatenate([asking, np.ones(again.sum(), bool)]),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+                key = lambda c: mix(word + np.where(many, c + 1, 0).astype(np.uint64) * _A)
+                keys, lines, places = key(kind), line, at
+                if asking and many.any():
+                    keys, lines, places = np.concatenate([keys, key(kind - 1)[many]]), np.concatenate([line, line[many]]), np.concatenate([at, at[many]])
+            yield pa.RecordBatch.from_pydict({"word": _signed(keys), "name": _signed(x.n1[lines]), "place": n[lines].astype(np.int64) << 32 | places})
 
     return run
 
@@ -206,29 +221,43 @@ def _place(line: str = "line") -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "m1", "m2", line)
 
 
-def links(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """a1, a2, b1, b2: the names of two different sets that match, each pair once."""
-    spark = docs.sparkSession
+def candidates(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """a, b: half names of two sets that share a prefix word and pass the filters of length and position."""
     texts = docs.select("text")
-    frequency = counters.count(texts, lambda batch: np.concatenate([x.hashes for x in (Lines(b.column(0), None) for b in _steps(iter([batch])))] or [np.zeros(0, np.uint64)]), COUNTERS)
-    shared = spark.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-    entries = texts.mapInArrow(_entries(shared, t), _ENTRIES).distinct()
-    entries = entries.repartition("word")
-    ask = entries.where("asking").select("word", F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("size").alias("n"), F.col("at").alias("i"))
-    show = entries.where("indexed").select("word", F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("size").alias("m"), F.col("at").alias("j"))
+    frequency = counters.count(texts, _word_list, COUNTERS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
+
+    def side(asking: bool, name: str, size: str, at: str) -> DataFrame:
+        # copies of a set go where the join wants the word, and meet there
+        rows = texts.mapInArrow(released(_entries(shared, t, asking)), _ENTRIES).repartition("word").dropDuplicates()
+        return rows.select("word", F.col("name").alias(name), F.shiftright("place", 32).alias(size), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias(at))
+
     long_enough = F.col("m") >= F.ceil(F.col("n") * t - 1e-9)
-    in_order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.struct("a1", "a2") > F.struct("b1", "b2")))
+    in_order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
     reachable = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) + F.least("i", "j") >= F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)) - 1e-9)
-    pairs = ask.join(show, (ask["word"] == show["word"]) & in_order & long_enough & reachable).select("a1", "a2", "b1", "b2").distinct()
+    met = side(True, "a", "n", "i").join(side(False, "b", "m", "j"), "word")
+    return materialise(met.where(in_order & long_enough & reachable).select("a", "b").distinct(), "line-candidates")
+
+
+def links(docs: DataFrame, lines: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """a1, a2, b1, b2: the names of two different sets that match, each pair once. lines: the lines of docs, with names."""
+    spark = docs.sparkSession
+    texts = docs.select("text")
+    sets = lines.groupBy("n1", "n2").agg(*[F.first(c).alias(c) for c in ("size", *_SKETCH)])
+    named = lambda x: sets.select(F.col("n1").alias(f"{x}1"), F.col("n2").alias(f"{x}2"), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *_SKETCH)])
+    pairs = candidates(docs, t).withColumnsRenamed({"a": "a1", "b": "b1"}).join(named("a"), "a1").join(named("b"), "b1")
+    apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _SKETCH), F.lit(0))
+    both = F.col("a_size") + F.col("b_size")
+    pairs = pairs.where(apart <= both - 2 * F.ceil(both * (t / (1 + t)) - 1e-9)).select("a1", "a2", "b1", "b2")
     pairs = materialise(pairs, "line-pairs")
     nodes = pairs.select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).unionByName(pairs.select(F.col("b1").alias("n1"), F.col("b2").alias("n2"))).distinct()
     bits = spark.sparkContext.broadcast(_needed_bits(nodes))
-    words = texts.mapInArrow(_words_of(bits), "n1 long, n2 long, words binary").groupBy("n1", "n2").agg(F.first("words").alias("words"))
+    words = texts.mapInArrow(released(_words_of(bits)), "n1 long, n2 long, words binary").groupBy("n1", "n2").agg(F.first("words").alias("words"))
     words = materialise(words, "line-words")
     left = words.select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("words").alias("x"))
     right = words.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("words").alias("y"))
     both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
-    return materialise(both.mapInArrow(_similar(t), "a1 long, a2 long, b1 long, b2 long"), "line-links")
+    return materialise(both.mapInArrow(released(_similar(t)), "a1 long, a2 long, b1 long, b2 long"), "line-links")
 
 
 def _marked(docs: DataFrame, *more) -> DataFrame:
@@ -239,9 +268,10 @@ def _marked(docs: DataFrame, *more) -> DataFrame:
 
 def _removed(docs: DataFrame, t: float) -> DataFrame:
     """doc_id, m1, m2, line, links, source (the id where the earliest match stands), gone: of each line with a match."""
-    found = links(docs, t)
+    lines = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows), _LINES), "lines")
+    found = links(docs, lines, t)
+    lines = lines.drop("size", *_SKETCH)
     both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    lines = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(_line_rows, _LINES), "lines")
     sets = lines.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
     linked = both.select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).distinct().withColumn("linked", F.lit(True))
     sets = materialise(sets.join(linked, ["n1", "n2"], "left").where("n > 1 OR linked"), "line-sets")

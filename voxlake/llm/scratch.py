@@ -1,13 +1,20 @@
-"""Where the jobs of this subpackage cut lineage: written tables in the folder that the cluster shares."""
+"""Where the jobs of this subpackage cut lineage, and how much a Python task holds at once."""
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset, and only for a local master, which has one disk.
 LOCAL_DEFAULT = "file:///tmp/checkpoints/voxlake"
+#: Bytes of one batch that goes to Python: whole texts, so that a few thousand long ones don't meet in one batch.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +31,42 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send batches of BATCH_BYTES to Python."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of BATCH_BYTES: for queries whose Python stages run when the caller's job does."""
+    spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, a function over batches, giving Arrow's unused memory back when a task ends: Python workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages start from files that outlive executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -19,12 +18,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Random numbers for each place (modulo 64) and byte.
+_TABLE = np.random.default_rng(5).integers(0, (1 << 64) - 1, 64 * 256, np.uint64, endpoint=True)
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings: the sum of a random number for each place and byte, mixed with the length."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    _, ends, data = strings.buffers()
+    offsets = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    with np.errstate(over="ignore"):
+        terms = _TABLE[(place & 63) << 8 | raw]
+        if len(place) and place.max() > 63:
+            terms *= ((place >> 6) * 2 + 1).astype(np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(terms))
+        return mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]] + sizes.astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without ASCII white space) of all texts, and each text's number of words."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     words = lists.flatten().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False)
-    table = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    table = string_hashes(words.dictionary)
     real = np.asarray(pc.not_equal(words.dictionary, "")).astype(bool) if len(table) else np.zeros(0, bool)
     keep = real[codes] if len(codes) else np.zeros(0, bool)
     owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)).astype(np.int64))
