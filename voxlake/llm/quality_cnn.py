@@ -90,12 +90,15 @@ def scores(texts: list[str | None], net: Network) -> np.ndarray:
         while at + len(group) < len(texts) and (not group or size < SLAB):
             group.append(_padded((texts[at + len(group)] or "").encode()))
             size += len(group[-1])
-        halves = _halves(np.concatenate([*group, np.zeros(WIDTH, np.uint8)]), tables, net.bias)
+        # half a chunk of zeros follows each text: filters that start at its end see nothing of the next one
+        gap = np.zeros(HALF, np.uint8)
+        halves = _halves(np.concatenate([*(x for g in group for x in (g, gap)), np.zeros(WIDTH, np.uint8)]), tables, net.bias)
         counts = np.array([len(g) // HALF for g in group])
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts + 1)
         chunks = np.maximum(halves[:-1], halves[1:])
         inside = np.ones(len(chunks), bool)
         inside[ends[:-1] - 1] = False
+        inside[ends - 2] = False
         hidden = np.maximum(chunks[inside] @ net.hidden + net.hidden_bias, 0)
         firsts = np.cumsum(counts - 1) - (counts - 1)
         mean = np.add.reduceat(hidden, firsts, axis=0) / (counts - 1)[:, None]
@@ -208,8 +211,12 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         return docs.withColumn("quality_score", F.lit(0.5))
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(texts.tolist(), net))
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(scores(texts.tolist(), net))
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn("quality_score", probability("text"))
 
@@ -227,4 +234,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts (a score of 0.5 or more), with their columns."""
-    return score(docs, train(docs, labels)).where("quality_score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    net, names = train(docs, labels), docs.columns
+    rows = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text"), net)
+    return rows.where("quality_score >= 0.5").select("_row.*")
