@@ -36,6 +36,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxlake.llm.scratch import released
+
 #: Characters of text in one block.
 BLOCK_CHARS = 16_000_000
 #: Documents whose codes travel in one row.
@@ -268,9 +270,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHA
     shared = spark.sparkContext.broadcast(vocabulary)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    words = rows.mapInArrow(_blocks(shared, buckets, block_chars, _Words), _WORD_ROWS)
-    codes = rows.mapInArrow(_blocks(shared, buckets, block_chars, _Coded), _CODE_ROWS)
-    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(shared), _ID_ROWS)
+    words = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, _Words)), _WORD_ROWS)
+    codes = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, _Coded)), _CODE_ROWS)
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_encode_words(shared)), _ID_ROWS)
     return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(_load(vocabulary).first), "doc_id long, ids array<int>")
 
 
@@ -284,7 +286,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             found = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import counters
 from voxlake.llm.components import components
-from voxlake.llm.scratch import materialise
+from voxlake.llm.scratch import materialise, released
 from voxlake.llm.shingles import mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -176,7 +176,7 @@ class _Job:
         self.docs, self.similarity = docs, similarity
         self.factor = docs.sparkSession.sparkContext.broadcast(idf(docs))
         rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "m1", "m2", "text")
-        self.signed = materialise(rows.mapInArrow(_sign(self.factor), _SIGNATURES), "near-signatures")
+        self.signed = materialise(rows.mapInArrow(released(_sign(self.factor)), _SIGNATURES), "near-signatures")
         nodes = self.signed.groupBy("node").agg(F.min(F.struct("m1", "m2")).alias("row"), F.min("weight").alias("weight"), F.min("bands").alias("bands"))
         buckets = nodes.select("node", "weight", "row", F.posexplode("bands").alias("band", "value"))
         buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "node", "weight", "row")
@@ -195,7 +195,7 @@ class _Job:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(_compare(self.factor, self.similarity), "a string, b string"), "near-edges")
+        return materialise(both.mapInArrow(released(_compare(self.factor, self.similarity)), "a string, b string"), "near-edges")
 
     def nodes(self) -> DataFrame:
         """node and component of every node with links."""

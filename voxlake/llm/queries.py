@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_cnn, sharding, url_cascade, vptree, warc
-from voxlake.llm.scratch import fresh_dir
+from voxlake.llm.scratch import bound_batches, fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality_cnn.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
 
