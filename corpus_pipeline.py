@@ -12,13 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm import bpe, exact_dedup, mixing, near_dedup, quality_cnn
-from voxlake.llm.scratch import materialise
+from voxlake.llm.scratch import bound_batches, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    bound_batches(spark)
     return quality_cnn.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -39,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and the digests of ids and of the decoded bytes."""
+    bound_batches(spark)
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
 
