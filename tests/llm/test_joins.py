@@ -86,6 +86,50 @@ def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.matches(empty).collect() == [] and line_dedup.deduplicate(empty).collect() == []
 
 
+def expected_classes(rows, t=0.8):
+    """The least id of each component of documents, by brute force over pairs of lines."""
+    lines = [(d, s) for d, text in rows for x in (text or "").split("\n") if (s := frozenset(WORDS.findall(x)))]
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (d, a) in enumerate(lines):
+        for e, b in lines[:i]:
+            if len(a & b) / len(a | b) >= t - 1e-12:
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    return {d: find(d) for d, _ in rows}
+
+
+def test_line_classes_of_chains(spark):
+    """Documents 1 and 3 don't match, 2 matches both; 4 and 5 hold one line each of 6; 7 stands alone."""
+    w = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join(w[:10])), (2, " ".join(w[1:11])), (3, " ".join(w[2:12])), (4, "p q r"), (5, "s t u"), (6, "s t u\nr q p"), (7, "x y"), (8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"], r["source"]) for r in line_dedup.classes(frame).collect()}
+    assert found == {1: (1, 1, 1), 2: (1, 2, 1), 3: (1, 1, 2), 4: (4, 0, 4), 5: (4, 0, 5), 6: (4, 0, 4), 7: (7, 0, 7), 8: (8, 0, 8)}
+
+
+@pytest.mark.parametrize("t", [0.6, 0.8])
+def test_line_classes(spark, t):
+    rows = corpus(5, 12, 8, 24, 5) + [(1000, "a b"), (1001, "b a"), (1004, None), (1006, "solo"), (1007, "solo\nsolo solo")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.classes(frame, t).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected_classes(rows, t)
+    columns = ["doc_id", "source", "n_lines", "n_links", "removed"]
+    assert sorted(tuple(r[c] for c in columns) for r in found) == expected_lines(rows, t)
+
+
+def test_line_classes_of_odd_rows(odd, empty):
+    found = line_dedup.classes(odd).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in odd.collect())
+    assert {r["doc_id"]: r["class_id"] for r in found if r["doc_id"] in (1, 9)} == {1: 1, 9: 1}
+    assert line_dedup.classes(empty).collect() == []
+
+
 def test_deduplicate_removes_what_matches_names(spark):
     rows = corpus(9, 5, 5, 20, 3)
     frame = spark.createDataFrame(rows, "doc_id long, text string")

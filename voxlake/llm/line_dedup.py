@@ -14,7 +14,7 @@ by 64-bit hash, sets are named by 128 bits, and by half of them up to the sketch
 
 Defined results: null and empty texts and lines of white space match nothing and stay; repeated rows (of one id and text)
 are in the same place, so none is later than the other; ids may be null (last) or repeat (then hashes order the rows); an
-empty table gives an empty result; other columns are ignored by `matches` and returned by `deduplicate`.
+empty table gives an empty result; other columns are ignored by `matches` and `classes` and returned by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm import counters
+from voxlake.llm.components import components
 from voxlake.llm.scratch import materialise, released
 from voxlake.llm.shingles import mix, string_hashes
 
@@ -266,42 +267,80 @@ def _marked(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marks, *more)
 
 
-def _removed(docs: DataFrame, t: float) -> DataFrame:
-    """doc_id, m1, m2, line, links, source (the id where the earliest match stands), gone: of each line with a match."""
+def _linked(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines, the links of their sets (each pair once), and the sets that stand in several lines or have a link."""
     lines = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows), _LINES), "lines")
     found = links(docs, lines, t)
     lines = lines.drop("size", *_SKETCH)
-    both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     sets = lines.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    linked = both.select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).distinct().withColumn("linked", F.lit(True))
-    sets = materialise(sets.join(linked, ["n1", "n2"], "left").where("n > 1 OR linked"), "line-sets")
+    linked = _both(found).select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).distinct().withColumn("linked", F.lit(True))
+    return lines, found, materialise(sets.join(linked, ["n1", "n2"], "left").where("n > 1 OR linked"), "line-sets")
+
+
+def _both(found: DataFrame) -> DataFrame:
+    return found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+
+
+def _removed(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, m1, m2, line, links, source (the id where the earliest match stands), gone: of each line with a match."""
     firsts = sets.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("first").alias("other"))
-    partners = both.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("n1"), F.col("a2").alias("n2")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
+    partners = _both(found).join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("n1"), F.col("a2").alias("n2")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
     least = sets.join(partners, ["n1", "n2"], "left").select("n1", "n2", F.coalesce(F.least("first", "other"), "first").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
     met = lines.join(least, ["n1", "n2"])
     return met.select(*_ROW, "line", "links", F.col("least.doc_id").alias("source"), (_place() > F.col("least")).alias("gone"))
 
 
-def matches(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, class_id (the least id in which one of its lines, or a match of
-    one, stands first; its own without any), n_lines, n_links (matching sets of its lines, equal ones aside), removed (the
-    numbers of the lines that go, from 0)."""
-    per = _removed(docs, t).groupBy("m1", "m2", "line").agg(F.first("links").alias("links"), F.first("source").alias("source"), F.first("gone").alias("gone"))
+def _pair(x: str, y: str) -> F.Column:
+    return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def _components(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """m1, m2 and class_id (the least id) of the documents of each class: those that are joined by lines with equal or
+    linked sets, over any number of steps. Of a component of sets, every document meets one, so no pairs are spelled out."""
+    groups = components(found.select(_pair("a1", "a2").alias("a"), _pair("b1", "b2").alias("b")))
+    groups = sets.select("n1", "n2", _pair("n1", "n2").alias("node")).join(groups, "node", "left").select("n1", "n2", F.coalesce("component", "node").alias("group"))
+    held = materialise(lines.select(*_ROW, "n1", "n2").join(groups, ["n1", "n2"]).select(*_ROW, "group").distinct(), "line-groups")
+    hubs = held.groupBy("group").agg(F.min(_pair("m1", "m2")).alias("b"))
+    classes = materialise(components(held.join(hubs, "group").select(_pair("m1", "m2").alias("a"), "b")), "line-classes")
+    rows = held.select(*_ROW).distinct().join(classes.select(F.col("node.x").alias("m1"), F.col("node.y").alias("m2"), "component"), ["m1", "m2"])
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "component").select("m1", "m2", "class_id")
+
+
+def _per_row(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """doc_id, m1, m2, source, n_lines, n_links and removed of every row of docs."""
+    per = removed.groupBy("m1", "m2", "line").agg(F.first("links").alias("links"), F.first("source").alias("source"), F.first("gone").alias("gone"))
     per = per.groupBy("m1", "m2").agg(F.sum("links").alias("links"), F.min("source").alias("source"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
     rows = _marked(docs, (F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))).cast("long").alias("n_lines"))
     out = rows.join(per, ["m1", "m2"], "left")
     return out.select(
-        "doc_id",
-        F.least(F.coalesce("source", "doc_id"), "doc_id").alias("class_id"),
+        *_ROW,
+        F.least(F.coalesce("source", "doc_id"), "doc_id").alias("source"),
         "n_lines",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
 
 
+def matches(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, class_id (the least id in which one of its lines, or a match of
+    one, stands first; its own without any: one step, which `classes` carries on), n_lines, n_links (matching sets of its
+    lines, equal ones aside), removed (the numbers of the lines that go, from 0)."""
+    out = _per_row(docs, _removed(*_linked(docs, t)))
+    return out.select("doc_id", F.col("source").alias("class_id"), "n_lines", "n_links", "removed")
+
+
+def classes(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """The rows of `matches` with class_id the least id of a row's whole class: of all documents that equal or matching
+    lines join, over any number of steps. source is the one-step id that `matches` gives."""
+    found = _linked(docs, t)
+    out = _per_row(docs, _removed(*found)).join(_components(*found), ["m1", "m2"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_lines", "n_links", "removed", "source")
+
+
 def deduplicate(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """docs with the texts that remain; a null text stays null."""
-    gone = _removed(docs, t).where("gone").groupBy("m1", "m2").agg(F.collect_set("line").alias("_gone"))
+    gone = _removed(*_linked(docs, t)).where("gone").groupBy("m1", "m2").agg(F.collect_set("line").alias("_gone"))
     gone = materialise(gone, "lines-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -46,7 +46,7 @@ def op6_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.matches(_table(spark, sf_dir, "documents"))
+    return line_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
