@@ -167,3 +167,17 @@ def test_vectors_that_take_no_part(spark):
     found = sorted(map(tuple, vptree.nearest(frame, frame, 20).collect()))
     assert found == [(0, 1, 8, 1.0), (0, 2, 7, 0.5), (7, 1, 0, 0.5), (7, 2, 8, 0.5), (8, 1, 0, 1.0), (8, 2, 7, 0.5)]
     assert vptree.nearest(frame.limit(0), frame.limit(0)).collect() == []
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    """One row 100 times and 20 other ids of an equal vector: all 20 are the nearest of each other and of the repeated id."""
+    rows = [(7, [1.0, 2.0])] * 100 + [(k, [1.0, 2.0]) for k in range(10, 30)] + [(50, [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for q, rank, v, score in vptree.nearest(frame, frame, 20).collect():
+        found.setdefault(q, {})[rank] = v, score
+    ids = [7, *range(10, 30)]
+    for q in ids:
+        others = [i for i in ids if i != q]
+        assert found[q] == {k + 1: (v, 5.0) for k, v in enumerate(others)}
+    assert found[50] == {k + 1: (v, 1.5) for k, v in enumerate(ids[:20])}

@@ -38,7 +38,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)))
     # -0.0 equals 0.0
-    return rows.where(F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
+    rows = rows.where(F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
+    return rows.distinct()
 
 
 def _build(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     points = points.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
     trees = materialise(index(points, norm2), "vp-trees")
 
-    asked = usable(queries).distinct().withColumn("mark", F.xxhash64("v"))
+    asked = usable(queries).withColumn("mark", F.xxhash64("v"))
     number = asked.count()
     blocks = max(1, -(-number // BLOCK))
     asked = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "mark"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "mark", "v")
