@@ -178,6 +178,25 @@ def test_near_classes_hold_all_close_pairs_and_no_far_ones(spark):
     assert all(size == sizes[c] for c, size in found.values())
 
 
+@pytest.mark.parametrize("block", [(7, 300), (4096, 1 << 20)])
+def test_document_frequencies_are_exact(spark, monkeypatch, block):
+    """More distinct shingles than 2^21: hashed counters of a fixed number gave shingles of one document many."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block[0])
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block[1])
+    rows = corpus(3, 8, 6, 120, 2) + [(48, None), (49, " "), (50, "x"), (50, "x"), (51, "x y")]
+    if block[0] > 7:
+        rows += [(100 + k, " ".join(f"u{k}_{i}" for i in range(30_000))) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, number = near_dedup.frequencies(frame)
+    assert number == len(rows)
+    sets = [h.tolist() for h, _ in shingles.shingles(pa.array([t for _, t in rows], pa.string()), near_dedup.WIDTH)]
+    count = Counter(h for s in sets for h in s)
+    want = {(d, t): [count[h] for h in s] for (d, t), s in zip(rows, sets, strict=True) if any(count[h] > 1 for h in s)}
+    got = near_dedup._keyed(frame, "doc_id", "text").distinct().join(found, ["m1", "m2"]).collect()
+    assert {(r["doc_id"], r["text"]): near_dedup._unpack(bytes(r["frequency"]), np.int32).tolist() for r in got} == want
+    assert len(got) == len(want) == found.count()
+
+
 def test_near_hot_group(spark):
     """Thousands of copies with one edit each stay one class."""
     base = [f"w{k}" for k in range(150)]

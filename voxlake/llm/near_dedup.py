@@ -1,10 +1,11 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is a weighted set: its shingles of five words (lower-cased, split at ASCII white space), each weighing how often
-it occurs times an inverse document frequency. The frequencies are counted over all documents in a bounded table of hashed
-counters, and the logarithm is scaled to lie between `IDF_FLOOR` and 1: an edit makes shingles that nobody shares, and in a
-group of thousands of near copies an unbounded one would outweigh all that the copies have in common. Equal sets are one
-node. Each node's samples form bands; nodes that share a band are candidates, and candidates are verified by the weighted
+it occurs times an inverse document frequency. The frequencies are exact: blocks of documents send their shingles' 64-bit
+hashes through one shuffle by ranges of hashes, get back how many documents hold each, and keep for each document with a
+shared shingle its frequencies, packed. The logarithm is scaled to lie between `IDF_FLOOR` and 1: an edit makes shingles
+that nobody shares, and in a group of thousands of near copies an unbounded one would outweigh all that the copies have in
+common. Equal sets are one node. Each node's samples form bands; nodes that share a band are candidates, and candidates are verified by the weighted
 Jaccard similarity of their whole texts.
 
 Within a band's bucket the pairs aren't spelled out: every node first meets the bucket's least node; in buckets that then
@@ -20,28 +21,30 @@ sort last; an empty table gives an empty result; other columns are ignored by `c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm import counters
 from voxlake.llm.components import components
 from voxlake.llm.scratch import materialise, released
 from voxlake.llm.shingles import mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
-#: Counters of document frequencies (4 bytes each): the bound of what the driver gathers and broadcasts. Shingles that
-#: share a counter have the sum of their frequencies.
-COUNTERS = 1 << 21
 IDF_FLOOR = 0.75
 #: Entries of the table of random draws that the samples come from.
 DRAWS = 1 << 16
+#: Documents and shingles (about) of a block whose shingles are counted together, and shingles (about) of a range of hashes.
+BLOCK_DOCS, BLOCK_SHINGLES, RANGE_SHINGLES = 4096, 1 << 20, 1 << 21
+#: Bytes of text for each shingle, for the number of ranges.
+SHINGLE_BYTES = 6
 #: Documents that one step of the sampling holds at once.
 STEP = 512
 #: Nodes to verify are broadcast up to this many (about 60 bytes each), and joined by shuffle beyond.
@@ -56,21 +59,130 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, STEP)
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return counters.places(hashes, COUNTERS)
+def _factor(frequency: np.ndarray, number: int) -> np.ndarray:
+    """The weight of one occurrence of shingles that `frequency` of `number` documents hold."""
+    number = max(number, 2)
+    scaled = np.log(number / np.clip(frequency, 1, number)) / np.log(number)
+    return (IDF_FLOOR + (1 - IDF_FLOOR) * scaled).astype(np.float32)
 
 
-def _hashes(batch: pa.RecordBatch) -> np.ndarray:
-    found = [h for part in _slices(iter([batch])) for h, _ in shingles(part.column(0), WIDTH)]
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+def idf(docs: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """The factors of hashes, from a count on the driver: for small tables, to compare with."""
+    found = [h for batch in docs.select("text").toArrow().to_batches() for h, _ in shingles(batch.column(0), WIDTH)]
+    hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    table, number = dict(zip(hashes.tolist(), counts.tolist(), strict=True)), len(found)
+    return lambda x: _factor(np.array([table.get(h, 1) for h in x.tolist()], np.int64), number)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of one weight stand together, which compresses best."""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+_SENT = "part int, block long, range int, owners binary, hashes binary"
+_COUNTED = "block long, range int, owners binary, found binary"
+_FREQUENCIES = "m1 long, m2 long, frequency binary"
+
+
+def _send(bits: int):
+    """rows(m1, m2, text) -> for each block and range of hashes its shingles, by document and hash, and their documents as
+    steps; and one row for each block (range -1) with its number of shingles and its rows' identities."""
+
+    def close(ordinal: int, rows: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.array(rows, np.int64).reshape(-1, 2)
+        hashes = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        # blocks of equal rows are blocks of their own; a task that runs again gives the same names
+        block = xxhash.xxh3_64_intdigest(keys.tobytes() + np.array([TaskContext.get().partitionId(), ordinal]).tobytes()) - (1 << 63)
+        at = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        order = np.argsort(at, kind="stable")
+        hashes, owner, at = hashes[order], owner[order], at[order]
+        edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        spans = list(zip(edges.tolist(), [*edges[1:].tolist(), len(at)][: len(edges)], strict=True))
+        own = np.append(len(hashes), keys.ravel()).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*at[edges].tolist(), block % (1 << bits)], pa.int32()),
+                pa.array([block] * (len(spans) + 1), pa.int64()),
+                pa.array([*at[edges].tolist(), -1], pa.int32()),
+                pa.array([*(_pack(np.diff(owner[x:y], prepend=0).astype(np.int32)) for x, y in spans), _pack(own)], pa.binary()),
+                pa.array([*(_pack(hashes[x:y]) for x, y in spans), None], pa.binary()),
+            ],
+            ["part", "block", "range", "owners", "hashes"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinal, size, rows, sets = 0, 0, [], []
+        for batch in _slices(batches):
+            for m1, m2, (hashes, _) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(batch.column(2), WIDTH), strict=True):
+                if not len(hashes):
+                    continue
+                rows.append((m1, m2))
+                sets.append(hashes)
+                size += len(hashes)
+                if size >= BLOCK_SHINGLES or len(rows) >= BLOCK_DOCS:
+                    yield close(ordinal, rows, sets)
+                    ordinal, size, rows, sets = ordinal + 1, 0, [], []
+        if rows:
+            yield close(ordinal, rows, sets)
 
-def idf(docs: DataFrame) -> np.ndarray:
-    """The factor of every counter, from a count over all documents."""
-    frequency = counters.count(docs.select("text"), _hashes, COUNTERS)
-    number = max(docs.count(), 2)
-    scaled = np.log(number / np.clip(frequency, 1, number)) / np.log(number)
-    return (IDF_FLOOR + (1 - IDF_FLOOR) * scaled).astype(np.float32)
+    return run
+
+
+def _count(sent: pa.Table) -> pa.Table:
+    """The shingles of one range of hashes, from all blocks, and in how many documents each is."""
+    own = sent.filter(pc.greater_equal(sent.column("range"), 0))
+    others = sent.filter(pc.less(sent.column("range"), 0))
+    found: list[bytes] = []
+    if own.num_rows:
+        parts = [_unpack(x.as_py(), np.uint64) for x in own.column("hashes")]
+        _, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        found = [_pack(x) for x in np.split(counts[place].astype(np.int32), ends)]
+    whole = pa.concat_tables([own, others]).select(["block", "range", "owners"])
+    return whole.append_column("found", pa.array([*found, *[None] * others.num_rows], pa.binary()))
+
+
+def _gather(counted: pa.Table) -> pa.Table:
+    """m1, m2 and frequencies (of its shingles, by hash) of the documents of one block that share a shingle."""
+    rows = sorted(zip(counted.column("range").to_pylist(), counted.column("owners").to_pylist(), counted.column("found").to_pylist(), strict=True), key=lambda r: r[0])
+    if not rows or rows[0][0] != -1 or (len(rows) > 1 and rows[1][0] == -1):
+        raise RuntimeError("a block of shingles isn't whole: its rows were read in another grouping; materialise the input")
+    own = _unpack(rows[0][1], np.int64)
+    keys = own[1:].reshape(-1, 2)
+    owner = np.concatenate([np.cumsum(_unpack(o, np.int32)) for _, o, _ in rows[1:]])
+    found = np.concatenate([_unpack(f, np.int32) for _, _, f in rows[1:]])
+    if len(found) != own[0]:
+        raise RuntimeError("a block of shingles isn't whole: its rows were read in another grouping; materialise the input")
+    found = found[np.argsort(owner, kind="stable")]
+    per = np.split(found, np.cumsum(np.bincount(owner, minlength=len(keys)))[:-1])
+    some = [k for k, x in enumerate(per) if x.max() > 1]
+    return pa.table({"m1": pa.array(keys[some, 0], pa.int64()), "m2": pa.array(keys[some, 1], pa.int64()), "frequency": pa.array([_pack(per[k]) for k in some], pa.binary())})
+
+
+def frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """m1, m2 and frequency (packed: of its distinct shingles by hash, the number of rows of docs that hold each) of every
+    row with a shingle that others hold, rows of one identity once; and the number of rows. All other frequencies are 1."""
+    number, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHINGLE_BYTES // RANGE_SHINGLES, 1)
+    sent = _keyed(docs, "text").mapInArrow(released(_send((ranges - 1).bit_length())), _SENT)
+    counted = sent.groupBy("part").applyInArrow(_count, _COUNTED)
+    found = counted.groupBy("block").applyInArrow(_gather, _FREQUENCIES)
+    return materialise(found.dropDuplicates(["m1", "m2"]), "near-frequencies"), number
+
+
+def _of(packed: pa.Array, sizes: list[int]) -> list[np.ndarray]:
+    """The frequencies of texts with so many shingles."""
+    found = [_unpack(x, np.int32) if x is not None else np.ones(n, np.int32) for x, n in zip(packed.to_pylist(), sizes, strict=True)]
+    if any(len(x) != n for x, n in zip(found, sizes, strict=True)):
+        raise RuntimeError("frequencies don't belong to a text's shingles")
+    return found
 
 
 class _Sampler:
@@ -109,9 +221,9 @@ class _Sampler:
 _SIGNATURES = "doc_id long, m1 long, m2 long, node string, weight double, bands array<long>"
 
 
-def _sign(shared: Broadcast):
+def _sign(number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, factor = _Sampler(), shared.value
+        sampler = _Sampler()
         with np.errstate(over="ignore"):
             for batch in _slices(batches):
                 sets = [*shingles(batch.column(3), WIDTH)]
@@ -121,7 +233,7 @@ def _sign(shared: Broadcast):
                 totals = np.zeros(len(sets))
                 if len(some):
                     hashes = np.concatenate([h for h, _ in sets])
-                    weights = np.concatenate([n for _, n in sets]).astype(np.float32) * factor[_counter(hashes)]
+                    weights = np.concatenate([n for _, n in sets]).astype(np.float32) * _factor(np.concatenate(_of(batch.column(4), sizes.tolist())), number)
                     bands[some] = sampler.bands(hashes, weights, sizes[some])
                     totals[some] = np.add.reduceat(weights.astype(np.float64), (np.cumsum(sizes) - sizes)[some])
                 nodes = [xxhash.xxh3_128_hexdigest(h.tobytes() + n.tobytes()) for h, n in sets]
@@ -139,26 +251,27 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / max(a[1].sum() + b[1].sum() - shared, 1e-300))
 
 
-def weighted(texts: pa.Array, factor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(h, n * factor[_counter(h)].astype(np.float64)) for h, n in shingles(texts, WIDTH)]
+def weighted(texts: pa.Array, factor: Callable[[np.ndarray], np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(h, n * factor(h).astype(np.float64)) for h, n in shingles(texts, WIDTH)]
 
 
-def _compare(shared: Broadcast, similarity: float):
-    """rows(a, b, text_a, text_b) -> a, b of those that are similar. A text is read once for each run of rows with it."""
+def _compare(number: int, similarity: float):
+    """rows(a, b, text_a, text_b, frequency_a, frequency_b) -> a, b of those that are similar. A text is read once for each
+    run of rows with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 names = [part.column(k).to_pylist() for k in (0, 1)]
-                texts: dict[str, str] = {}
+                texts: dict[str, tuple[str, bytes | None]] = {}
                 for k in (0, 1):
-                    column = part.column(2 + k)
                     for i, name in enumerate(names[k]):
                         if name not in texts:
-                            texts[name] = column[i].as_py()
-                sets = dict(zip(texts, weighted(pa.array(texts.values(), pa.string()), factor), strict=True))
+                            texts[name] = part.column(2 + k)[i].as_py(), part.column(4 + k)[i].as_py()
+                found = [*shingles(pa.array([t for t, _ in texts.values()], pa.string()), WIDTH)]
+                often = _of(pa.array([f for _, f in texts.values()], pa.binary()), [len(h) for h, _ in found])
+                sets = {x: (h, n * _factor(f, number).astype(np.float64)) for x, (h, n), f in zip(texts, found, often, strict=True)}
                 good = [(a, b) for a, b in zip(*names, strict=True) if weighted_jaccard(sets[a], sets[b]) >= similarity - 1e-9]
                 if good:
                     yield pa.RecordBatch.from_pydict({"a": [a for a, _ in good], "b": [b for _, b in good]})
@@ -174,9 +287,10 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
 class _Job:
     def __init__(self, docs: DataFrame, similarity: float) -> None:
         self.docs, self.similarity = docs, similarity
-        self.factor = docs.sparkSession.sparkContext.broadcast(idf(docs))
-        rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "m1", "m2", "text")
-        self.signed = materialise(rows.mapInArrow(released(_sign(self.factor)), _SIGNATURES), "near-signatures")
+        self.frequencies, self.number = frequencies(docs)
+        rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(self.frequencies, ["m1", "m2"], "left")
+        rows = rows.select("doc_id", "m1", "m2", "text", "frequency")
+        self.signed = materialise(rows.mapInArrow(released(_sign(self.number)), _SIGNATURES), "near-signatures")
         nodes = self.signed.groupBy("node").agg(F.min(F.struct("m1", "m2")).alias("row"), F.min("weight").alias("weight"), F.min("bands").alias("bands"))
         buckets = nodes.select("node", "weight", "row", F.posexplode("bands").alias("band", "value"))
         buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "node", "weight", "row")
@@ -187,15 +301,15 @@ class _Job:
         """Those of pairs(a, b) that are similar; distinct pairs, a > b."""
         pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = self.buckets.select("node", "row.*").distinct().join(needed, "node", "left_semi")
+        rows = self.buckets.select("node", "row.*").distinct().join(needed, "node", "left_semi").join(self.frequencies, ["m1", "m2"], "left")
         rows = materialise(rows, "near-needed")
         if rows.count() <= BROADCAST_ROWS:
             rows = F.broadcast(rows)
-        texts = _keyed(self.docs, "text").join(rows, ["m1", "m2"]).groupBy("node").agg(F.first("text").alias("text"))
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(released(_compare(self.factor, self.similarity)), "a string, b string"), "near-edges")
+        texts = _keyed(self.docs, "text").join(rows, ["m1", "m2"]).groupBy("node").agg(F.first("text").alias("text"), F.first("frequency").alias("frequency"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequency").alias("frequency_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("frequency").alias("frequency_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "frequency_a", "frequency_b")
+        return materialise(both.mapInArrow(released(_compare(self.number, self.similarity)), "a string, b string"), "near-edges")
 
     def nodes(self) -> DataFrame:
         """node and component of every node with links."""
