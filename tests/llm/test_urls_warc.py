@@ -98,6 +98,23 @@ def test_look_up_reads_by_range(spark, captures, tmp_path):
     assert next(bytes(r["payload"]) for r in found if r["page_id"] == 3) == b"<p>same</p>"
 
 
+def test_look_up_in_archives_that_overlap(spark, tmp_path):
+    """Keys with one beginning of 128 characters are dealt by page_id, so archives overlap: all captures are found."""
+    base = "http://a.org/" + "p" * 200
+    rows = [(k, f"{base}/{k * 40 + 1 if k < 20 else k * 5:03d}", f"<p>{k}</p>") for k in range(80)] + [(100, "http://z.org/", "<p>last</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = warc.write(pages, tmp_path.as_uri())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    ranges = sorted((r["first"], r["last"]) for r in store.archives.collect())
+    assert len(ranges) > 1 and any(a[1] > b[1] for a, b in zip(ranges, ranges[1:], strict=False))
+    found = warc.look_up(store, pages.select("url")).collect()
+    assert sorted(r["page_id"] for r in found) == sorted(k for k, _, _ in rows)
+
+
 def test_key_order_within_archives(spark, captures, tmp_path):
     store = warc.write(captures, tmp_path.as_uri())
     assert [r[0] for r in captures.where("page_id = 6").select(warc.url_key(F.col("url"))).collect()] == ["org,a)/q?x=1"]

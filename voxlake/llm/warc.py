@@ -27,6 +27,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -255,12 +256,15 @@ def look_up(store: Store, urls: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         parts, at, index, archive = shared.value, -1, None, None
-        lasts = [p[1] for p in parts]
+        # archives of keys with one beginning of KEY_CHARS overlap, so their last keys needn't ascend: running maxima do
+        lasts = [*accumulate((p[1] for p in parts), max)]
         for batch in batches:
             for key, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for number in range(bisect_left(lasts, key), len(parts)):
                     if parts[number][0] > key:
                         break
+                    if parts[number][1] < key:
+                        continue
                     if number != at:
                         at, index = number, _Index(system, root, *parts[number][3:])
                         archive = system.open_input_file(f"{root}/{parts[number][2]}")
