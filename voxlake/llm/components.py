@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.scratch import materialise
+from voxlake.llm.scratch import discard, materialise
 
 MAX_ROUNDS = 100
+#: Edges that one step of a task contracts at once.
+STEP = 1 << 17
+
+
+def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of the component of each of the numbers below count, which edges between a and b join."""
+    label = np.arange(count)
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of the edges of a step: each node but the least of a component and that least one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            nodes = pa.chunked_array([part.column(0), part.column(1)]).combine_chunks()
+            names = nodes.unique().sort()
+            place = pa.compute.index_in(nodes, names).to_numpy(zero_copy_only=False).astype(np.int64)
+            label = roots(len(names), place[: part.num_rows], place[part.num_rows :])
+            far = np.flatnonzero(label != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], ["a", "b"])
 
 
 def _to_least(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over edges(a, b), a > b. Every node of a neighbourhood meets the least node of it; a node with any
-    number of neighbours is aggregated before the shuffle and joined, never gathered."""
+    number of neighbours is aggregated before the shuffle. The least nodes are a written table, so that the join with them
+    is one that Spark splits where a node has many neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
     met = both.join(least, "a")
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    found = materialise(out.where("a <> b").distinct(), "components")
+    discard(least)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the least node of it) of every node of edges(a, b). Each round's edges are a written table."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """node and component (the least node of it) of every node of edges(a, b); nodes are strings. Tasks contract their own
+    edges first; then each round's edges are a written table, and the table before it is deleted."""
+    edges = edges.where("a <> b").select("a", "b")
+    edges = materialise(edges.mapInArrow(_contract, "a string, b string").distinct(), "components")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_to_least(_to_least(edges, True), False), "components")
+        large = _to_least(edges, True)
+        small = _to_least(large, False)
+        discard(edges, large)
+        edges = small
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -291,7 +291,7 @@ def _removed(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pair(x: str, y: str) -> F.Column:
-    return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return F.concat_ws(" ", F.col(x), F.col(y))
 
 
 def _components(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,7 +302,8 @@ def _components(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
     held = materialise(lines.select(*_ROW, "n1", "n2").join(groups, ["n1", "n2"]).select(*_ROW, "group").distinct(), "line-groups")
     hubs = held.groupBy("group").agg(F.min(_pair("m1", "m2")).alias("b"))
     classes = materialise(components(held.join(hubs, "group").select(_pair("m1", "m2").alias("a"), "b")), "line-classes")
-    rows = held.select(*_ROW).distinct().join(classes.select(F.col("node.x").alias("m1"), F.col("node.y").alias("m2"), "component"), ["m1", "m2"])
+    own = F.split("node", " ")
+    rows = held.select(*_ROW).distinct().join(classes.select(own[0].cast("long").alias("m1"), own[1].cast("long").alias("m2"), "component"), ["m1", "m2"])
     least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "component").select("m1", "m2", "class_id")
 

@@ -8,10 +8,12 @@ that nobody shares, and in a group of thousands of near copies an unbounded one
 common. Equal sets are one node. Each node's samples form bands; nodes that share a band are candidates, and candidates are verified by the weighted
 Jaccard similarity of their whole texts.
 
-Within a band's bucket the pairs aren't spelled out: every node first meets the bucket's least node; in buckets that then
-still hold several components and many pairs, two further leaders; and at last the pairs of nodes in different components
-that remain. So every candidate pair is either verified or already in one component, and the classes are those of all
-candidate pairs, while a group of n near copies costs about n verifications.
+Within a band's bucket the pairs aren't spelled out. First each node meets one node, the least of its buckets' leaders; then
+in each bucket one node of each component that this leaves meets one of another. In buckets that still hold several
+components, nodes outside the largest are compared with all others in place, by sums of their weights in `BINS` bins: these
+bound the similarity from above, so no pair that can be similar is lost, and what is left of pairs is verified, each node's
+most similar partner first. So every candidate pair is either verified, or can't be similar, or is already in one component,
+and the classes are those of all candidate pairs, while a group of n near copies costs about n verifications.
 
 Defined results: null and empty texts, and those of white space, have no shingles and are each a class of their own unless
 rows are alike in that too (all of them have the class of the least such id: they are equal texts); a text of one to four
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.components import components
-from voxlake.llm.scratch import materialise, released
+from voxlake.llm.scratch import discard, materialise, released
 from voxlake.llm.shingles import mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -47,10 +49,12 @@ BLOCK_DOCS, BLOCK_SHINGLES, RANGE_SHINGLES = 4096, 1 << 20, 1 << 21
 SHINGLE_BYTES = 6
 #: Documents that one step of the sampling holds at once.
 STEP = 512
-#: Nodes to verify are broadcast up to this many (about 60 bytes each), and joined by shuffle beyond.
-BROADCAST_ROWS = 150_000
-#: Buckets with more pairs across components than this many for each node meet further leaders first.
-DENSE = 8
+#: Tables are broadcast up to this many rows and bytes, and joined by shuffle beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 150_000, 32 << 20
+#: A node in HUB_PAIRS pairs and in one of HUBS of all pairs is a hub: there are at most HUBS.
+HUB_PAIRS, HUBS = 200, 400
+#: Bins of the sums that bound a similarity, and nodes on a side of a cell.
+BINS, CELL = 128, 1024
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +265,8 @@ def _compare(number: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 names = [part.column(k).to_pylist() for k in (0, 1)]
                 texts: dict[str, tuple[str, bytes | None]] = {}
                 for k in (0, 1):
@@ -279,71 +283,193 @@ def _compare(number: int, similarity: float):
     return run
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of a table of texts or frequencies, about."""
+    wide = [F.octet_length(c) for c in ("text", "frequency") if c in rows.columns]
+    return rows.agg(F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(64))), F.lit(0))).first()[0]
+
+
 def _keyed(docs: DataFrame, *more) -> DataFrame:
     """A row's identity in 128 bits, of id and text, for ids that are null or repeat."""
     return docs.select(F.xxhash64("doc_id", "text").alias("m1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("m2"), *more)
 
 
+def _bins(number: int):
+    """rows(node, text, frequency) -> node and its weights summed up in BINS bins of hashes, rounded up to 16 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [*shingles(batch.column(1), WIDTH)]
+            often = _of(batch.column(2), [len(h) for h, _ in found])
+            sums = [np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), n * _factor(f, number).astype(np.float64), BINS) for (h, n), f in zip(found, often, strict=True)]
+            rows = [np.nextafter(np.minimum(s, 6e4).astype(np.float16), np.float16(np.inf)).tobytes() if s.max() < 6e4 else None for s in sums]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "bins"])
+
+    return run
+
+
+_MEMBERS = ["bucket", "node", "component", "weight", "bins", "asks"]
+
+
+def _near_bins(x: np.ndarray, y: np.ndarray, total: np.ndarray, of: np.ndarray, similarity: float) -> np.ndarray:
+    """The greatest weighted Jaccard similarity that each of x can have with each of y, by their bins; totals are weights."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    for i in range(len(x)):
+        shared = np.minimum(np.minimum(x[i], y).sum(1), np.minimum(total[i], of))
+        out[i] = shared / np.maximum(total[i] + of - shared, 1e-30)
+    return out
+
+
+def _meet(similarity: float, best: bool):
+    """Members of buckets, all of a cell's together -> a, b: nodes of different components in one bucket that can be similar
+    by their bins; if best, for each asking node and bucket only the one that can be the most similar."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        bucket = cell.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+        component = cell.column("component").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        weight = cell.column("weight").to_numpy()
+        asks = cell.column("asks").to_numpy()
+        nodes, bins = cell.column("node"), cell.column("bins")
+        left: list[int] = []
+        right: list[int] = []
+        for rows in np.split(order, edges[1:]):
+            ask = rows[asks[rows] < 2]
+            all_ = rows[asks[rows] > 0]
+            if not len(ask) or not len(all_):
+                continue
+            full = np.full(BINS, np.inf, np.float32)
+            y = np.stack([full if (v := bins[int(k)].as_py()) is None else np.frombuffer(v, np.float16).astype(np.float32) for k in all_])
+            x = np.stack([full if (v := bins[int(k)].as_py()) is None else np.frombuffer(v, np.float16).astype(np.float32) for k in ask])
+            bound = _near_bins(x, y, weight[ask], weight[all_], similarity)
+            bound[component[ask][:, None] == component[all_][None, :]] = -1
+            if best:
+                at = bound.argmax(1)
+                good = bound[np.arange(len(ask)), at] >= similarity - 1e-3
+                left += ask[good].tolist()
+                right += all_[at[good]].tolist()
+            else:
+                i, j = np.nonzero(bound >= similarity - 1e-3)
+                left += ask[i].tolist()
+                right += all_[j].tolist()
+        return pa.table({"a": nodes.take(pa.array(left, pa.int64())), "b": nodes.take(pa.array(right, pa.int64()))})
+
+    return run
+
+
 class _Job:
     def __init__(self, docs: DataFrame, similarity: float) -> None:
         self.docs, self.similarity = docs, similarity
         self.frequencies, self.number = frequencies(docs)
         rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(self.frequencies, ["m1", "m2"], "left")
         rows = rows.select("doc_id", "m1", "m2", "text", "frequency")
-        self.signed = materialise(rows.mapInArrow(released(_sign(self.number)), _SIGNATURES), "near-signatures")
-        nodes = self.signed.groupBy("node").agg(F.min(F.struct("m1", "m2")).alias("row"), F.min("weight").alias("weight"), F.min("bands").alias("bands"))
+        signed = materialise(rows.mapInArrow(released(_sign(self.number)), _SIGNATURES), "near-signatures")
+        self.signed = materialise(signed.drop("weight", "bands"), "near-rows")
+        nodes = signed.groupBy("node").agg(F.min(F.struct("m1", "m2")).alias("row"), F.min("weight").alias("weight"), F.min("bands").alias("bands"))
         buckets = nodes.select("node", "weight", "row", F.posexplode("bands").alias("band", "value"))
         buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "node", "weight", "row")
-        shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("least")).where("_n > 1").drop("_n")
+        first = F.min(F.struct(F.xxhash64("node").alias("order"), "node", "weight")).alias("lead")
+        shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), first).where("_n > 1").drop("_n")
         self.buckets = materialise(buckets.join(shared, "bucket"), "near-buckets")
+        discard(signed)
+        self.nodes_ = materialise(self.buckets.select("node", "row.m1", "row.m2").distinct(), "near-nodes")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) that are similar; distinct pairs, a > b."""
-        pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = self.buckets.select("node", "row.*").distinct().join(needed, "node", "left_semi").join(self.frequencies, ["m1", "m2"], "left")
-        rows = materialise(rows, "near-needed")
-        if rows.count() <= BROADCAST_ROWS:
+    def near(self, x: str, y: str) -> F.Column:
+        return F.least(x, y) >= F.greatest(x, y) * (self.similarity - 1e-9)
+
+    def texts(self, needed: DataFrame) -> DataFrame:
+        """node, text and frequency of needed(node), each once."""
+        rows = materialise(self.nodes_.join(needed, "node", "left_semi").join(self.frequencies, ["m1", "m2"], "left"), "near-needed")
+        if rows.count() <= BROADCAST_ROWS and _size(rows) <= BROADCAST_BYTES:
             rows = F.broadcast(rows)
-        texts = _keyed(self.docs, "text").join(rows, ["m1", "m2"]).groupBy("node").agg(F.first("text").alias("text"), F.first("frequency").alias("frequency"))
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequency").alias("frequency_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("frequency").alias("frequency_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "frequency_a", "frequency_b")
-        return materialise(both.mapInArrow(released(_compare(self.number, self.similarity)), "a string, b string"), "near-edges")
+        return _keyed(self.docs, "text").join(rows, ["m1", "m2"]).groupBy("node").agg(F.first("text").alias("text"), F.first("frequency").alias("frequency"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that are similar. Nodes in so many pairs that one task would get them all are few, by the
+        number they must reach; where their texts are small, too, these are broadcast and their pairs stay in place."""
+        pairs = materialise(pairs.distinct(), "near-pairs")
+        number = pairs.count()
+        if not number:
+            return materialise(pairs.select("a", "b"), "near-edges")
+        texts = materialise(self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-texts")
+        named = lambda x, t: t.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"), F.col("frequency").alias(f"frequency_{x}"))
+        met = pairs.groupBy("b").count().where(F.col("count") >= max(HUB_PAIRS, number // HUBS)).select("b")
+        hubs = [r["b"] for r in met.limit(HUBS).collect()]
+        some = texts.where(F.col("node").isin(hubs))
+        if hubs and _size(some) > BROADCAST_BYTES:
+            hubs = []
+        both = pairs.where(~F.col("b").isin(hubs)).join(named("a", texts), "a").join(named("b", texts), "b")
+        if hubs:
+            both = both.unionByName(pairs.where(F.col("b").isin(hubs)).join(named("a", texts), "a").join(F.broadcast(named("b", some)), "b"))
+        both = both.select("a", "b", "text_a", "text_b", "frequency_a", "frequency_b")
+        edges = materialise(both.mapInArrow(released(_compare(self.number, self.similarity)), "a string, b string"), "near-edges")
+        discard(pairs, texts)
+        return edges
 
     def nodes(self) -> DataFrame:
         """node and component of every node with links."""
-        near = F.least("w", "weight") >= F.greatest("w", "weight") * (self.similarity - 1e-9)
-        lead = self.buckets.select(F.col("bucket"), F.col("node").alias("least"), F.col("weight").alias("w")).join(self.buckets.select("bucket", "least").distinct(), ["bucket", "least"])
-        star = self.buckets.join(lead, ["bucket", "least"]).where((F.col("node") != F.col("least")) & near)
-        edges = self.verified(star.select(F.col("node").alias("a"), F.col("least").alias("b")))
+        # first each node meets one node: of its buckets' leaders the least
+        star = self.buckets.where((F.col("lead.node") != F.col("node")) & self.near("weight", "lead.weight"))
+        edges = self.verified(star.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b")))
         found = materialise(components(edges), "near-components")
 
-        members = self._open(found)
-        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        dense = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).where(F.expr(f"n * n - s > 2 * {DENSE} * n"))
-        # two more leaders of dense buckets: the greatest node, and the least by another hash
-        many = materialise(members.join(dense.select("bucket"), "bucket"), "near-dense")
-        order = F.struct(F.xxhash64("node"), "node", "component", "weight")
-        top = many.groupBy("bucket").agg(F.max(F.struct("node", "component", "weight")).alias("x"), F.min(order).alias("y"))
-        leaders = top.select("bucket", F.explode(F.array(F.struct("x.node", "x.component", "x.weight"), F.struct("y.node", "y.component", "y.weight"))).alias("l"))
-        leaders = leaders.select("bucket", F.col("l.node").alias("b"), F.col("l.component").alias("c"), F.col("l.weight").alias("w"))
-        met = many.join(leaders, "bucket").where((F.col("component") != F.col("c")) & near).select(F.col("node").alias("a"), "b")
-        edges = materialise(edges.unionByName(self.verified(met)), "near-edges")
-        found = materialise(components(edges), "near-components")
-
-        members = self._open(found)
-        other = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("c"), F.col("weight").alias("w"))
-        cross = members.join(other, (members["bucket"] == other["bucket"]) & (F.col("component") > F.col("c")) & near)
-        edges = edges.unionByName(self.verified(cross.select(F.col("node").alias("a"), "b")))
-        return components(edges)
+        # then one node of each component in a bucket meets one of another
+        reps = self._members(found).groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("order"), "node", "weight")).alias("rep"))
+        reps = materialise(reps, "near-reps")
+        mixed = reps.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        met = reps.join(mixed, "bucket").where((F.col("rep.node") != F.col("lead.node")) & self.near("rep.weight", "lead.weight"))
+        edges, found = self._with(edges, found, met.select(F.col("rep.node").alias("a"), F.col("lead.node").alias("b")))
+        discard(reps)
+
+        # what is left is compared by bins in place: first each node's most similar partner, then all that can be similar
+        bins = None
+        for best in (True, False):
+            open_ = materialise(self._open(found), "near-open")
+            if bins is None:
+                bins = materialise(self.texts(open_.select("node").distinct()).mapInArrow(released(_bins(self.number)), "node string, bins binary"), "near-bins")
+            cells = self._cells(open_).join(bins, "node").select("part", *_MEMBERS)
+            pairs = cells.groupBy("part").applyInArrow(_meet(self.similarity, best), "a string, b string")
+            edges, found = self._with(edges, found, pairs)
+            discard(open_)
+        return found
+
+    def _with(self, edges: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and components with those of pairs that are similar."""
+        more = self.verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        both = materialise(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-edges")
+        now = materialise(components(both), "near-components")
+        discard(edges, found, more)
+        return both, now
+
+    def _members(self, found: DataFrame) -> DataFrame:
+        rows = self.buckets.select("bucket", "node", "weight").join(found, "node", "left")
+        return rows.withColumn("component", F.coalesce("component", "node"))
 
     def _open(self, found: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components: bucket, node, component, weight."""
-        rows = self.buckets.select("bucket", "node", "weight").join(found, "node", "left")
-        rows = rows.withColumn("component", F.coalesce("component", "node"))
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("bucket")
-        return materialise(rows.join(mixed, "bucket"), "near-open")
+        """The members of buckets that hold several components, with the bucket's number of members (n), of those outside
+        its largest component (k), and that component (most)."""
+        members = self._members(found)
+        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        stats = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+        stats = stats.where("n > most.n").select("bucket", "n", (F.col("n") - F.col("most.n")).alias("k"), F.col("most.component").alias("most"))
+        return members.join(stats, "bucket")
+
+    def _cells(self, open_: DataFrame) -> DataFrame:
+        """Members by cell (part): within a bucket the k nodes outside its largest component ask all n. A bucket of at most
+        CELL members is in one cell with others like it; a larger one is a grid of cells, each with CELL of those that ask
+        and CELL of all. asks: 0 asks, 1 both, 2 is asked."""
+        per = lambda x: F.ceil(F.col(x) / CELL).cast("int")
+        small = F.col("n") <= CELL
+        rows = open_.withColumn("own", F.col("component") != F.col("most"))
+        cells = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // CELL, 1)
+        whole = rows.where(small).select(F.xxhash64(F.pmod(F.xxhash64("bucket"), F.lit(cells))).alias("part"), "bucket", "node", "component", "weight", F.when(F.col("own"), 1).otherwise(2).alias("asks"))
+        large = rows.where(~small)
+        at = lambda x: F.pmod(F.xxhash64("node"), per(x))
+        asking = large.where("own").select("*", at("k").alias("i"), F.explode(F.sequence(F.lit(0), per("n") - 1)).alias("j"), F.lit(0).alias("asks"))
+        asked = large.select("*", F.explode(F.sequence(F.lit(0), per("k") - 1)).alias("i"), at("n").alias("j"), F.lit(2).alias("asks"))
+        grid = asking.unionByName(asked).select(F.xxhash64("bucket", "i", "j").alias("part"), "bucket", "node", "component", "weight", "asks")
+        return whole.unionByName(grid)
 
     def labelled(self) -> DataFrame:
         """doc_id, m1, m2 and component of every row."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,12 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/voxlake"
 #: Bytes of one batch that goes to Python: whole texts, so that a few thousand long ones don't meet in one batch.
 BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A job's shuffle files go when it ends: its result is written, and nothing reads them again.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Where the tables of `materialise` are.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,17 +39,23 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs within send batches of BATCH_BYTES to Python."""
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, BATCH_BYTES)
+def _setting(spark: SparkSession, **settings: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_BATCH)
-        else:
-            spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Jobs within send batches of BATCH_BYTES to Python."""
+    return _setting(spark, **{_BATCH: BATCH_BYTES})
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -67,6 +80,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages start from files that outlive executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    with small_batches(spark):
+    with _setting(spark, **{_BATCH: BATCH_BYTES, _TIDY: "true"}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that no later job reads. Others are left alone."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
