@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.scratch import discard, materialise
 
 MAX_ROUNDS = 100
-#: Edges that one step of a task contracts at once.
-STEP = 1 << 17
+#: Edges that one step of a task contracts at once, and edges (about 40 bytes each) of a graph that one task may hold.
+STEP, SMALL = 1 << 17, 1 << 20
 
 
 def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,17 +30,32 @@ def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars in place of the edges of a step: each node but the least of a component and that least one."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            nodes = pa.chunked_array([part.column(0), part.column(1)]).combine_chunks()
-            names = nodes.unique().sort()
-            place = pa.compute.index_in(nodes, names).to_numpy(zero_copy_only=False).astype(np.int64)
-            label = roots(len(names), place[: part.num_rows], place[part.num_rows :])
-            far = np.flatnonzero(label != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], ["a", "b"])
+def _contract(step: int | None):
+    """Stars in place of the edges of a step (None: of all of a task's): each node but the least of a component, and that one."""
+
+    def stars(edges: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+        ends = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (edges.column(0), edges.column(1))]
+        nodes = pa.concat_arrays(ends)
+        names = nodes.unique()
+        names = names.take(pc.sort_indices(names))
+        place = pc.index_in(nodes, names).to_numpy(zero_copy_only=False).astype(np.int64)
+        label = roots(len(names), place[: len(ends[0])], place[len(ends[0]) :])
+        far = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if step and rows >= step:
+                yield stars(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield stars(pa.Table.from_batches(held))
+
+    return run
 
 
 def _to_least(edges: DataFrame, large: bool) -> DataFrame:
@@ -59,21 +74,32 @@ def _to_least(edges: DataFrame, large: bool) -> DataFrame:
     return found
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of edges(a, b) is only once an a and never a b as well."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("far")), F.struct(F.col("b").alias("node"), F.lit(0).alias("far")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("far").alias("far"), F.min("far").alias("near"))
+    return seen.where("far > 1 OR (far = 1 AND near = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the least node of it) of every node of edges(a, b); nodes are strings. Tasks contract their own
-    edges first; then each round's edges are a written table, and the table before it is deleted."""
+    """node and component (the least node of it) of every node of edges(a, b); nodes are strings or numbers. Tasks contract
+    their own edges first, and what is left of up to SMALL edges is contracted by one more task; larger graphs go on by
+    rounds, each of them a written table, and the table before it is deleted."""
     edges = edges.where("a <> b").select("a", "b")
-    edges = materialise(edges.mapInArrow(_contract, "a string, b string").distinct(), "components")
-    seen = None
-    for _ in range(MAX_ROUNDS):
-        large = _to_least(edges, True)
-        small = _to_least(large, False)
-        discard(edges, large)
-        edges = small
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+    edges = materialise(edges.mapInArrow(_contract(STEP), edges.schema), "components")
+    number = edges.count()
+    if number <= SMALL:
+        one = materialise(edges.coalesce(1).mapInArrow(_contract(None), edges.schema), "components")
+        discard(edges)
+        edges = one
     else:
-        raise RuntimeError(f"components haven't settled after {MAX_ROUNDS} rounds")
+        for _ in range(MAX_ROUNDS):
+            if _stars(edges):
+                break
+            large = _to_least(edges, True)
+            small = _to_least(large, False)
+            discard(edges, large)
+            edges = small
+        else:
+            raise RuntimeError(f"components haven't settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

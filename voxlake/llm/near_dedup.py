@@ -8,8 +8,8 @@ that nobody shares, and in a group of thousands of near copies an unbounded one
 common. Equal sets are one node. Each node's samples form bands; nodes that share a band are candidates, and candidates are verified by the weighted
 Jaccard similarity of their whole texts.
 
-Within a band's bucket the pairs aren't spelled out. First each node meets one node, the least of its buckets' leaders; then
-in each bucket one node of each component that this leaves meets one of another. In buckets that still hold several
+Within a band's bucket the pairs aren't spelled out. First each node meets one node, the least of its buckets'
+leaders. In buckets that still hold several
 components, nodes outside the largest are compared with all others in place, by sums of their weights in `BINS` bins: these
 bound the similarity from above, so no pair that can be similar is lost, and what is left of pairs is verified, each node's
 most similar partner first. So every candidate pair is either verified, or can't be similar, or is already in one component,
@@ -54,7 +54,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 150_000, 32 << 20
 #: A node in HUB_PAIRS pairs and in one of HUBS of all pairs is a hub: there are at most HUBS.
 HUB_PAIRS, HUBS = 200, 400
 #: Bins of the sums that bound a similarity, and nodes on a side of a cell.
-BINS, CELL = 128, 1024
+BINS, CELL = 512, 1024
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,14 +373,16 @@ class _Job:
         shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), first).where("_n > 1").drop("_n")
         self.buckets = materialise(buckets.join(shared, "bucket"), "near-buckets")
         discard(signed)
-        self.nodes_ = materialise(self.buckets.select("node", "row.m1", "row.m2").distinct(), "near-nodes")
+        rows = self.buckets.select("node", "row.m1", "row.m2").distinct().join(self.frequencies, ["m1", "m2"], "left")
+        self.nodes_ = materialise(rows, "near-nodes")
+        discard(self.frequencies)
 
     def near(self, x: str, y: str) -> F.Column:
         return F.least(x, y) >= F.greatest(x, y) * (self.similarity - 1e-9)
 
     def texts(self, needed: DataFrame) -> DataFrame:
         """node, text and frequency of needed(node), each once."""
-        rows = materialise(self.nodes_.join(needed, "node", "left_semi").join(self.frequencies, ["m1", "m2"], "left"), "near-needed")
+        rows = materialise(self.nodes_.join(needed, "node", "left_semi"), "near-needed")
         if rows.count() <= BROADCAST_ROWS and _size(rows) <= BROADCAST_BYTES:
             rows = F.broadcast(rows)
         return _keyed(self.docs, "text").join(rows, ["m1", "m2"]).groupBy("node").agg(F.first("text").alias("text"), F.first("frequency").alias("frequency"))
@@ -414,14 +416,6 @@ class _Job:
         edges = self.verified(star.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b")))
         found = materialise(components(edges), "near-components")
 
-        # then one node of each component in a bucket meets one of another
-        reps = self._members(found).groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("order"), "node", "weight")).alias("rep"))
-        reps = materialise(reps, "near-reps")
-        mixed = reps.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        met = reps.join(mixed, "bucket").where((F.col("rep.node") != F.col("lead.node")) & self.near("rep.weight", "lead.weight"))
-        edges, found = self._with(edges, found, met.select(F.col("rep.node").alias("a"), F.col("lead.node").alias("b")))
-        discard(reps)
-
         # what is left is compared by bins in place: first each node's most similar partner, then all that can be similar
         bins = None
         for best in (True, False):
