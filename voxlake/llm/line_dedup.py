@@ -6,11 +6,13 @@ lines. Lines with equal sets are one set, which counts from its first line on.
 
 A set's words are ordered by rarity: by a frequency that is counted over all lines in a bounded table of hashed counters,
 then by hash. Any one order gives the same result; this one makes beginnings rare. Sets that match share a word in their
-first few: the shorter is indexed by the words of its short prefix, the longer asks with its longer one, and length and
-position filters apply within the join. Frequent words carry a class of lengths in their key. Of the candidates, those go
-whose sketches (256 bits of a set's words) differ in more places than two similar sets could have different words, which
-loses none; the others' words are read again from the texts, and their similarity is computed in full. Words are compared
-by 64-bit hash, sets are named by 128 bits, and by half of them up to the sketches.
+first few: the shorter is indexed by the words of its short prefix, the longer asks with its longer one. Entries of one word
+meet in one task, in the order of lengths, where filters of length, position and sketches (bits of a set's words, which
+differ in no more places than two sets have different words) leave the candidates. No candidate leaves its task as a row: what
+is written are edges that join them to clusters. A large group of lines, each unlike the next by a word, has as many
+matches as pairs, but only as many edges as lines. The words of the sets of clusters are then read again from the texts, and
+within a cluster (in cells of bounded size) the similarity of every two sets is computed in full; what is written are each set's
+number of matches and the earliest of them. Words are compared by 64-bit hash, and sets are named by 128 bits.
 
 Defined results: null and empty texts and lines of white space match nothing and stay; repeated rows (of one id and text)
 are in the same place, so none is later than the other; ids may be null (last) or repeat (then hashes order the rows); an
@@ -30,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm import counters
-from voxlake.llm.components import components
-from voxlake.llm.scratch import materialise, released
+from voxlake.llm.components import components, roots
+from voxlake.llm.scratch import discard, materialise, released
 from voxlake.llm.shingles import mix, string_hashes
 
 SIMILARITY = 0.8
 #: Counters of words (8 bytes each on the driver, 4 in tasks).
-COUNTERS = 1 << 21
+COUNTERS = 1 << 23
 #: Words in more lines than this have a class of lengths in their key.
 FREQUENT = 1000
 #: Bits of the filter that spares reading the words of lines in no candidate; what passes it is joined exactly.
@@ -44,6 +46,8 @@ FILTER_BITS = 1 << 26
 #: Texts that one step holds at once.
 STEP = 1024
 BROADCAST_ROWS = 150_000
+#: Entries that a task holds, pairs that it makes at once, and sets on a side of a cell.
+BUFFER, SLAB, CELL = 1 << 18, 1 << 21, 1024
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -80,15 +84,15 @@ class Lines:
             self.n1, self.n2 = (mix(s[ends[1:]] - s[ends[:-1]] + self.size.astype(np.uint64)) for s in sums)
 
     def sketches(self) -> list[np.ndarray]:
-        """Four times 64 bits of each set: a bit for the last byte of each word's hash. Empty sets have none."""
+        """Four times 64 bits of each set: whether an odd number of its words fall on a bit. Two sets' bits differ in no more
+        places than the sets have different words."""
         some = np.flatnonzero(self.size)
-        bit = np.left_shift(np.uint64(1), self.hashes & np.uint64(63))
-        part = self.hashes >> np.uint64(6) & np.uint64(3)
         out = []
         for k in range(4):
             bits = np.zeros(len(self.size), np.uint64)
             if len(some):
-                bits[some] = np.bitwise_or.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), self.start[some])
+                place = self.hashes >> np.uint64(16 * k) & np.uint64(63)
+                bits[some] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), place), self.start[some])
             out.append(bits)
         return out
 
@@ -120,53 +124,134 @@ def _class(n: np.ndarray, t: float) -> np.ndarray:
 
 
 _SKETCH = ["k0", "k1", "k2", "k3"]
-_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long, size int, k0 long, k1 long, k2 long, k3 long"
-_ENTRIES = "word long, name long, place long"
-
-
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _steps(batches):
-        x = Lines(batch.column(3), None)
-        some = np.flatnonzero(x.size)
-        row = pa.array(x.text[some])
-        columns = [*(batch.column(k).take(row) for k in range(3)), pa.array(x.number[some].astype(np.int32)), pa.array(_signed(x.n1[some])), pa.array(_signed(x.n2[some]))]
-        columns += [pa.array(x.size[some].astype(np.int32)), *(pa.array(_signed(k[some])) for k in x.sketches())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2", "size", *_SKETCH])
+_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long, size int, k0 long, k1 long, k2 long, k3 long, entries array<struct<word:long,place:int>>"
+
+
+def _entries(x: Lines, once: np.ndarray, t: float) -> pa.Array:
+    """For each line its prefix words' keys and places, by rarity: four times the position, plus 1 where the word is in the
+    shorter prefix that others ask for, plus 2 where the line asks with it. A frequent word's key holds a class of lengths, and a
+    line asks in its own class and the one below. Words that no other line can hold are left out; null where not `once`."""
+    n = x.size
+    own = n - least_overlap(n, n, t) + 1
+    # a set meets only its own kind where any partner's overlap would be the whole of both
+    smallest = np.ceil(t * n - 1e-9).astype(np.int64)
+    asks = np.where(smallest < n, n - np.maximum(smallest, 1) + 1, np.where(own > 1, own, 0))
+    given = np.where((np.floor(n / t + 1e-9) > n) | (own > 1), own, 0)
+    at = np.arange(len(x.line)) - x.start[x.line]
+    keep = once[x.line] & (at < np.maximum(asks, given)[x.line]) & (x.often > 1)
+    word, line, at, many = x.hashes[keep], x.line[keep], at[keep], x.often[keep] > FREQUENT
+    kind = _class(n, t)[line]
+    flags = (at < given[line]) + 2 * (at < asks[line])
+    with np.errstate(over="ignore"):
+        key = lambda c: mix(word + np.where(many, c + 1, 0).astype(np.uint64) * _A)
+        below = many & (at < asks[line])
+        words = np.concatenate([key(kind), key(kind - 1)[below]])
+    places = np.concatenate([at * 4 + flags, at[below] * 4 + 2])
+    lines = np.concatenate([line, line[below]])
+    order = np.argsort(lines, kind="stable")
+    rows = pa.StructArray.from_arrays([pa.array(_signed(words[order])), pa.array(places[order].astype(np.int32))], ["word", "place"])
+    ends = np.append(0, np.cumsum(np.bincount(lines, minlength=len(n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~once, False)), rows)
 
 
-def _entries(shared: Broadcast, t: float, asking: bool):
-    """word (a key), name (half of the set's) and place (its size and the word's position) of the prefix words of every set of
-    a step once: of the longer prefix if asking, else of the shorter. Words that no other line can hold are left out."""
+def _line_rows(shared: Broadcast, t: float):
+    """rows(doc_id, m1, m2, text) -> a row for each line with words; of equal sets the first of a step holds the entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
         for batch in _steps(batches):
-            x = Lines(batch.column(0), frequency)
-            _, first = np.unique(x.n1, return_index=True)
+            x = Lines(batch.column(3), frequency)
+            some = np.flatnonzero(x.size)
             once = np.zeros(len(x.size), bool)
-            once[first] = True
-            n = x.size
-            own = n - least_overlap(n, n, t) + 1
-            # a set meets only its own kind where any partner's overlap would be the whole of both
-            if asking:
-                smallest = np.ceil(t * n - 1e-9).astype(np.int64)
-                prefix = np.where(smallest < n, n - np.maximum(smallest, 1) + 1, np.where(own > 1, own, 0))
-            else:
-                prefix = np.where((np.floor(n / t + 1e-9) > n) | (own > 1), own, 0)
-            at = np.arange(len(x.line)) - x.start[x.line]
-            keep = once[x.line] & (at < prefix[x.line]) & (x.often > 1)
-            word, line, at = x.hashes[keep], x.line[keep], at[keep]
-            many, kind = x.often[keep] > FREQUENT, _class(n, t)[line]
-            with np.errstate(over="ignore"):
-                key = lambda c: mix(word + np.where(many, c + 1, 0).astype(np.uint64) * _A)
-                keys, lines, places = key(kind), line, at
-                if asking and many.any():
-                    keys, lines, places = np.concatenate([keys, key(kind - 1)[many]]), np.concatenate([line, line[many]]), np.concatenate([at, at[many]])
-            yield pa.RecordBatch.from_pydict({"word": _signed(keys), "name": _signed(x.n1[lines]), "place": n[lines].astype(np.int64) << 32 | places})
+            once[np.unique(x.n1, return_index=True)[1]] = True
+            row, keep = pa.array(x.text[some]), pa.array(some)
+            columns = [*(batch.column(k).take(row) for k in range(3)), pa.array(x.number[some].astype(np.int32)), pa.array(_signed(x.n1[some])), pa.array(_signed(x.n2[some]))]
+            columns += [pa.array(x.size[some].astype(np.int32)), *(pa.array(_signed(k[some])) for k in x.sketches()), _entries(x, once, t).take(keep)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2", "size", *_SKETCH, "entries"])
+
+    return run
+
+
+def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, name: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of sets that can match, of entries in the order of (word, size): the pairs of one word in which the shorter is
+    long enough, enough words can follow the shared one, and the sketches don't differ too much. Only slabs of pairs exist
+    at once."""
+    group = np.cumsum(np.append(False, word[1:] != word[:-1])).astype(np.int64) << 32
+    given, asks = np.flatnonzero(place & 1), np.flatnonzero(place & 2)
+    sizes = group[given] + size[given]
+    lo = np.searchsorted(sizes, group[asks] + np.ceil(size[asks] * t - 1e-9).astype(np.int64))
+    count = np.searchsorted(sizes, group[asks] + size[asks], side="right") - lo
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(asks):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, side="right")))
+        n = count[at:end]
+        a = np.repeat(asks[at:end], n)
+        b = given[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:end], n)]
+        at = end
+        keep = (size[b] < size[a]) | (name[a] > name[b])
+        a, b = a[keep], b[keep]
+        need = least_overlap(size[a], size[b], t)
+        i, j = place[a] >> 2, place[b] >> 2
+        keep = 1 + np.minimum(size[a] - i, size[b] - j) - 1 + np.minimum(i, j) >= need
+        keep &= np.bitwise_count(sketch[a] ^ sketch[b]) <= size[a] + size[b] - 2 * need
+        yield name[a[keep]], name[b[keep]]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = roots(len(names), place[: len(a)], place[len(a) :])
+    far = np.flatnonzero(label != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], ["a", "b"])
+
+
+def _meet(t: float):
+    """Entries(word, size, place, k0, name) in the order of (word, size) -> edges that join all sets that can match. Of a
+    word that fills a whole buffer only the sets stay that are long enough for longer ones to come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            if not rows:
+                return
+            word, size, place, sketch, name = (np.concatenate(c) for c in zip(*held, strict=True))
+            size, sketch = size.astype(np.int64), sketch.view(np.uint64)
+            start = int(np.searchsorted(word, word[-1]))
+            done = len(word) if last or start == 0 else start
+            found = [*_pairs_of(word[:done], size[:done], place[:done].astype(np.int64), sketch[:done], name[:done], t)]
+            if sum(len(x) for x, _ in found):
+                yield _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            kept = np.arange(done, len(word))
+            if done == len(word) and not last:
+                kept = np.flatnonzero(size >= math.ceil(t * size[-1] - 1e-9))
+            held = [[c[kept] for c in (word, size.astype(np.int32), place, sketch.view(np.int64), name)]] if len(kept) else []
+            rows = len(kept)
+
+        fresh = 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            rows, fresh = rows + batch.num_rows, fresh + batch.num_rows
+            if fresh >= BUFFER:
+                yield from close(False)
+                fresh = 0
+        yield from close(True)
 
     return run
 
 
+def clusters(sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match."""
+    entries = sets.select(F.explode("entries").alias("e"), "size", "k0", "n1").select("e.word", "size", "e.place", "k0", F.col("n1").alias("name"))
+    dealt = entries.repartition("word").sortWithinPartitions("word", "size")
+    edges = materialise(dealt.mapInArrow(released(_meet(t)), "a long, b long"), "line-edges")
+    found = materialise(components(edges), "line-clusters")
+    discard(edges)
+    return found.select(F.col("node").alias("name"), F.col("component").alias("cluster"))
+
+
 def _filter_places(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (mix(n1.view(np.uint64) + n2.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
@@ -201,64 +286,114 @@ def _words_of(shared: Broadcast):
     return run
 
 
-def _similar(t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column(4), batch.column(5), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= t * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(range(4)).filter(pa.array(good, pa.bool_()))
+_AT = ["late", "doc_id", "m1", "m2", "line"]
+_PARTNERS = "n1 long, n2 long, links long, late boolean, doc_id long, m1 long, m2 long, line int, r1 long, r2 long"
+
+
+def _matching(left: list[np.ndarray], right: list[np.ndarray] | None, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left; in right, or later in left if there is none) of the sets of words that match."""
+    both = left + (right or [])
+    sizes = np.array([len(x) for x in both])
+    vocabulary, code = np.unique(np.concatenate(both), return_inverse=True)
+    width = -(-len(vocabulary) // 64)
+    bits = np.zeros((len(both), width), np.uint64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(both)), sizes), code >> 6), np.left_shift(np.uint64(1), (code & 63).astype(np.uint64)))
+    first = len(left) if right is not None else 0
+    out = [], []
+    step = max(1, SLAB // (max(1, len(both) - first) * width))
+    for at in range(0, len(left), step):
+        some = np.arange(at, min(at + step, len(left)))
+        i, j = (x.ravel() for x in np.meshgrid(some, np.arange(first, len(both)), indexing="ij"))
+        keep = np.minimum(sizes[i], sizes[j]) >= t * np.maximum(sizes[i], sizes[j]) - 1e-9
+        if right is None:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        shared = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        good = shared >= t * (sizes[i] + sizes[j] - shared) - 1e-9
+        out[0].append(i[good])
+        out[1].append(j[good] - first)
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _verify(t: float):
+    """The sets of a cell: their words, where they first stand, and their side (0 both, 1 left, 2 right) -> for each set with a
+    match its number of matches here, the earliest of them, and a set that they are all joined with."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        name = [cell.column(c).to_numpy() for c in ("n1", "n2")]
+        late = np.asarray(pc.is_null(cell.column("doc_id")))
+        doc = pc.fill_null(cell.column("doc_id"), 0).to_numpy()
+        m1, m2, line = (cell.column(c).to_numpy() for c in ("m1", "m2", "line"))
+        rank = np.empty(cell.num_rows, np.int64)
+        by = np.lexsort((line, m2, m1, doc, late))
+        rank[by] = np.arange(len(by))
+        side, words = cell.column("side").to_numpy(), cell.column("words")
+        cluster = cell.column("cluster").to_numpy()
+        order = np.argsort(cluster, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(cluster[order]) != 0))[1:]
+        left, right = [], []
+        for rows in np.split(order, edges):
+            sides = [rows[side[rows] == k] for k in range(3)]
+            of = lambda x: [np.frombuffer(words[int(k)].as_py(), np.uint64) for k in x]
+            if len(sides[0]) > 1:
+                i, j = _matching(of(sides[0]), None, t)
+                left.append(sides[0][i])
+                right.append(sides[0][j])
+            if len(sides[1]) and len(sides[2]):
+                i, j = _matching(of(sides[1]), of(sides[2]), t)
+                left.append(sides[1][i])
+                right.append(sides[2][j])
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+        links = np.bincount(a, minlength=len(rank)) + np.bincount(b, minlength=len(rank))
+        least = np.full(len(rank), len(rank))
+        np.minimum.at(least, a, rank[b])
+        np.minimum.at(least, b, rank[a])
+        root = roots(len(rank), a, b)
+        some = np.flatnonzero(links)
+        other = by[least[some]]
+        return pa.table({
+            **{f"n{k + 1}": x[some] for k, x in enumerate(name)},
+            "links": links[some], "late": late[other], "doc_id": cell.column("doc_id").take(pa.array(other)),
+            "m1": m1[other], "m2": m2[other], "line": line[other],
+            **{f"r{k + 1}": x[root[some]] for k, x in enumerate(name)},
+        })
 
     return run
 
 
-_ROW = ["doc_id", "m1", "m2"]
-
-
-def _place(line: str = "line") -> F.Column:
-    """Where a line stands; comparable."""
-    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "m1", "m2", line)
-
-
-def candidates(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """a, b: half names of two sets that share a prefix word and pass the filters of length and position."""
-    texts = docs.select("text")
-    frequency = counters.count(texts, _word_list, COUNTERS)
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-
-    def side(asking: bool, name: str, size: str, at: str) -> DataFrame:
-        # copies of a set go where the join wants the word, and meet there
-        rows = texts.mapInArrow(released(_entries(shared, t, asking)), _ENTRIES).repartition("word").dropDuplicates()
-        return rows.select("word", F.col("name").alias(name), F.shiftright("place", 32).alias(size), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias(at))
-
-    long_enough = F.col("m") >= F.ceil(F.col("n") * t - 1e-9)
-    in_order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
-    reachable = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) + F.least("i", "j") >= F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)) - 1e-9)
-    met = side(True, "a", "n", "i").join(side(False, "b", "m", "j"), "word")
-    return materialise(met.where(in_order & long_enough & reachable).select("a", "b").distinct(), "line-candidates")
-
-
-def links(docs: DataFrame, lines: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """a1, a2, b1, b2: the names of two different sets that match, each pair once. lines: the lines of docs, with names."""
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows(cluster, ...) of sets by cell (part), with their side: clusters of at most CELL sets are in one cell with others
+    like them, larger ones cut into blocks, each two of which make a cell."""
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    large = materialise(sizes.where(F.col("_n") > CELL), "line-large")
+    if not large.count():
+        return rows.withColumns({"part": F.xxhash64("cluster"), "side": F.lit(0)})
+    marked = rows.join(large, "cluster", "left")
+    whole = marked.where("_n IS NULL").withColumns({"part": F.xxhash64("cluster"), "side": F.lit(0)})
+    blocks = F.ceil(F.col("_n") / CELL).cast("int")
+    cut = marked.where("_n IS NOT NULL").withColumn("_own", F.pmod(F.xxhash64("n1", "n2"), blocks).cast("int"))
+    cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("_own") == F.col("_with"), 0).when(F.col("_own") < F.col("_with"), 1).otherwise(2)
+    cut = cut.withColumns({"part": F.xxhash64("cluster", F.least("_own", "_with"), F.greatest("_own", "_with")), "side": side})
+    return whole.unionByName(cut.select(*whole.columns)).drop("_n")
+
+
+def partners(docs: DataFrame, sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """n1, n2, links (the number of other sets that match), the place of the earliest of these, and r1, r2 (a set of the same
+    component of matches): of each set with a match, perhaps in several rows. sets: as `_linked` makes them, with first."""
     spark = docs.sparkSession
-    texts = docs.select("text")
-    sets = lines.groupBy("n1", "n2").agg(*[F.first(c).alias(c) for c in ("size", *_SKETCH)])
-    named = lambda x: sets.select(F.col("n1").alias(f"{x}1"), F.col("n2").alias(f"{x}2"), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *_SKETCH)])
-    pairs = candidates(docs, t).withColumnsRenamed({"a": "a1", "b": "b1"}).join(named("a"), "a1").join(named("b"), "b1")
-    apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _SKETCH), F.lit(0))
-    both = F.col("a_size") + F.col("b_size")
-    pairs = pairs.where(apart <= both - 2 * F.ceil(both * (t / (1 + t)) - 1e-9)).select("a1", "a2", "b1", "b2")
-    pairs = materialise(pairs, "line-pairs")
-    nodes = pairs.select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).unionByName(pairs.select(F.col("b1").alias("n1"), F.col("b2").alias("n2"))).distinct()
-    bits = spark.sparkContext.broadcast(_needed_bits(nodes))
-    words = texts.mapInArrow(released(_words_of(bits)), "n1 long, n2 long, words binary").groupBy("n1", "n2").agg(F.first("words").alias("words"))
-    words = materialise(words, "line-words")
-    left = words.select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("words").alias("x"))
-    right = words.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("words").alias("y"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
-    return materialise(both.mapInArrow(released(_similar(t)), "a1 long, a2 long, b1 long, b2 long"), "line-links")
+    found = clusters(sets, t)
+    held = sets.join(found, F.col("n1") == F.col("name")).select("n1", "n2", "cluster", *[F.col(f"first.{c}").alias(c) for c in _AT])
+    held = materialise(held, "line-held")
+    bits = spark.sparkContext.broadcast(_needed_bits(held.select("n1", "n2")))
+    words = docs.select("text").mapInArrow(released(_words_of(bits)), "n1 long, n2 long, words binary").groupBy("n1", "n2").agg(F.first("words").alias("words"))
+    rows = materialise(held.join(words, ["n1", "n2"]), "line-words")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // CELL, 1)
+    dealt = _cells(rows).withColumn("part", F.when(F.col("side") == 0, F.xxhash64(F.pmod("part", F.lit(parts)))).otherwise(F.col("part")))
+    out = materialise(dealt.groupBy("part").applyInArrow(_verify(t), _PARTNERS), "line-partners")
+    discard(held, rows)
+    return out
 
 
 def _marked(docs: DataFrame, *more) -> DataFrame:
@@ -267,25 +402,35 @@ def _marked(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marks, *more)
 
 
-def _linked(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines, the links of their sets (each pair once), and the sets that stand in several lines or have a link."""
-    lines = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows), _LINES), "lines")
-    found = links(docs, lines, t)
-    lines = lines.drop("size", *_SKETCH)
-    sets = lines.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    linked = _both(found).select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).distinct().withColumn("linked", F.lit(True))
-    return lines, found, materialise(sets.join(linked, ["n1", "n2"], "left").where("n > 1 OR linked"), "line-sets")
+_ROW = ["doc_id", "m1", "m2"]
 
 
-def _both(found: DataFrame) -> DataFrame:
-    return found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+def _place(line: str = "line") -> F.Column:
+    """Where a line stands; comparable."""
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "m1", "m2", line)
+
+
+def _linked(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines, the partners of their sets, and the sets that stand in several lines or have a partner."""
+    frequency = counters.count(docs.select("text"), _word_list, COUNTERS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
+    rows = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows(shared, t)), _LINES), "lines-whole")
+    shared.destroy()
+    own = [F.first(c).alias(c) for c in ("size", *_SKETCH)]
+    sets = rows.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), *own, F.first("entries", ignorenulls=True).alias("entries"))
+    sets = materialise(sets, "line-sets")
+    lines = materialise(rows.select(*_ROW, "line", "n1", "n2"), "lines")
+    discard(rows)
+    found = partners(docs, sets, t)
+    linked = found.groupBy("n1", "n2").agg(F.sum("links").alias("links"), F.min(F.struct(*_AT)).alias("other"))
+    some = materialise(sets.select("n1", "n2", "first", "n").join(linked, ["n1", "n2"], "left").where("n > 1 OR links IS NOT NULL"), "line-known")
+    discard(sets)
+    return lines, found, some
 
 
 def _removed(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """doc_id, m1, m2, line, links, source (the id where the earliest match stands), gone: of each line with a match."""
-    firsts = sets.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("first").alias("other"))
-    partners = _both(found).join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("n1"), F.col("a2").alias("n2")).agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links"))
-    least = sets.join(partners, ["n1", "n2"], "left").select("n1", "n2", F.coalesce(F.least("first", "other"), "first").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = sets.select("n1", "n2", F.coalesce(F.least("first", "other"), "first").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
     met = lines.join(least, ["n1", "n2"])
     return met.select(*_ROW, "line", "links", F.col("least.doc_id").alias("source"), (_place() > F.col("least")).alias("gone"))
 
@@ -297,13 +442,15 @@ def _pair(x: str, y: str) -> F.Column:
 def _components(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """m1, m2 and class_id (the least id) of the documents of each class: those that are joined by lines with equal or
     linked sets, over any number of steps. Of a component of sets, every document meets one, so no pairs are spelled out."""
-    groups = components(found.select(_pair("a1", "a2").alias("a"), _pair("b1", "b2").alias("b")))
+    groups = components(found.select(_pair("n1", "n2").alias("a"), _pair("r1", "r2").alias("b")))
     groups = sets.select("n1", "n2", _pair("n1", "n2").alias("node")).join(groups, "node", "left").select("n1", "n2", F.coalesce("component", "node").alias("group"))
     held = materialise(lines.select(*_ROW, "n1", "n2").join(groups, ["n1", "n2"]).select(*_ROW, "group").distinct(), "line-groups")
     hubs = held.groupBy("group").agg(F.min(_pair("m1", "m2")).alias("b"))
     classes = materialise(components(held.join(hubs, "group").select(_pair("m1", "m2").alias("a"), "b")), "line-classes")
     own = F.split("node", " ")
-    rows = held.select(*_ROW).distinct().join(classes.select(own[0].cast("long").alias("m1"), own[1].cast("long").alias("m2"), "component"), ["m1", "m2"])
+    marks = classes.select(own[0].cast("long").alias("m1"), own[1].cast("long").alias("m2"), "component")
+    # a document whose lines nobody else holds is alone
+    rows = held.select(*_ROW).distinct().join(marks, ["m1", "m2"])
     least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "component").select("m1", "m2", "class_id")
 
