@@ -172,8 +172,8 @@ def _line_rows(shared: Broadcast, t: float):
     return run
 
 
-def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, name: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names of sets that can match, of entries in the order of (word, size): the pairs of one word in which the shorter is
+def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: np.ndarray, name: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of sets that can match, of entries in the order of (word, size): the pairs of one word in which the shorter is
     long enough, enough words can follow the shared one, and the sketches don't differ too much. Only slabs of pairs exist
     at once."""
     group = np.cumsum(np.append(False, word[1:] != word[:-1])).astype(np.int64) << 32
@@ -194,46 +194,56 @@ def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.
         need = least_overlap(size[a], size[b], t)
         i, j = place[a] >> 2, place[b] >> 2
         keep = 1 + np.minimum(size[a] - i, size[b] - j) - 1 + np.minimum(i, j) >= need
-        keep &= np.bitwise_count(sketch[a] ^ sketch[b]) <= size[a] + size[b] - 2 * need
-        yield name[a[keep]], name[b[keep]]
-
-
-def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = roots(len(names), place[: len(a)], place[len(a) :])
-    far = np.flatnonzero(label != np.arange(len(names)))
-    return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], ["a", "b"])
-
-
-def _meet(t: float):
-    """Entries(word, size, place, k0, name) in the order of (word, size) -> edges that join all sets that can match. Of a
-    word that fills a whole buffer only the sets stay that are long enough for longer ones to come."""
+        a, b, room = a[keep], b[keep], (size[a] + size[b] - 2 * need)[keep]
+        apart = np.zeros(len(a), np.int64)
+        for k in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[a, k] ^ sketches[b, k])
+            keep = apart <= room
+            a, b, room, apart = a[keep], b[keep], room[keep], apart[keep]
+        yield a, b
+
+
+def _meet(t: float, joined: bool):
+    """Entries(word, size, place, name, sketches ...) in the order of (word, size) -> the names of sets that can match another
+    or, if joined, edges that join all those that can match. Of a word that fills a whole buffer only the sets stay that are
+    long enough for longer ones to come."""
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        word, size, place, name = columns[:4]
+        sketches = np.stack([c.view(np.uint64) for c in columns[4:]], 1)
+        pairs = [*_pairs_of(word, size.astype(np.int64), place.astype(np.int64), sketches, name, t)]
+        a, b = (np.concatenate([name[:0], *(name[p[k]] for p in pairs)]) for k in (0, 1))
+        if not len(a):
+            return
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        if not joined:
+            yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+            return
+        label = roots(len(names), at[: len(a)], at[len(a) :])
+        far = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        rows = 0
+        fresh = 0
 
         def close(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            if not rows:
+            nonlocal held
+            if not held:
                 return
-            word, size, place, sketch, name = (np.concatenate(c) for c in zip(*held, strict=True))
-            size, sketch = size.astype(np.int64), sketch.view(np.uint64)
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            word = columns[0]
             start = int(np.searchsorted(word, word[-1]))
             done = len(word) if last or start == 0 else start
-            found = [*_pairs_of(word[:done], size[:done], place[:done].astype(np.int64), sketch[:done], name[:done], t)]
-            if sum(len(x) for x, _ in found):
-                yield _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield from found([c[:done] for c in columns])
             kept = np.arange(done, len(word))
             if done == len(word) and not last:
-                kept = np.flatnonzero(size >= math.ceil(t * size[-1] - 1e-9))
-            held = [[c[kept] for c in (word, size.astype(np.int32), place, sketch.view(np.int64), name)]] if len(kept) else []
-            rows = len(kept)
+                kept = np.flatnonzero(columns[1] >= math.ceil(t * columns[1][-1] - 1e-9))
+            held = [[c[kept] for c in columns]] if len(kept) else []
 
-        fresh = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-            rows, fresh = rows + batch.num_rows, fresh + batch.num_rows
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            fresh += batch.num_rows
             if fresh >= BUFFER:
                 yield from close(False)
                 fresh = 0
@@ -242,13 +252,20 @@ def _meet(t: float):
     return run
 
 
+def _dealt(sets: DataFrame, sketches: list[str]) -> DataFrame:
+    entries = sets.select(F.explode("entries").alias("e"), "size", F.col("n1").alias("name"), *sketches)
+    entries = entries.select("e.word", "size", "e.place", "name", *sketches)
+    return entries.repartition("word").sortWithinPartitions("word", "size")
+
+
 def clusters(sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match."""
-    entries = sets.select(F.explode("entries").alias("e"), "size", "k0", "n1").select("e.word", "size", "e.place", "k0", F.col("n1").alias("name"))
-    dealt = entries.repartition("word").sortWithinPartitions("word", "size")
-    edges = materialise(dealt.mapInArrow(released(_meet(t)), "a long, b long"), "line-edges")
+    """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match. Entries
+    with a quarter of the sketches tell which sets have any candidate; those few then meet with their whole sketches."""
+    some = materialise(_dealt(sets, _SKETCH[:1]).mapInArrow(released(_meet(t, False)), "name long").distinct(), "line-some")
+    few = sets.join(some, F.col("n1") == F.col("name"), "left_semi")
+    edges = materialise(_dealt(few, _SKETCH).mapInArrow(released(_meet(t, True)), "a long, b long"), "line-edges")
     found = materialise(components(edges), "line-clusters")
-    discard(edges)
+    discard(some, edges)
     return found.select(F.col("node").alias("name"), F.col("component").alias("cluster"))
 
 
