@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-A word is a run of text from one space (included) to the next: a boundary that no pre-token crosses, so a word's ids are
-its pre-tokens' ids in a row. Documents are read in blocks of a bounded number of characters. A block keeps, for every
-document, the words' positions as codes: the id itself where a word is one token of the vocabulary, else a place in the
-block's own list of distinct words. Those lists go through one shuffle by word, in which each distinct word of the corpus
-is encoded once; the ids return to their blocks by a second, and position by position the documents are put together.
-What travels is each block's distinct words and short codes, never the text, and a word that fills the corpus is one
-entry for each block. Decoding looks ids up in the table of token bytes, whose size is the vocabulary's.
+A word is a match of the vocabulary's pattern. Documents are read in blocks of a bounded number of characters. A block keeps
+the position of every word as a code, a place in the block's own list of distinct words. Those lists go through one shuffle by
+word, in which each distinct word of the corpus is encoded once, by merging its bytes' least ranked neighbours; the ids
+return to their blocks by a second, and position by position the documents are put together. What travels is each block's
+distinct words and short codes, never the text, and a word that fills the corpus is one entry for each block. Decoding looks
+ids up in the table of token bytes, whose size is the vocabulary's.
 
-A block's name is a hash of its words. Should a lost task be computed again from rows in another grouping (the input
-isn't a file scan), names don't meet and the job fails rather than giving wrong ids; materialise such an input first.
+A block's name is a hash of its rows, its task and its number there, so every block is a group of its own. Should a lost task be
+computed again from rows in another grouping (the input isn't a file scan), names don't meet and the job fails rather than
+giving wrong ids; materialise such an input first.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded each for itself; ids and keys may be null
 or repeat; an empty table gives an empty result; other columns are ignored.
@@ -18,10 +18,9 @@ or repeat; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import contextlib
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 from typing import NamedTuple
 
@@ -29,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import tiktoken
 import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +40,6 @@ from voxlake.llm.scratch import released
 BLOCK_CHARS = 16_000_000
 #: Documents whose codes travel in one row.
 ROW_DOCS = 512
-#: A space that stands between other white space may lie inside a pre-token; such texts are split by the pattern itself.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
 class Vocabulary(NamedTuple):
@@ -58,12 +54,8 @@ class Vocabulary(NamedTuple):
 
 
 class _Loaded(NamedTuple):
-    encoding: tiktoken.Encoding
     ranks: dict[bytes, int]
-    first: int  # the code of the first word that is no single token
     split: Callable[[str], list[str]]
-    alone: dict[str, int]  # words of one token
-    spaced: dict[str, int]  # the same without their leading space
 
 
 _loaded: dict[int, _Loaded] = {}
@@ -74,102 +66,77 @@ def _load(vocabulary: Vocabulary) -> _Loaded:
     key = hash(vocabulary)
     if key not in _loaded:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.ranks.splitlines())}
-        encoding = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
-        split, alone = regex.compile(vocabulary.pattern).findall, {}
-        for token, rank in ranks.items():
-            with contextlib.suppress(UnicodeDecodeError):
-                if split(text := token.decode()) == [text]:
-                    alone[text] = rank
-        spaced = {t[1:]: r for t, r in alone.items() if t[0] == " " and " " not in t[1:]}
-        _loaded[key] = _Loaded(encoding, ranks, max(ranks.values(), default=-1) + 1, split, alone, spaced)
+        _loaded[key] = _Loaded(ranks, regex.compile(vocabulary.pattern).findall)
     return _loaded[key]
 
 
-def _read(text: str, split) -> tuple[list[str], list[str]]:
-    """Words as they stand, and then words without the space before them."""
-    if not text:
-        return [], []
-    if _UNSAFE.search(text):
-        return split(text), []
-    head, *rest = text.split(" ")
-    return [head] if head else [], rest
-
-
-def _ordered(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of distinct words, ascending: their order by bucket, then by bytes; the buckets in that order; the block's name."""
-    encoded = [w.encode() for w in words.to_pylist()]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(encoded))
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order], xxhash.xxh3_64_intdigest(b"\xff".join(encoded)) - (1 << 63)
-
-
-class _Words:
-    """A block's distinct words."""
-
-    def __init__(self, loaded: _Loaded) -> None:
-        self.loaded, self.chars, self.whole, self.rest = loaded, 0, set(), set()
-
-    def add(self, key, text: str) -> None:
-        whole, rest = _read(text, self.loaded.split)
-        self.whole.update(whole)
-        self.rest.update(rest)
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: as long as two neighbouring parts are a token together, those with the least rank become one, the
+    leftmost of equals first. A heap holds the pairs that were neighbours when they were seen."""
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    # the part that starts at a place: where it ends (0: none starts there any more), and where the part before it starts
+    end, before = [*range(1, size + 1)], [*range(-1, size - 1)]
+    pairs = [(ranks[word[k : k + 2]], k, k + 2) for k in range(size - 1) if word[k : k + 2] in ranks]
+    heapify(pairs)
+    while pairs:
+        _, start, stop = heappop(pairs)
+        middle = end[start]
+        if not middle or middle == size or end[middle] != stop:
+            continue
+        end[start], end[middle] = stop, 0
+        if stop < size:
+            before[stop] = start
+            if (rank := ranks.get(word[start : end[stop]])) is not None:
+                heappush(pairs, (rank, start, end[stop]))
+        if start and (rank := ranks.get(word[before[start] : stop])) is not None:
+            heappush(pairs, (rank, before[start], stop))
+    return [ranks[word[k : end[k]]] for k in range(size) if end[k]]
+
+
+class _Block:
+    """A block's rows: their words' places in the order in which words were first met, and the block's name."""
+
+    def __init__(self, loaded: _Loaded, ordinal: int) -> None:
+        self.split, self.chars = loaded.split, 0
+        self.places: dict[str, int] = {}
+        self.keys: list = []
+        self.codes: list[np.ndarray] = []
+        self.seen = xxhash.xxh3_64(np.array([TaskContext.get().partitionId(), ordinal]).tobytes())
+
+    def add(self, key, text: str, coded: bool) -> None:
+        words, places = self.split(text), self.places
+        for word in words:
+            if word not in places:
+                places[word] = len(places)
+        if coded:
+            self.codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            self.keys.append(key)
+        self.seen.update(f"{key}\0{len(text)}\0".encode())
         self.chars += len(text)
 
-    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        new = (self.whole - self.loaded.alone.keys()) | {" " + w for w in self.rest - self.loaded.spaced.keys()}
-        words = pa.array(sorted(new), pa.string())
-        order, bucket, name = _ordered(words, buckets)
+    def listed(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+        """The distinct words by bucket, then as they were met; their buckets; where each of them was met; the name."""
+        encoded = [w.encode() for w in self.places]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(encoded))
+        order = np.argsort(bucket, kind="stable")
+        self.seen.update(np.array([len(encoded), int(bucket.sum())]).tobytes())
+        return [encoded[k] for k in order], bucket[order], order, self.seen.intdigest() - (1 << 63)
+
+    def words(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        listed, bucket, _, name = self.listed(buckets)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
-        listed, ends = words.take(pa.array(order)).to_pylist(), np.append(edges[1:], len(bucket))
-        packed = [zstandard.ZstdCompressor(level=1).compress(b"\xff".join(w.encode() for w in listed[x:y])) for x, y in zip(edges, ends, strict=False)]
+        ends = np.append(edges[1:], len(bucket))
+        packed = [zstandard.ZstdCompressor(level=1).compress(b"\xff".join(listed[x:y])) for x, y in zip(edges, ends, strict=False)]
         if packed:
             columns = [pa.array([name] * len(packed), pa.int64()), pa.array(bucket[edges].astype(np.int32)), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "words"])
 
-
-class _Places(dict):
-    """Codes of words; a new word gets the next place in the block's list. prefix: what stands before each key."""
-
-    def __init__(self, known: dict[str, int], words: list[str], first: int, prefix: str) -> None:
-        super().__init__(known)
-        self.words, self.first, self.prefix = words, first, prefix
-
-    def __missing__(self, word: str) -> int:
-        code = self[word] = self.first + len(self.words)
-        self.words.append(self.prefix + word)
-        return code
-
-
-class _Coded:
-    """A block's documents as codes."""
-
-    def __init__(self, loaded: _Loaded) -> None:
-        self.loaded, self.chars = loaded, 0
-        self.words: list[str] = []
-        self.alone = _Places(loaded.alone, self.words, loaded.first, "")
-        self.spaced = _Places(loaded.spaced, self.words, loaded.first, " ")
-        self.keys: list = []
-        self.codes: list[np.ndarray] = []
-
-    def add(self, key, text: str) -> None:
-        whole, rest = _read(text, self.loaded.split)
-        found = chain(map(self.alone.__getitem__, whole), map(self.spaced.__getitem__, rest))
-        self.codes.append(np.fromiter(found, np.int32, len(whole) + len(rest)))
-        self.keys.append(key)
-        self.chars += len(text)
-
-    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        listed = pa.array(self.words, pa.string())
-        sort = pc.array_sort_indices(listed)
-        ascending = listed.take(sort)
-        # a word can have been met after a space and in a text that the pattern split: one place for both
-        new = np.append(True, np.asarray(pc.not_equal(ascending[1:], ascending[:-1])).astype(bool))[: len(listed)]
-        order, _, name = _ordered(ascending.filter(pa.array(new, pa.bool_())), buckets)
-        moved = np.empty(len(order), np.int64)
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        _, _, order, name = self.listed(buckets)
+        moved = np.empty(len(order), np.int32)
         moved[order] = np.arange(len(order))
-        place = np.empty(len(listed), np.int64)
-        place[sort.to_numpy()] = moved[np.cumsum(new) - 1]
-        lookup = np.append(np.arange(self.loaded.first), self.loaded.first + place).astype(np.int32)
         for at in range(0, len(self.keys), ROW_DOCS):
             keys, codes = self.keys[at : at + ROW_DOCS], self.codes[at : at + ROW_DOCS]
             sizes = np.fromiter(map(len, codes), np.int32, len(codes))
@@ -177,7 +144,7 @@ class _Coded:
                 "block": pa.array([name], pa.int64()),
                 "keys": pa.array([keys], pa.list_(pa.int64())),
                 "sizes": pa.array([_pack(sizes)], pa.binary()),
-                "codes": pa.array([_pack(lookup[np.concatenate(codes)])], pa.binary()),
+                "codes": pa.array([_pack(moved[np.concatenate(codes)])], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(row)
 
@@ -197,28 +164,31 @@ _CODE_ROWS = "block long, keys array<long>, sizes binary, codes binary"
 _ID_ROWS = "block long, bucket int, sizes binary, ids binary"
 
 
-def _blocks(shared: Broadcast, buckets: int, chars: int, kind):
-    """The rows of every block of a task's documents. kind: _Words or _Coded, which cut blocks alike."""
+def _blocks(shared: Broadcast, buckets: int, chars: int, coded: bool):
+    """The rows of every block of a task's documents: its codes if coded, else its words. Blocks are cut alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _load(shared.value)
-        block, some = kind(loaded), False
+        block, ordinal, some = _Block(loaded, 0), 0, False
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block.add(key, text.as_py() or "")
+                block.add(key, text.as_py() or "", coded)
                 some = True
                 if block.chars >= chars:
-                    yield from block.close(buckets)
-                    block, some = kind(loaded), False
+                    yield from block.rows(buckets) if coded else block.words(buckets)
+                    ordinal += 1
+                    block, some = _Block(loaded, ordinal), False
         if some:
-            yield from block.close(buckets)
+            yield from block.rows(buckets) if coded else block.words(buckets)
 
     return run
 
 
 def _encode_words(shared: Broadcast):
+    """Rows in the order of buckets: a bucket's words are encoded when they are met first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _load(shared.value).encoding.encode_ordinary
+        ranks = _load(shared.value).ranks
         at, known = None, {}
         for batch in batches:
             for block, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -227,7 +197,7 @@ def _encode_words(shared: Broadcast):
                 found = []
                 for word in zstandard.ZstdDecompressor().decompress(packed).split(b"\xff"):
                     if word not in known:
-                        known[word] = encode(word.decode())
+                        known[word] = merged(word, ranks)
                     found.append(known[word])
                 sizes = np.fromiter(map(len, found), np.int32, len(found))
                 ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
@@ -236,32 +206,27 @@ def _encode_words(shared: Broadcast):
     return run
 
 
-def _assemble(first: int):
+def _assemble(codes: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one block, from their codes and the ids of the block's words in the order of places."""
-
-    def run(codes: pa.Table, found: pa.Table) -> pa.Table:
-        words = {}  # blocks of equal words share a name, and their words come once for each
-        for bucket, sizes, ids in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("ids"), strict=True):
-            words.setdefault(bucket, (sizes, ids))
-        flat = [np.concatenate([start, *(_unpack(words[b][k].as_py()) for b in sorted(words))]).astype(np.int64) for k, start in enumerate((np.ones(first, np.int64), np.arange(first)))]
-        sizes, ids = flat
-        starts = np.cumsum(sizes) - sizes
-        keys, lengths, out = [], [], []
-        for row in range(codes.num_rows):
-            places = _unpack(codes.column("codes")[row].as_py())
-            if len(places) and places.max() >= len(sizes):
-                raise RuntimeError("a block's words are missing: its rows were read in another grouping; materialise the input")
-            keys.append(codes.column("keys")[row].values)
-            n = sizes[places]
-            ends = np.append(0, np.cumsum(n))
-            out.append(ids[np.repeat(starts[places] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int32))
-            documents = np.append(0, np.cumsum(_unpack(codes.column("sizes")[row].as_py())))
-            lengths.append(np.diff(ends[documents]))
-        offsets = pa.array(np.append(0, np.cumsum(np.concatenate(lengths))).astype(np.int32))
-        values = pa.array(np.concatenate(out))
-        return pa.table({"doc_id": pa.concat_arrays(keys), "ids": pa.ListArray.from_arrays(offsets, values)})
-
-    return run
+    words = sorted(zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("ids"), strict=True), key=lambda x: x[0])
+    none = np.zeros(0, np.int32)
+    sizes, ids = (np.concatenate([none, *(_unpack(w[k].as_py()) for w in words)]).astype(np.int64) for k in (1, 2))
+    starts = np.cumsum(sizes) - sizes
+    keys, lengths, out = [], [], []
+    for row in range(codes.num_rows):
+        places = _unpack(codes.column("codes")[row].as_py())
+        if len(places) and places.max() >= len(sizes):
+            raise RuntimeError("a block's words are missing: its rows were read in another grouping; materialise the input")
+        keys.append(codes.column("keys")[row].values)
+        n = sizes[places]
+        ends = np.append(0, np.cumsum(n))
+        out.append(ids[np.repeat(starts[places] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int32))
+        documents = np.append(0, np.cumsum(_unpack(codes.column("sizes")[row].as_py())))
+        lengths.append(np.diff(ends[documents]))
+    if not keys:
+        raise RuntimeError("a block has words but no rows: its rows were read in another grouping; materialise the input")
+    offsets = pa.array(np.append(0, np.cumsum(np.concatenate(lengths))).astype(np.int32))
+    return pa.table({"doc_id": pa.concat_arrays(keys), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))})
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -270,10 +235,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHA
     shared = spark.sparkContext.broadcast(vocabulary)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    words = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, _Words)), _WORD_ROWS)
-    codes = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, _Coded)), _CODE_ROWS)
+    words = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, False)), _WORD_ROWS)
+    codes = rows.mapInArrow(released(_blocks(shared, buckets, block_chars, True)), _CODE_ROWS)
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_encode_words(shared)), _ID_ROWS)
-    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(_load(vocabulary).first), "doc_id long, ids array<int>")
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
