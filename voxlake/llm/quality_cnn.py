@@ -5,8 +5,8 @@ that overlap by half cover the whole document. A chunk is the strongest answer o
 reads these, the chunks' hidden values are averaged, and one logistic unit gives the probability of label 1. Scoring is
 row by row in Arrow batches, over every byte of every text.
 
-Learning takes labelled documents, at most `SAMPLE` of each label and at most `WINDOWS` windows of chunks of each, picked
-by hashes: a bounded sample that the driver fits. Which rows may be learned from is the caller's filter.
+Learning takes whole labelled documents, at most `SAMPLE` of each label, picked by hashes: a sample of bounded rows that
+the driver fits, over all chunks of each. Which rows may be learned from is the caller's filter.
 
 Defined results: a null text is empty, an empty text has one chunk of zero bytes and so a score like any other; labels that
 are null, other than 0 and 1, or contradict each other aren't learned from; without both labels every score is 0.5; repeated
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 WIDTH, STRIDE, CHUNK, DIM, FILTERS, HIDDEN = 8, 2, 256, 12, 32, 16
 HALF = CHUNK // 2
-#: Labelled documents of each label, and windows of each document, that learning uses at most.
-SAMPLE, WINDOWS = 2500, 6
-EPOCHS, BATCH, RATE = 12, 64, 0.004
-#: How often learning shows a document as if it were a short one.
-SHORT = 0.2
+#: Labelled documents of each label that learning uses at most.
+SAMPLE = 1200
+EPOCHS, BATCH, RATE = 10, 48, 0.005
+#: Chunks that learning holds the filters' answers of at once.
+STEP = 512
 #: Bytes that one pass of the filters takes, so that memory doesn't grow with texts.
 SLAB = 1 << 18
 
@@ -107,48 +107,59 @@ def scores(texts: list[str | None], net: Network) -> np.ndarray:
     return out
 
 
-def _learn_batch(net: Network, windows: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the mean loss. windows (n, CHUNK + WIDTH) uint8; owner: each window's document in the batch."""
-    n = len(windows)
-    vectors = _EMBEDDING[windows]  # n, CHUNK + WIDTH, DIM
-    places = np.arange(0, CHUNK, STRIDE)
-    view = np.lib.stride_tricks.sliding_window_view(vectors.reshape(n, -1), WIDTH * DIM, axis=1)[:, :: DIM * STRIDE][:, : len(places)]
-    answers = np.ascontiguousarray(view).reshape(-1, WIDTH * DIM) @ net.filters
-    answers = answers.reshape(n, len(places), FILTERS)
-    best = answers.argmax(1)
-    raw = np.take_along_axis(answers, best[:, None, :], 1)[:, 0] + net.bias
+def _views(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The vectors under each filter place of the chunks that start there: (chunks, places, WIDTH * DIM)."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, CHUNK + WIDTH)[starts]
+    vectors = _EMBEDDING[windows].reshape(len(starts), -1)
+    return np.lib.stride_tricks.sliding_window_view(vectors, WIDTH * DIM, axis=1)[:, :: DIM * STRIDE][:, : CHUNK // STRIDE]
+
+
+def _learn_batch(net: Network, texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean loss over whole documents, as `_spaced` gives them. Every chunk is seen; a step of chunks at a
+    time goes through the filters, once forth and, for the places that answered most strongly, once back."""
+    counts = np.array([(len(t) - WIDTH) // HALF - 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    data = np.concatenate(texts)
+    first = np.cumsum([0, *map(len, texts)])[:-1]
+    starts = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * HALF
+    n = len(owner)
+    best, raw = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), np.float32)
+    for at in range(0, n, STEP):
+        view = _views(data, starts[at : at + STEP])
+        answers = (np.ascontiguousarray(view).reshape(-1, WIDTH * DIM) @ net.filters).reshape(len(view), -1, FILTERS)
+        best[at : at + STEP] = answers.argmax(1)
+        raw[at : at + STEP] = np.take_along_axis(answers, best[at : at + STEP][:, None, :], 1)[:, 0] + net.bias
     pooled = np.maximum(raw, 0)
     pre = pooled @ net.hidden + net.hidden_bias
     hidden = np.maximum(pre, 0)
-    share = 1 / np.bincount(owner, minlength=len(labels))[owner]
+    share = (1 / counts[owner]).astype(np.float32)[:, None]
     mean = np.zeros((len(labels), HIDDEN), np.float32)
-    np.add.at(mean, owner, hidden * share[:, None].astype(np.float32))
+    np.add.at(mean, owner, hidden * share)
     p = 1 / (1 + np.exp(-np.clip((mean @ net.out + net.out_bias)[:, 0], -30, 30)))
     d = ((p - labels) / len(labels)).astype(np.float32)[:, None]
     g_out, g_out_bias = mean.T @ d, d.sum(0)
-    d_hidden = (d @ net.out.T)[owner] * share[:, None].astype(np.float32) * (pre > 0)
+    d_hidden = (d @ net.out.T)[owner] * share * (pre > 0)
     g_hidden, g_hidden_bias = pooled.T @ d_hidden, d_hidden.sum(0)
     d_pooled = (d_hidden @ net.hidden.T) * (raw > 0)
-    g_filters = np.empty_like(net.filters)
-    rows = np.arange(n)
-    for f in range(FILTERS):
-        g_filters[:, f] = view[rows, best[:, f]].T @ d_pooled[:, f]
+    g_filters = np.zeros_like(net.filters)
+    for at in range(0, n, STEP):
+        own = starts[at : at + STEP]
+        for f in range(FILTERS):
+            places = (own + best[at : at + STEP, f] * STRIDE)[:, None] + np.arange(WIDTH)
+            g_filters[:, f] += _EMBEDDING[data[places]].reshape(len(own), -1).T @ d_pooled[at : at + STEP, f]
     return [g_filters, d_pooled.sum(0), g_hidden, g_hidden_bias, g_out, g_out_bias]
 
 
-def _cut(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The beginning of one window, as a short document would have it."""
-    one = windows[rng.integers(len(windows))][None].copy()
-    one[:, int(np.exp(rng.uniform(np.log(10), np.log(128)))) :] = 0
-    return one
+def _spaced(data: bytes) -> np.ndarray:
+    """A document's bytes as scoring sees them: whole half chunks, and zeros for filters that start at their end."""
+    return np.concatenate([_padded(data), np.zeros(WIDTH, np.uint8)])
 
 
 def fit(samples: list[tuple[int, bytes]], seed: int = 0) -> Network | None:
-    """Adam over samples (label, windows laid end to end), both labels weighing alike; None unless both are there."""
+    """Adam over samples (label, text in UTF-8), both labels weighing alike; None unless both are there."""
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
-    size = CHUNK + WIDTH
-    windows = [np.frombuffer(w, np.uint8).reshape(-1, size) for _, w in samples]
+    texts = [_spaced(x) for _, x in samples]
     labels = np.array([y for y, _ in samples], np.float32)
     sides = [np.flatnonzero(labels == y) for y in (0, 1)]
     if not all(map(len, sides)):
@@ -160,9 +171,7 @@ def fit(samples: list[tuple[int, bytes]], seed: int = 0) -> Network | None:
         order = np.stack([rng.permutation(np.resize(s, most)) for s in sides], 1).ravel()
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            shown = [_cut(windows[i], rng) if rng.random() < SHORT else windows[i] for i in pick]
-            owner = np.repeat(np.arange(len(pick)), [*map(len, shown)])
-            gradients = _learn_batch(net, np.concatenate(shown), owner, labels[pick])
+            gradients = _learn_batch(net, [texts[i] for i in pick], labels[pick])
             step += 1
             rate = RATE * (1 - step / (EPOCHS * batches + 1))
             for w, g, (m, v) in zip(weights, gradients, moments, strict=True):
@@ -172,18 +181,6 @@ def fit(samples: list[tuple[int, bytes]], seed: int = 0) -> Network | None:
     return net
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label and up to WINDOWS windows of each text, spread evenly over the whole of it."""
-    for batch in batches:
-        found = []
-        for text in batch.column(1):
-            data = np.concatenate([_padded((text.as_py() or "").encode()), np.zeros(WIDTH, np.uint8)])
-            last = (len(data) - WIDTH) // HALF - 2
-            starts = np.unique(np.linspace(0, last, WINDOWS).round().astype(int)) * HALF
-            found.append(np.concatenate([data[s : s + CHUNK + WIDTH] for s in starts]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "windows"])
-
-
 def learnable() -> Column:
     """Documents that labels may be learned from: crc32 of doc_id as text, mod 3, isn't 1."""
     return ~held_out()
@@ -201,8 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_windows, "label int, windows binary")
-    return fit(sorted((r["label"], bytes(r["windows"])) for r in rows.collect()))
+    # rows that repeat an id could bring more than the bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return fit(sorted((r["label"], r["text"].encode()) for r in rows.toLocalIterator()))
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
