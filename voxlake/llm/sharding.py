@@ -1,9 +1,11 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
-A row descends region, rack and shard. At each level every child draws -ln(u)/weight, where u is a hash of the row's key
-and the child's name, and the smallest draw wins: children get rows in proportion to their weights, and a weight that
-grows only draws rows towards its own subtree. A shard added after the first `base` ones is a region of its own, so no
-other subtree's weight changes and rows move into the new shard only (the law `key`).
+A row descends region, rack and shard. A shard draws -ln(u)/weight, where u is a hash of the row's key and the shard's name; a
+rack or region draws the least of what its children draw, and at each level the smallest draw wins. Children so get rows in
+proportion to their weights, the weight of a subtree is the sum of its shards', and a changed weight changes the draws of
+its own path only: a weight that grows draws rows from everywhere into that one shard, one that shrinks gives rows
+away from it, and no row moves between two others. One shard more, wherever it stands and however many there are, takes
+rows only into itself (the law `key`), so a grown tree needs one more draw to know who moves.
 
 Defined results: a null key is a key like any other; repeated keys share a shard; a null text has 16 bytes; an empty table
 gives an empty result; other columns are ignored.
@@ -22,45 +24,44 @@ BUCKET_ROWS = 20_000
 BROADCAST_ROWS = 200_000
 
 _LEAF = "struct<name:string,weight:double,shard:int>"
-_RACK = f"struct<name:string,weight:double,shards:array<{_LEAF}>>"
-_TREE = f"array<struct<name:string,weight:double,racks:array<{_RACK}>>>"
+_RACK = f"struct<name:string,shards:array<{_LEAF}>>"
+_TREE = f"array<struct<name:string,racks:array<{_RACK}>>>"
 
 
-def topology(shards: int, base: int = 40, racks: int = 2, rack_shards: int = 4, weights: dict[int, float] | None = None) -> list[dict]:
-    """Regions of racks of shards. The first `base` shards fill regions in order; each later one is its own region."""
-    weight = lambda s: float((weights or {}).get(s, 1.0))
+def topology(shards: int, racks: int = 2, rack_shards: int = 4, weights: dict[int, float] | None = None) -> list[dict]:
+    """Regions of racks of shards, filled in order."""
+    leaf = lambda s: {"name": f"s{s}", "weight": float((weights or {}).get(s, 1.0)), "shard": s}
+    group = lambda first, end: {"name": f"k{first}", "shards": [leaf(s) for s in range(first, end)]}
     own = racks * rack_shards
-    blocks = [list(range(at, min(at + own, base, shards))) for at in range(0, min(base, shards), own)]
-    blocks += [[s] for s in range(base, shards)]
-    tree = []
-    for block in blocks:
-        groups = [block[at : at + rack_shards] for at in range(0, len(block), rack_shards)]
-        parts = [{"name": f"k{g[0]}", "weight": sum(map(weight, g)), "shards": [{"name": f"s{s}", "weight": weight(s), "shard": s} for s in g]} for g in groups]
-        tree.append({"name": f"r{block[0]}", "weight": sum(p["weight"] for p in parts), "racks": parts})
-    return tree
+    return [
+        {"name": f"r{at}", "racks": [group(first, min(first + rack_shards, shards)) for first in range(at, min(at + own, shards), rack_shards)]}
+        for at in range(0, shards, own)
+    ]
 
 
-def _winner(children: Column, key: Column, keep: str) -> Column:
-    """The field `keep` of the child with the smallest weighted draw; the name breaks ties."""
+def _draw(leaf: Column, key: Column) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(leaf["name"], key), 11).cast("double")
+    return F.struct((-F.ln((bits + 0.5) / F.lit(2.0**53)) / leaf["weight"]).alias("draw"), leaf["shard"].alias("shard"))
 
-    def draw(child: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(child["name"], key), 11).cast("double")
-        return F.struct((-F.ln((bits + 0.5) / F.lit(2.0**53)) / child["weight"]).alias("draw"), child["name"].alias("name"), child[keep].alias("next"))
 
-    return F.array_min(F.transform(children, draw))["next"]
+def winner_of(key: Column, tree: list[dict]) -> Column:
+    """struct(draw, shard) of the shard that a key descends to; equal draws go to the smaller shard. Weights must be above 0."""
+    regions = F.from_json(F.lit(json.dumps(tree)), _TREE)
+    of_rack = lambda rack: F.array_min(F.transform(rack["shards"], lambda leaf: _draw(leaf, key)))
+    of_region = lambda region: F.array_min(F.transform(region["racks"], of_rack))
+    return F.array_min(F.transform(regions, of_region))
 
 
 def shard_of(key: Column, tree: list[dict]) -> Column:
-    """The shard of a key. Weights must be above 0."""
-    regions = F.from_json(F.lit(json.dumps(tree)), _TREE)
-    return _winner(_winner(_winner(regions, key, "racks"), key, "shards"), key, "shard")
+    return winner_of(key, tree)["shard"]
 
 
 def with_slots(rows: DataFrame, shard: str, key: str, ties: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add slot, gapless from 0 in each shard: in the order of a bucket (a hash of key), then of key and ties."""
+    """Add slot, gapless from 0 in each shard: in the order of a bucket (a hash of key and ties, so that
+    repeats of a key spread), then of key and ties."""
     shards, largest = rows.groupBy(shard).count().agg(F.count(F.lit(1)), F.coalesce(F.max("count"), F.lit(0))).first()
     buckets = max(1, -(-largest // bucket_rows))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, *ties), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(shard, "_bucket").count()
     starts = starts.select(shard, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
@@ -71,16 +72,18 @@ def with_slots(rows: DataFrame, shard: str, key: str, ties: list[str], bucket_ro
     return numbered.withColumn("slot", F.col("_start") + F.col("_at")).drop("_bucket", "_at", "_start")
 
 
-def assign(docs: DataFrame, shards: int = 40, base: int = 40) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    new = F.struct(F.lit(f"s{shards}").alias("name"), F.lit(1.0).alias("weight"), F.lit(shards).alias("shard"))
     rows = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(F.col("doc_id"), topology(shards, base)).alias("shard"),
-        shard_of(F.col("doc_id"), topology(shards + 1, base)).alias("grown_shard"),
+        winner_of(F.col("doc_id"), topology(shards)).alias("_won"),
+        _draw(new, F.col("doc_id")).alias("_new"),
     )
+    rows = rows.withColumns({"shard": F.col("_won.shard"), "grown_shard": F.least("_won", "_new")["shard"]}).drop("_won", "_new")
     columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     return with_slots(rows, "shard", "doc_id", ["text_crc32", "size"]).select(*columns)
