@@ -6,7 +6,8 @@ The cascade's first filter encodes the listed keys; the second those keys of the
 first takes for listed; the third the listed keys that the second takes for these; and so on until no false answer is
 left. Membership is then exact for every key in the universe, and judging urls needs no join: the longest candidate that
 the cascade holds is the rule. What each level encodes comes from a scan of all candidates; only bit arrays of a checked
-size reach the driver and the executors. Lists whose filters would be larger are joined by shuffle instead.
+size reach the driver and the executors. A list whose filters would be larger is cut by ranges of the keys' hashes: each range
+has a cascade of its own, and one after the other judges the candidates in its range.
 
 Defined results: a null url and one without `://` have empty host and path and no rule; repeated rows are judged alike; an
 empty table or an empty list gives the default verdict or no rows; other columns are ignored.
@@ -22,14 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm.scratch import materialise
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: One filter's size; a level that needs more makes `verdicts` join instead.
+#: One filter's size; where a level needs more, the keys are cut into twice as many ranges.
 MAX_FILTER_BYTES = 64 << 20
+MAX_RANGES = 1 << 16
 #: Rates of false positives of the first level and of the others.
 FIRST_RATE, LATER_RATE = 0.001, 0.5
 MAX_LEVELS = 64
@@ -141,8 +143,9 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
     if not number:
         return []
     levels = [bloom(inside, number, FIRST_RATE, 1, max_bytes)]
-    taken = hashed(universe).where(held(levels[0])("h1", "h2")).distinct()
-    outside = materialise(taken.join(inside, "key", "left_anti"), "cascade-false")
+    taken = hashed(universe).where(held(levels[0])("h1", "h2")).withColumn("_in", F.lit(0))
+    both = taken.unionByName(inside.withColumn("_in", F.lit(1))).groupBy("key", "h1", "h2").agg(F.max("_in").alias("_in"))
+    outside = materialise(both.where("_in = 0").drop("_in"), "cascade-false")
     sides = [inside, outside]
     while number := sides[1].count():
         if len(levels) >= MAX_LEVELS:
@@ -155,7 +158,7 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
 
 def _first_listed(cascades: list[list[Level]]):
     @F.pandas_udf("struct<at:int,which:int>")
-    def first(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    def first(a: pd.Series, b: pd.Series, here: pd.Series) -> pd.DataFrame:
         sizes = a.map(len).to_numpy(np.int64)
         none, kinds = np.iinfo(np.int64).max, max(1, len(cascades))
         best = np.full(len(a), none)
@@ -163,8 +166,9 @@ def _first_listed(cascades: list[list[Level]]):
             flat = [np.concatenate([np.asarray(x, np.int64) for x in s]) for s in (a, b)]
             row = np.repeat(np.arange(len(a)), sizes)
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            inside = np.concatenate([np.asarray(x, bool) for x in here])
             for which, levels in enumerate(cascades):
-                listed = member(levels, *flat)
+                listed = member(levels, *flat) & inside
                 np.minimum.at(best, row[listed], place[listed] * kinds + which)
         found = best < none
         return pd.DataFrame({"at": np.where(found, best // kinds + 1, 0).astype(np.int32), "which": np.where(found, best % kinds, 0).astype(np.int32)})
@@ -172,12 +176,27 @@ def _first_listed(cascades: list[list[Level]]):
     return first
 
 
-def _judge_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same verdicts where the list is too large for filters."""
-    found = rows.select("page_id", "host", "path", "_id", F.explode("_keys").alias("rule")).join(rules, "rule")
-    longest = Window.partitionBy("_id").orderBy(F.char_length("rule").desc())
-    found = found.withColumn("_rank", F.row_number().over(longest)).where("_rank = 1").select("_id", "rule", "verdict")
-    return rows.join(found, "_id", "left").select("page_id", "host", "path", "rule", "verdict")
+def _range(key: Column, ranges: int) -> Column:
+    """A key's range, of the upper bits of its hash."""
+    return F.pmod(F.shiftright(hashes(key)[0], 40), F.lit(ranges))
+
+
+def _found(rows: DataFrame, table: DataFrame, kinds: list[str], ranges: int, max_bytes: int) -> DataFrame:
+    """rows with _found: the first of _keys that is listed (at, from 1; 0: none) and which of kinds lists it. With several ranges the
+    answers of one are written before the next one's filters are made, so only one range's filters exist at a time."""
+    rows = rows.withColumn("_found", F.lit(None).cast("struct<at:int,which:int>"))
+    for number in range(ranges):
+        here = lambda key: _range(key, ranges) == number  # noqa: B023, E731
+        universe = rows.select(F.explode("_keys").alias("key")).where(here(F.col("key")))
+        listed = lambda v: table.where((F.col("verdict") == v) & here(F.col("rule"))).select(F.col("rule").alias("key"))  # noqa: B023, E731
+        cascades = [build(listed(v), universe, max_bytes) for v in kinds]
+        of = lambda k: F.transform("_keys", lambda key: hashes(key)[k])
+        rows = rows.withColumn("_now", _first_listed(cascades)(of(0), of(1), F.transform("_keys", here)))
+        better = (F.col("_now.at") > 0) & (F.col("_found").isNull() | (F.col("_found.at") == 0) | (F.col("_now.at") < F.col("_found.at")))
+        rows = rows.withColumn("_found", F.when(better, F.col("_now")).otherwise(F.coalesce("_found", "_now"))).drop("_now")
+        if ranges > 1:
+            rows = materialise(rows, "cascade-judged")
+    return rows
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -188,16 +207,17 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: st
     rows = rows.withColumn("_keys", candidates(F.col("host"), F.col("path"), [r for r, _ in rules]))
     table = spark.createDataFrame(list(rules), "rule string, verdict string").dropDuplicates(["rule"])
     kinds = sorted({v for _, v in rules})
-    universe = rows.select(F.explode("_keys").alias("key"))
-    try:
-        cascades = [build(table.where(F.col("verdict") == v).select(F.col("rule").alias("key")), universe, max_bytes) for v in kinds]
-    except FilterTooLarge:
-        kept = materialise(rows.withColumn("_id", F.monotonically_increasing_id()), "urls")
-        return _judge_by_join(kept, table).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    both = [F.transform("_keys", lambda k: hashes(k)[0]), F.transform("_keys", lambda k: hashes(k)[1])]
-    judged = rows.withColumn("_found", _first_listed(cascades)(*both))
-    names = F.array(*[F.lit(v) for v in kinds]) if kinds else F.array(F.lit(default))
+    ranges = 1
+    while True:
+        try:
+            judged = _found(rows, table, kinds, ranges, max_bytes)
+            break
+        except FilterTooLarge:
+            ranges *= 2
+            if ranges > MAX_RANGES:
+                raise
     some = F.col("_found.at") > 0
+    names = F.array(*[F.lit(v) for v in kinds]) if kinds else F.array(F.lit(default))
     return judged.select(
         "page_id",
         "host",
