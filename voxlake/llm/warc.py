@@ -10,8 +10,8 @@ Files go to a folder that all executors share, through its own file system (pyar
 attempt; only the rows of successful tasks name files, and these rows are a written table.
 
 Defined results: a null html is an empty payload; a null url has an empty key and no target header; a null page_id is last,
-and a response unless a row of equal payload has an id; rows that repeat both id and payload are alike (all of them are
-responses if theirs is the smallest id); control characters in urls are percent-encoded in headers and kept in the index;
+and a response unless a row of equal payload has an id; of rows that repeat the smallest id and a payload the one with the
+least url is the response (of equal ones any), and the others revisit it under their own id; control characters in urls are percent-encoded in headers and kept in the index;
 an empty table gives no archive and no rows; other columns are ignored.
 """
 
@@ -64,17 +64,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id, url, payload: bytes | None, refers_to, sha: str) -> bytes:
-    """One record; payload None: a revisit."""
+def _record(name: str, url, payload: bytes | None, refers_to: str | None, sha: str) -> bytes:
+    """One record with a name of its own; payload None: a revisit of the record that refers_to names."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     kind = "response" if payload is not None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = http + (b"Content-Length: %d\r\n\r\n" % len(payload) + payload if payload is not None else b"\r\n")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {target}"] * bool(target)
     head += [f"WARC-Payload-Digest: sha1:{sha}"]
     if payload is None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -87,8 +87,25 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+#: Names that Spark's file systems have for schemes that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    scheme, colon, rest = folder.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def _response_name(page_id, sha: str) -> str:
+    """The name of the one response with a payload."""
+    return f"urn:page:{'' if page_id is None else page_id}:{sha}"
+
+
+def _page_of(name: str) -> int | None:
+    number = name.split(":")[2]
+    return int(number) if number else None
 
 
 def _member(data: bytes) -> bytes:
@@ -97,7 +114,7 @@ def _member(data: bytes) -> bytes:
 
 
 def _write(folder: str):
-    """rows(key, page_id, url, payload, refers_to) in key order -> one row for the task's archive."""
+    """rows(key, page_id, url, payload, refers_to, revisit, first) in key order -> one row for the task's archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = index = None
@@ -123,7 +140,13 @@ def _write(folder: str):
                     archive = system.open_output_stream(f"{root}/{name}.warc.gz", compression=None)
                     index = system.open_output_stream(f"{root}/{name}.index", compression=None)
                 payload = row["payload"] or b""
-                packed = _member(_record(row["page_id"], row["url"], None if row["refers_to"] is not None else payload, row["refers_to"], digest(payload)))
+                sha = digest(payload)
+                if row["revisit"]:
+                    packed = _member(_record(f"urn:revisit:{name}:{at}", row["url"], None, _response_name(row["refers_to"], sha), sha))
+                else:
+                    # payloads too small to be told apart can be stored several times under one id
+                    own = _response_name(row["page_id"], sha)
+                    packed = _member(_record(own if row["first"] else f"{own}:{name}:{at}", row["url"], payload, None, sha))
                 archive.write(packed)
                 lines.append(json.dumps({"k": row["key"], "id": row["page_id"], "url": row["url"], "o": at, "n": len(packed)}))
                 at, records = at + len(packed), records + 1
@@ -152,7 +175,7 @@ def _with_first(rows: DataFrame, repeats: DataFrame, max_bytes: int) -> DataFram
     """rows(_same, ...) with _first of repeats(_same, _first). Rows that a Bloom filter of repeats (up to max_bytes) rules out
     aren't moved; the others join exactly. Where the filter would be larger, all rows join."""
     number = repeats.count()
-    null = F.lit(None).cast("long").alias("_first")
+    null = F.lit(None).cast(repeats.schema["_first"].dataType).alias("_first")
     if not number:
         return rows.select("*", null)
     keys = [F.xxhash64("_same"), F.xxhash64(F.lit("second"), "_same")]
@@ -169,14 +192,23 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, max_filter_bytes: i
     """Archive every row of pages(page_id, url, html) in folder. Payloads of fewer than min_bytes are always stored."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"key": url_key(F.col("url")), "_same": F.sha2("payload", 256)})
-    alike = rows.where(F.octet_length("payload") >= min_bytes).groupBy("_same").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    repeats = materialise(alike.where("_n > 1").select("_same", "_first"), "warc-repeats")
-    rows = _with_first(rows, repeats, max_filter_bytes)
-    other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    rows = rows.select("key", "page_id", "url", F.when(other & (F.octet_length("payload") >= min_bytes), F.col("_first")).alias("refers_to"), "payload")
+    # of equal payloads the row with the smallest id comes first, of several with that id the least url
+    place = F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.col("url").isNull().alias("none"), "url")
+    alike = rows.where(F.octet_length("payload") >= min_bytes).groupBy("_same", "page_id", "url").agg(F.count(F.lit(1)).alias("_n"))
+    alike = alike.groupBy("_same").agg(F.min(F.struct(place.alias("at"), "_n")).alias("_least"), F.sum("_n").alias("_all"))
+    repeats = alike.where("_all > 1").select("_same", F.struct("_least.at.page_id", "_least.at.url", F.col("_least._n").alias("n")).alias("_first"))
+    rows = _with_first(rows, materialise(repeats, "warc-repeats"), max_filter_bytes)
+    alone = F.col("_first").isNull()
+    least = F.col("page_id").eqNullSafe(F.col("_first.page_id")) & F.col("url").eqNullSafe(F.col("_first.url"))
+    kept = ["key", "page_id", "url", "payload", F.col("_first.page_id").alias("refers_to")]
+    once = rows.where(alone | ~least | (F.col("_first.n") == 1)).select(*kept, (~alone & ~least).alias("revisit"), (F.octet_length("payload") >= min_bytes).alias("first"))
+    # rows alike in everything are counted before they are moved; one of them is the response
+    twins = rows.where(~alone & least & (F.col("_first.n") > 1)).groupBy("_same", "key", "page_id", "url").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_n"))
+    twins = twins.select("key", "page_id", "url", "payload", F.col("page_id").alias("refers_to"), F.explode(F.sequence(F.lit(1), "_n")).alias("_k"))
+    twins = twins.select("key", "page_id", "url", "payload", "refers_to", (F.col("_k") > 1).alias("revisit"), F.lit(True).alias("first"))
     # splitters hold the beginning of a key and the id: the order of keys decides within that
     short = F.substring("key", 1, KEY_CHARS)
-    dealt = rows.repartitionByRange(short, "page_id").sortWithinPartitions("key", "page_id")
+    dealt = once.unionByName(twins).repartitionByRange(short, "page_id").sortWithinPartitions("key", "page_id")
     return Store(folder, materialise(dealt.mapInArrow(_write(folder), _PARTS), "warc-archives"))
 
 
@@ -188,16 +220,25 @@ class _Index:
         self.directory = json.loads(gzip.decompress(self.file.read_at(size, at)))
         self.firsts = [k for k, _, _ in self.directory]
 
+        self.number, self.last = -1, []
+
     def block(self, number: int) -> list[dict]:
-        _, at, size = self.directory[number]
-        return [*map(json.loads, gzip.decompress(self.file.read_at(size, at)).decode().split("\n"))]
+        """A block's lines; the last block read is held, as keys come in order."""
+        if number != self.number:
+            _, at, size = self.directory[number]
+            self.number, self.last = number, [*map(json.loads, gzip.decompress(self.file.read_at(size, at)).decode().split("\n"))]
+        return self.last
 
     def lines(self, key: str) -> Iterator[dict]:
         """The lines of a key: from the last block that starts before it on."""
         for number in range(max(0, bisect_left(self.firsts, key) - 1), len(self.firsts)):
             if self.firsts[number] > key:
                 break
-            yield from (x for x in self.block(number) if x["k"] == key)
+            lines = self.block(number)
+            for k in range(bisect_left(lines, key, key=lambda x: x["k"]), len(lines)):
+                if lines[k]["k"] != key:
+                    break
+                yield lines[k]
 
 
 _CAPTURE = "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary"
@@ -205,10 +246,10 @@ _CAPTURE = "page_id long, url string, record_type string, payload_digest string,
 
 def _capture(line: dict, data: bytes) -> dict:
     headers, payload = parse(data)
-    refers = headers.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
+    refers = headers.get("WARC-Refers-To", "")[1:-1]
     kind = headers["WARC-Type"]
     sha = digest(payload) if kind == "response" else headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    return {"page_id": line["id"], "url": line["url"], "record_type": kind, "payload_digest": sha, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
+    return {"page_id": line["id"], "url": line["url"], "record_type": kind, "payload_digest": sha, "refers_to": _page_of(refers) if refers else None, "payload": payload if kind == "response" else None}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -244,8 +285,11 @@ def read(store: Store) -> DataFrame:
     return found.repartition(max(1, -(-number // READ_RECORDS)), "idx", "at").mapInArrow(records, _CAPTURE)
 
 
-def look_up(store: Store, urls: DataFrame) -> DataFrame:
-    """The captures of urls(url), as `read` gives them; urls that aren't there give no row."""
+def look_up(store: Store, urls: DataFrame, nulls: bool = False) -> DataFrame:
+    """The captures of urls(url), as `read` gives them; urls that aren't there give no row, and null gives those of pages
+    without a url if `nulls` says so. Each url is dealt
+    to the archives that can hold its key, so captures of one url in several archives are read by several tasks; there
+    the keys come in order, and each is searched in the directory, then in a block."""
     number = store.archives.count()
     if number > MAX_ARCHIVES:
         raise ValueError(f"{number} archives; readers hold {MAX_ARCHIVES} at most: write with fewer, larger partitions")
@@ -253,26 +297,44 @@ def look_up(store: Store, urls: DataFrame) -> DataFrame:
     shared = urls.sparkSession.sparkContext.broadcast(parts)
     folder = store.folder
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(folder)
-        parts, at, index, archive = shared.value, -1, None, None
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value
         # archives of keys with one beginning of KEY_CHARS overlap, so their last keys needn't ascend: running maxima do
         lasts = [*accumulate((p[1] for p in parts), max)]
         for batch in batches:
-            for key, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for number in range(bisect_left(lasts, key), len(parts)):
-                    if parts[number][0] > key:
+            keys = batch.column(0).to_pylist()
+            row, at = [], []
+            for k, key in enumerate(keys):
+                for n in range(bisect_left(lasts, key), len(parts)):
+                    if parts[n][0] > key:
                         break
-                    if parts[number][1] < key:
-                        continue
-                    if number != at:
-                        at, index = number, _Index(system, root, *parts[number][3:])
-                        archive = system.open_input_file(f"{root}/{parts[number][2]}")
-                    if found := [_capture(x, archive.read_at(x["n"], x["o"])) for x in index.lines(key) if x["url"] == url]:
-                        yield _batch(found)
+                    if parts[n][1] >= key:
+                        row.append(k)
+                        at.append(n)
+            found = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *found.columns], ["part", "key", "url"])
 
-    asked = urls.select(url_key(F.col("url")).alias("key"), "url").where("url IS NOT NULL").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _CAPTURE)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open(folder)
+        parts, at, index, archive, rows = shared.value, -1, None, None, []
+        for batch in batches:
+            for number, key, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != at:
+                    at, index = number, _Index(system, root, *parts[number][3:])
+                    archive = system.open_input_file(f"{root}/{parts[number][2]}")
+                for line in index.lines(key):
+                    if line["url"] == url:
+                        rows.append(_capture(line, archive.read_at(line["n"], line["o"])))
+                        if len(rows) == BATCH:
+                            yield _batch(rows)
+                            rows = []
+        if rows:
+            yield _batch(rows)
+
+    asked = urls if nulls else urls.where(F.col("url").isNotNull())
+    asked = asked.select(url_key(F.col("url")).alias("key"), "url").distinct().repartitionByRange("key")
+    dealt = asked.mapInArrow(deal, "part int, key string, url string")
+    return dealt.repartition(max(1, number), "part").sortWithinPartitions("part", "key").mapInArrow(search, _CAPTURE)
 
 
 def summary(captures: DataFrame) -> DataFrame:
@@ -281,11 +343,12 @@ def summary(captures: DataFrame) -> DataFrame:
     slim = captures.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"))
     slim = materialise(slim, "warc-read")
     own = slim.where("record_type = 'response'")
-    sizes = own.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
-    others = slim.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left")
+    sizes = own.select("payload_digest", "payload_bytes").distinct()
+    others = slim.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "payload_digest", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return own.select(*columns).unionByName(others.select(*columns))
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    return summary(read(write(pages, folder)))
+    """Archive all pages, then find every capture again by its url through the index."""
+    return summary(look_up(write(pages, folder), pages.select("url"), nulls=True))
