@@ -66,22 +66,41 @@ def test_quality_odd_rows(spark, odd, empty):
     assert {(r["score"], r["predicted"]) for r in none} == {(0.5, 1)}
 
 
-def test_quality_gradient():
+def plain_score(text, net):
+    """The network as loops over bytes, filters' places and chunks."""
+    data = list((text or "").encode())
+    half, width = quality_cnn.HALF, quality_cnn.WIDTH
+    size = max(quality_cnn.CHUNK, -(-(len(data) + width) // half) * half)
+    data += [0] * (size + width - len(data))
+    hidden = []
+    for start in range(0, size - half, half):
+        best = np.full(quality_cnn.FILTERS, -np.inf)
+        for at in range(start, start + quality_cnn.CHUNK, quality_cnn.STRIDE):
+            seen = np.concatenate([quality_cnn._EMBEDDING[data[at + k]] for k in range(width)]).astype(np.float64)
+            best = np.maximum(best, seen @ net.filters)
+        hidden.append(np.maximum(np.maximum(best + net.bias, 0) @ net.hidden + net.hidden_bias, 0))
+    return 1 / (1 + np.exp(-float((np.mean(hidden, axis=0) @ net.out + net.out_bias)[0])))
+
+
+def test_quality_scores_are_those_of_plain_loops():
+    net = quality_cnn.Network.new(np.random.default_rng(5))
+    texts = ["", None, "a", "short text", "x" * 247, "x" * 248, "x" * 249, "long é " * 300, "".join(chr(33 + k * 7 % 90) for k in range(1500))]
+    assert quality_cnn.scores(texts, net) == pytest.approx([plain_score(t, net) for t in texts], abs=1e-5)
+
+
+@pytest.mark.parametrize("step", [2, 512])
+def test_quality_gradient(monkeypatch, step):
+    monkeypatch.setattr(quality_cnn, "STEP", step)
     rng = np.random.default_rng(3)
     net = quality_cnn.Network.new(rng)
-    windows = rng.integers(0, 256, (6, quality_cnn.CHUNK + quality_cnn.WIDTH)).astype(np.uint8)
-    owner, labels = np.array([0, 0, 1, 2, 2, 2]), np.array([1, 0, 1], np.float32)
+    texts = ["".join(map(chr, rng.integers(32, 127, n))) for n in (20, 700, 400)]
+    labels = np.array([1, 0, 1], np.float32)
 
     def loss():
-        starts = np.arange(0, quality_cnn.CHUNK, quality_cnn.STRIDE)
-        v = quality_cnn._EMBEDDING[windows].astype(np.float64)
-        a = np.stack([v[:, s : s + quality_cnn.WIDTH].reshape(6, -1) @ net.filters.astype(np.float64) for s in starts], 1).max(1) + net.bias
-        h = np.maximum(np.maximum(a, 0) @ net.hidden + net.hidden_bias, 0)
-        mean = np.stack([h[owner == k].mean(0) for k in range(3)])
-        p = 1 / (1 + np.exp(-(mean @ net.out + net.out_bias)[:, 0]))
+        p = np.array([plain_score(t, net) for t in texts])
         return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
 
-    gradients = quality_cnn._learn_batch(net, windows, owner, labels)
+    gradients = quality_cnn._learn_batch(net, [quality_cnn._spaced(t.encode()) for t in texts], labels)
     for w, g in zip(net.weights(), gradients, strict=True):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = w[at]
@@ -124,6 +143,21 @@ def test_bpe_matches_the_library(spark, docs, odd, vocabulary, library, block):
         assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+def test_merges_are_the_library_s(library, vocabulary):
+    rng = np.random.default_rng(2)
+    ranks = bpe._load(vocabulary).ranks
+    words = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in range(1, 40)] + [b"aaaaaaaaaaaaa", b"a" * 3000, b"abababababababab" * 9, "tokenisierungsverfahren".encode(), "日本語テキスト".encode()]
+    words += ["".join(rng.choice(list("etaoin shrdlu"), 30)).encode() for _ in range(200)]
+    assert [bpe.merged(w, ranks) for w in words] == [library._encode_single_piece(w) for w in words]
+
+
+def test_equal_blocks_are_apart(spark, vocabulary):
+    """Blocks of equal rows have names of their own, so none of them meet in one group."""
+    rows = spark.createDataFrame([(1, "the same words again and again")] * 400, "doc_id long, text string").repartition(1)
+    found = bpe.digests(bpe.decode(bpe.encode(rows, vocabulary, 300), vocabulary)).groupBy("doc_id", "n_tokens").count().collect()
+    assert len(found) == 1 and found[0]["count"] == 400
+
+
 def test_bpe_empty(empty, vocabulary):
     assert bpe.digests(bpe.decode(bpe.encode(empty, vocabulary), vocabulary)).collect() == []
 
@@ -181,3 +215,30 @@ def test_repeated_rows_leave_room_for_other_ids(spark):
         others = [i for i in ids if i != q]
         assert found[q] == {k + 1: (v, 5.0) for k, v in enumerate(others)}
     assert found[50] == {k + 1: (v, 1.5) for k, v in enumerate(ids[:20])}
+
+
+def test_neighbours_tied_and_repeated(spark):
+    """A hundred tied points and 50 repeats of one row: ties go to the smaller id, repeats count once."""
+    rows = [(k, [1.0, k / 2000]) for k in range(1, 400)] + [(1000 + k, [1.0, 5.0]) for k in range(100)] + [(7, [1.0, 7 / 2000])] * 50 + [(20, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(20, [1.0, 0.0]), (500, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    for shard_rows in (16_384, 60):
+        found = vptree.nearest(frame, queries, 20, 1.0, shard_rows).orderBy("query_id", "rank").collect()
+        assert [r["vec_id"] for r in found if r["query_id"] == 20] == [*range(1, 20), 21]
+        assert [r["vec_id"] for r in found if r["query_id"] == 500] == [*range(1000, 1020)]
+    copies = spark.createDataFrame([(1, [1.0, 0.0])] * 50 + [(2, [1.0, 0.0]), (20, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    found = vptree.nearest(copies, copies.where("vec_id = 20"), 20, 1.0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("shard_rows", [16_384, 100])
+def test_factor_one_is_exact_over_shards(spark, shard_rows):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 4
+    rows = [(k, (centres[k % 12] + rng.normal(size=6)).tolist()) for k in range(900)] + [(2000, [0.0] * 6), (2001, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = frame.where("vec_id % 20 = 0")
+    usable = [(i, v) for i, v in rows if any(v)]
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in vptree.nearest(frame, queries, 20, 1.0, shard_rows).collect()}
+    want = {(q, rank): v for q, rank, v, _ in brute(usable, [(i, v) for i, v in usable if i % 20 == 0], 20)}
+    assert found == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -86,9 +87,32 @@ def test_shards_are_even_and_follow_weights(spark):
     assert len(counts) == 40 and 800 < min(counts.values()) and max(counts.values()) < 1200
     heavier = sharding.topology(40, weights={7: 3.0})
     moved = ids.select(sharding.shard_of(F.col("id"), sharding.topology(40)).alias("a"), sharding.shard_of(F.col("id"), heavier).alias("b")).where("a <> b")
-    # all movement is towards the heavier shard, its rack or its region
-    assert {r["b"] for r in moved.select("b").distinct().collect()} <= set(range(8))
-    assert moved.where("b = 7").count() > 0.5 * moved.count()
+    # all movement is into the heavier shard
+    assert {r["b"] for r in moved.select("b").distinct().collect()} == {7}
+
+
+@pytest.mark.parametrize("shards", [1, 4, 7, 8, 10, 39, 40, 41])
+def test_one_shard_more_takes_rows_only_into_itself(spark, shards):
+    ids = spark.range(5000)
+    both = ids.select(*[sharding.shard_of(F.col("id"), sharding.topology(n)).alias(x) for n, x in ((shards, "a"), (shards + 1, "b"))])
+    moved = both.where("a <> b").groupBy("b").count().collect()
+    assert [r["b"] for r in moved] == [shards] and abs(moved[0]["count"] - 5000 / (shards + 1)) < 5 * (5000 / (shards + 1)) ** 0.5
+
+
+def test_descent_of_the_tree(spark):
+    """Region by region, rack by rack: the same shards as draws on the driver give, from the same hashes."""
+    tree = sharding.topology(21, weights={3: 2.5, 20: 0.5})
+    leaves = [leaf for region in tree for rack in region["racks"] for leaf in rack["shards"]]
+    rows = spark.range(300).select("id", *[F.xxhash64(F.lit(x["name"]), F.col("id")).alias(x["name"]) for x in leaves], sharding.shard_of(F.col("id"), tree).alias("found")).collect()
+
+    def draw(row, leaf):
+        return -math.log((((row[leaf["name"]] & 0xFFFFFFFFFFFFFFFF) >> 11) + 0.5) / 2.0**53) / leaf["weight"]
+
+    for row in rows:
+        rack_draw = lambda rack: min((draw(row, x), x["shard"]) for x in rack["shards"])  # noqa: B023, E731
+        region = min(tree, key=lambda r: min(map(rack_draw, r["racks"])))  # noqa: B023
+        rack = min(region["racks"], key=rack_draw)
+        assert rack_draw(rack)[1] == row["found"]
 
 
 def test_slots_over_many_buckets(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -39,13 +40,23 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("own") for c in ("host", "path", "rule", "_keys", "h1", "key", "payload", "_same")})
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("max_bytes", [1 << 20, 8])
 def test_verdicts(pages, max_bytes):
     found = url_cascade.verdicts(pages, max_bytes=max_bytes).collect()
     expected = [(r["page_id"], *judged(r["url"])) for r in pages.collect()]
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 64])
+def test_long_lists_are_cut_into_ranges(spark, max_bytes):
+    """120 rules of either kind: filters of at most 64 bytes hold a part of the keys at a time."""
+    rules = [(f"h{k}.org/" + "p" * (k % 3), "block" if k % 2 else "allow") for k in range(240)] + [("org/", "block")]
+    urls = [(k, f"http://{'www.' * (k % 2)}h{k}.org/{'p' * (k % 4)}/x") for k in range(300)]
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    found = url_cascade.verdicts(frame, rules, max_bytes=max_bytes).collect()
+    assert sorted(map(tuple, found)) == sorted((k, *judged(u, rules)) for k, u in urls)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("key LIKE '%7'").unionByName(spark.createDataFrame([("elsewhere",)], "key string"))
@@ -90,6 +101,27 @@ def test_archive_round_trip(spark, captures, tmp_path, min_bytes, filter_bytes):
     assert found == sorted(expected, key=str)
 
 
+def test_one_response_for_each_payload(spark, tmp_path):
+    """Rows that repeat id, url and payload, or only id and payload: one is the response, record ids are all different."""
+    rows = [(3, "http://a.org/", "<p>x</p>")] * 3 + [(3, "http://b.org/", "<p>x</p>"), (5, "http://a.org/", "<p>x</p>"), (3, "http://a.org/", "other"), (None, None, "none"), (None, None, "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.archive_and_read(spark, pages, tmp_path.as_uri()).collect()
+    counts = {}
+    for r in found:
+        key = (r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload_bytes"])
+        counts[key] = counts.get(key, 0) + 1
+    x, other, none = sha("<p>x</p>"), sha("other"), sha("none")
+    assert counts == {(3, x, "response", None, 8): 1, (3, x, "revisit", 3, 8): 3, (5, x, "revisit", 3, 8): 1, (3, other, "response", None, 5): 1, (None, none, "response", None, 4): 1, (None, none, "revisit", None, 4): 1}
+    names = [line for f in tmp_path.glob("*.warc.gz") for line in gzip.decompress(f.read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(names) == len(set(names)) == len(rows)
+
+
+def test_query_reads_back_through_the_index(spark, captures, tmp_path):
+    store = warc.write(captures, tmp_path.as_uri())
+    by_url = sorted(map(tuple, warc.summary(warc.look_up(store, captures.select("url"), nulls=True)).collect()), key=str)
+    assert by_url == sorted(map(tuple, warc.summary(warc.read(store)).collect()), key=str)
+
+
 def test_look_up_reads_by_range(spark, captures, tmp_path):
     store = warc.write(captures, tmp_path.as_uri())
     asked = spark.createDataFrame([("http://a.org/2",), ("http://b.org/1",), ("http://b.org/\n 1",), ("http://absent.org/",), (None,)], "url string")

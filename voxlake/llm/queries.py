@@ -18,46 +18,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page's url, by the cascade of the usual rules."""
     return url_cascade.verdicts(_table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document's whole text; learns only from labels that aren't held out."""
     bound_batches(spark)
     return quality_cnn.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document's whole text, encoded and decoded again."""
     bound_batches(spark)
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document, by equal texts without white space."""
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, in 40 shards by key."""
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
 def op6_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 20 nearest of all vectors for those whose id is divisible by 20."""
     vectors = _table(spark, sf_dir, "embeddings")
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_lines, n_links, removed and source of every document, by its lines' matches among all lines."""
     return line_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, in the mix of all sources."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, archived and found again by its url."""
     return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and class_size of every document, by near copies among all documents."""
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
