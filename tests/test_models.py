@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 
 import numpy as np
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 
 from voxlake.catalog.base import tok, vox
 from voxlake.catalog.registration import _wpls_rows
-from voxlake.operators import grids, neighbourhood, projection, registration, slice_search, warp
-from voxlake.plans import axes
+from voxlake.operators import distance, grids, neighbourhood, projection, registration, slice_search, warp
+from voxlake.plans import axes, extensions, masks
 
 
 def volume_rows(spark, volume, name="pair_id", key="p"):
@@ -46,8 +48,8 @@ def test_pca(spark, sf):
 def test_wpls(spark, sf, tmp_path):
     rows = _wpls_rows(spark, sf)
     alpha = projection.ladder("linear", 2)
-    model = projection.WPLS.fit(rows, None, 8, 3, alpha)
-    cxy, xv, yv, total = np.zeros((8, 8)), np.zeros(8), np.zeros(8), 0.0
+    model = projection.WPLS.fit(rows, None, 64, 3, alpha)
+    cxy, xv, yv, total = np.zeros((64, 64)), np.zeros(64), np.zeros(64), 0.0
     table = rows.toPandas()
     for (_, level), part in table.groupby(["pair_id", "level"]):
         w = part["msk"].to_numpy(float)
@@ -62,13 +64,13 @@ def test_wpls(spark, sf, tmp_path):
     assert np.allclose(np.abs((np.array(model.mov_weight) * u[:, :3]).sum(0)), 1) and np.allclose(np.abs((np.array(model.fix_weight) * vh.T[:, :3]).sum(0)), 1)
     projection.save(model, spark, f"{tmp_path}/model")
     assert projection.read(spark, f"{tmp_path}/model") == model
-    unknown = spark.createDataFrame([([1.0] * 8, 5)], "feat array<double>, mod_code int")
+    unknown = spark.createDataFrame([([1.0] * 64, 5)], "feat array<double>, mod_code int")
     assert model.transform(unknown).first()["feat"] == [0.0, 0.0, 0.0]
 
 
 def test_wpls_of_equal_sides_has_equal_vectors(spark, sf):
     rows = _wpls_rows(spark, sf).where("level = 0").withColumn("x", F.col("y"))
-    model = projection.WPLS.fit(rows, None, 8, 3, [1.0])
+    model = projection.WPLS.fit(rows, None, 64, 3, [1.0])
     assert np.allclose(model.fix_weight, model.mov_weight, atol=1e-6)
 
 
@@ -83,6 +85,13 @@ def box(v, radius):
     return v
 
 
+def zero_box(v, radius):
+    for axis in range(3):
+        wide = np.pad(v, [(radius, radius) if k == axis else (0, 0) for k in range(v.ndim)])
+        v = sum(np.take(wide, np.arange(k, k + v.shape[axis]), axis) for k in range(2 * radius + 1)) / (2 * radius + 1)
+    return v
+
+
 @pytest.mark.parametrize(("radius", "dilation"), [(1, 1), (2, 2)])
 def test_self_similarity(spark, radius, dilation):
     v = np.random.default_rng(0).normal(size=(6, 5, 7))
@@ -109,11 +118,22 @@ def test_gaussian(spark, sigma):
     assert np.allclose(dense(neighbourhood.smoothed(volume_rows(spark, v), "value", sigma, ["pair_id"]), v.shape, "value"), want)
 
 
-@pytest.mark.parametrize("sigma", [1.3, 1.6, 2.2, 2.8])
+@pytest.mark.parametrize("sigma", [1.2, 1.3, 1.6, 2.2, 2.8, 4.0, 7.5])
 def test_wide_gaussians_are_four_boxes(sigma):
-    widths = [w for w in neighbourhood.box_passes(sigma)]
-    variance = sum((w**2 - 1) / 12 for w in widths)
-    assert all(w % 2 for w in widths) and variance == pytest.approx(4 * (neighbourhood.box_passes(sigma)[-1] ** 2 - 1) / 12, rel=0.9)
+    """The widths are odd, two neighbouring ones at most, and no other such four come nearer to the variance."""
+    widths = neighbourhood.box_passes(sigma)
+    assert all(w % 2 and w > 1 for w in widths) and len(widths) <= 4 and max(widths) - min(widths) <= 2
+    reached = sum(w**2 - 1 for w in widths) / 12
+    every = [sum(w**2 - 1 for w in c) / 12 for n in range(1, 31, 2) for c in itertools.combinations_with_replacement((n, n + 2), 4)]
+    assert abs(reached - sigma**2) == pytest.approx(min(abs(v - sigma**2) for v in every))
+
+
+def test_wide_gaussian_of_a_volume(spark):
+    v = np.random.default_rng(1).normal(size=(9, 7, 6))
+    want = v
+    for width in neighbourhood.box_passes(1.6):
+        want = zero_box(want, (width - 1) // 2)
+    assert np.allclose(dense(neighbourhood.smoothed(volume_rows(spark, v), "value", 1.6, ["pair_id"]), v.shape, "value"), want)
 
 
 def test_holes_and_dilation(spark):
@@ -159,15 +179,161 @@ def test_descent_lowers_the_cost(spark):
     assert cost(registration.descend(still, fixed, moving, weight=0.1, rounds=3, rate=0.2)) < 0.9 * cost(still)
 
 
+def sample(volume, at, zero=False):
+    """Trilinear values of volume (d, h, w, ...) at places (..., 3): the border beyond it, or zeros."""
+    size = np.array(volume.shape[:3])
+    if not zero:
+        at = np.clip(at, 0, size - 1)
+    low = np.floor(at).astype(int)
+    out = 0.0
+    for corner in itertools.product((0, 1), repeat=3):
+        place = low + corner
+        weight = np.prod(np.where(corner, at - low, 1 - (at - low)), -1)
+        inside = ((place >= 0) & (place < size)).all(-1)
+        found = volume[tuple(np.moveaxis(np.clip(place, 0, size - 1), -1, 0))]
+        weight = weight * inside
+        out = out + found * weight.reshape(weight.shape + (1,) * (found.ndim - weight.ndim))
+    return out
+
+
+def field_rows(spark, u):
+    rows = [("p", d, h, w, *map(float, u[d, h, w])) for d, h, w in np.ndindex(u.shape[:3])]
+    return spark.createDataFrame(rows, "pair_id string, d int, h int, w int, ud double, uh double, uw double")
+
+
+def field_of(frame, shape):
+    out = np.full((*shape, 3), np.nan)
+    for r in frame.collect():
+        out[r["d"], r["h"], r["w"]] = r["ud"], r["uh"], r["uw"]
+    return out
+
+
+def places(shape):
+    return np.stack(np.meshgrid(*map(np.arange, shape), indexing="ij"), -1).astype(float)
+
+
 def test_inverse_consistency(spark):
-    shape = np.zeros((6, 6, 6))
-    grid = volume_rows(spark, shape)
-    ahead = grid.select("pair_id", "d", "h", "w", F.lit(1.0).alias("ud"), F.lit(0.0).alias("uh"), F.lit(0.0).alias("uw"))
-    back = ahead.withColumn("ud", F.lit(-0.5))
-    f, b = registration.consistent(ahead, back, 2)
-    middle = "d BETWEEN 2 AND 3 AND h BETWEEN 2 AND 3 AND w BETWEEN 2 AND 3"
-    assert f.where(middle).agg(F.avg("ud")).first()[0] == pytest.approx(0.75, abs=0.2)
-    assert b.where(middle).agg(F.avg("ud")).first()[0] == pytest.approx(-0.75, abs=0.2)
+    rng = np.random.default_rng(4)
+    shape = (5, 6, 4)
+    f, b = (rng.normal(size=(*shape, 3)) for _ in range(2))
+    found = registration.consistent(field_rows(spark, f), field_rows(spark, b), 3)
+    at = places(shape)
+    for _ in range(3):
+        f, b = 0.5 * (f - sample(b, at + f, zero=True)), 0.5 * (b - sample(f, at + b, zero=True))
+    assert np.allclose(field_of(found[0], shape), f) and np.allclose(field_of(found[1], shape), b)
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_costs(spark, reach, monkeypatch):
+    monkeypatch.setattr(registration, "SLAB_COSTS", 6 * 5 * (2 * reach + 1) ** 3 * 2)  # slabs of two planes
+    rng = np.random.default_rng(6)
+    fixed, moving = (rng.normal(size=(7, 6, 5, 3)) for _ in range(2))
+    wide = np.pad(moving, [(reach, reach)] * 3 + [(0, 0)])
+    want = []
+    for a, b, e in registration.offset_list(reach):
+        cost = ((fixed - wide[a + reach : a + reach + 7, b + reach : b + reach + 6, e + reach : e + reach + 5]) ** 2).sum(-1)
+        want.append(zero_box(zero_box(cost, 1), 1))
+    found = registration.packed_costs(volume_rows(spark, fixed), volume_rows(spark, moving), reach).collect()
+    assert len(found) == 210
+    for r in found:
+        assert np.allclose(r["costs"], [c[r["d"], r["h"], r["w"]] for c in want])
+
+
+def adam(u, fixed, moving, weight, rounds, rate, loss, inner):
+    slopes = np.stack([0.5 * (replicated(moving, 1, k) - replicated(moving, -1, k)) for k in range(3)], -1)
+    at, m, v, n = places(u.shape[:3]), 0.0, 0.0, u[..., 0].size
+    smooth = lambda x: np.stack([functools.reduce(lambda y, _: zero_box(y, 1), range(inner), x[..., k]) for k in range(3)], -1)
+    for step in range(1, rounds + 1):
+        now = smooth(u)
+        moved, slope = sample(moving, at + now), sample(slopes, at + now)
+        if loss == "ssd":
+            e = 24 * (moved - fixed) / fixed.shape[-1] / n
+        else:
+            mc, fc = moved - moved.mean((0, 1, 2)), fixed - fixed.mean((0, 1, 2))
+            sm, sf = np.sqrt((mc**2).mean((0, 1, 2))), np.sqrt((fc**2).mean((0, 1, 2)))
+            below, cov = sm * sf + 1e-6, (mc * fc).mean((0, 1, 2))
+            e = -12 / fixed.shape[-1] / n * (fc - mc * cov * sf / (sm * below)) / below
+        g = (e[..., None] * slope).sum(-2)
+        for k in range(3):
+            for by in (1, -1):
+                g = g + 2 * weight * (now - replicated(now, by, k)) / n
+        g = smooth(g)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        u = u - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return u
+
+
+@pytest.mark.parametrize(("loss", "inner"), [("ssd", 0), ("ncc", 0), ("ssd", 1), ("ncc", 2)])
+def test_descent(spark, loss, inner):
+    rng = np.random.default_rng(9)
+    fixed, moving = (np.stack([box(rng.normal(size=(6, 5, 4)), 1) for _ in range(2)], -1) for _ in range(2))
+    u = rng.normal(size=(6, 5, 4, 3)) * 0.3
+    found = registration.descend(field_rows(spark, u), volume_rows(spark, fixed), volume_rows(spark, moving), 0.5, 2, 0.2, loss, inner)
+    assert np.allclose(field_of(found, u.shape[:3]), adam(u, fixed, moving, 0.5, 2, 0.2, loss, inner), atol=1e-6)
+
+
+def test_descent_snapshots(spark):
+    fixed, moving = shifted_pair(spark, (1, 0, 0))
+    still = fixed.select("pair_id", "d", "h", "w", *[F.lit(0.0).alias(c) for c in ("ud", "uh", "uw")])
+    found = registration.descend(still, fixed, moving, rate=0.2, keep=(1, 3), inner=1, smooth_every=2)
+    assert {(r["round"], r["count"]) for r in found.groupBy("round").count().collect()} == {(1, 512), (3, 512)}
+    with pytest.raises(ValueError, match="ssd or ncc"):
+        registration.descend(still, fixed, moving, rounds=1, loss="mi")
+
+
+def test_two_stages(spark):
+    rng = np.random.default_rng(11)
+    base = np.stack([box(rng.normal(size=(18, 9, 9)), 1) * 10 for _ in range(2)], -1)
+    fixed, moving = volume_rows(spark, base[:14]), volume_rows(spark, base[2:16])
+    search = slice_search.SliceSearch(n_scales=3, smooth_matrix=0.0, smooth_scores=0.0)
+    elastic = registration.Elastic(grid=1, reach=1, inverse_rounds=0, adam_grid=1, iters=(1,), smooths=(0, 1), rate=0.1)
+    found = registration.TwoStage("trans", elastic, search, l2=True)(fixed, moving)
+    means = {r["level"]: r["x"] for r in found.where("d BETWEEN 4 AND 10 AND h BETWEEN 3 AND 5 AND w BETWEEN 3 AND 5").groupBy("level").agg(F.avg("ud").alias("x")).collect()}
+    assert set(means) == {"affine", "convex", "e1_s0", "e1_s1"}
+    assert means["affine"] == pytest.approx(-2) and all(abs(x + 2) < 0.5 for x in means.values())
+    alone = registration.dispatched("ca", registration.TwoStage("trans", elastic, search), {"convex": (fixed, moving), "adam": (fixed, moving)})
+    assert {r["level"] for r in alone.select("level").distinct().collect()} == {"convex", "e1_s0", "e1_s1"}
+    with pytest.raises(ValueError, match="missing"):
+        registration.dispatched("gica", registration.TwoStage(), {"convex": (fixed, moving)})
+
+
+def test_nearest_points(spark):
+    rng = np.random.default_rng(12)
+    every = [tuple(map(int, x)) for x in np.ndindex(9, 8, 7)]
+    spacing = (1.5, 1.0, 0.5)
+    for seed, share in ((1, 0.03), (2, 0.3)):
+        rng = np.random.default_rng(seed)
+        points = [p for p in every if rng.random() < share]
+        queries = [p for p in every if rng.random() < 0.5]
+        shape = "k string, d int, h int, w int"
+        frame = lambda rows: spark.createDataFrame([("a", *r) for r in rows], shape)
+        found = {(r["d"], r["h"], r["w"]): (r["distance"], (r["nd"], r["nh"], r["nw"])) for r in distance.nearest(frame(queries).unionByName(frame(queries[:3]).withColumn("k", F.lit("none"))), frame(points), ["k"], spacing).collect()}
+        assert len(found) == len(queries)
+        for q, (far, near) in found.items():
+            want = min((round(sum(((a - b) * s) ** 2 for a, b, s in zip(q, p, spacing, strict=True)), 9), p) for p in points)
+            assert far**2 == pytest.approx(want[0]) and near == want[1]
+
+
+def test_extensions(spark):
+    v = volume_rows(spark, np.random.default_rng(3).normal(size=(4, 4, 4)), "vid")
+    for registry, name in ((extensions.projectors, "identity"), (extensions.samplers, "all"), (extensions.mask_generators, "self_similarity"), (extensions.registrations, "band_search"), (extensions.wrappers, "channels")):
+        made = registry.get(name)
+        assert registry.restored(registry.state(made)) == made and registry.get(made) is made and isinstance(made, registry.protocol)
+        with pytest.raises(ValueError, match=name):
+            registry.get("nothing")
+    extensions.samplers.register("lazy", "voxlake.plans.extensions:EveryToken")
+    assert extensions.samplers.get("lazy", masked=True) == extensions.EveryToken(True)
+    t = v.select(F.array("value", F.col("value") * 2, "d").alias("feat"))
+    fitted = extensions.projectors.get("pca", channels=2).fit(t)
+    assert extensions.projectors.restored(extensions.projectors.state(fitted)) == fitted
+    assert {len(r["feat"]) for r in extensions.projected(fitted, t).collect()} == {2}
+    model = axes.ThreeAxes(patch=[2, 1, 2], every=2, channels=2, combine="sum").fit(v)
+    again = extensions.three_axes_restored(extensions.three_axes_state(model))
+    key = ["vid", "d", "h", "w"]
+    assert [r["feat"] for r in model.transform(v).orderBy(*key).collect()] == [r["feat"] for r in again.transform(v).orderBy(*key).collect()]
+    assert masks.routed("all", "descriptor") == {"feat": True, "affine": True, "elastic": True}
+    with pytest.raises(ValueError, match="encoder"):
+        masks.routed("feat", "encoder")
 
 
 def test_slice_search_finds_a_shift(spark):

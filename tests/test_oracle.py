@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from voxlake.catalog import experiments, matching, registration, volumes
+from voxlake.catalog import experiments, extensions, matching, registration, volumes
 
-CASES = [(name, query, catalog.sql[name]) for catalog in (volumes.C, matching.C, registration.C, experiments.C) for name, query in catalog.queries.items() if name in catalog.sql]
+CASES = [(name, query, catalog.sql[name]) for catalog in (volumes.C, matching.C, registration.C, experiments.C, extensions.C) for name, query in catalog.queries.items() if name in catalog.sql]
 
 
 @pytest.fixture(scope="module")

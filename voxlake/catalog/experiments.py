@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.catalog.base import HPS, TOK, Catalog, entities, hps, r6
-from voxlake.functions import grammar
+from voxlake.functions import grammar, names
 from voxlake.operators import knn
 from voxlake.plans import experiments as X
 from voxlake.scratch import shared_dir
@@ -97,12 +97,16 @@ def S18_fold_permutation(spark, folder):
     return X.permutation(spark, '{"perm0": [5, 2, 7, 0, 1, 6, 3, 4], "perm1": [0, 1]}', "perm0").select("pos", F.col("sample").cast("int"), "fold")
 
 
-_MODELS = "md AS (SELECT concat('fold', c_custkey % 4) AS model, c_mktsegment AS modality, CAST(c_custkey AS VARCHAR) AS real_id FROM customer WHERE c_custkey < 40), bt AS (SELECT c_mktsegment AS modality, CAST(c_custkey AS VARCHAR) AS real_id FROM customer WHERE c_custkey IN (4, 8, 13))"
+#: Models are fitted on ten customers each; the batch is all customers in debt.
+_MODELS = "md AS (SELECT concat('fold', c_custkey // 10) AS model, c_mktsegment AS modality, CAST(c_custkey AS VARCHAR) AS real_id, c_acctbal FROM customer), bt AS (SELECT modality, real_id FROM md WHERE c_acctbal < 0)"
+#: Models are fitted on the suppliers (by fives) and lines of their flags; the batch is all of those that were returned.
+_COVER = "md AS (SELECT DISTINCT concat(l_returnflag, l_linestatus) AS model, CAST(l_suppkey % 5 AS VARCHAR) AS modality, CAST(l_linenumber AS VARCHAR) AS real_id FROM lineitem), bt AS (SELECT DISTINCT modality, real_id FROM md WHERE model[1] = 'R')"
 
 
 def _models(spark, folder):
-    c = table(spark, folder, "customer").select(F.concat(F.lit("fold"), F.col("c_custkey") % 4).alias("model"), F.col("c_mktsegment").alias("modality"), F.col("c_custkey").cast("string").alias("real_id"), "c_custkey")
-    return c.where("c_custkey < 40"), c.where("c_custkey IN (4, 8, 13)")
+    k = F.col("c_custkey")
+    c = table(spark, folder, "customer").select(F.concat(F.lit("fold"), F.floor(k / 10).cast("string")).alias("model"), F.col("c_mktsegment").alias("modality"), k.cast("string").alias("real_id"), "c_acctbal")
+    return c, c.where("c_acctbal < 0")
 
 
 @C.add(_MODELS + " SELECT DISTINCT model FROM md WHERE model NOT IN (SELECT model FROM md JOIN bt USING (modality, real_id))")
@@ -110,10 +114,11 @@ def S20_held_out_models(spark, folder):
     return X.held_out_models(*_models(spark, folder))
 
 
-@C.add(_MODELS + " SELECT model FROM md JOIN bt USING (modality, real_id) WHERE real_id IN ('4', '8') GROUP BY model HAVING count(*) = 2")
+@C.add(_COVER + " SELECT model FROM md JOIN bt USING (modality, real_id) GROUP BY model HAVING count(*) = (SELECT count(*) FROM bt)")
 def S20_covering_models(spark, folder):
-    models, batch = _models(spark, folder)
-    return X.covering_models(models, batch.where("c_custkey IN (4, 8)"))
+    items = table(spark, folder, "lineitem")
+    rows = items.select(F.concat("l_returnflag", "l_linestatus").alias("model"), (F.col("l_suppkey") % 5).cast("string").alias("modality"), F.col("l_linenumber").cast("string").alias("real_id"))
+    return X.covering_models(rows, rows.where("model LIKE 'R%'"))
 
 
 @C.add("SELECT name, lr, epochs FROM (VALUES ('a', 0.5::DOUBLE, 3::BIGINT), ('b', NULL, 3), ('c', 0.1, 7)) t(name, lr, epochs)")
@@ -125,11 +130,10 @@ def S16_S17_expanded_experiments(spark, folder):
 @C.add(
     "fl AS (SELECT unnest(range(0, 4)) AS fold), "
     + _VALID
-    + " SELECT reg, feat, count(*) AS n FROM fl, ok, (SELECT unnest(['ca', 'gica']) AS reg), (SELECT unnest(['cat', 'sum', 'axi']) AS feat) WHERE lambda_weight = 0.4 GROUP BY reg, feat"
+    + " SELECT reg, feat, count(*) AS n FROM fl, ok, (SELECT unnest(['ca', 'gica']) AS reg), (SELECT unnest(['cat', 'sum', 'axi']) AS feat) GROUP BY reg, feat"
 )
 def X5_task_space(spark, folder):
-    few = _valid(spark).where("lambda_weight = 0.4")
-    tasks = X.tasks(spark.range(4).select(F.col("id").cast("int").alias("fold")), few, ("ca", "gica"), ("cat", "sum", "axi"))
+    tasks = X.tasks(spark.range(4).select(F.col("id").cast("int").alias("fold")), _valid(spark), ("ca", "gica"), ("cat", "sum", "axi"))
     return tasks.groupBy("reg", "feat").agg(F.count_distinct("task").alias("n"))
 
 
@@ -151,11 +155,11 @@ def K12_stage_totals(spark, folder):
     return reports.stage_totals(o).select("run", "stages", (F.round("stages_sum_sec", 2) + 0.0).alias("stages_sum_sec"))
 
 
-@C.add(HPS + " SELECT fold, count(*) AS n, round(sum(dice), 6) + 0.0 AS total FROM hps WHERE hps <= 2 GROUP BY fold")
+@C.add(HPS + " SELECT fold, count(*) AS n, round(sum(dice), 6) + 0.0 AS total FROM hps GROUP BY fold")
 def K2_K11_resumed_run(spark, folder):
     import uuid
 
-    rows = hps(spark, folder).where("hps <= 2")
+    rows = hps(spark, folder)
     run = reports.Run(spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", ["fold", "hps"], partition="fold")
     run.guard({"k": 5})
     run.append(rows.where("hps = 1"))
@@ -170,17 +174,17 @@ def J19_S7_fix_mov_roles(spark, folder):
     return X.roles(entities(spark, folder).withColumnRenamed("patient", "sample"), "mr", "ct")
 
 
-@C.add(HPS + ", u AS (SELECT feat, dice, NULL AS extra FROM hps WHERE feat = 'A' UNION ALL SELECT feat, dice, 1 FROM hps WHERE feat = 'R') SELECT feat, count(*) AS n, count(extra) AS n_extra FROM u GROUP BY feat")
+@C.add(HPS + ", u AS (SELECT feat, dice, NULL AS extra FROM hps WHERE feat <> 'R' UNION ALL SELECT feat, dice, 1 FROM hps WHERE feat = 'R') SELECT feat, count(*) AS n, count(extra) AS n_extra FROM u GROUP BY feat")
 def X1_union_of_reports(spark, folder):
     h = hps(spark, folder)
-    both = h.where("feat = 'A'").unionByName(h.where("feat = 'R'").withColumn("extra", F.lit(1)), allowMissingColumns=True)
+    both = reports.union(h.where("feat <> 'R'"), h.where("feat = 'R'").withColumn("extra", F.lit(1)))
     return both.groupBy("feat").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("n_extra"))
 
 
 @C.add("SELECT DISTINCT a.l_suppkey AS vid FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R'")
 def X2_intersected_names(spark, folder):
     rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("vid"), "l_returnflag")
-    return rows.where("l_returnflag = 'A'").select("vid").intersect(rows.where("l_returnflag = 'R'").select("vid"))
+    return X.shared(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"))
 
 
 @C.add("SELECT * FROM (VALUES ('all', 'feat+affine+elastic', 'both'), ('elastic+feat', 'feat+elastic', 'elastic'), ('none', 'none', 'none'), ('reg', 'affine+elastic', 'both')) t(text, mode, stages)")
@@ -191,4 +195,4 @@ def F13_F14_mask_modes(spark, folder):
 @C.add("SELECT o_orderkey AS id, concat_ws('_', o_orderstatus, o_orderpriority, o_orderkey % 3) AS prefix FROM orders")
 def P42_weight_names(spark, folder):
     k = F.col("o_orderkey")
-    return table(spark, folder, "orders").select(k.alias("id"), F.concat_ws("_", "o_orderstatus", "o_orderpriority", (k % 3).cast("string")).alias("prefix"))
+    return table(spark, folder, "orders").select(k.alias("id"), names.joined(F.col("o_orderstatus"), F.col("o_orderpriority"), k % 3).alias("prefix"))

@@ -60,13 +60,13 @@ def J1_similarity_topk(spark, folder):
     TOK
     + """, sim AS (SELECT q.vox AS query_id, k.vox AS key_id,
   round(-(list_dot_product(q.feat, q.feat) + list_dot_product(k.feat, k.feat) - 2 * list_dot_product(q.feat, k.feat)), 9) AS score
-  FROM tok q, tok k WHERE q.vox % 10 = 0)
+  FROM tok q, tok k)
 SELECT query_id, key_id, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM sim) WHERE rank <= 3"""
 )
 def T1_l2_topk_blocks(spark, folder):
     t = tok(spark, folder).withColumn("pair_id", F.lit("all"))
-    q = t.where("vox % 10 = 0").select("pair_id", F.col("vox").alias("query_id"), "feat")
+    q = t.select("pair_id", F.col("vox").alias("query_id"), "feat")
     found = similarity.top_k(q, t.select("pair_id", F.col("vox").alias("key_id"), "feat"), 3, "neg_sq_l2", query_block=32, key_block=128)
     return found.select("query_id", "key_id", r6("score").alias("score"), "rank")
 
@@ -184,11 +184,10 @@ def J2_landmark_match(spark, folder):
     return _raw(spark, folder).withColumn("distance_vox", r6("distance_vox"))
 
 
-@C.add(_MATCH + " SELECT pair_id, landmark, metric, CAST(rank AS INTEGER) AS rank, round(distance_vox, 6) + 0.0 AS distance_vox FROM raw WHERE seg_type = 'SC'")
+@C.add(_MATCH + " SELECT pair_id, landmark, metric, CAST(rank AS INTEGER) AS rank, round(distance_vox, 6) + 0.0 AS distance_vox FROM raw")
 def J4_self_match_excluded(spark, folder):
     t = tok(spark, folder)
-    own = _quads(spark, folder).where("seg_type = 'SC'")
-    return landmarks.match(own, t, landmarks.centroids(t), 3).withColumn("distance_vox", r6("distance_vox"))
+    return landmarks.match(_quads(spark, folder), t, landmarks.centroids(t), 3).withColumn("distance_vox", r6("distance_vox"))
 
 
 @C.add(_MATCH + " SELECT pair_id, landmark, metric, CAST(k AS INTEGER) AS k, round(mean_topk, 6) + 0.0 AS mean_topk, round(std_topk, 6) + 0.0 AS std_topk FROM pp")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.catalog.base import FIELD, TOK, VOX, Catalog, entities, field, r6, tok, vox
-from voxlake.operators import grids, metrics, neighbourhood, projection, registration, slice_search, warp
+from voxlake.functions import vectors as V
+from voxlake.operators import distance, grids, metrics, neighbourhood, projection, registration, slice_search, warp
 from voxlake.operators.pairs import fixed_moving
 from voxlake.scratch import written
 
@@ -98,11 +99,13 @@ def J10_warp_mask(spark, folder):
     return warp.mask(f, v, sizes)
 
 
-@C.add(_SRC + ", s2 AS (SELECT pair_id, d, h, w, feat[2] AS value FROM src) SELECT pair_id, d, h, w, round(value, 6) + 0.0 AS f2 FROM (" + _tri("value", "s2", "fld") + ")")
+@C.add(_SRC + ", s2 AS (SELECT pair_id, d, h, w, list_dot_product(feat, list_transform(range(1, 65), lambda k: k::DOUBLE)) AS value FROM src) SELECT pair_id, d, h, w, round(value, 5) + 0.0 AS weighed FROM (" + _tri("value", "s2", "fld") + ")")
 def J9_warp_features(spark, folder):
     f, _, sizes = _source(spark, folder)
-    t = _named(tok(spark, folder)).withColumn("feat", F.slice("feat", 1, 3))
-    return warp.trilinear_features(f, t, sizes).select(*AT, r6(F.element_at("feat", 2)).alias("f2"))
+    moved = warp.trilinear_features(f, _named(tok(spark, folder)), sizes)
+    # every channel, each with a weight of its own
+    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: k.cast("double"))
+    return moved.select(*AT, (F.round(V.dot(F.col("feat"), weights), 5) + F.lit(0.0)).alias("weighed"))
 
 
 @C.add(
@@ -203,19 +206,8 @@ def J16_nearest_surface(spark, folder):
     seg, warped = _segs(spark, folder)
     keys = ["pair_id", "label"]
     edge = [neighbourhood.surface(x.where("seg > 0").withColumnRenamed("seg", "label"), keys) for x in (seg, warped)]
-    from voxlake.operators import similarity
-    from voxlake.operators.knn import voxel_id
-
-    out = None
-    for side, (a, b) in enumerate((edge, edge[::-1])):
-        place = F.array(*[F.col(c).cast("double") for c in "dhw"]).alias("feat")
-        group = F.concat_ws("|", F.col("label").cast("string"), "pair_id").alias("pair_id")
-        found = similarity.top_k(a.select(group, voxel_id().alias("query_id"), place), b.select(group, voxel_id().alias("key_id"), place), 1, "neg_sq_l2")
-        named = a.select(group.alias("_g"), voxel_id().alias("query_id"), "pair_id", "label", "d", "h", "w")
-        rows = named.join(found.select(F.col("pair_id").alias("_g"), "query_id", "score"), ["_g", "query_id"])
-        part = rows.select(F.lit(side).alias("side"), "pair_id", "label", "d", "h", "w", r6(F.sqrt(F.greatest(-F.col("score"), F.lit(0.0)))).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sides = [distance.nearest(a, b, keys).withColumn("side", F.lit(side)) for side, (a, b) in enumerate((edge, edge[::-1]))]
+    return sides[0].unionByName(sides[1]).select("side", "pair_id", "label", "d", "h", "w", r6("distance").alias("distance"))
 
 
 _WAVE = "wv AS (SELECT vid AS pair_id, d, h, w, 0.05 * d * d + 0.1 * w AS ud, 0.03 * h * d AS uh, -0.04 * w * h AS uw FROM tok)"
@@ -257,15 +249,15 @@ def A13_displacement_table(spark, folder):
 # ---- projections -----------------------------------------------------------------------------------------------------
 
 
-@C.add(TOK + ", c AS (SELECT unnest(generate_series(0, 3)) AS k) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_pop(feat[a.k + 1], feat[b.k + 1]), 6) + 0.0 AS cov FROM tok, c a, c b WHERE a.k <= b.k GROUP BY a.k, b.k")
+@C.add(TOK + ", c AS (SELECT unnest(generate_series(0, 63)) AS k) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_pop(feat[a.k + 1], feat[b.k + 1]), 6) + 0.0 AS cov FROM tok, c a, c b WHERE a.k <= b.k GROUP BY a.k, b.k")
 def A18_covariance(spark, folder):
-    return projection.covariances(tok(spark, folder), 4).select("i", "j", r6("cov").alias("cov"))
+    return projection.covariances(tok(spark, folder), 64).select("i", "j", r6("cov").alias("cov"))
 
 
-@C.add(TOK + ", w AS (SELECT feat, 1.0 + vox % 3 AS w FROM tok), m AS (SELECT sum(w * feat[1]) / sum(w) AS a, sum(w * feat[2]) / sum(w) AS b, sum(w) AS n FROM w) SELECT 0 AS i, 1 AS j, round(sum(w * (feat[1] - a) * (feat[2] - b)) / any_value(n), 6) + 0.0 AS cov FROM w, m")
+@C.add(TOK + ", w AS (SELECT vox, feat, 1.0 + vox % 3 AS w FROM tok), m AS (SELECT k, sum(w * feat[k]) / sum(w) AS m, sum(w) AS n FROM w, (SELECT unnest(range(1, 65)) AS k) GROUP BY k) SELECT CAST(a.k - 1 AS INTEGER) AS i, CAST(b.k - 1 AS INTEGER) AS j, round(sum(w * (feat[a.k] - a.m) * (feat[b.k] - b.m)) / any_value(a.n), 6) + 0.0 AS cov FROM w, m a, m b WHERE a.k < b.k GROUP BY a.k, b.k")
 def A20_weighted_covariance(spark, folder):
     t = tok(spark, folder)
-    return projection.covariances(t, 2, 1.0 + F.col("vox") % 3).where("i <> j").select("i", "j", r6("cov").alias("cov"))
+    return projection.covariances(t, 64, 1.0 + F.col("vox") % 3).where("i < j").select("i", "j", r6("cov").alias("cov"))
 
 
 @C.add(TOK + " SELECT CAST(k AS INTEGER) AS c, round(sum(feat[k + 1]), 6) + 0.0 AS total, round(sum(feat[k + 1] * feat[k + 1]), 6) + 0.0 AS squares FROM tok, (SELECT unnest(generate_series(0, 63)) AS k) GROUP BY k")
@@ -296,30 +288,28 @@ def A21_ladder_weights(spark, folder):
     return projection.ladder_rows(spark, "exp", 4).select("level", r6("alpha").alias("alpha"))
 
 
-_GR = TOK + """, g AS (SELECT vid, d, h, w, sqrt((coalesce((feat[1] - lag(feat[1]) OVER a) ** 2, 0) + coalesce((feat[1] - lag(feat[1]) OVER b) ** 2, 0) + coalesce((feat[1] - lag(feat[1]) OVER c) ** 2, 0)
-  + coalesce((feat[2] - lag(feat[2]) OVER a) ** 2, 0) + coalesce((feat[2] - lag(feat[2]) OVER b) ** 2, 0) + coalesce((feat[2] - lag(feat[2]) OVER c) ** 2, 0)) / 2) AS grad
-  FROM tok WINDOW a AS (PARTITION BY vid, h, w ORDER BY d), b AS (PARTITION BY vid, d, w ORDER BY h), c AS (PARTITION BY vid, d, h ORDER BY w))"""
+_GR = TOK + """, lg AS (SELECT vid, d, h, w, feat, coalesce(lag(feat) OVER a, feat) AS fa, coalesce(lag(feat) OVER b, feat) AS fb, coalesce(lag(feat) OVER c, feat) AS fc
+  FROM tok WINDOW a AS (PARTITION BY vid, h, w ORDER BY d), b AS (PARTITION BY vid, d, w ORDER BY h), c AS (PARTITION BY vid, d, h ORDER BY w)),
+g AS (SELECT vid, d, h, w, sqrt(list_sum(list_transform(range(1, 65), lambda k: (feat[k] - fa[k]) ** 2 + (feat[k] - fb[k]) ** 2 + (feat[k] - fc[k]) ** 2)) / 64) AS grad FROM lg)"""
 
 
 @C.add(_GR + " SELECT vid, d, h, w, round(grad, 6) + 0.0 AS grad FROM g")
 def W6_gradient_magnitude(spark, folder):
-    t = tok(spark, folder).withColumn("feat", F.slice("feat", 1, 2))
-    return neighbourhood.gradient_magnitude(t).select("vid", "d", "h", "w", r6("grad").alias("grad"))
+    return neighbourhood.gradient_magnitude(tok(spark, folder)).select("vid", "d", "h", "w", r6("grad").alias("grad"))
 
 
 @C.add(_GR + " SELECT vid AS pair_id, d, h, w, round(grad / greatest(max(grad) OVER (PARTITION BY vid), 1e-8), 6) + 0.0 AS vw FROM g")
 def A22_edge_weights(spark, folder):
-    t = _named(tok(spark, folder)).withColumn("feat", F.slice("feat", 1, 2))
-    return projection.gradient_weight(t).select(*AT, r6("vw").alias("vw"))
+    return projection.gradient_weight(_named(tok(spark, folder))).select(*AT, r6("vw").alias("vw"))
 
 
 @C.add(
     TOK
-    + """, r AS (SELECT vid, d, h, w, (abs(feat[1] - feat[3]) + abs(feat[2] - feat[4])) / 2 AS r FROM tok), s AS (SELECT vid, d, h, w, least(r / avg(r) OVER (PARTITION BY vid), 1.5) AS r FROM r)
+    + """, r AS (SELECT vid, d, h, w, list_sum(list_transform(range(1, 33), lambda k: abs(feat[k] - feat[k + 32]))) / 32 AS r FROM tok), s AS (SELECT vid, d, h, w, least(r / avg(r) OVER (PARTITION BY vid), 1.5) AS r FROM r)
 SELECT vid AS pair_id, d, h, w, round(r / max(r) OVER (PARTITION BY vid), 6) + 0.0 AS vw FROM s"""
 )
 def A22_residual_weights(spark, folder):
-    t = _named(tok(spark, folder)).select(*AT, F.slice("feat", 1, 2).alias("x"), F.slice("feat", 3, 2).alias("y"))
+    t = _named(tok(spark, folder)).select(*AT, F.slice("feat", 1, 32).alias("x"), F.slice("feat", 33, 32).alias("y"))
     return projection.residual_weight(t, 1.5).select(*AT, r6("vw").alias("vw"))
 
 
@@ -331,7 +321,7 @@ def A23_weighted_centring(spark, folder):
 
 def _wpls_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Two levels for each patient: the moving features as they are and after a shift."""
-    t = tok(spark, folder).withColumn("feat", F.slice("feat", 1, 8))
+    t = tok(spark, folder)
     pairs = fixed_moving(entities(spark, folder), "MR", "CT")
     fix = pairs.join(t.withColumnRenamed("vid", "fix_vid"), "fix_vid").select("pair_id", "d", "h", "w", F.col("feat").alias("y"), "msk")
     mov = pairs.join(t.withColumnRenamed("vid", "mov_vid"), "mov_vid").select("pair_id", "d", "h", "w", "feat")
@@ -345,14 +335,14 @@ def _wpls_rows(spark: SparkSession, folder: str) -> DataFrame:
 @C.add()
 def A20_E7_wpls(spark, folder):
     rows = _wpls_rows(spark, folder)
-    model = projection.WPLS.fit(rows, None, 8, 3, projection.ladder("linear", 2))
-    t = tok(spark, folder).select("vox", F.slice("feat", 1, 8).alias("feat"), F.when(F.col("modality") == "MR", 0).otherwise(1).alias("mod_code"))
+    model = projection.WPLS.fit(rows, None, 64, 3, projection.ladder("linear", 2))
+    t = tok(spark, folder).select("vox", "feat", F.when(F.col("modality") == "MR", 0).otherwise(1).alias("mod_code"))
     return model.transform(t).select("vox", "mod_code", F.transform("feat", r6).alias("feat"))
 
 
-@C.add(TOK + " SELECT vox, round(feat[1] * 0.5 + feat[2] * 0.25 - feat[3], 6) + 0.0 AS p0, round(feat[3] * 2, 6) + 0.0 AS p1 FROM tok")
+@C.add(TOK + " SELECT vox, round(list_sum(list_transform(range(1, 65), lambda k: feat[k] * (k % 5 - 2))), 6) + 0.0 AS p0, round(list_sum(list_transform(range(1, 65), lambda k: feat[k] * (k % 3 - 1))), 6) + 0.0 AS p1 FROM tok")
 def P27_linear_projection(spark, folder):
-    p = projection.project(F.slice("feat", 1, 3), [[0.5, 0.25, -1.0], [0.0, 0.0, 2.0]])
+    p = projection.project(F.col("feat"), [[float(k % n - n // 2) for k in range(1, 65)] for n in (5, 3)])
     return tok(spark, folder).select("vox", p.alias("p")).select("vox", r6(F.element_at("p", 1)).alias("p0"), r6(F.element_at("p", 2)).alias("p1"))
 
 
@@ -413,8 +403,8 @@ def W9_gaussian(spark, folder):
 # ---- cost volumes ----------------------------------------------------------------------------------------------------
 
 
-def _sides(spark: SparkSession, folder: str, channels: int = 4) -> tuple[DataFrame, DataFrame]:
-    t = tok(spark, folder).withColumn("feat", F.slice("feat", 1, channels))
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    t = tok(spark, folder)
     pairs = fixed_moving(entities(spark, folder), "MR", "CT")
     side = lambda name: pairs.join(t.withColumnRenamed("vid", name), name).select("pair_id", "d", "h", "w", "feat", "msk")
     return side("fix_vid"), side("mov_vid")
@@ -422,7 +412,7 @@ def _sides(spark: SparkSession, folder: str, channels: int = 4) -> tuple[DataFra
 
 _COST = TOK + """, f AS (SELECT patient AS pair_id, d, h, w, feat FROM tok WHERE modality = 'MR'), m AS (SELECT patient AS pair_id, d, h, w, feat FROM tok WHERE modality = 'CT'),
 o AS (SELECT a.x AS od, b.x AS oh, c.x AS ow FROM (SELECT unnest([-1, 0, 1]) AS x) a, (SELECT unnest([-1, 0, 1]) AS x) b, (SELECT unnest([-1, 0, 1]) AS x) c),
-raw AS (SELECT f.pair_id, f.d, f.h, f.w, od, oh, ow, """ + " + ".join(f"(f.feat[{k}] - coalesce(m.feat[{k}], 0)) ** 2" for k in range(1, 5)) + """ AS cost FROM f CROSS JOIN o LEFT JOIN m ON m.pair_id = f.pair_id AND m.d = f.d + od AND m.h = f.h + oh AND m.w = f.w + ow),
+raw AS (SELECT f.pair_id, f.d, f.h, f.w, od, oh, ow, list_sum(list_transform(range(1, 65), lambda k: (f.feat[k] - coalesce(m.feat[k], 0)) ** 2)) AS cost FROM f CROSS JOIN o LEFT JOIN m ON m.pair_id = f.pair_id AND m.d = f.d + od AND m.h = f.h + oh AND m.w = f.w + ow),
 b1 AS (SELECT v.pair_id, v.d, v.h, v.w, v.od, v.oh, v.ow, sum(n.cost) / 27 AS cost FROM raw v JOIN raw n ON n.pair_id = v.pair_id AND n.od = v.od AND n.oh = v.oh AND n.ow = v.ow AND abs(n.d - v.d) <= 1 AND abs(n.h - v.h) <= 1 AND abs(n.w - v.w) <= 1 GROUP BY ALL),
 b2 AS (SELECT v.pair_id, v.d, v.h, v.w, v.od, v.oh, v.ow, sum(n.cost) / 27 AS cost FROM b1 v JOIN b1 n ON n.pair_id = v.pair_id AND n.od = v.od AND n.oh = v.oh AND n.ow = v.ow AND abs(n.d - v.d) <= 1 AND abs(n.h - v.h) <= 1 AND abs(n.w - v.w) <= 1 GROUP BY ALL)"""
 
@@ -442,13 +432,13 @@ def T3_cheapest_offset(spark, folder):
 @C.add()
 def R4_R8_convex_registration(spark, folder):
     fix, mov = _sides(spark, folder)
-    out = registration.register(fix, mov, grid=1, reach=1, inverse_rounds=1)
+    out = registration.Elastic(grid=2, reach=3, adam_grid=1, iters=(3,), smooths=(0, 1))(fix, mov)
     return out.select("pair_id", "level", "d", "h", "w", *[r6(c).alias(c) for c in ("ud", "uh", "uw")])
 
 
 # ---- slice search ----------------------------------------------------------------------------------------------------
 
-_SL = TOK + """, lng AS (SELECT modality, CAST(patient AS VARCHAR) AS pair_id, d AS idx, h, w, unnest(feat[1:4]) AS x, unnest(range(0, 4)) AS c FROM tok),
+_SL = TOK + """, lng AS (SELECT modality, CAST(patient AS VARCHAR) AS pair_id, d AS idx, h, w, unnest(feat) AS x, unnest(range(0, 64)) AS c FROM tok),
 nr AS (SELECT modality, pair_id, idx, sqrt(sum(x * x)) + 1e-10 AS n FROM lng GROUP BY ALL),
 u AS (SELECT modality, pair_id, idx, h, w, c, x / n AS x FROM lng JOIN nr USING (modality, pair_id, idx)),
 mt AS (SELECT a.pair_id, a.idx AS i, b.idx AS j, sum(a.x * b.x) AS value FROM u a JOIN u b ON b.pair_id = a.pair_id AND b.h = a.h AND b.w = a.w AND b.c = a.c AND a.modality = 'MR' AND b.modality = 'CT' GROUP BY ALL)"""
@@ -484,17 +474,18 @@ def A15_A35_reweighted_matrix(spark, folder):
     return slice_search.reweighted(slice_search.smoothed(_matrix(spark, folder), 1.0)).withColumn("value", r6("value"))
 
 
-_FACTORS = slice_search.scales(0.9, 1.1, 5)
+_FACTORS = slice_search.scales()
 _SCALES = ", ".join(f"({k}, {f!r}::DOUBLE)" for k, f in enumerate(_FACTORS))
-_SS = _RW + f""", scl AS (SELECT * FROM (VALUES {_SCALES}) t(s, scale)), shf AS (SELECT unnest(range(0, 5)) AS t, unnest(generate_series(-2, 2)) AS shift),
-asked AS (SELECT pair_id, s, t, shift, scale, i, round_even(scale * i + shift, 0) AS j FROM (SELECT DISTINCT pair_id, i FROM rw), scl, shf),
+_SS = _RW + f""", scl AS (SELECT * FROM (VALUES {_SCALES}) t(s, scale)), shf AS (SELECT pair_id, unnest(range(0, 2 * half + 1)) AS t, unnest(generate_series(-half, half)) AS shift FROM (SELECT pair_id, greatest(CAST(floor(0.3 * least(max(i) + 1, max(j) + 1)) AS BIGINT), 1) AS half FROM rw GROUP BY pair_id)),
+asked AS (SELECT pair_id, s, t, shift, scale, i, round_even(scale * i + shift, 0) AS j FROM (SELECT DISTINCT pair_id, i FROM rw) JOIN shf USING (pair_id), scl),
 lim AS (SELECT pair_id, 0.5 * least(max(i) + 1, max(j) + 1) AS least_ FROM rw GROUP BY pair_id),
 sc AS (SELECT a.pair_id, a.s, a.t, a.shift, a.scale, CASE WHEN count(r.value) >= any_value(least_) THEN avg(r.value) END AS score FROM asked a LEFT JOIN rw r ON r.pair_id = a.pair_id AND r.i = a.i AND r.j = a.j JOIN lim l ON l.pair_id = a.pair_id GROUP BY a.pair_id, a.s, a.t, a.shift, a.scale)"""
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     matrix = written(slice_search.reweighted(written(slice_search.smoothed(written(_matrix(spark, folder), "matrix"), 1.0), "matrix")), "matrix")
-    shifts = matrix.select("pair_id").distinct().select("pair_id", F.posexplode(F.sequence(F.lit(-2), F.lit(2))).alias("t", "shift"))
+    half = F.greatest(F.floor(0.3 * F.least(F.max("i") + 1, F.max("j") + 1)).cast("int"), F.lit(1)).alias("half")
+    shifts = matrix.groupBy("pair_id").agg(half).select("pair_id", F.posexplode(F.sequence(-F.col("half"), F.col("half"))).alias("t", "shift"))
     return slice_search.scores(matrix, _FACTORS, shifts)
 
 
@@ -515,13 +506,13 @@ def A17_best_scale_shift(spark, folder):
     return slice_search.best(written(_scores(spark, folder), "scores"), _FACTORS).select("pair_id", "s", "shift", r6("scale").alias("scale"))
 
 
-_DS = TOK + """, lng AS (SELECT vid AS pair_id, d AS idx, h, w, unnest(feat[1:4]) AS x, unnest(range(0, 4)) AS c FROM tok), nr AS (SELECT pair_id, idx, sqrt(sum(x * x)) + 1e-10 AS n FROM lng GROUP BY ALL),
+_DS = TOK + """, lng AS (SELECT vid AS pair_id, d AS idx, h, w, unnest(feat) AS x, unnest(range(0, 64)) AS c FROM tok), nr AS (SELECT pair_id, idx, sqrt(sum(x * x)) + 1e-10 AS n FROM lng GROUP BY ALL),
 u AS (SELECT pair_id, idx, h, w, c, x / n AS x FROM lng JOIN nr USING (pair_id, idx)), ds AS (SELECT a.pair_id, a.idx AS i, b.idx AS j, 1 - sum(a.x * b.x) AS dist FROM u a JOIN u b ON b.pair_id = a.pair_id AND b.h = a.h AND b.w = a.w AND b.c = a.c GROUP BY ALL),
 th AS (SELECT pair_id, min(dist) + 0.97 * (max(dist) - min(dist)) AS th FROM ds GROUP BY pair_id), fl AS (SELECT pair_id, i, count(*) FILTER (dist < th) < 5 AS dst FROM ds JOIN th USING (pair_id) GROUP BY pair_id, i)"""
 
 
 def _flags(spark: SparkSession, folder: str) -> DataFrame:
-    t = _named(tok(spark, folder)).withColumn("feat", F.slice("feat", 1, 4))
+    t = _named(tok(spark, folder))
     vectors, index = slice_search.slice_vectors(t, "x"), t.select("pair_id", F.col("d").alias("idx")).distinct()
     return slice_search.distinct_slices(slice_search.cosine_matrix(vectors, vectors, index, index), 0.97)
 
@@ -549,5 +540,5 @@ def F23_valid_slices(spark, folder):
 @C.add()
 def R2_slice_search(spark, folder):
     fix, mov = _sides(spark, folder)
-    out = slice_search.SliceSearch(n_scales=5).affine(fix, mov, "xy")
+    out = slice_search.SliceSearch().affine(fix, mov)
     return out.select("pair_id", *[r6(c).alias(c) for c in ("sd", "sh", "sw", "td", "th", "tw")])

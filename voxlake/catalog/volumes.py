@@ -232,12 +232,12 @@ def J21_mask_to_feature_grid(spark, folder):
 
 @C.add(
     TOK
-    + """ SELECT t.vid, CAST(t.d // 2 AS INTEGER) AS d, CAST(t.h // 2 AS INTEGER) AS h, CAST(t.w // 2 AS INTEGER) AS w, round(avg(feat[1]), 6) + 0.0 AS f1, round(avg(feat[2]), 6) + 0.0 AS f2
-FROM tok t JOIN (SELECT vid, max(d) + 1 AS nd FROM tok GROUP BY vid) USING (vid) WHERE t.d < 2 * (nd // 2) AND t.h < 4 AND t.w < 4 GROUP BY t.vid, t.d // 2, t.h // 2, t.w // 2"""
+    + """ SELECT t.vid, CAST(t.d // 2 AS INTEGER) AS d, CAST(t.h // 2 AS INTEGER) AS h, CAST(t.w // 2 AS INTEGER) AS w, CAST(c AS INTEGER) AS c, round(avg(feat[c]), 6) + 0.0 AS x
+FROM tok t JOIN (SELECT vid, max(d) + 1 AS nd FROM tok GROUP BY vid) USING (vid), (SELECT unnest(range(1, 65)) AS c) WHERE t.d < 2 * (nd // 2) AND t.h < 4 AND t.w < 4 GROUP BY t.vid, t.d // 2, t.h // 2, t.w // 2, c"""
 )
 def P37_presampled_features(spark, folder):
-    out = grids.pooled_features(tok(spark, folder).withColumn("feat", F.slice("feat", 1, 2)), 2)
-    return out.select("vid", "d", "h", "w", r6(F.element_at("feat", 1)).alias("f1"), r6(F.element_at("feat", 2)).alias("f2"))
+    out = grids.pooled_features(tok(spark, folder), 2).select("vid", "d", "h", "w", F.posexplode("feat").alias("c", "x"))
+    return out.select("vid", "d", "h", "w", (F.col("c") + 1).alias("c"), r6("x").alias("x"))
 
 
 @C.add(
@@ -305,13 +305,13 @@ def P23_widened_features(spark, folder):
 
 @C.add(
     TOK
-    + """, n AS (SELECT vid, 'l2' AS method, vox, feat[1] / (sqrt(list_dot_product(feat, feat)) + 1e-8) AS f1 FROM tok
-UNION ALL SELECT vid, 'mm', vox, (feat[1] - min(list_min(feat)) OVER (PARTITION BY vid)) / (max(list_max(feat)) OVER (PARTITION BY vid) - min(list_min(feat)) OVER (PARTITION BY vid) + 1e-8) FROM tok)
-SELECT method, vox, round(f1, 6) + 0.0 AS f1 FROM n"""
+    + """, e AS (SELECT vid, vox, feat, sqrt(list_dot_product(feat, feat)) AS n, min(list_min(feat)) OVER (PARTITION BY vid) AS a, max(list_max(feat)) OVER (PARTITION BY vid) AS b FROM tok)
+SELECT 'l2' AS method, vox, list_transform(feat, lambda x: round(x / (n + 1e-8), 6) + 0.0) AS feat FROM e
+UNION ALL SELECT 'mm', vox, list_transform(feat, lambda x: round((x - a) / (b - a + 1e-8), 6) + 0.0) FROM e"""
 )
 def P24_normalised_features(spark, folder):
     t = tok(spark, folder)
-    parts = [features.normalised(t, m).select(F.lit(m).alias("method"), "vox", r6(F.element_at("feat", 1)).alias("f1")) for m in ("l2", "mm")]
+    parts = [features.normalised(t, m).select(F.lit(m).alias("method"), "vox", F.transform("feat", r6).alias("feat")) for m in ("l2", "mm")]
     return parts[0].unionByName(parts[1])
 
 
@@ -320,31 +320,32 @@ def P24_normalised_features(spark, folder):
     + """, ch AS (SELECT vid, c, sqrt(sum(v * v)) AS n FROM (SELECT vid, unnest(feat) AS v, unnest(range(1, 65)) AS c FROM tok) GROUP BY vid, c),
 nn AS (SELECT vid, list(n ORDER BY c) AS n FROM ch GROUP BY vid),
 x AS (SELECT vox, list_transform(list_zip(feat, n), lambda p: p[1] / (p[2] + 1e-8)) AS f FROM tok JOIN nn USING (vid))
-SELECT vox, round(f[1] / (sqrt(list_dot_product(f, f)) + 1e-8), 6) + 0.0 AS f1 FROM x"""
+SELECT vox, list_transform(f, lambda v: round(v / (sqrt(list_dot_product(f, f)) + 1e-8), 6) + 0.0) AS feat FROM x"""
 )
 def P24_channel_then_row_normalised(spark, folder):
-    return features.normalised(tok(spark, folder), "dl2").select("vox", r6(F.element_at("feat", 1)).alias("f1"))
+    return features.normalised(tok(spark, folder), "dl2").select("vox", F.transform("feat", r6).alias("feat"))
 
 
-@C.add(TOK + " SELECT vox, round(feat[1] / (sqrt(list_dot_product(feat, feat)) + 1e-8), 6) + 0.0 AS f1 FROM tok")
+@C.add(TOK + " SELECT vox, list_transform(feat, lambda x: round(x / (sqrt(list_dot_product(feat, feat)) + 1e-8), 6) + 0.0) AS feat FROM tok")
 def P25_unit_rows(spark, folder):
-    return tok(spark, folder).select("vox", r6(F.element_at(V.unit(F.col("feat")), 1)).alias("f1"))
+    return tok(spark, folder).select("vox", F.transform(V.unit(F.col("feat")), r6).alias("feat"))
 
 
-@C.add(TOK + " SELECT vox, CASE WHEN vox % 3 = 0 THEN 0.0 ELSE round(feat[1], 6) + 0.0 END AS f1 FROM tok")
+@C.add(TOK + " SELECT vox, list_transform(range(1, 65), lambda k: CASE WHEN (vox + k) % 3 = 0 THEN 0.0 ELSE round(feat[k], 6) + 0.0 END) AS feat FROM tok")
 def P26_finite_features(spark, folder):
-    bad = F.when(F.col("vox") % 6 == 0, float("nan")).when(F.col("vox") % 6 == 3, float("-inf")).otherwise(F.element_at("feat", 1))
-    return tok(spark, folder).select("vox", r6(F.element_at(V.finite(F.array(bad)), 1)).alias("f1"))
+    at = lambda k: (F.col("vox") + k + 1) % 6
+    bad = F.transform("feat", lambda x, k: F.when(at(k) == 0, float("nan")).when(at(k) == 3, float("-inf")).otherwise(x))
+    return tok(spark, folder).select("vox", F.transform(V.finite(bad), r6).alias("feat"))
 
 
-@C.add(TOK + " SELECT vox, list_transform([feat[1], feat[2], feat[3], feat[1], feat[2]], lambda x: round(x, 6) + 0.0) AS feat FROM tok")
+@C.add(TOK + " SELECT vox, list_transform(range(0, 150), lambda k: round(feat[k % 64 + 1], 6) + 0.0) AS wide, list_transform(feat[1:24], lambda x: round(x, 6) + 0.0) AS narrow FROM tok")
 def P28_adjust_channels(spark, folder):
-    return tok(spark, folder).select("vox", F.transform(V.tiled(F.slice("feat", 1, 3), 5), r6).alias("feat"))
+    return tok(spark, folder).select("vox", *[F.transform(V.tiled(F.col("feat"), n), r6).alias(name) for n, name in ((150, "wide"), (24, "narrow"))])
 
 
 @C.add(VOX + " SELECT vid, d, h, w, round((value - 0.5) / 0.25, 6) + 0.0 AS value FROM vox")
 def P29_mean_std_input(spark, folder):
-    return vox(spark, folder).select("vid", "d", "h", "w", r6((F.col("value") - 0.5) / 0.25).alias("value"))
+    return encoders.standardised(vox(spark, folder), 0.5, 0.25).select("vid", "d", "h", "w", r6("value").alias("value"))
 
 
 _TOKENS = TOK + """, tk AS (SELECT vid, d AS slice_idx, h AS tok_y, w AS tok_x, md5(concat_ws('|', '7', vid, d, h, w)) AS draw FROM tok)"""
@@ -361,7 +362,7 @@ def F7_uniform_sample(spark, folder):
 
 @C.add(TOK + " SELECT vid, d AS slice_idx, h AS tok_y, w AS tok_x FROM tok WHERE msk")
 def F6_all_masked_tokens(spark, folder):
-    return _tokens(spark, folder).where("msk").select("vid", "slice_idx", "tok_y", "tok_x")
+    return features.every_token(_tokens(spark, folder), masked=True)
 
 
 @C.add(_TOKENS + " SELECT vid, slice_idx, tok_y, tok_x FROM (SELECT *, row_number() OVER (PARTITION BY vid, slice_idx ORDER BY draw, tok_y, tok_x) AS n FROM tk) WHERE n <= 2")
@@ -370,9 +371,9 @@ def F8_E3_planned_tokens(spark, folder):
     return features.planned(t, features.sampled(t, 2, None, 7)).select("vid", "slice_idx", "tok_y", "tok_x")
 
 
-@C.add(TOK + " SELECT vox, NOT (list_min(feat[1:3]) > -0.05) AS msk_gen FROM tok")
+@C.add(TOK + " SELECT vox, NOT (list_min(feat) > -0.25) AS msk_gen FROM tok")
 def F10_foreground_rule(spark, folder):
-    return features.foreground(tok(spark, folder).withColumn("feat", F.slice("feat", 1, 3)), -0.05).select("vox", "msk_gen")
+    return features.foreground(tok(spark, folder), -0.25).select("vox", "msk_gen")
 
 
 @C.add(TOK + " SELECT vox, mode, CASE mode WHEN 'none' THEN true WHEN 'data' THEN msk WHEN 'gen' THEN vox % 2 = 0 WHEN 'inter' THEN msk AND vox % 2 = 0 ELSE msk OR vox % 2 = 0 END AS msk_fit FROM tok, (SELECT unnest(['none', 'data', 'gen', 'inter', 'union']) AS mode)")
@@ -493,7 +494,7 @@ def S6_swapped_pairs(spark, folder):
 
 @C.add(TOK + " SELECT vid, count(*) AS n FROM tok WHERE modality = 'CT' GROUP BY vid")
 def S8_one_modality(spark, folder):
-    return tok(spark, folder).where("modality = 'CT'").groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
+    return datasets.of_modality(tok(spark, folder), "ct").groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @C.add("SELECT c_custkey AS id FROM customer WHERE c_custkey - 1 IN (0, 3, 6, 9) AND c_custkey <= 10")

@@ -43,6 +43,12 @@ def parse(vid: Column) -> Column:
     return F.when(good, fields).otherwise(F.raise_error(F.concat(F.lit("no entity key: "), F.coalesce(vid, F.lit("null")))))
 
 
+def joined(*parts: Column) -> Column:
+    """A file's or model's name from its parts, leaving out those that are null or empty."""
+    kept = F.filter(F.array(*[p.cast("string") for p in parts]), lambda p: p.isNotNull() & (p != ""))
+    return F.array_join(kept, "_")
+
+
 def slice_key(vid: Column, dim: Column, index: Column, last: Column) -> Column:
     return F.concat(vid, F.lit(SEPARATOR), dim, index.cast("string"), F.when(last, END).otherwise(""))
 

@@ -44,6 +44,37 @@ def patch_statistics(patch: int = 2) -> Encoder:
 register("patch_statistics", patch_statistics)
 
 
+def repeated(slices: DataFrame, channels: int = 3) -> DataFrame:
+    """slices with `channels`, an array of the gray value for each channel that an encoder expects."""
+    return slices.withColumn("channels", F.array_repeat("value", channels))
+
+
+def resized_for(slices: DataFrame, policy: str, patch: int, backgrounds: DataFrame, fixed: tuple[int, int] | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Slices as an encoder takes them. `none`: sides must be whole patches, others are an error where they are read;
+    `pad_to_patch`: padded to whole patches; `resize_to_fixed`: all brought from one size (rows, cols) to the fixed one."""
+    from voxlake.operators import grids
+
+    if policy == "pad_to_patch":
+        return grids.pad_slices(slices, patch, backgrounds)
+    if policy == "resize_to_fixed":
+        if fixed is None or size is None:
+            raise ValueError("resize_to_fixed needs the slices' size and the fixed one")
+        return grids.resized(slices, (size[0], fixed[0]), (size[1], fixed[1]))
+    if policy != "none":
+        raise ValueError(f"{policy!r} is none of none, pad_to_patch, resize_to_fixed")
+    sizes = slices.groupBy("vid").agg((F.max("row") + 1).alias("_r"), (F.max("col") + 1).alias("_c"))
+    whole = (F.col("_r") % patch == 0) & (F.col("_c") % patch == 0)
+    wrong = F.raise_error(F.concat(F.lit(f"sides aren't multiples of {patch}: "), F.col("vid")))
+    return slices.join(sizes, "vid").withColumn("value", F.when(whole, F.col("value")).otherwise(wrong)).drop("_r", "_c")
+
+
+def standardised(slices: DataFrame, mean: float, std: float) -> DataFrame:
+    """slices with the values that an encoder expects: less the mean of its training images, divided by their deviation."""
+    if std <= 0:
+        raise ValueError(f"a deviation must be above 0, not {std}")
+    return slices.withColumn("value", (F.col("value") - mean) / std)
+
+
 def extract(encoder: Encoder, slices: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """The tokens of a plan(vid, slice_idx, tok_y, tok_x); slices that it doesn't name are never encoded."""
     if plan is None:

@@ -56,11 +56,22 @@ def widened(rows: DataFrame, more: DataFrame, factor: float, chosen=None, unit:
     return rows.join(other, _AT).select(*_AT, F.concat(feat, "_more").alias("feat"))
 
 
+def masked(rows: DataFrame) -> DataFrame:
+    """rows(..., feat, msk) with zeros for the features outside the mask; a null mask is all true."""
+    return rows.withColumn("feat", F.when(F.coalesce("msk", F.lit(True)), F.col("feat")).otherwise(V.scale(F.col("feat"), 0.0)))
+
+
 def hash_order(seed: int, *keys: str) -> F.Column:
     """A draw for each row that any engine can repeat."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))
 
 
+def every_token(tokens: DataFrame, masked: bool = False) -> DataFrame:
+    """vid, slice_idx, tok_y, tok_x of all tokens, or of those whose msk is true (null: no mask, so all are)."""
+    kept = tokens.where(F.coalesce("msk", F.lit(True))) if masked else tokens
+    return kept.select("vid", "slice_idx", "tok_y", "tok_x")
+
+
 def sampled(tokens: DataFrame, per_slice: int | None, total: int | None, seed: int = 0, keys: tuple[str, ...] = ("vid", "slice_idx", "tok_y", "tok_x")) -> DataFrame:
     """At most per_slice tokens of each slice and then at most total, by seeded hashes, without replacement. Both limits run
     before their shuffle as group and top-k limits; the total is a feature of this sampler, a bound the caller states."""

@@ -71,6 +71,43 @@ def padding(size: Column, stride: int) -> tuple[Column, Column]:
     return (need - after).cast("int"), after.cast("int")
 
 
+def padded(voxels: DataFrame, before: Sequence[int], after: Sequence[int], value: float | None = None, column: str = "value", keys: Sequence[str] = ("vid",)) -> DataFrame:
+    """keys, d, h, w and the column of volumes padded along each axis: with a value, or (None) with their border's."""
+    sizes = shapes(voxels, keys)
+    wide = sizes.select(*keys, *[(F.col(f"n{c}") + int(a) + int(b)).alias(f"n{c}") for c, a, b in zip(XYZ, before, after, strict=True)])
+    grid = full(wide, keys).drop("nd", "nh", "nw").join(sizes, [*keys])
+    at = {f"_{c}": F.col(c) - int(a) for c, a in zip(XYZ, before, strict=True)}
+    if value is None:
+        at = {f"_{c}": F.greatest(F.least(at[f"_{c}"], F.col(f"n{c}") - 1), F.lit(0)) for c in XYZ}
+    source = voxels.select(*keys, *[F.col(c).alias(f"_{c}") for c in XYZ], column)
+    met = grid.withColumns(at).join(source, [*keys, *[f"_{c}" for c in XYZ]], "left")
+    return met.select(*keys, *XYZ, (F.coalesce(column, F.lit(value)) if value is not None else F.col(column)).alias(column))
+
+
+def zoomed(voxels: DataFrame, factors: Sequence[float], column: str = "value", order: int = 1, keys: Sequence[str] = ("vid",)) -> DataFrame:
+    """Volumes with round(n * factor) voxels along each axis; corners meet corners. order 1: linear; 0: the nearest voxel, for
+    labels and masks."""
+    if order not in (0, 1):
+        raise ValueError(f"order must be 0 or 1, not {order}")
+    sizes = shapes(voxels, keys)
+    new = sizes.select(*keys, *[F.greatest(F.rint(F.col(f"n{c}") * float(f)).cast("int"), F.lit(1)).alias(f"n{c}") for c, f in zip(XYZ, factors, strict=True)])
+    old = sizes.select(*keys, *[F.col(f"n{c}").alias(f"_n{c}") for c in XYZ])
+    rows = full(new, keys).join(old, [*keys])
+    for c in XYZ:
+        at = F.when(F.col(f"n{c}") > 1, F.col(c) * (F.col(f"_n{c}") - 1) / (F.col(f"n{c}") - 1)).otherwise(F.lit(0.0))
+        if order == 0:
+            rows = rows.withColumns({f"_{c}": F.floor(at + 0.5).cast("int"), f"_w{c}": F.lit(1.0)})
+            continue
+        low = F.least(F.floor(at), F.greatest(F.col(f"_n{c}") - 2, F.lit(0)))
+        pair = F.filter(F.array(F.struct(low.cast("int").alias("s"), (1 - (at - low)).alias("k")), F.struct((low + 1).cast("int").alias("s"), (at - low).alias("k"))), lambda p: p["k"] > 0)
+        rows = rows.withColumn("_t", F.explode(pair)).withColumns({f"_{c}": F.col("_t.s"), f"_w{c}": F.col("_t.k")}).drop("_t")
+    source = voxels.select(*keys, *[F.col(c).alias(f"_{c}") for c in XYZ], column)
+    met = rows.join(source, [*keys, *[f"_{c}" for c in XYZ]])
+    if order == 0:
+        return met.select(*keys, *XYZ, column)
+    return met.groupBy(*keys, *XYZ).agg(F.sum(F.col(column) * F.col("_wd") * F.col("_wh") * F.col("_ww")).alias(column))
+
+
 def pad_slices(slices: DataFrame, stride: int, backgrounds: DataFrame) -> DataFrame:
     """slices(vid, slice_idx, row, col, value) padded to multiples of stride with each entity's background(vid, bg)."""
     sizes = slices.groupBy("vid").agg((F.max("slice_idx") + 1).alias("n"), (F.max("row") + 1).alias("nr"), (F.max("col") + 1).alias("nc"))

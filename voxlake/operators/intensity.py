@@ -90,8 +90,3 @@ class ZScore:
 def merged_bounds(bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One pair of bounds from many: the medians."""
     return bounds.groupBy(*keys).agg(F.median("low").alias("low"), F.median("high").alias("high"))
-
-
-def merged_windows(windows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One fixed window from many: the first."""
-    return windows.groupBy(*keys).agg(F.min_by("low", order).alias("low"), F.min_by("high", order).alias("high"))

@@ -103,10 +103,6 @@ def evaluate(pairs: DataFrame, voxels: DataFrame, ks: Sequence[int] = KS, metric
     return dice(predictions, truth, counts)
 
 
-def confusion(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    return predictions.join(truth, ["pair_id", "query_id"]).groupBy("pair_id", "k", "seg", "pred").agg(F.count(F.lit(1)).alias("n"))
-
-
 def voxel_id(d: str = "d", h: str = "h", w: str = "w") -> Column:
     """A long from three coordinates below 2^21."""
     return F.shiftleft(F.col(d).cast("long"), 42) + F.shiftleft(F.col(h).cast("long"), 21) + F.col(w).cast("long")

@@ -19,9 +19,11 @@ def centroids(voxels: DataFrame) -> DataFrame:
     return means.select("vid", F.concat(F.lit("label_"), F.col("seg").cast("string")).alias("p"), "x", "y", "z")
 
 
-def last_of_name(landmarks: DataFrame, order: str) -> DataFrame:
-    """One landmark of each name of an entity: the last in the order of a column."""
-    return landmarks.groupBy("vid", "p").agg(*[F.max_by(c, order).alias(c) for c in ("x", "y", "z")])
+def last_of_name(landmarks: DataFrame, order: str | None = None) -> DataFrame:
+    """One landmark of each name of an entity: the last in the order of a column, or of places if there is none."""
+    by = F.struct(*([order] if order else []), "x", "y", "z")
+    last = landmarks.groupBy("vid", "p").agg(F.max_by(F.struct("x", "y", "z"), by).alias("_at"))
+    return last.select("vid", "p", "_at.*")
 
 
 def outside(landmarks: DataFrame, voxels: DataFrame) -> DataFrame:
@@ -31,8 +33,9 @@ def outside(landmarks: DataFrame, voxels: DataFrame) -> DataFrame:
     return landmarks.join(size, "vid", "left").where(~F.coalesce(held, F.lit(False))).select("vid", "p", "x", "y", "z")
 
 
-def shared_names(pairs: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """pair_id, landmark, and both places, of names that both entities have."""
+def shared_names(pairs: DataFrame, landmarks: DataFrame, order: str | None = None) -> DataFrame:
+    """pair_id, landmark, and both places, of names that both entities have; of a repeated name the last counts."""
+    landmarks = last_of_name(landmarks, order)
     q = landmarks.select(F.col("vid").alias("query_vid"), "p", *[F.col(c).alias(f"q{c}") for c in "xyz"])
     k = landmarks.select(F.col("vid").alias("key_vid"), "p", *[F.col(c).alias(f"k{c}") for c in "xyz"])
     return pairs.join(q, "query_vid").join(k, ["key_vid", "p"]).withColumnRenamed("p", "landmark")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators import similarity, warp
+from voxlake.operators import warp
+from voxlake.operators.distance import nearest
 from voxlake.operators.grids import XYZ, shapes
-from voxlake.operators.knn import voxel_id
 from voxlake.operators.neighbourhood import line, surface
 
 _AT = ["pair_id", *XYZ]
@@ -33,13 +33,8 @@ def dice(fixed: DataFrame, moving: DataFrame, warped: DataFrame) -> DataFrame:
 
 
 def directed_distances(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """pair_id, label, distance: for each point of a the distance to the nearest point of b (points: pair_id, label, d, h, w).
-    The block search of the similarity join over coordinates finds it."""
-    place = F.array(*[F.col(c) * float(s) for c, s in zip(XYZ, spacing, strict=True)]).alias("feat")
-    group = F.concat_ws("|", F.col("label").cast("string"), "pair_id").alias("pair_id")
-    found = similarity.top_k(a.select(group, voxel_id().alias("query_id"), place), b.select(group, voxel_id().alias("key_id"), place), 1, "neg_sq_l2")
-    parts = F.split("pair_id", "\\|", 2)
-    return found.select(parts[1].alias("pair_id"), parts[0].cast("int").alias("label"), F.sqrt(F.greatest(-F.col("score"), F.lit(0.0))).alias("distance"))
+    """pair_id, label, distance: for each point of a the distance to the nearest point of b (points: pair_id, label, d, h, w)."""
+    return nearest(a, b, ["pair_id", "label"], spacing).select("pair_id", "label", "distance")
 
 
 def hd95(fixed: DataFrame, moving: DataFrame, warped: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), mode: str = "pooled") -> DataFrame:
@@ -101,10 +96,3 @@ def evaluate(fixed: DataFrame, moving: DataFrame, fields: DataFrame, metrics: tu
         out = rows if out is None else out.unionByName(rows)
     parts = F.split("pair_id", "\t", 2)
     return out.select(parts[1].alias("pair_id"), parts[0].alias("displacement"), "metric", "label", "value")
-
-
-def interior_sizes(field: DataFrame) -> DataFrame:
-    return shapes(field, ["pair_id"]).where(" AND ".join(f"n{c} >= 5" for c in XYZ))
-
-
-

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
+from voxlake.operators.distance import nearest
 from voxlake.operators.grids import XYZ, shapes
 from voxlake.scratch import written
 
@@ -65,13 +66,13 @@ def gaussian(rows: DataFrame, value: str, sigma: float, keys: Sequence[str] = ("
     return rows
 
 
-def box_passes(sigma: float) -> list[int]:
-    """Widths of the four box means that stand for a wide Gaussian."""
-    ideal = (12.0 * sigma**2 / 4 + 1) ** 0.5
-    upper = math.ceil((ideal - 1) / 2) * 2 + 1
-    lower = max(upper - 2, 1)
-    narrow = round((12 * sigma**2 - 4 * lower**2 - 16 * lower - 12) / (-4 * lower - 4))
-    return [lower] * (narrow if lower > 1 else 0) + [upper] * (4 - narrow)
+def box_passes(sigma: float, passes: int = 4) -> list[int]:
+    """Odd widths of the box means, at most `passes` of them, that together spread most nearly like a Gaussian. A mean of
+    width w has the variance (w^2 - 1) / 12, variances add up, and a width of 1 changes nothing."""
+    spread = lambda widths: sum(w * w - 1 for w in widths) / 12
+    widest = 2 * math.ceil(2 * sigma) + 3
+    choices = ([narrow] * k + [narrow + 2] * (passes - k) for narrow in range(1, widest, 2) for k in range(passes + 1))
+    return [w for w in min(choices, key=lambda widths: abs(spread(widths) - sigma**2)) if w > 1]
 
 
 def smoothed(rows: DataFrame, value: str, sigma: float | None, keys: Sequence[str] = ("vid",)) -> DataFrame:
@@ -198,15 +199,10 @@ def generated_mask(volumes: DataFrame, threshold: float = 0.99, size: int = 3, c
 
 def filled_outside(volumes: DataFrame, keys: Sequence[str] = ("vid",)) -> DataFrame:
     """volumes(keys, d, h, w, value, msk): voxels outside the mask take the value of the nearest voxel inside it, ties to the
-    first in (d, h, w). Nearest voxels come from the block search of the similarity join."""
-    from voxlake.operators import similarity
-    from voxlake.operators.knn import voxel_id
-
-    place = F.array(*[F.col(c).cast("double") for c in XYZ])
-    rows = volumes.withColumns({"_id": voxel_id(), "_group": F.concat_ws("|", *keys)})
-    outer = rows.where(~F.coalesce("msk", F.lit(False))).select(F.col("_group").alias("pair_id"), F.col("_id").alias("query_id"), place.alias("feat"))
-    inner = rows.where(F.coalesce("msk", F.lit(False)))
-    near = similarity.top_k(outer, inner.select(F.col("_group").alias("pair_id"), F.col("_id").alias("key_id"), place.alias("feat")), 1, "neg_sq_l2")
-    values = near.join(inner.select(F.col("_group").alias("pair_id"), F.col("_id").alias("key_id"), F.col("value").alias("_near")), ["pair_id", "key_id"])
-    values = values.select(F.col("pair_id").alias("_group"), F.col("query_id").alias("_id"), "_near")
-    return rows.join(values, ["_group", "_id"], "left").withColumn("value", F.coalesce("_near", "value")).drop("_group", "_id", "_near")
+    first in (d, h, w); a volume without a mask stays as it is."""
+    at = [*keys, *XYZ]
+    inside = F.coalesce("msk", F.lit(False))
+    near = nearest(volumes.where(~inside), volumes.where(inside), keys)
+    values = volumes.where(inside).select(*keys, *[F.col(c).alias(f"n{c}") for c in XYZ], F.col("value").alias("_near"))
+    near = near.join(values, [*keys, "nd", "nh", "nw"]).select(*at, "_near")
+    return volumes.join(near, at, "left").withColumn("value", F.coalesce("_near", "value")).drop("_near")

@@ -49,11 +49,6 @@ def fixed_moving(entities: DataFrame, fixed: str, moving: str, key: str = "patie
     return per_key.where("_nf = 1 AND _nm = 1").select(F.col(key).cast("string").alias("pair_id"), "fix_vid", "mov_vid")
 
 
-def unmatched(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    used = pairs.select(F.explode(F.array("fix_vid", "mov_vid")).alias("vid"))
-    return entities.join(used, "vid", "left_anti")
-
-
 def swapped_neighbours(samples: DataFrame) -> DataFrame:
     """Reverse each two samples in a row: partner is the other one of (0,1), (2,3), ... in the order of samples(sample)."""
     at = F.row_number().over(Window.orderBy("sample")) - 1

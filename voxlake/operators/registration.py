@@ -1,59 +1,143 @@
 """Elastic registration by a discrete cost volume, as tables.
 
-The cost of every offset is an offset join at a coarse grid; box means are windows; the convex rounds alternate between the
-cheapest offset near the smooth field and smoothing. Each round is a written table, so plans stay short and a lost executor
-costs one round. Fields are (pair_id, d, h, w, ud, uh, uw).
+Costs are summed in slabs: a task holds a few planes of both feature volumes with what the offsets and means reach beyond
+them, and gives every voxel one row with its costs at all offsets. The convex rounds alternate between the cheapest offset near
+the smooth field, voxel by voxel, and smoothing by windows. Each round is a written table, so plans stay short and a lost
+executor costs one round; a table goes when the next one is written. Fields are (pair_id, d, h, w, ud, uh, uw).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field as _field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
-from voxlake.operators import warp
+from voxlake.operators import features, slice_search, warp
 from voxlake.operators.grids import XYZ, full, pooled_features, shapes
 from voxlake.operators.neighbourhood import box_mean, line
-from voxlake.scratch import written
+from voxlake.scratch import dropped, written
 
 #: Weights of the smooth field in the convex rounds. Fixed values.
 COEFFICIENTS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+#: Costs that a task holds at once, about.
+SLAB_COSTS = 1 << 23
 _AT = ["pair_id", *XYZ]
+_U = [f"u{c}" for c in XYZ]
 
 
-def offsets(reach: int) -> Column:
+def offset_list(reach: int) -> list[tuple[int, int, int]]:
     """All offsets of a cube, in order."""
     side = range(-reach, reach + 1)
-    return F.array(*[F.struct(*[F.lit(v).alias(f"o{c}") for c, v in zip(XYZ, (a, b, e), strict=True)]) for a in side for b in side for e in side])
+    return [(a, b, e) for a in side for b in side for e in side]
+
+
+def _mean3(x: np.ndarray) -> np.ndarray:
+    """Means of 3^3 cells along the first three axes, zeros beyond the ends."""
+    for axis in range(3):
+        pad = [(1, 1) if k == axis else (0, 0) for k in range(x.ndim)]
+        wide = np.pad(x, pad)
+        take = lambda k: np.take(wide, np.arange(k, k + x.shape[axis]), axis)  # noqa: B023, E731
+        x = (take(0) + take(1) + take(2)) / 3
+    return x
+
+
+def _slab(reach: int, depth: int, means: int):
+    """Both sides' voxels of one slab and its surroundings -> the costs of its own voxels of the fixed side."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, d, h, w, slab, nd, nh, nw = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "d", "h", "w", "slab", "nd", "nh", "nw"))
+        feat = rows.column("feat").combine_chunks()
+        feat = feat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
+        first, size = slab[0] * depth - means, (depth + 2 * means, int(nh[0]), int(nw[0]))
+        fixed = np.zeros((*size, feat.shape[1]))
+        moving = np.zeros((*(n + 2 * reach for n in size), feat.shape[1]))
+        own = (side == 0) & (d >= first) & (d < first + size[0])
+        fixed[d[own] - first, h[own], w[own]] = feat[own]
+        other = side == 1
+        moving[d[other] - first + reach, h[other] + reach, w[other] + reach] = feat[other]
+        plane = np.arange(size[0]) + first
+        outside = (plane < 0) | (plane >= nd[0])
+        mine = np.flatnonzero(own & (d >= slab * depth) & (d < (slab + 1) * depth))
+        costs = np.empty((len(mine), (2 * reach + 1) ** 3))
+        for k, offset in enumerate(offset_list(reach)):
+            a, b, e = (o + reach for o in offset)
+            cost = ((fixed - moving[a : a + size[0], b : b + size[1], e : e + size[2]]) ** 2).sum(-1)
+            for _ in range(means):
+                cost[outside] = 0
+                cost = _mean3(cost)
+            costs[:, k] = cost[d[mine] - first, h[mine], w[mine]]
+        ends = pa.array(np.arange(0, costs.size + 1, costs.shape[1]).astype(np.int32))
+        kept = rows.select(["pair_id", "d", "h", "w"]).take(pa.array(mine))
+        return kept.append_column("costs", pa.ListArray.from_arrays(ends, pa.array(costs.ravel())))
+
+    return run
+
+
+def packed_costs(fixed: DataFrame, moving: DataFrame, reach: int, means: int = 2) -> DataFrame:
+    """pair_id, d, h, w, costs: for each voxel the squared feature differences at every offset of `offset_list` (zeros beyond the
+    volume), after 3^3 means. fixed, moving: (pair_id, d, h, w, feat) on one full grid."""
+    sizes = shapes(fixed, ["pair_id"])
+    widest = sizes.agg(F.coalesce(F.max(F.col("nh") * F.col("nw")), F.lit(1))).first()[0]
+    depth = max(1, SLAB_COSTS // (widest * (2 * reach + 1) ** 3))
+
+    def cut(volume: DataFrame, side: int, beyond: int) -> DataFrame:
+        ends = [F.floor((F.col("d") + x) / depth).cast("int") for x in (-beyond, beyond)]
+        last = F.floor((F.col("nd") - 1) / depth).cast("int")
+        rows = volume.select(*_AT, F.col("feat").cast("array<double>").alias("feat")).join(sizes, "pair_id")
+        return rows.select(F.lit(side).alias("side"), *_AT, "feat", "nd", "nh", "nw", F.explode(F.sequence(F.greatest(ends[0], F.lit(0)), F.least(ends[1], last))).alias("slab"))
+
+    both = cut(fixed, 0, means).unionByName(cut(moving.join(sizes.select("pair_id"), "pair_id", "left_semi"), 1, means + reach).where("d < nd AND h < nh AND w < nw"))
+    return both.groupBy("pair_id", "slab").applyInArrow(_slab(reach, depth, means), "pair_id string, d int, h int, w int, costs array<double>")
 
 
 def cost_volume(fixed: DataFrame, moving: DataFrame, reach: int) -> DataFrame:
-    """pair_id, d, h, w, od, oh, ow, cost: squared feature differences for every offset (zeros beyond the volume), after two
-    3^3 means. fixed, moving: (pair_id, d, h, w, feat) on one grid. Each voxel asks (2 reach + 1)^3 partners, a parameter."""
-    asked = fixed.select(*_AT, "feat", F.explode(offsets(reach)).alias("o")).select(*_AT, "feat", "o.*")
-    asked = asked.withColumns({f"_{c}": F.col(c) + F.col(f"o{c}") for c in XYZ})
-    met = asked.join(moving.select("pair_id", *[F.col(c).alias(f"_{c}") for c in XYZ], F.col("feat").alias("_feat")), ["pair_id", *[f"_{c}" for c in XYZ]], "left")
-    other = F.coalesce(F.col("_feat"), V.scale(F.col("feat"), 0.0))
-    rows = met.select(*_AT, *[f"o{c}" for c in XYZ], V.squared_distance(F.col("feat"), other).alias("cost"))
-    return box_mean(rows, ["cost"], ["pair_id", *[f"o{c}" for c in XYZ]], times=2)
+    """The same costs by rows: pair_id, d, h, w, od, oh, ow, cost."""
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{c}") for c, v in zip(XYZ, o, strict=True)]) for o in offset_list(reach)])
+    rows = packed_costs(fixed, moving, reach).select(*_AT, F.explode(F.arrays_zip(F.col("costs").alias("cost"), offsets.alias("o"))).alias("x"))
+    return rows.select(*_AT, *[F.col(f"x.o.o{c}").alias(f"o{c}") for c in XYZ], F.col("x.cost").alias("cost"))
 
 
 def cheapest(costs: DataFrame, cost: Column) -> DataFrame:
-    """Each voxel's offset of least cost, ties to the first in order, as a field."""
+    """Each voxel's offset of least cost, ties to the first in order, as a field. costs: by rows."""
     order = F.struct(cost.alias("c"), *[F.col(f"o{c}") for c in XYZ])
     return costs.groupBy(*_AT).agg(F.min(order).alias("b")).select(*_AT, *[F.col(f"b.o{c}").cast("double").alias(f"u{c}") for c in XYZ])
 
 
-def convex(costs: DataFrame, coefficients: Sequence[float] = COEFFICIENTS) -> DataFrame:
-    """The coupled rounds over costs: a smooth field in voxels of the coarse grid."""
-    names = [f"u{c}" for c in XYZ]
-    smooth = written(box_mean(cheapest(costs, F.col("cost")), names, ["pair_id"]), "convex")
+def _chosen(reach: int, weight: float):
+    table = np.array(offset_list(reach), np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            costs = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if weight:
+                at = np.stack([batch.column(5 + k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
+                costs = costs + weight * ((table[None] - at[:, None]) ** 2).sum(2)
+            found = table[costs.argmin(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(found[:, k]) for k in range(3))], [*_AT, *_U])
+
+    return run
+
+
+def chosen(costs: DataFrame, reach: int, near: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
+    """Each voxel's offset of least cost as a field; with near, costs plus weight times the squared distance from that field."""
+    rows = costs.join(near, _AT) if near is not None else costs.withColumns({u: F.lit(0.0) for u in _U})
+    return rows.select(*_AT, "costs", *_U).mapInArrow(_chosen(reach, weight if near is not None else 0.0), "pair_id string, d int, h int, w int, ud double, uh double, uw double")
+
+
+def convex(costs: DataFrame, reach: int, coefficients: Sequence[float] = COEFFICIENTS) -> DataFrame:
+    """The coupled rounds over packed costs: a smooth field in voxels of the coarse grid."""
+    smooth = written(box_mean(chosen(costs, reach), _U, ["pair_id"]), "convex")
     for weight in coefficients:
-        near = sum(((F.col(f"o{c}") - F.col(f"u{c}")) * (F.col(f"o{c}") - F.col(f"u{c}")) for c in XYZ), F.lit(0.0))
-        chosen = cheapest(costs.join(smooth, _AT), F.col("cost") + weight * near)
-        smooth = written(box_mean(chosen, names, ["pair_id"]), "convex")
+        now = written(box_mean(chosen(costs, reach, smooth, weight), _U, ["pair_id"]), "convex")
+        dropped(smooth)
+        smooth = now
     return smooth
 
 
@@ -67,7 +151,9 @@ def consistent(forward: DataFrame, backward: DataFrame, rounds: int = 15) -> tup
         return a.join(moved, _AT).select(*_AT, *[(0.5 * (F.col(n) - F.col(f"_{n}"))).alias(n) for n in names])
 
     for _ in range(rounds):
-        forward, backward = written(step(forward, backward), "forward"), written(step(backward, forward), "backward")
+        ahead, back = written(step(forward, backward), "forward"), written(step(backward, forward), "backward")
+        dropped(forward, backward)
+        forward, backward = ahead, back
     return forward, backward
 
 
@@ -81,10 +167,39 @@ def upsampled(field: DataFrame, factor: int, sizes: DataFrame) -> DataFrame:
     return moved.select(*_AT, *[(F.col(n) * factor).alias(n) for n in names])
 
 
-def descend(field: DataFrame, fixed: DataFrame, moving: DataFrame, weight: float = 1.0, rounds: int = 10, rate: float = 0.5) -> DataFrame:
-    """Adam over squared feature differences (times 12) and the field's squared neighbour differences (times weight). A round
-    samples the moving features and their central differences at x + u, forms the gradient, and moves u."""
-    names = [f"u{c}" for c in XYZ]
+def _data_gradient(rows: DataFrame, loss: str) -> DataFrame:
+    """rows(pair_id, d, h, w, feat, _s, ...) with _e: the derivative of twelve times the loss by each sampled channel. _s holds
+    the sampled features and then their slopes along each axis. ssd: the mean squared difference over channels and voxels;
+    ncc: one less the correlation of each channel over a pair's voxels, its mean over channels."""
+    n = F.size("feat")
+    sampled = F.slice("_s", F.lit(1), n)
+    if loss == "ssd":
+        return rows.withColumn("_e", V.scale(V.subtract(sampled, F.col("feat")), 24.0 / n / F.col("_voxels")))
+    if loss != "ncc":
+        raise ValueError(f"a loss is ssd or ncc, not {loss!r}")
+    long = rows.select("pair_id", F.posexplode(F.arrays_zip(sampled.alias("m"), F.col("feat").alias("f"))).alias("c", "x"))
+    m, f = F.col("x.m"), F.col("x.f")
+    sums = long.groupBy("pair_id", "c").agg(F.avg(m).alias("am"), F.avg(f).alias("af"), F.avg(m * m).alias("mm"), F.avg(f * f).alias("ff"), F.avg(m * f).alias("mf"))
+    sm, sf = (F.sqrt(F.greatest(F.col(x * 2) - F.col(f"a{x}") * F.col(f"a{x}"), F.lit(0.0))) for x in "mf")
+    below = sm * sf + 1e-6
+    cov = F.col("mf") - F.col("am") * F.col("af")
+    # d ncc / d m = ((f - mean f) - (m - mean m) cov sf / (sm below)) / (voxels below)
+    per = sums.select("pair_id", "c", "am", "af", (1 / below).alias("k"), F.coalesce(F.try_divide(cov * sf, sm * below), F.lit(0.0)).alias("r"))
+    packed = per.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "am", "af", "k", "r"))), lambda x: x).alias("_p"))
+    rows = rows.join(packed, "pair_id")
+    centred = F.zip_with(F.zip_with(sampled, F.col("feat"), lambda a, b: F.struct(a.alias("m"), b.alias("f"))), "_p", lambda x, p: -((x["f"] - p["af"]) - (x["m"] - p["am"]) * p["r"]) * p["k"])
+    return rows.withColumn("_e", V.scale(centred, 12.0 / n / F.col("_voxels")))
+
+
+def descend(
+    field: DataFrame, fixed: DataFrame, moving: DataFrame, weight: float = 1.0, rounds: int = 10, rate: float = 0.5,
+    loss: str = "ssd", inner: int = 0, keep: Sequence[int] = (), smooth_every: int = 0,
+) -> DataFrame:
+    """Adam over twelve times the loss of the features (`_data_gradient`) and, times weight, the mean over voxels of the field's
+    squared neighbour differences. A round smooths the field by `inner` 3^3 means, samples the moving features and their
+    central differences at x + u, forms the gradient, takes it back through the means (which are their own transpose),
+    and moves u; every `smooth_every` rounds u itself is smoothed once. keep: rounds whose smoothed fields are returned, with a
+    column `round`; none: the last round's field, as it stands."""
     sizes = written(shapes(fixed, ["pair_id"]), "sizes")
     slopes = moving
     for c in XYZ:
@@ -92,56 +207,209 @@ def descend(field: DataFrame, fixed: DataFrame, moving: DataFrame, weight: float
         ahead, behind = F.coalesce(F.lead("feat").over(own), F.col("feat")), F.coalesce(F.lag("feat").over(own), F.col("feat"))
         slopes = slopes.withColumn(f"_g{c}", V.scale(V.subtract(ahead, behind), 0.5))
     # one vector for each voxel: features, then the slopes along each axis
-    source = written(slopes.select(*_AT, F.concat("feat", *[f"_g{c}" for c in XYZ]).alias("feat"), F.size("feat").alias("_n")), "slopes")
-    zeros = {f"{k}{c}": F.lit(0.0) for k in ("m", "v") for c in XYZ}
-    state = written(field.select(*_AT, *names).withColumns(zeros), "descent")
-    for step in range(1, rounds + 1):
-        sampled = warp.trilinear_features(state, source, sizes).withColumnRenamed("feat", "_s")
-        rows = state.join(sampled, _AT).join(fixed.select(*_AT, "feat"), _AT)
+    source = written(slopes.select(*_AT, F.concat("feat", *[f"_g{c}" for c in XYZ]).alias("feat")), "slopes")
+    voxels = sizes.select("pair_id", (F.col("nd") * F.col("nh") * F.col("nw")).cast("double").alias("_voxels"))
+    moments = [f"{k}{c}" for k in ("m", "v") for c in XYZ]
+    state = written(field.select(*_AT, *_U).withColumns({c: F.lit(0.0) for c in moments}), "descent")
+    kept, last = [], max(keep) if keep else rounds
+    for step in range(1, last + 1):
+        smooth = written(box_mean(state.select(*_AT, *_U), _U, ["pair_id"], times=inner), "descent-smooth") if inner else state.select(*_AT, *_U)
+        if step in keep:
+            kept.append((step, written(smooth, "descent-kept")))
+        sampled = warp.trilinear_features(smooth, source, sizes).withColumnRenamed("feat", "_s")
+        rows = smooth.join(sampled, _AT).join(fixed.select(*_AT, "feat"), _AT).join(voxels, "pair_id")
+        rows = _data_gradient(rows, loss)
         n = F.size("feat")
-        count = F.col("_voxels")
-        rows = rows.join(sizes.select("pair_id", (F.col("nd") * F.col("nh") * F.col("nw")).cast("double").alias("_voxels")), "pair_id")
-        rows = rows.withColumn("_diff", V.subtract(F.slice("_s", F.lit(1), n), F.col("feat")))
-        gradients = {}
+        gradients = []
         for k, c in enumerate(XYZ):
-            data = 2.0 * 12.0 / n * V.dot(F.col("_diff"), F.slice("_s", 1 + (k + 1) * n, n)) / count
             bend = F.lit(0.0)
             for a in XYZ:
                 own = line(a, ["pair_id"])
                 for move in (F.lag(f"u{c}").over(own), F.lead(f"u{c}").over(own)):
                     bend = bend + F.coalesce(F.col(f"u{c}") - move, F.lit(0.0))
-            gradients[c] = data + 2.0 * weight * bend / count
-        rows = rows.select(*_AT, *names, *[f"{k}{c}" for k in ("m", "v") for c in XYZ], *[g.alias(f"_g{c}") for c, g in gradients.items()])
+            gradients.append((V.dot(F.col("_e"), F.slice("_s", 1 + (k + 1) * n, n)) + 2.0 * weight * bend / F.col("_voxels")).alias(f"_g{c}"))
+        slope = [f"_g{c}" for c in XYZ]
+        found = rows.select(*_AT, *gradients)
+        if inner:
+            found = box_mean(written(found, "descent-gradient"), slope, ["pair_id"], times=inner)
+        rows = state.join(found, _AT)
         m = {c: 0.9 * F.col(f"m{c}") + 0.1 * F.col(f"_g{c}") for c in XYZ}
         v = {c: 0.999 * F.col(f"v{c}") + 0.001 * F.col(f"_g{c}") * F.col(f"_g{c}") for c in XYZ}
         moved = [(F.col(f"u{c}") - rate * (m[c] / (1 - 0.9**step)) / (F.sqrt(v[c] / (1 - 0.999**step)) + 1e-8)).alias(f"u{c}") for c in XYZ]
-        state = written(rows.select(*_AT, *moved, *[m[c].alias(f"m{c}") for c in XYZ], *[v[c].alias(f"v{c}") for c in XYZ]), "descent")
-    return state.select(*_AT, *names)
+        now = written(rows.select(*_AT, *moved, *[m[c].alias(f"m{c}") for c in XYZ], *[v[c].alias(f"v{c}") for c in XYZ]), "descent")
+        if smooth_every and step % smooth_every == 0:
+            now = written(box_mean(now, _U, ["pair_id"]), "descent")
+        dropped(state)
+        state = now
+    if not keep:
+        return state.select(*_AT, *_U)
+    out = [table.select(*_AT, *_U, F.lit(step).alias("round")) for step, table in kept]
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def smoothing_levels(fields: DataFrame, counts: Sequence[int]) -> DataFrame:
+    """fields(pair_id, level, d, h, w, ud, uh, uw) after each of the counts of smoothings (three 3^3 means each), as levels
+    `{level}_s{count}`."""
+    out, keys = None, ["pair_id", "level"]
+    now = fields.select(*keys, *XYZ, *_U)
+    for count in range(max(counts) + 1):
+        if count:
+            now = written(box_mean(now, _U, keys, times=3), "smoothing")
+        if count in counts:
+            part = now.withColumn("level", F.concat("level", F.lit(f"_s{count}")))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@dataclass(frozen=True)
+class Elastic:
+    """The convex rounds and the descent after them. iters: rounds of the descent whose fields are levels `e{rounds}`, none for
+    the convex level only; smooths: counts of smoothings, each a level `e{rounds}_s{count}`."""
+
+    grid: int = 4
+    reach: int = 4
+    inverse_rounds: int = 15
+    adam_grid: int = 2
+    weight: float = 0.75
+    rate: float = 1.0
+    loss: str = "ssd"
+    inner: int = 3
+    smooth_every: int = 0
+    iters: tuple[int, ...] = ()
+    smooths: tuple[int, ...] = (0,)
+
+    def _levels(self, fixed: DataFrame, moving: DataFrame, fine: tuple[DataFrame, DataFrame]) -> DataFrame:
+        f, m = (written(pooled_features(x, self.grid, ["pair_id"]), "coarse") for x in (fixed, moving))
+        ahead = convex(written(packed_costs(f, m, self.reach), "costs"), self.reach)
+        if self.inverse_rounds:
+            back = convex(written(packed_costs(m, f, self.reach), "costs"), self.reach)
+            ahead, _ = consistent(ahead, back, self.inverse_rounds)
+        sizes = shapes(fixed, ["pair_id"])
+        coarse = written(upsampled(ahead, self.grid, sizes), "convex-full")
+        out = coarse.withColumn("level", F.lit("convex"))
+        if self.iters:
+            f, m = (written(pooled_features(x, self.adam_grid, ["pair_id"]), "coarse") for x in fine)
+            start = downsampled(coarse, self.adam_grid)
+            fields = descend(start, f, m, self.weight, rate=self.rate, loss=self.loss, inner=self.inner, keep=self.iters, smooth_every=self.smooth_every)
+            for step in self.iters:
+                part = written(upsampled(fields.where(F.col("round") == step).drop("round"), self.adam_grid, sizes), "descent-full")
+                out = out.unionByName(smoothing_levels(part.withColumn("level", F.lit(f"e{step}")), self.smooths).select(*out.columns))
+        return out.select("pair_id", "level", *XYZ, *_U)
+
+    def __call__(self, fixed: DataFrame, moving: DataFrame, init: DataFrame | None = None, fine: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """pair_id, level, d, h, w, ud, uh, uw of fixed and moving(pair_id, d, h, w, feat). init, a field, warps the moving
+        features first, and every level is that of the fitted field and then init. fine: features of the descent, where they
+        are others than the convex rounds'."""
+        fine = fine or (fixed, moving)
+        if init is None:
+            return self._levels(fixed, moving, fine)
+        sizes = written(shapes(moving, ["pair_id"]), "sizes")
+        ahead = [written(warp.trilinear_features(init, x, sizes), "warped") for x in (moving, fine[1])]
+        return ladder(init, self._levels(fixed, ahead[0], (fine[0], ahead[1])), sizes).where("level <> 'affine'")
+
+
+def downsampled(field: DataFrame, factor: int) -> DataFrame:
+    """A field in a grid `factor` times coarser, sampled at the coarse voxels' centres; its values shrink by the factor."""
+    sizes = shapes(field, ["pair_id"])
+    coarse = sizes.select("pair_id", *[F.expr(f"cast(n{c} div {factor} as int)").alias(f"n{c}") for c in XYZ])
+    grid = full(coarse, ("pair_id",)).select(*_AT)
+    place = [((F.col(c) + 0.5) * factor - 0.5 - F.col(c)).alias(f"u{c}") for c in XYZ]
+    moved = warp.trilinear(grid.select(*_AT, *place), field, sizes, _U)
+    return moved.select(*_AT, *[(F.col(n) / factor).alias(n) for n in _U])
 
 
 def register(fixed: DataFrame, moving: DataFrame, grid: int = 2, reach: int = 2, inverse_rounds: int = 3, adam_rounds: int = 0, weight: float = 1.0, smoothing: int = 0) -> DataFrame:
     """pair_id, level, d, h, w, ud, uh, uw of every pair: level `convex`, and `adam` where its rounds aren't 0."""
-    f, m = (written(pooled_features(x, grid, ["pair_id"]), "coarse") for x in (fixed, moving))
-    ahead = convex(written(cost_volume(f, m, reach), "costs"))
-    if inverse_rounds:
-        back = convex(written(cost_volume(m, f, reach), "costs"))
-        ahead, _ = consistent(ahead, back, inverse_rounds)
-    sizes = shapes(fixed, ["pair_id"])
-    full_field = written(upsampled(ahead, grid, sizes), "convex-full")
-    out = full_field.withColumn("level", F.lit("convex"))
-    if adam_rounds:
-        fine = descend(full_field, fixed, moving, weight, adam_rounds)
-        if smoothing:
-            fine = box_mean(fine, [f"u{c}" for c in XYZ], ["pair_id"], times=smoothing)
-        out = out.unionByName(fine.withColumn("level", F.lit("adam")))
-    return out.select("pair_id", "level", *XYZ, *[f"u{c}" for c in XYZ])
+    found = Elastic(grid, reach, inverse_rounds, 1, weight, 0.5, inner=0, iters=(adam_rounds,) if adam_rounds else (), smooths=(smoothing,))(fixed, moving)
+    return found.withColumn("level", F.when(F.col("level") == "convex", F.col("level")).otherwise("adam"))
 
 
 def ladder(affine_field: DataFrame, elastic: DataFrame, sizes: DataFrame) -> DataFrame:
     """The levels of a pair's displacement: affine, then each elastic level after it. elastic was fitted to moving features
     already warped by the affine, so fields compose."""
     out = affine_field.withColumn("level", F.lit("affine"))
-    for (name,) in elastic.select("level").distinct().orderBy("level").toLocalIterator():
+    names = [r["level"] for r in elastic.select("level").distinct().orderBy("level").collect()]  # a handful, by parameters
+    for name in names:
         part = warp.composed(elastic.where(F.col("level") == name).drop("level"), affine_field, sizes)
         out = out.unionByName(part.withColumn("level", F.lit(name)))
     return out
+
+
+@dataclass(frozen=True)
+class TwoStage:
+    """An affine start, then elastic levels. affine: `search` (scales and shifts of every axis), `trans` (shifts alone), `scale` (no
+    shifts), `none`, or a table of pair_id, sd, sh, sw, td, th, tw. use_mask: which stage reads masks (none, affine,
+    elastic, both). l2: features are brought to length 1 and the field's weight becomes a tenth, as costs are smaller then."""
+
+    affine: str | DataFrame = "search"
+    elastic: Elastic = _field(default_factory=Elastic)
+    search: slice_search.SliceSearch = _field(default_factory=slice_search.SliceSearch)
+    rounds: int = 1
+    l2: bool = False
+    use_mask: str = "none"
+
+    def _start(self, fixed: DataFrame, moving: DataFrame) -> DataFrame | None:
+        if not isinstance(self.affine, str):
+            return self.affine
+        if self.affine == "none":
+            return None
+        if self.affine not in ("search", "trans", "scale"):
+            raise ValueError(f"an affine stage is search, trans, scale, none or a table, not {self.affine!r}")
+        found = slice_search.refined(self.search, fixed, moving, rounds=self.rounds)
+        if self.affine == "trans":
+            found = found.withColumns({f"s{c}": F.lit(1.0) for c in XYZ})
+        if self.affine == "scale":
+            found = found.withColumns({f"t{c}": F.lit(0.0) for c in XYZ})
+        return found
+
+    def __call__(self, fixed: DataFrame, moving: DataFrame, coarse: tuple[DataFrame, DataFrame] | None = None, fine: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """pair_id, level (affine unless there is none, convex, e{rounds}_s{count}), d, h, w, ud, uh, uw. fixed, moving:
+        (pair_id, d, h, w, feat[, msk]). coarse, fine: features of the convex rounds and of the descent, where they are others."""
+        if self.use_mask not in ("none", "affine", "elastic", "both"):
+            raise ValueError(f"use_mask is none, affine, elastic or both, not {self.use_mask!r}")
+        unit = lambda x: x.withColumn("feat", V.unit(F.col("feat"))) if self.l2 else x
+        masked = lambda x, stage: features.masked(x) if self.use_mask in (stage, "both") and "msk" in x.columns else x
+        start = self._start(*(unit(masked(x, "affine")) for x in (fixed, moving)))
+        convex_sides = [unit(masked(x, "elastic")) for x in coarse or (fixed, moving)]
+        fine_sides = tuple(unit(masked(x, "elastic")) for x in fine or coarse or (fixed, moving))
+        stage = self.elastic if not self.l2 else Elastic(**{**self.elastic.__dict__, "weight": self.elastic.weight * 0.1})
+        if start is None:
+            return stage(*convex_sides, fine=fine_sides)
+        sizes = written(shapes(fixed, ["pair_id"]), "sizes")
+        init = written(slice_search.dense(start, sizes), "affine")
+        levels = stage(*convex_sides, init=init, fine=fine_sides)
+        return init.withColumn("level", F.lit("affine")).select(*levels.columns).unionByName(levels)
+
+
+def dispatched(kind: str, stage: TwoStage, descriptors: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Registration by descriptors of (fixed, moving) for the convex rounds and the descent: `gica` has an affine stage on the
+    convex ones, `ca` has none."""
+    if kind not in ("gica", "ca"):
+        raise ValueError(f"a registration is gica or ca, not {kind!r}")
+    missing = [k for k in ("convex", "adam") if k not in descriptors]
+    if missing:
+        raise ValueError(f"descriptors are missing: {missing}")
+    if kind == "ca":
+        stage = TwoStage("none", stage.elastic, stage.search, stage.rounds, stage.l2, stage.use_mask)
+    return stage(*descriptors["convex"], coarse=descriptors["convex"], fine=descriptors["adam"])
+
+
+def ladder_levels(found: DataFrame, mode: str = "ladder") -> DataFrame:
+    """pair_id, step (0: none, 1: affine, 2: convex, 3: the last descent), level: the rungs that a pair's found displacements
+    give; `match` has the first alone."""
+    order = {"affine": 1, "convex": 2}
+    none = found.select("pair_id").distinct().select("pair_id", F.lit(0).alias("step"), F.lit(None).cast("string").alias("level"))
+    if mode == "match":
+        return none
+    if mode != "ladder":
+        raise ValueError(f"a ladder is ladder or match, not {mode!r}")
+    names = found.select("pair_id", "level").distinct()
+    step = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in order.items()], F.lit(3))
+    # of several descents that with the most rounds, then smoothings
+    rank = F.struct(*[F.coalesce(F.regexp_extract("level", pattern, 1).try_cast("int"), F.lit(-1)) for pattern in ("^e([0-9]+)", "_s([0-9]+)$")], "level")
+    best = Window.partitionBy("pair_id", "step").orderBy(rank.desc())
+    rungs = names.withColumn("step", step).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("pair_id", "step", "level")
+    return none.unionByName(rungs)

@@ -9,33 +9,53 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from voxlake.functions import vectors as V
 from voxlake.operators.slices import PLANES
-from voxlake.scratch import written
+from voxlake.scratch import dropped, written
 
 
 def slice_vectors(voxels: DataFrame, axis: str, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """keys, idx, c, x: each slice along an axis as a long vector; c names a place and a channel, x is never 0."""
+    """keys, idx, line, place, feat: each slice along an axis, in lines of places with their features."""
     index, row, col = PLANES[axis]
-    long = voxels.select(*keys, F.col(index).alias("idx"), row, col, F.posexplode("feat").alias("c", "x")).where("x <> 0")
-    return long.select(*keys, "idx", F.concat_ws("|", F.col(row).cast("string"), F.col(col).cast("string"), F.col("c").cast("string")).alias("c"), "x")
+    return voxels.select(*keys, F.col(index).alias("idx"), F.col(row).alias("line"), F.col(col).alias("place"), F.col("feat").cast("array<double>").alias("feat"))
 
 
 def norms(vectors: DataFrame, keys: tuple[str, ...] = ("pair_id",), eps: float = 1e-10) -> DataFrame:
-    return vectors.groupBy(*keys, "idx").agg((F.sqrt(F.sum(F.col("x") * F.col("x"))) + eps).alias("norm"))
+    return vectors.groupBy(*keys, "idx").agg((F.sqrt(F.sum(V.dot(F.col("feat"), F.col("feat")))) + eps).alias("norm"))
+
+
+def _line_products(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Products of the same line of every slice of a with every slice of b."""
+    if not a.num_rows or not b.num_rows:
+        return pa.table({"pair_id": pa.array([], pa.string()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
+    sides, width = [], 1 + max(int(x.column("place").to_numpy().max()) for x in (a, b))
+    for side in (a, b):
+        index, at = np.unique(side.column("idx").to_numpy(), return_inverse=True)
+        feat = side.column("feat").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(side.num_rows, -1)
+        lines = np.zeros((len(index), width, feat.shape[1]))
+        lines[at, side.column("place").to_numpy()] = feat
+        sides.append((index, lines.reshape(len(index), -1)))
+    (i, x), (j, y) = sides
+    pair = pa.array([a.column("pair_id")[0].as_py()] * (len(i) * len(j)), pa.string())
+    return pa.table({"pair_id": pair, "i": np.repeat(i, len(j)).astype(np.int32), "j": np.tile(j, len(i)).astype(np.int32), "value": (x @ y.T).ravel()})
 
 
 def cosine_matrix(a: DataFrame, b: DataFrame, indexes_a: DataFrame, indexes_b: DataFrame, eps: float = 1e-10) -> DataFrame:
-    """The cosine of every slice of a with every slice of b. Slices meet on (pair, place and channel), where each has one
-    value: what is joined is slices squared for each place, never all pairs of a group."""
-    na = a.join(norms(a, eps=eps), ["pair_id", "idx"]).select("pair_id", F.col("idx").alias("i"), "c", (F.col("x") / F.col("norm")).alias("x"))
-    nb = b.join(norms(b, eps=eps), ["pair_id", "idx"]).select("pair_id", F.col("idx").alias("j"), "c", (F.col("x") / F.col("norm")).alias("y"))
-    sums = na.join(nb, ["pair_id", "c"]).groupBy("pair_id", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """The cosine of every slice of a with every slice of b. One line of all slices of a pair is a task's matrix product; what
+    is shuffled is each voxel once, and then the lines' matrices, summed up within tasks first."""
+    # columns of their own, as both sides may be one table
+    lines = lambda v: v.select(*[F.col(c).alias(c) for c in ("pair_id", "line", "idx", "place", "feat")]).groupBy("pair_id", "line")
+    parts = lines(a).cogroup(lines(b)).applyInArrow(_line_products, "pair_id string, i int, j int, value double")
+    sums = parts.groupBy("pair_id", "i", "j").agg(F.sum("value").alias("value"))
+    size = lambda v, n: norms(v, eps=eps).select("pair_id", F.col("idx").alias(n), F.col("norm").alias(f"_{n}"))
     cells = indexes_a.select("pair_id", F.col("idx").alias("i")).join(indexes_b.select("pair_id", F.col("idx").alias("j")), "pair_id")
-    return cells.join(sums, ["pair_id", "i", "j"], "left").select("pair_id", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
+    found = cells.join(sums, ["pair_id", "i", "j"], "left").join(size(a, "i"), ["pair_id", "i"], "left").join(size(b, "j"), ["pair_id", "j"], "left")
+    return found.select("pair_id", "i", "j", F.coalesce(F.col("value") / F.col("_i") / F.col("_j"), F.lit(0.0)).alias("value"))
 
 
 def valid_slices(mask: DataFrame, axis: str) -> DataFrame:
@@ -207,22 +227,36 @@ def dense(affine: DataFrame, sizes: DataFrame) -> DataFrame:
     return grid.select("pair_id", *XYZ, *[((F.col(f"s{c}") - 1) * F.col(c) + F.col(f"t{c}")).alias(f"u{c}") for c in XYZ])
 
 
-def refined(search: SliceSearch, fixed: DataFrame, moving: DataFrame, order: str = "zxy", rounds: int = 1) -> DataFrame:
-    """Axis by axis, each on features warped by what is known so far; scales and shifts compose in closed form. Every step's
-    affine is a written table of one row for each pair."""
+def clamped(affine: DataFrame, sizes: DataFrame, scale_range: tuple[float, float], reach: float) -> DataFrame:
+    """affine(pair_id, sd, ..., tw) with scales within their range and shifts within a share of the volume's size."""
+    rows = affine.join(sizes, "pair_id")
+    scales_ = {f"s{c}": V.clamp(F.col(f"s{c}"), *map(float, scale_range)) for c in "dhw"}
+    shifts = {f"t{c}": V.clamp(F.col(f"t{c}"), -reach * F.col(f"n{c}"), reach * F.col(f"n{c}")) for c in "dhw"}
+    return rows.withColumns(scales_ | shifts).select(*affine.columns)
+
+
+def refined(search: SliceSearch, fixed: DataFrame, moving: DataFrame, order: str = "zxy", rounds: int = 1, joint: bool = False, limits: tuple[float, float] | None = None) -> DataFrame:
+    """Axis by axis, each on features warped by what is known so far; scales and shifts compose in closed form. joint: all axes
+    of a round are searched on the same features and composed at its end. limits: the scales' range that compositions are
+    kept in, shifts in the search's reach. Every step's affine is a written table of one row for each pair."""
     from voxlake.operators.grids import XYZ, shapes
     from voxlake.operators.warp import trilinear_features
-    sizes = shapes(moving, ["pair_id"])
-    known = fixed.select("pair_id").distinct().withColumns({f"s{c}": F.lit(1.0) for c in XYZ} | {f"t{c}": F.lit(0.0) for c in XYZ})
-    for _ in range(rounds):
-        for axis in order:
-            c = PLANES[axis][0]
-            moved = trilinear_features(dense(known, sizes), moving, sizes)
-            step = search.axis(fixed, moved, axis).select("pair_id", F.col("scale").alias("_s"), F.col("shift").alias("_t"))
-            both = known.join(step, "pair_id")
-            new = {f"s{c}": F.col(f"s{c}") * F.col("_s"), f"t{c}": F.col(f"s{c}") * F.col("_t") + F.col(f"t{c}")}
-            known = written(both.withColumns(new).drop("_s", "_t"), "affine")
-    return known
 
+    sizes = written(shapes(moving, ["pair_id"]), "sizes")
+    known = fixed.select("pair_id").distinct().withColumns({f"s{c}": F.lit(1.0) for c in XYZ} | {f"t{c}": F.lit(0.0) for c in XYZ})
 
+    def after(known: DataFrame, step: DataFrame, c: str) -> DataFrame:
+        both = known.join(step.select("pair_id", F.col("scale").alias("_s"), F.col("shift").alias("_t")), "pair_id")
+        new = {f"s{c}": F.col(f"s{c}") * F.col("_s"), f"t{c}": F.col(f"s{c}") * F.col("_t") + F.col(f"t{c}")}
+        return both.withColumns(new).drop("_s", "_t")
 
+    for _ in range(rounds):
+        for axes in [order] if joint else order:
+            moved = written(trilinear_features(dense(known, sizes), moving, sizes), "moved")
+            now = known
+            for axis in axes:
+                now = after(now, search.axis(fixed, moved, axis), PLANES[axis][0])
+            now = written(clamped(now, sizes, limits, search.reach) if limits else now, "affine")
+            dropped(moved)
+            known = now
+    return known

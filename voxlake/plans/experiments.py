@@ -76,6 +76,15 @@ def leakage(samples: DataFrame, fitted: DataFrame) -> DataFrame:
     return samples.select("vid").join(fitted.select("vid"), "vid", "left_semi").distinct()
 
 
+def shared(*tables: DataFrame, key: str = "vid") -> DataFrame:
+    """The keys that all tables hold, once each; null keys are no keys."""
+    rows = None
+    for n, table in enumerate(tables):
+        part = table.where(F.col(key).isNotNull()).select(key, F.lit(n).alias("_n"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy(key).agg(F.count_distinct("_n").alias("_n")).where(F.col("_n") == len(tables)).select(key)
+
+
 def assert_no_leakage(samples: DataFrame, fitted: DataFrame, context: str = "") -> None:
     found = [r["vid"] for r in leakage(samples, fitted).orderBy("vid").limit(10).collect()]
     if found:
@@ -150,10 +159,5 @@ def roles(entities: DataFrame, fixed: str, moving: str) -> DataFrame:
     return rows.select("sample", F.when((F.col("_f") == 1) & (F.col("_m") == 1), F.col("fix_vid")).otherwise(wrong).alias("fix_vid"), "mov_vid")
 
 
-def slug(*parts: str | None) -> str:
-    """A name from its parts that aren't empty."""
-    return "_".join(str(p) for p in parts if p not in (None, ""))
-
-
 def stable_key(value: Column) -> Column:
     return F.sha2(value, 256)

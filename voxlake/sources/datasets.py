@@ -64,6 +64,16 @@ def dataset(spark: SparkSession, name: str, folder: str, samples: Sequence[int]
     return wide.select(vid.alias("vid"), *at, F.col("vol").alias("value"), F.col("seg").cast("short").alias("seg"), (F.col("msk") > 0.5).alias("msk"))
 
 
+def of_samples(rows: DataFrame, samples: Sequence[int]) -> DataFrame:
+    """The rows of some samples, such as a named subset's."""
+    return rows.where(F.col("sample").isin(*map(int, samples)))
+
+
+def of_modality(voxels: DataFrame, modality: str) -> DataFrame:
+    """The voxels of one modality, whatever its letters' case."""
+    return voxels.where(F.upper("modality") == modality.upper())
+
+
 def coerced(voxels: DataFrame) -> DataFrame:
     """The usual types: value float, seg short, msk boolean (floats above 0.5, whole numbers other than 0)."""
     kinds = dict(voxels.dtypes)

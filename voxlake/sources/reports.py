@@ -18,6 +18,14 @@ def write_csv(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("header", True).csv(path)
 
 
+def union(*reports: DataFrame) -> DataFrame:
+    """All rows of reports that share some columns; a column that a report lacks is null in its rows."""
+    rows = reports[0]
+    for report in reports[1:]:
+        rows = rows.unionByName(report, allowMissingColumns=True)
+    return rows
+
+
 def write_by_type(reports: Mapping[str, DataFrame], path: str) -> list[str]:
     """One report for each type, its name before the suffix."""
     paths = [path.removesuffix(".csv") + f"_{kind}.csv" for kind in reports]
