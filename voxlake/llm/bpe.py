@@ -26,7 +26,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
