@@ -36,14 +36,15 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": [_packed(counts)]})
 
 
-def count(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """How often each counter's hashes occur in all of rows. Tasks add up their own counts and send the chunks that aren't
+def count(rows: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """hashes gives a batch's distinct hashes and their counts. How often each counter's hashes occur in all of rows. Tasks add up their own counts and send the chunks that aren't
     all zero; the driver gets `size` counters, whatever the input's size."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)
         for batch in batches:
-            np.add.at(total, places(hashes(batch), size), 1)
+            found, counts = hashes(batch)
+            np.add.at(total, places(found, size), counts)
         chunks = total.reshape(-1, CHUNK)
         some = np.flatnonzero(chunks.any(1))
         for at in range(0, len(some), 64):

@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are ignored by `matches` and `c
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -84,23 +85,24 @@ class Lines:
             self.n1, self.n2 = (mix(s[ends[1:]] - s[ends[:-1]] + self.size.astype(np.uint64)) for s in sums)
 
     def sketches(self) -> list[np.ndarray]:
-        """Four times 64 bits of each set: whether an odd number of its words fall on a bit. Two sets' bits differ in no more
-        places than the sets have different words."""
+        """Four times 64 bits of each set: whether an odd number of its words fall on a bit. Two sets' bits, and those of the
+        four parts laid over each other, differ in no more places than the sets have different words."""
         some = np.flatnonzero(self.size)
+        bit = np.left_shift(np.uint64(1), self.hashes & np.uint64(63))
+        part = self.hashes >> np.uint64(6) & np.uint64(3)
         out = []
         for k in range(4):
             bits = np.zeros(len(self.size), np.uint64)
             if len(some):
-                place = self.hashes >> np.uint64(16 * k) & np.uint64(63)
-                bits[some] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), place), self.start[some])
+                bits[some] = np.bitwise_xor.reduceat(np.where(part == np.uint64(k), bit, np.uint64(0)), self.start[some])
             out.append(bits)
         return out
 
 
-def _word_list(batch: pa.RecordBatch) -> np.ndarray:
-    """Hashes of all words of a batch of texts, repeats counted."""
+def _word_list(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of a batch of texts, and how often each occurs."""
     words = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten().dictionary_encode()
-    return string_hashes(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+    return string_hashes(words.dictionary), np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +234,9 @@ def _meet(t: float, joined: bool):
             if not held:
                 return
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            # copies of a set, from several steps, stand side by side
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0))
+            columns = [c[new] for c in columns]
             word = columns[0]
             start = int(np.searchsorted(word, word[-1]))
             done = len(word) if last or start == 0 else start
@@ -252,18 +257,20 @@ def _meet(t: float, joined: bool):
     return run
 
 
-def _dealt(sets: DataFrame, sketches: list[str]) -> DataFrame:
-    entries = sets.select(F.explode("entries").alias("e"), "size", F.col("n1").alias("name"), *sketches)
-    entries = entries.select("e.word", "size", "e.place", "name", *sketches)
-    return entries.repartition("word").sortWithinPartitions("word", "size")
+def _dealt(rows: DataFrame, sketches: list[F.Column]) -> DataFrame:
+    kept = [x.alias(f"s{k}") for k, x in enumerate(sketches)]
+    entries = rows.select(F.explode("entries").alias("e"), "size", F.col("n1").alias("name"), *kept)
+    entries = entries.select("e.word", "size", "e.place", "name", *[f"s{k}" for k in range(len(kept))])
+    return entries.repartition("word").sortWithinPartitions("word", "size", "name")
 
 
-def clusters(sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
+def clusters(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match. Entries
-    with a quarter of the sketches tell which sets have any candidate; those few then meet with their whole sketches."""
-    some = materialise(_dealt(sets, _SKETCH[:1]).mapInArrow(released(_meet(t, False)), "name long").distinct(), "line-some")
-    few = sets.join(some, F.col("n1") == F.col("name"), "left_semi")
-    edges = materialise(_dealt(few, _SKETCH).mapInArrow(released(_meet(t, True)), "a long, b long"), "line-edges")
+    with the four parts of the sketches laid over each other tell which sets have any candidate; those few then meet with their whole sketches."""
+    own = rows.where(F.col("entries").isNotNull())
+    some = materialise(_dealt(own, [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _SKETCH))]).mapInArrow(released(_meet(t, False)), "name long").distinct(), "line-some")
+    few = own.join(some, F.col("n1") == F.col("name"), "left_semi")
+    edges = materialise(_dealt(few, [F.col(k) for k in _SKETCH]).mapInArrow(released(_meet(t, True)), "a long, b long"), "line-edges")
     found = materialise(components(edges), "line-clusters")
     discard(some, edges)
     return found.select(F.col("node").alias("name"), F.col("component").alias("cluster"))
@@ -289,12 +296,15 @@ def _needed_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def _words_of(shared: Broadcast):
+    """rows(m1, m2, text) -> the words of needed sets, from those rows in which one of them stands first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        sets, rows = shared.value
+        inside = lambda bits, at: (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         for batch in _steps(batches):
-            x = Lines(batch.column(0), None)
-            at = _filter_places(x.n1, x.n2)
-            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & (x.size > 0)
+            at = _filter_places(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            x = Lines(batch.column(2).take(pa.array(np.flatnonzero(inside(rows, at)))), None)
+            hit = inside(sets, _filter_places(x.n1, x.n2)) & (x.size > 0)
             _, first = np.unique(np.stack([x.n1, x.n2], 1), axis=0, return_index=True)
             lines = np.sort(first[hit[first]])
             found = [np.sort(x.hashes[x.start[i] : x.start[i] + x.size[i]]).tobytes() for i in lines]
@@ -396,16 +406,18 @@ def _cells(rows: DataFrame) -> DataFrame:
     return whole.unionByName(cut.select(*whole.columns)).drop("_n")
 
 
-def partners(docs: DataFrame, sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
+def partners(docs: DataFrame, sets: DataFrame, found: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """n1, n2, links (the number of other sets that match), the place of the earliest of these, and r1, r2 (a set of the same
-    component of matches): of each set with a match, perhaps in several rows. sets: as `_linked` makes them, with first."""
+    component of matches): of each set with a match, perhaps in several rows. sets(n1, n2, first); found: their clusters."""
     spark = docs.sparkSession
-    found = clusters(sets, t)
     held = sets.join(found, F.col("n1") == F.col("name")).select("n1", "n2", "cluster", *[F.col(f"first.{c}").alias(c) for c in _AT])
     held = materialise(held, "line-held")
-    bits = spark.sparkContext.broadcast(_needed_bits(held.select("n1", "n2")))
-    words = docs.select("text").mapInArrow(released(_words_of(bits)), "n1 long, n2 long, words binary").groupBy("n1", "n2").agg(F.first("words").alias("words"))
+    bits = _needed_bits(held.select("n1", "n2")), _needed_bits(held.select(F.col("m1").alias("n1"), F.col("m2").alias("n2")))
+    shared = spark.sparkContext.broadcast(bits)
+    words = _marked(docs, "text").select("m1", "m2", "text").mapInArrow(released(_words_of(shared)), "n1 long, n2 long, words binary")
+    words = words.groupBy("n1", "n2").agg(F.first("words").alias("words"))
     rows = materialise(held.join(words, ["n1", "n2"]), "line-words")
+    shared.destroy()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // CELL, 1)
     dealt = _cells(rows).withColumn("part", F.when(F.col("side") == 0, F.xxhash64(F.pmod("part", F.lit(parts)))).otherwise(F.col("part")))
     out = materialise(dealt.groupBy("part").applyInArrow(_verify(t), _PARTNERS), "line-partners")
@@ -433,16 +445,17 @@ def _linked(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
     rows = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows(shared, t)), _LINES), "lines-whole")
     shared.destroy()
-    own = [F.first(c).alias(c) for c in ("size", *_SKETCH)]
-    sets = rows.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), *own, F.first("entries", ignorenulls=True).alias("entries"))
-    sets = materialise(sets, "line-sets")
-    lines = materialise(rows.select(*_ROW, "line", "n1", "n2"), "lines")
+    found = clusters(rows, t)
+    # lines of sets that stand in several lines or have a candidate; no other matters from here on
+    names = rows.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).join(found.select("name", F.lit(True).alias("some")), F.col("n1") == F.col("name"), "left")
+    lines = materialise(rows.select(*_ROW, "line", "n1", "n2").join(names.where("n > 1 OR some").select("n1", "n2", "n"), ["n1", "n2"]), "lines")
     discard(rows)
-    found = partners(docs, sets, t)
+    sets = materialise(lines.groupBy("n1", "n2").agg(F.min(_place()).alias("first"), F.first("n").alias("n")), "line-sets")
+    found = partners(docs, sets, found, t)
     linked = found.groupBy("n1", "n2").agg(F.sum("links").alias("links"), F.min(F.struct(*_AT)).alias("other"))
-    some = materialise(sets.select("n1", "n2", "first", "n").join(linked, ["n1", "n2"], "left").where("n > 1 OR links IS NOT NULL"), "line-known")
+    some = materialise(sets.join(linked, ["n1", "n2"], "left").where("n > 1 OR links IS NOT NULL"), "line-known")
     discard(sets)
-    return lines, found, some
+    return lines.drop("n"), found, some
 
 
 def _removed(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
