@@ -163,6 +163,16 @@ def test_mix_reruns_agree_and_resample_follows(odd):
     assert out.count() == want and out.where("_row <> 'own'").count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """2,000 rows alike are one unit: they take what their source's target leaves them, within one copy."""
+    rows = [(1, "one two three", "a")] * 2000 + [(k, "w " * (k % 5 + 1), "b") for k in range(2, 700)] + [(None, "x y", "c")] * 900
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.copies(frame, block=8)
+    sums = found.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert {r["source"]: r["rows"] for r in sums} == {"a": 2000, "b": 698, "c": 900}
+    assert all(abs(r["taken"] - r["target"]) <= 5 and r["most"] <= 3 for r in sums)
+
+
 def test_mix_rounding_keeps_chances(spark):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     total = sum(mixing.copies(rows, seed=s).where("source = 'a'").agg(F.sum("copies")).first()[0] for s in range(3)) / 3

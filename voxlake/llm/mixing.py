@@ -5,7 +5,9 @@ The whole part is certain. The fractional parts are rounded in pairs: of two doc
 probability, weighed by size so that the source's expected words stay as they are, in a random direction that keeps each
 document's chance, until one of the two is 0 or 1. A block of about `BLOCK` documents leaves at most one fraction, the
 residuals of blocks form the blocks of the next level, and the tree ends with one fraction for each source, which is drawn.
-A source's taken words thus miss its target by less than its largest document. All draws are hashes: reruns agree.
+A source's taken words thus miss its target by less than its largest document. Rows that repeat an id and a text are one
+unit of the tree: their fractions add up to a whole number of copies and one fraction, so any number of them is one row
+there. All draws are hashes: reruns agree.
 
 Defined results: a null text has size 0, and a document of size 0 is taken 0 times; null is a source, the last; a source
 of size 0 has target 0; repeated rows are rows of their own; an empty table gives an empty result; other columns are
@@ -28,8 +30,8 @@ BROADCAST_ROWS = 100_000
 _EPS = 1e-9
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
-_UNIT = "struct<doc_id:bigint,mark:bigint,size:bigint,p:double>"
-_DONE = "struct<doc_id:bigint,mark:bigint,size:bigint,extra:int>"
+_UNIT = "struct<doc_id:bigint,mark:bigint,size:bigint,sure:bigint,rows:bigint,p:double>"
+_DONE = "struct<doc_id:bigint,mark:bigint,size:bigint,sure:bigint,rows:bigint,extra:int>"
 _STATE = f"struct<open:boolean,rest:{_UNIT},done:array<{_DONE}>>"
 
 
@@ -70,7 +72,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _decided(unit: Column, extra: Column) -> Column:
-    return F.struct(unit["doc_id"].alias("doc_id"), unit["mark"].alias("mark"), unit["size"].alias("size"), extra.cast("int").alias("extra"))
+    return F.struct(unit["doc_id"].alias("doc_id"), unit["mark"].alias("mark"), unit["size"].alias("size"), unit["sure"].alias("sure"), unit["rows"].alias("rows"), extra.cast("int").alias("extra"))
 
 
 def _pair(seed: int, level: int):
@@ -147,8 +149,17 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     keyed = keyed.withColumns({"whole": whole.cast("int"), "p": F.greatest(F.col("rate") - whole, F.lit(0.0))})
     sure = (F.col("p") <= _EPS) | (F.col("size") == 0)
     none = keyed.where(sure).select("sid", "doc_id", "mark", "size", F.lit(0).alias("extra"))
-    units = keyed.where(~sure).select("sid", "n", F.struct("doc_id", "mark", "size", "p").cast(_UNIT).alias("unit"))
-    done = none.unionByName(_round(units, largest, block, seed)).join(small(table), "sid")
+    alike = keyed.where(~sure).groupBy("sid", "n", "doc_id", "mark", "size", "p").agg(F.count(F.lit(1)).alias("rows"))
+    alike = alike.withColumn("sure", F.floor(F.col("rows") * F.col("p") + _EPS)).withColumn("p", F.greatest(F.col("rows") * F.col("p") - F.col("sure"), F.lit(0.0)))
+    unit = F.struct("doc_id", "mark", "size", "sure", "rows", "p").cast(_UNIT)
+    # written, as both sides below read them
+    alike = materialise(alike.select("sid", "n", unit.alias("unit")), "mix-units")
+    even = F.col("unit.p") <= _EPS
+    settled = alike.where(even).select("sid", _decided(F.col("unit"), F.lit(0)).cast(_DONE).alias("unit")).select("sid", "unit.*")
+    drawn = settled.unionByName(_round(alike.where(~even), largest, block, seed))
+    drawn = drawn.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    drawn = drawn.select("sid", "doc_id", "mark", "size", (F.col("_nth") <= F.col("sure") + F.col("extra")).cast("int").alias("extra"))
+    done = none.unionByName(drawn).join(small(table), "sid")
     count = F.when(F.col("size") == 0, 0).otherwise(F.floor(rate + _EPS).cast("int") + F.col("extra"))
     return done.select("doc_id", "mark", "source", "size", "source_size", "target", count.cast("int").alias("copies"))
 
