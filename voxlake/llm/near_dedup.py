@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.components import components
-from voxlake.llm.scratch import discard, materialise, released
+from voxlake.llm.scratch import discard, give_back, materialise, released
 from voxlake.llm.shingles import mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -44,7 +44,7 @@ IDF_FLOOR = 0.75
 #: Entries of the table of random draws that the samples come from.
 DRAWS = 1 << 16
 #: Documents and shingles (about) of a block whose shingles are counted together, and shingles (about) of a range of hashes.
-BLOCK_DOCS, BLOCK_SHINGLES, RANGE_SHINGLES = 4096, 1 << 20, 1 << 21
+BLOCK_DOCS, BLOCK_SHINGLES, RANGE_SHINGLES = 4096, 1 << 19, 1 << 20
 #: Bytes of text for each shingle, for the number of ranges.
 SHINGLE_BYTES = 6
 #: Documents that one step of the sampling holds at once.
@@ -141,6 +141,7 @@ def _send(bits: int):
 
 def _count(sent: pa.Table) -> pa.Table:
     """The shingles of one range of hashes, from all blocks, and in how many documents each is."""
+    give_back()
     own = sent.filter(pc.greater_equal(sent.column("range"), 0))
     others = sent.filter(pc.less(sent.column("range"), 0))
     found: list[bytes] = []
@@ -155,6 +156,7 @@ def _count(sent: pa.Table) -> pa.Table:
 
 def _gather(counted: pa.Table) -> pa.Table:
     """m1, m2 and frequencies (of its shingles, by hash) of the documents of one block that share a shingle."""
+    give_back()
     rows = sorted(zip(counted.column("range").to_pylist(), counted.column("owners").to_pylist(), counted.column("found").to_pylist(), strict=True), key=lambda r: r[0])
     if not rows or rows[0][0] != -1 or (len(rows) > 1 and rows[1][0] == -1):
         raise RuntimeError("a block of shingles isn't whole: its rows were read in another grouping; materialise the input")
@@ -265,8 +267,8 @@ def _compare(number: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 names = [part.column(k).to_pylist() for k in (0, 1)]
                 texts: dict[str, tuple[str, bytes | None]] = {}
                 for k in (0, 1):
@@ -325,6 +327,7 @@ def _meet(similarity: float, best: bool):
     by their bins; if best, for each asking node and bucket only the one that can be the most similar."""
 
     def run(cell: pa.Table) -> pa.Table:
+        give_back()
         bucket = cell.column("bucket").to_numpy()
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.scratch import give_back
+
 WIDTH, STRIDE, CHUNK, DIM, FILTERS, HIDDEN = 8, 2, 256, 12, 32, 16
 HALF = CHUNK // 2
 #: Labelled documents of each label that learning uses at most.
@@ -224,7 +225,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             for texts in batches:
                 yield pd.Series(scores(texts.tolist(), net))
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.withColumn("quality_score", probability("text"))
 

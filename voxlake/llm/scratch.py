@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import uuid
 import weakref
@@ -63,15 +64,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set(_BATCH, BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and malloc hold for later: Python workers live on, and an executor's memory counts all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """run, a function over batches, giving Arrow's unused memory back when a task ends: Python workers live on."""
+    """run, a function over batches, giving unused memory back when a task ends."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return wrapped
 
