@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -376,12 +378,46 @@ def W13_fill_holes_26(spark, folder):
     return neighbourhood.holes_filled(vox(spark, folder).select("vid", "d", "h", "w", (F.col("value") > -4).alias("msk")), 26)
 
 
-@C.add()
+_SZZ = VOX + ", szz AS (SELECT vid, max(d) + 1 AS nd, max(h) + 1 AS nh, max(w) + 1 AS nw FROM vox GROUP BY vid)"
+
+
+def _inside(at: str, axis: str) -> str:
+    """The nearest coordinate within a volume."""
+    return f"greatest(least({at}, n{axis} - 1), 0)"
+
+
+def _mean_along(source: str, axis: str) -> str:
+    """Means of three along an axis, the border repeated."""
+    same = " AND ".join(f"n.{c} = v.{c}" for c in ("vid", "c", *(x for x in "dhw" if x != axis)))
+    return f"(SELECT v.vid, v.d, v.h, v.w, v.c, sum(n.m) / 3 AS m FROM {source} v JOIN szz USING (vid) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k) k JOIN {source} n ON {same} AND n.{axis} = {_inside(f'v.{axis} + k.k', axis)} GROUP BY v.vid, v.d, v.h, v.w, v.c)"
+
+
+_OFFSETS = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(neighbourhood.SIX))
+_APART = ", ".join(f"({k}, {neighbourhood.SIX.index(a)}, {neighbourhood.SIX.index(b)})" for k, (a, b) in enumerate(neighbourhood._offset_pairs()))
+_PLACES = ", ".join(f"({k}, {c})" for k, c in enumerate(neighbourhood.CHANNEL_ORDER))
+_SELF = _SZZ + f""", sh AS (SELECT v.vid, v.d, v.h, v.w, o.k, n.value FROM vox v JOIN szz USING (vid) CROSS JOIN (VALUES {_OFFSETS}) o(k, od, oh, ow)
+  JOIN vox n ON n.vid = v.vid AND n.d = {_inside('v.d + o.od', 'd')} AND n.h = {_inside('v.h + o.oh', 'h')} AND n.w = {_inside('v.w + o.ow', 'w')}),
+m0 AS (SELECT a.vid, a.d, a.h, a.w, p.c, (a.value - b.value) ** 2 AS m FROM (VALUES {_APART}) p(c, a, b) JOIN sh a ON a.k = p.a JOIN sh b ON b.k = p.b AND b.vid = a.vid AND b.d = a.d AND b.h = a.h AND b.w = a.w),
+m1 AS {_mean_along('m0', 'd')}, m2 AS {_mean_along('m1', 'h')}, m3 AS {_mean_along('m2', 'w')},
+x AS (SELECT *, m - min(m) OVER (PARTITION BY vid, d, h, w) AS x FROM m3), y AS (SELECT *, avg(x) OVER (PARTITION BY vid, d, h, w) AS mean FROM x), lv AS (SELECT vid, avg(mean) AS level FROM y GROUP BY vid),
+e AS (SELECT y.vid, d, h, w, c, greatest(least(mean, level * 1000), level * 0.001) AS spread, x FROM y JOIN lv ON lv.vid = y.vid),
+ft AS (SELECT vid, d, h, w, list(exp(-CASE WHEN spread = 0 THEN 0 ELSE x / spread END) ORDER BY o.k) AS feat FROM e JOIN (VALUES {_PLACES}) o(k, c) ON o.c = e.c GROUP BY vid, d, h, w)"""
+
+
+@C.add(_SELF + " SELECT vid, d, h, w, list_transform(feat, lambda x: round(x, 6) + 0.0) AS feat FROM ft")
 def W10_W11_self_similarity(spark, folder):
     return neighbourhood.self_similarity(vox(spark, folder), 1, 1).withColumn("feat", F.transform("feat", r6))
 
 
-@C.add()
+@C.add(
+    "RECURSIVE "
+    + _SELF
+    + """, m AS MATERIALIZED (SELECT vid, d, h, w, list_min(feat) <= 0.5 AS msk FROM ft),
+reach AS (SELECT vid, d, h, w FROM m JOIN szz USING (vid) WHERE NOT msk AND (d IN (0, nd - 1) OR h IN (0, nh - 1) OR w IN (0, nw - 1))
+  UNION SELECT n.vid, n.d, n.h, n.w FROM reach r JOIN m n ON n.vid = r.vid AND NOT n.msk AND abs(n.d - r.d) + abs(n.h - r.h) + abs(n.w - r.w) = 1),
+fl AS (SELECT m.vid, m.d, m.h, m.w, r.vid IS NULL AS msk FROM m LEFT JOIN reach r ON r.vid = m.vid AND r.d = m.d AND r.h = m.h AND r.w = m.w)
+SELECT v.vid, v.d, v.h, v.w, bool_or(n.msk) AS msk FROM fl v JOIN fl n ON n.vid = v.vid AND abs(n.d - v.d) <= 1 AND abs(n.h - v.h) <= 1 AND abs(n.w - v.w) <= 1 GROUP BY v.vid, v.d, v.h, v.w"""
+)
 def W14_generated_mask(spark, folder):
     return neighbourhood.generated_mask(vox(spark, folder), 0.5, radius=1, dilation=1)
 
@@ -395,7 +431,14 @@ def J17_fill_outside_mask(spark, folder):
     return neighbourhood.filled_outside(vox(spark, folder)).select("vid", "d", "h", "w", r6("value").alias("value"))
 
 
-@C.add()
+def _gaussian_along(source: str, axis: str) -> str:
+    taps = [(k, math.exp(-(k**2) / 2)) for k in range(-2, 3)]
+    rows = ", ".join(f"({k}, {w / sum(x for _, x in taps)!r}::DOUBLE)" for k, w in taps)
+    same = " AND ".join(f"n.{c} = v.{c}" for c in ("vid", *(x for x in "dhw" if x != axis)))
+    return f"(SELECT v.vid, v.d, v.h, v.w, sum(n.value * k.t) AS value FROM {source} v JOIN szz USING (vid) CROSS JOIN (VALUES {rows}) k(k, t) JOIN {source} n ON {same} AND n.{axis} = {_inside(f'v.{axis} + k.k', axis)} GROUP BY v.vid, v.d, v.h, v.w)"
+
+
+@C.add(_SZZ + f", g1 AS {_gaussian_along('vox', 'd')}, g2 AS {_gaussian_along('g1', 'h')}, g3 AS {_gaussian_along('g2', 'w')} SELECT vid, d, h, w, round(value, 6) + 0.0 AS value FROM g3")
 def W9_gaussian(spark, folder):
     return neighbourhood.smoothed(vox(spark, folder).select("vid", "d", "h", "w", "value"), "value", 1.0).withColumn("value", r6("value"))
 
