@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -178,6 +179,52 @@ def test_near_classes_hold_all_close_pairs_and_no_far_ones(spark):
     assert all(size == sizes[c] for c, size in found.values())
 
 
+def plain_similarities(rows):
+    """Weighted Jaccard similarities of all pairs, from words and dictionaries alone."""
+    sets = []
+    for _, text in rows:
+        words = WORDS.findall((text or "").lower())
+        parts = [tuple(words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
+        sets.append(Counter(parts))
+    held = Counter(x for s in sets for x in s)
+    factor = {x: 0.75 + 0.25 * math.log(len(rows) / n) / math.log(len(rows)) for x, n in held.items()}
+    weighed = [{x: n * factor[x] for x, n in s.items()} for s in sets]
+    out = {}
+    for i, a in enumerate(weighed):
+        for j, b in enumerate(weighed[:i]):
+            shared = sum(min(w, b[x]) for x, w in a.items() if x in b)
+            if shared:
+                out[i, j] = shared / (sum(a.values()) + sum(b.values()) - shared)
+    return out
+
+
+def test_near_classes_of_all_pairs(spark):
+    """Over all pairs of documents, with a passage that many share: none that is clearly similar is missed, and every class is
+    joined by similar pairs."""
+    rng = random.Random(17)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = corpus(21, 12, 6, 100, 4) + corpus(22, 4, 10, 60, 2)
+    rows += [(0, " ".join(f"q{rng.randrange(10**6)}" for _ in range(50)) + " " + passage) for _ in range(40)]
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame).collect()}
+    similar = plain_similarities(rows)
+    close = [p for p, x in similar.items() if x >= 0.88]
+    assert len(close) > 30 and all(found[i] == found[j] for i, j in close)
+    linked = [p for p, x in similar.items() if x >= 0.8 - 1e-6]
+    assert sum(found[i] == found[j] for i, j in linked) >= 0.95 * len(linked)
+    parent = [*range(len(rows))]
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in linked:
+        parent[root(i)] = root(j)
+    assert all(root(i) == root(c) for i, c in found.items())
+
+
 @pytest.mark.parametrize("block", [(7, 300), (4096, 1 << 20)])
 def test_document_frequencies_are_exact(spark, monkeypatch, block):
     """More distinct shingles than 2^21: hashed counters of a fixed number gave shingles of one document many."""
