@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxlake.catalog.base import TOK, VOX, Catalog, entities, r6, tok, vox
-from voxlake.operators import encoders, grids, landmarks, registration, slices
+from voxlake.catalog.base import INTEN, TOK, VOX, Catalog, entities, inten, r6, tok, vox
+from voxlake.operators import encoders, grids, knn, landmarks, registration, slices
 from voxlake.operators.pairs import fixed_moving
-from voxlake.plans import extensions, masks
+from voxlake.plans import experiments as X
+from voxlake.plans import extensions, masks, preprocess
 from voxlake.sources import datasets
 from voxlake.sources.views import table
 
@@ -144,6 +145,37 @@ def E10_pad_policy(spark, folder):
     return found.groupBy("vid").agg((F.max("slice_idx") + 1).alias("n"), (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
 
 
+@C.add(TOK + " SELECT vox, d, h, w FROM tok")
+def T2_unravelled_indexes(spark, folder):
+    t = tok(spark, folder).select("vox", (F.col("d") * 25 + F.col("h") * 5 + F.col("w")).alias("flat"))
+    d, h, w = knn.unravelled(F.col("flat"), F.lit(5), F.lit(5))
+    return t.select("vox", d.alias("d"), h.alias("h"), w.alias("w"))
+
+
+@C.add("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS pos, s_name AS vid FROM supplier")
+def P9_T5_restored_order(spark, folder):
+    rows = table(spark, folder, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("pos"), (F.col("s_nationkey") % 3).alias("mod_code"), F.lit(1).alias("n_slices"), F.col("s_name").alias("vid"))
+    order = slices.by_modality(rows)
+    return slices.restored(order.select("place", "vid"), order).select("pos", "vid")
+
+
+@C.add(
+    INTEN
+    + """, bd AS (SELECT vid, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM inten WHERE modality = 'MR' GROUP BY vid)
+SELECT vid, modality, round(avg(CASE modality WHEN 'MR' THEN (least(greatest(value, low), high) - low) / (high - low) ELSE (least(greatest(value, 0), 50000) - 0) / 50000 END), 6) + 0.0 AS mean FROM inten JOIN bd USING (vid) GROUP BY vid, modality"""
+)
+def K9_pipeline_state(spark, folder):
+    made = preprocess.Pipeline([preprocess.make("percentile", low=5.0, high=95.0, modalities=("MR",)), preprocess.make("window", low=0.0, high=50000.0, modalities=("CT",))])
+    rows = preprocess.Pipeline.from_json(made.to_json())(inten(spark, folder))
+    return rows.groupBy("vid", "modality").agg(r6(F.avg("value")).alias("mean"))
+
+
+@C.add("SELECT name, lr, epochs FROM (VALUES ('a', 0.5::DOUBLE, 3::BIGINT), ('b', NULL, 3), ('c', 0.1, 7)) t(name, lr, epochs)")
+def S16_parsed_experiments(spark, folder):
+    config = X.parsed('{"__otherwise__": {"lr": 0.1, "epochs": 3}, "a": {"lr": 0.5}, "b": {"lr": "__none__"}, "c": {"epochs": 7}}')
+    return spark.createDataFrame([(e["name"], e["lr"], e["epochs"]) for e in X.expanded(spark, config)], "name string, lr double, epochs long")
+
+
 # ---- registration ----------------------------------------------------------------------------------------------------
 
 

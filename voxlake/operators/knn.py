@@ -103,6 +103,12 @@ def evaluate(pairs: DataFrame, voxels: DataFrame, ks: Sequence[int] = KS, metric
     return dice(predictions, truth, counts)
 
 
+def unravelled(flat: Column, rows: Column, cols: Column) -> tuple[Column, Column, Column]:
+    """The coordinates of a flat index into a volume of so many rows and columns a plane."""
+    within = F.pmod(flat, rows * cols)
+    return F.floor(flat / (rows * cols)).cast("int"), F.floor(within / cols).cast("int"), F.pmod(within, cols).cast("int")
+
+
 def voxel_id(d: str = "d", h: str = "h", w: str = "w") -> Column:
     """A long from three coordinates below 2^21."""
     return F.shiftleft(F.col(d).cast("long"), 42) + F.shiftleft(F.col(h).cast("long"), 21) + F.col(w).cast("long")

@@ -52,6 +52,11 @@ def by_modality(entities: DataFrame) -> DataFrame:
     return entities.select("*", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.sum("n_slices").over(before), F.lit(0)).cast("long").alias("ent_ptr"))
 
 
+def restored(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """rows with a place of the serialized order, at the positions that the entities had before: order has place and pos."""
+    return rows.join(order.select("place", "pos"), "place").drop("place")
+
+
 def interior(size: Column, every: int) -> Column:
     """Indexes of the slices to keep out of `size`: both ends, and between them one of `every`, centred, the first rounded
     half to even."""

@@ -124,6 +124,18 @@ def covering_models(models: DataFrame, batch: DataFrame) -> DataFrame:
     return hits.join(wanted.agg(F.count(F.lit(1)).alias("n")), "n", "left_semi").select("model")
 
 
+def parsed(text: str) -> dict:
+    """A configuration in JSON, or in YAML where a YAML reader is installed."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as error:
+            raise ValueError("the text is no JSON, and no YAML reader is installed") from error
+        return yaml.safe_load(text)
+
+
 def expanded(spark: SparkSession, config: Mapping) -> list[dict]:
     """Experiments of a configuration: shallow defaults in `__otherwise__`, names with double underscores skipped, `__none__`
     for null at any depth."""

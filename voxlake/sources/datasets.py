@@ -64,6 +64,20 @@ def dataset(spark: SparkSession, name: str, folder: str, samples: Sequence[int]
     return wide.select(vid.alias("vid"), *at, F.col("vol").alias("value"), F.col("seg").cast("short").alias("seg"), (F.col("msk") > 0.5).alias("msk"))
 
 
+def resolved(spark: SparkSession, spec: DataFrame | str | dict, **overrides) -> DataFrame:
+    """A collection from a table (as it is), a registered name, or a mapping of a name and options; overrides come last."""
+    if isinstance(spec, DataFrame):
+        if overrides:
+            raise ValueError(f"a table takes no options: {sorted(overrides)}")
+        return spec
+    options = {"name": spec} if isinstance(spec, str) else dict(spec)
+    options |= overrides
+    unknown = set(options) - {"name", "folder", "samples", "modality"}
+    if unknown:
+        raise ValueError(f"unknown options: {sorted(unknown)}")
+    return dataset(spark, **options)
+
+
 def of_samples(rows: DataFrame, samples: Sequence[int]) -> DataFrame:
     """The rows of some samples, such as a named subset's."""
     return rows.where(F.col("sample").isin(*map(int, samples)))

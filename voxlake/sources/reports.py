@@ -68,6 +68,9 @@ class Run:
             raise ValueError("the config differs: " + "; ".join(f"{r['key']}: {r['saved']} is now {r['current']}" for r in diff))
 
     def finish(self) -> None:
+        """Mark the run as done; rows of attempts that never ended are removed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/_temporary")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/finished")
 
     def finished(self) -> bool:
