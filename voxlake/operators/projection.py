@@ -58,19 +58,16 @@ def _split(flat: Sequence[float], c: int) -> tuple[float, np.ndarray, np.ndarray
 
 
 def covariances(rows: DataFrame, channels: int, weight: Column | None = None) -> DataFrame:
-    """i, j, cov: the population covariance of components of feat, in SQL aggregates; for few channels."""
+    """i, j (from i on), cov: the population covariance of components of feat, from moments that tasks add up first."""
     w = weight if weight is not None else F.lit(1.0)
-    x = rows.select(w.alias("w"), *[F.element_at("feat", k + 1).alias(f"x{k}") for k in range(channels)])
-    sums = [F.sum(F.col("w")).alias("n")]
-    sums += [F.sum(F.col("w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(channels)]
-    sums += [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(channels) for j in range(i, channels)]
-    one = x.agg(*sums)
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")).alias("cov"))
-        for i in range(channels)
-        for j in range(i, channels)
-    ]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    feat = F.slice("feat", 1, channels)
+    m = moments(rows.select(F.lit("all").alias("group"), w.alias("w"), feat.alias("x"), feat.alias("y")))
+    at = lambda k: F.element_at("moments", k)
+    mean = lambda k: at(k + 2) / at(F.lit(1))
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (at(i * channels + j + 2 + 4 * channels) / at(F.lit(1)) - mean(i) * mean(j)).alias("cov"))
+    last = F.lit(channels - 1)
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: cell(i, j))))
+    return m.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def _signed(components: np.ndarray) -> np.ndarray:
