@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_cnn, sharding, url_cascade, vptree, warc
+from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_cnn, sharding, source_audit, url_cascade, vptree, warc
 from voxlake.llm.scratch import bound_batches, fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value and rank: how far each two sources of a language diverge, and each source's top terms."""
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filters,
     op2_quality_classifier,
@@ -82,7 +87,12 @@ _ALL = (
     op8_mixing,
     op9_warc,
     op10_near_dedup,
+    op11_source_audit,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_cascade.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_cascade.ORACLE_SQL,
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_source_audit": source_audit.ORACLE_SQL,
+}
