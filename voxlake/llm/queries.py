@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_cnn, sharding, source_audit, url_cascade, vptree, warc
+from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, ngram_join, quality_cnn, sharding, source_audit, url_cascade, vptree, warc
 from voxlake.llm.scratch import bound_batches, fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, by links between sets of word 3-grams of all documents."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filters,
     op2_quality_classifier,
@@ -88,6 +93,7 @@ _ALL = (
     op9_warc,
     op10_near_dedup,
     op11_source_audit,
+    op12_ngram_join,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_cascade.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_source_audit": source_audit.ORACLE_SQL,
+    "op12_ngram_join": ngram_join.ORACLE_SQL,
 }

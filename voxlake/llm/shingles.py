@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +51,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (table[codes[keep]] if len(codes) else np.zeros(0, np.uint64)), np.bincount(owner[keep], minlength=len(texts))
 
 
-def shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingles(texts: pa.Array, width: int, lowered: Callable[[pa.Array], pa.Array] = pc.utf8_lower) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct shingles' hashes, ascending, and how often each occurs. A text of fewer than `width`
     words, but some, is one shingle."""
-    hashes, counts = word_hashes(pc.utf8_lower(texts))
+    hashes, counts = word_hashes(lowered(texts))
     total = np.zeros_like(hashes)
     with np.errstate(over="ignore"):
         for k in range(width):
