@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, ngram_join, quality_cnn, sharding, source_audit, url_cascade, vptree, warc
+from voxlake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, ngram_join, quality_cnn, sharding, source_audit, spelling, url_cascade, vptree, warc
 from voxlake.llm.scratch import bound_batches, fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near and form_n of every frequent word of all documents, by words one edit away."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_url_filters,
     op2_quality_classifier,
@@ -94,6 +99,7 @@ _ALL = (
     op10_near_dedup,
     op11_source_audit,
     op12_ngram_join,
+    op13_spelling_variants,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
