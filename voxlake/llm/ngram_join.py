@@ -10,7 +10,8 @@ share at least k of the first n - o + k shingles of each, where n is a set's siz
 * The boundary minimises the cost of all sets: entries that a set writes, and what it scans in the lists of its shingles.
 
 The lists and subsets are buckets of nodes. Pairs in buckets are candidates, under limits of length and position; no link is
-lost. They aren't all spelled out: first each node meets the least node of each of its buckets. Buckets whose nodes are then one
+lost. They aren't all spelled out: first each node meets the least node of each of its buckets. Pairs that are spelled out are held
+against sketches first (sums of shingles in `BINS` bins), which bound the overlap from above. Buckets whose nodes are then one
 component are closed. Of the others those of up to `SMALL` nodes give their pairs between components, each pair once; larger ones
 are cut by classes of length and then into a grid of cells of bounded size. Every cell compares whole sets exactly, by scanning the
 inverted lists of its own shingles. So a group of n near copies that are linked costs about n comparisons.
@@ -50,6 +51,8 @@ STEP = 512
 SMALL, CELL, CELL_SHINGLES, PART_SHINGLES = 32, 512, 1 << 19, 1 << 20
 #: Shingles of a cell compared at once.
 CHUNK = 2048
+#: Bins of the sums that bound an overlap, one byte each.
+BINS = 256
 #: Nodes whose texts are read again are broadcast up to this many rows (32 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -77,7 +80,29 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)) * LEVELS, 255).astype(np.uint8)
 
 
-_SIGNED = "doc_id long, m1 long, m2 long, node binary, n int, tokens array<long>, scan double"
+def _sketch(h: np.ndarray) -> bytes:
+    """How many shingles each bin of hashes has; 255 stands for that and more."""
+    return np.minimum(np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _possible(similarity: Fraction):
+    """rows(a, b, na, nb, sketch_a, sketch_b) -> a, b of those whose sketches don't rule out that they are similar."""
+    top, both = similarity.numerator, similarity.numerator + similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                n = part.column(2).to_numpy().astype(np.int64) + part.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+                least = np.minimum(x, y)
+                good = (least.sum(1, np.int64) * both >= top * n) | (least == 255).any(1)
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+_SIGNED = "doc_id long, m1 long, m2 long, node binary, n int, tokens array<long>, scan double, sketch binary"
 
 
 def _sign(levels, usual: float, similarity: Fraction):
@@ -87,7 +112,7 @@ def _sign(levels, usual: float, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
         for batch in _slices(batches):
-            names, sizes, tokens, scans = [], [], [], []
+            names, sizes, tokens, scans, sketches = [], [], [], [], []
             for h in _sets(batch.column(3)):
                 n = len(h)
                 level = table[counters.places(h, COUNTERS)]
@@ -97,11 +122,12 @@ def _sign(levels, usual: float, similarity: Fraction):
                 names.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(n)
                 tokens.append(h[first])
+                sketches.append(_sketch(h) if take else None)
                 scans.append(float(np.maximum(2.0 ** (level[first[:-1]] / LEVELS) - usual, 0).sum()))
             ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)))
-            columns = [*(batch.column(k) for k in range(3)), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(scans, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "node", "n", "tokens", "scan"])
+            columns = [*(batch.column(k) for k in range(3)), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(scans, pa.float64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "node", "n", "tokens", "scan", "sketch"])
 
     return run
 
@@ -204,14 +230,15 @@ class _Job:
         levels = context.broadcast(_levels(counts).tobytes())
         rows = self._keyed("doc_id", *self.ROW, "text")
         run = released(_sign(levels, 2 * counts.sum() / COUNTERS + 2, similarity))
-        self.signed = materialise(rows.mapInArrow(run, _SIGNED), "ngram-rows")
+        signed = materialise(rows.mapInArrow(run, _SIGNED), "ngram-signed")
         levels.destroy()
-        found = self.signed.where(F.size("tokens") > 0).groupBy("node")
-        found = found.agg(F.min(F.struct(*self.ROW)).alias("row"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("scan").alias("scan"))
+        self.signed = materialise(signed.select("doc_id", "node", "n"), "ngram-rows")
+        found = signed.where(F.size("tokens") > 0).groupBy("node")
+        found = found.agg(F.min(F.struct(*self.ROW)).alias("row"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "scan", "sketch")])
         self.nodes = materialise(found.select(F.monotonically_increasing_id().alias("id"), "*"), "ngram-nodes")
+        discard(signed)
         self.light = boundary(self.nodes, similarity) if light is None else light
         self.buckets = self._shared()
-        self.sets = self._elements()
 
     #: A row's identity in 128 bits, for ids that are null or repeat.
     ROW = ("m1", "m2")
@@ -229,34 +256,39 @@ class _Job:
         discard(shared)
         return found
 
-    def _elements(self) -> DataFrame:
-        """id, n and elements of the nodes in buckets: their texts are read again."""
-        needed = self.nodes.select("id", "row.m1", "row.m2").join(self.buckets.select("id").distinct(), "id", "left_semi")
-        needed = materialise(needed, "ngram-needed")
+    def _elements(self, ids: DataFrame) -> DataFrame:
+        """id and elements of the nodes of ids(id): their texts are read again."""
+        needed = materialise(self.nodes.select("id", "row.m1", "row.m2").join(ids.select("id").distinct(), "id", "left_semi"), "ngram-needed")
         small = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # rows alike in all are one node's
             for batch in _slices(batches):
-                sets = _sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "elements"])
+                first = [k for k, x in enumerate(batch.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+                own = batch.take(pa.array(first, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([s.tobytes() for s in _sets(own.column(1))], pa.binary())], ["id", "elements"])
 
         rows = self._keyed(*self.ROW, "text").join(small, list(self.ROW)).select("id", "text")
-        # rows alike in all are one node's
-        found = materialise(rows.mapInArrow(released(run), "id long, n int, elements binary").dropDuplicates(["id"]), "ngram-sets")
+        found = materialise(rows.mapInArrow(released(run), "id long, elements binary").dropDuplicates(["id"]), "ngram-sets")
         discard(needed)
         return found
 
     def _linked(self, cells: DataFrame, total: int) -> DataFrame:
-        """a and b of the similar nodes of cells(cell, side, id, component). total: shingles, about, that they hold."""
+        """a and b of the similar nodes of cells(cell, side, id, component), a table. total: shingles, about, that they hold."""
         parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_SHINGLES)
-        rows = cells.join(self.sets.select("id", "elements"), "id").withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
+        sets = self._elements(cells)
+        rows = cells.join(sets, "id").withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
         found = rows.select("part", "cell", "side", "id", "component", "elements").groupBy("part").applyInArrow(_link(self.similarity), "a long, b long")
-        return materialise(found, "ngram-links")
+        found = materialise(found, "ngram-links")
+        discard(sets, cells)
+        return found
 
     def _of_pairs(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs(a, b), which are distinct, that are similar: b meets its partners in blocks."""
-        pairs = materialise(pairs, "ngram-pairs")
-        sizes = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+        own = lambda x: self.nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        met = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+        pairs = materialise(met.mapInArrow(_possible(self.similarity), "a long, b long"), "ngram-pairs")
+        sizes = self.nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
         hubs = pairs.groupBy("b").count().join(sizes, "b")
         block = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(CELL_SHINGLES) / F.col("nb"))))
         hubs = materialise(hubs.select("b", "nb", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "ngram-hubs")
@@ -264,7 +296,8 @@ class _Job:
         left = pairs.join(hubs, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("cell"), F.lit(0).alias("side"), F.col("a").alias("id"))
         right = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
         right = right.select(F.xxhash64("b", F.col("k").cast("long")).alias("cell"), F.lit(1).alias("side"), F.col("b").alias("id"))
-        found = self._linked(left.unionByName(right).withColumn("component", F.col("id")), total)
+        cells = materialise(left.unionByName(right).withColumn("component", F.col("id")), "ngram-cells")
+        found = self._linked(cells, total)
         discard(pairs, hubs)
         return found
 
@@ -317,8 +350,8 @@ class _Job:
         cells = left.unionByName(right).select(F.xxhash64("key", "band", "i", "j").alias("cell"), "side", "id", "component", "n")
         cells = materialise(cells, "ngram-cells")
         total = cells.agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()[0]
-        found = self._linked(cells.drop("n"), total)
-        discard(rows, stats, cells)
+        found = self._linked(cells, total)
+        discard(rows, stats)
         return found
 
     def components(self) -> DataFrame:
