@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxlake.catalog.base import tok, vox
 from voxlake.catalog.registration import _wpls_rows
-from voxlake.operators import distance, grids, neighbourhood, projection, registration, slice_search, warp
+from voxlake.operators import descent, distance, grids, neighbourhood, projection, registration, slice_search, warp
 from voxlake.plans import axes, extensions, masks
 
 
@@ -239,7 +239,7 @@ def test_costs(spark, reach, monkeypatch):
         assert np.allclose(r["costs"], [c[r["d"], r["h"], r["w"]] for c in want])
 
 
-def adam(u, fixed, moving, weight, rounds, rate, loss, inner):
+def adam(u, fixed, moving, weight, rounds, rate, loss, inner, every=0):
     slopes = np.stack([0.5 * (replicated(moving, 1, k) - replicated(moving, -1, k)) for k in range(3)], -1)
     at, m, v, n = places(u.shape[:3]), 0.0, 0.0, u[..., 0].size
     smooth = lambda x: np.stack([functools.reduce(lambda y, _: zero_box(y, 1), range(inner), x[..., k]) for k in range(3)], -1)
@@ -260,6 +260,8 @@ def adam(u, fixed, moving, weight, rounds, rate, loss, inner):
         g = smooth(g)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         u = u - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if every and step % every == 0:
+            u = np.stack([zero_box(u[..., k], 1) for k in range(3)], -1)
     return u
 
 
@@ -272,6 +274,53 @@ def test_descent(spark, loss, inner):
     assert np.allclose(field_of(found, u.shape[:3]), adam(u, fixed, moving, 0.5, 2, 0.2, loss, inner), atol=1e-6)
 
 
+@pytest.mark.parametrize(("loss", "inner", "every", "planes", "rounds"), [("ssd", 0, 0, 20, 7), ("ssd", 1, 2, 20, 5), ("ncc", 1, 2, 20, 3), ("ssd", 1, 3, 10, 4)])
+def test_descent_by_slabs(spark, monkeypatch, loss, inner, every, planes, rounds):
+    """Slabs of a few planes, several rounds in a task, fields that point far: the same as over whole volumes."""
+    monkeypatch.setattr(descent, "SLAB_BYTES", planes * 8 * 12 * (5 * 2 + 24))
+    monkeypatch.setattr(descent, "CHUNK", 50)
+    rng = np.random.default_rng(4)
+    fixed, moving = (np.stack([box(rng.normal(size=(26, 4, 3)), 1) for _ in range(2)], -1) for _ in range(2))
+    u = rng.normal(size=(26, 4, 3, 3)) * 2
+    found = descent.descend(field_rows(spark, u), volume_rows(spark, fixed), volume_rows(spark, moving), 0.5, rounds, 0.1, loss, inner, smooth_every=every)
+    assert np.allclose(field_of(found, u.shape[:3]), adam(u, fixed, moving, 0.5, rounds, 0.1, loss, inner, every), atol=1e-6)
+
+
+def test_schedule_of_slabs():
+    """A volume that fits is one slab for all rounds; a larger one gets several rounds in a task, within the bytes that it may hold."""
+    plan = descent.Descent(inner=3, rate=1.0)
+    assert plan.schedule(64, 64 * 64, 2, 3.0, 0, 60) == (60, 64, 0, 0)
+    count, depth, halo, reach = plan.schedule(256, 64 * 64, 12, 3.0, 0, 60)
+    assert count > 1 and halo == 7 * count and reach >= 3 + count and depth < 256
+    assert 8 * 64 * 64 * ((depth + 2 * halo) * (5 * 12 + 24) + 2 * reach * 4 * 12) <= descent.SLAB_BYTES
+    assert plan.schedule(256, 2048 * 2048, 64, 3.0, 0, 60)[:2] == (1, 1)  # a plane at least
+    rng = np.random.default_rng(2)
+    for _ in range(20):  # whatever the gradients, no step of Adam is longer
+        m = v = 0.0
+        for step, g in enumerate(rng.normal(size=30) * 10.0 ** rng.integers(-6, 6, 30), 1):
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            assert abs(m / (1 - 0.9**step)) / np.sqrt(v / (1 - 0.999**step)) <= descent.adam_bound(step) + 1e-9
+
+
+def test_sixty_rounds_over_a_large_pair(spark, monkeypatch):
+    """60 rounds on 64^3 voxels in slabs equal plain numpy."""
+    monkeypatch.setattr(descent, "SLAB_BYTES", 8 * 64 * 64 * 34 * 60)
+    rng = np.random.default_rng(8)
+    fixed, moving = (np.stack([box(box(rng.normal(size=(64, 64, 64)), 2), 1)], -1) for _ in range(2))
+    u = np.zeros((64, 64, 64, 3))
+    found = descent.descend(field_rows(spark, u), volume_rows(spark, fixed), volume_rows(spark, moving), 0.5, 60, 0.05, "ssd", 1)
+    assert np.allclose(field_of(found, u.shape[:3]), adam(u, fixed, moving, 0.5, 60, 0.05, "ssd", 1), atol=1e-5)
+
+
+def test_descent_needs_whole_planes(spark):
+    fixed, moving = shifted_pair(spark)
+    still = fixed.select("pair_id", "d", "h", "w", *[F.lit(0.0).alias(c) for c in ("ud", "uh", "uw")])
+    with pytest.raises(Exception, match="isn't whole"):
+        registration.descend(still.where("h <> 3 OR w <> 2"), fixed, moving, rounds=1).count()
+    none = registration.descend(still.limit(0), fixed.limit(0), moving.limit(0), rounds=2)
+    assert none.count() == 0 and none.columns == still.columns
+
+
 def test_descent_snapshots(spark):
     fixed, moving = shifted_pair(spark, (1, 0, 0))
     still = fixed.select("pair_id", "d", "h", "w", *[F.lit(0.0).alias(c) for c in ("ud", "uh", "uw")])

@@ -215,5 +215,5 @@ def R10_ladder_levels(spark, folder):
 @C.add()
 def R9_two_stage_registration(spark, folder):
     fixed, moving = _sides(spark, folder)
-    stage = registration.TwoStage("trans", registration.Elastic(grid=2, reach=2, inverse_rounds=3, adam_grid=1, iters=(2,), loss="ncc", smooths=(0,)), use_mask="elastic")
+    stage = registration.TwoStage("trans", registration.Elastic(grid=2, reach=2, inverse_rounds=3, adam_grid=1, iters=(60,), loss="ncc", smooths=(0,)), use_mask="elastic")
     return stage(fixed, moving).select("pair_id", "level", "d", "h", "w", *[r6(c).alias(c) for c in ("ud", "uh", "uw")])

@@ -475,7 +475,7 @@ def T3_cheapest_offset(spark, folder):
 @C.add()
 def R4_R8_convex_registration(spark, folder):
     fix, mov = _sides(spark, folder)
-    out = registration.Elastic(grid=2, reach=3, adam_grid=1, iters=(3,), smooths=(0, 1))(fix, mov)
+    out = registration.Elastic(grid=2, reach=3, adam_grid=1, iters=(20, 60), smooths=(0, 1))(fix, mov)
     return out.select("pair_id", "level", "d", "h", "w", *[r6(c).alias(c) for c in ("ud", "uh", "uw")])
 
 

@@ -1,4 +1,5 @@
-"""Intensity normalisation: fitting is an aggregate for each volume, applying is an expression after one small join."""
+"""Intensity normalisation: fitting is an aggregate for each volume or a search for its ranks, applying is an expression after one
+small join."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
+from voxlake.operators.selection import percentiles
 
 
 def applies(modalities: Sequence[str] | None, modality: Column | str = "modality") -> Column:
@@ -34,19 +36,21 @@ def fixed_mean_std(constants: Mapping[str, tuple[float, float]], value: str = "v
 
 def percentile_bounds(voxels: DataFrame, low: float, high: float, use_mask: bool = True, keys: Sequence[str] = ("vid",)) -> DataFrame:
     """low and high of each volume: exact percentiles (0 to 100, linear between ranks) of the voxels in the mask, or the least
-    and greatest value where the mask is empty. Exact percentiles merge counts of distinct values before the shuffle."""
+    and greatest value where the mask is empty. Ranks are found by narrowing histograms, in buffers that a volume's size, and the
+    number of its distinct values, don't change."""
     inside = F.when(F.coalesce(F.col("msk"), F.lit(True)), F.col("value")) if use_mask else F.col("value")
-    return voxels.groupBy(*keys).agg(
-        F.coalesce(F.percentile(inside, low / 100), F.min("value")).alias("low"),
-        F.coalesce(F.percentile(inside, high / 100), F.max("value")).alias("high"),
-    )
+    names = {k: f"_{k}" for k in keys}
+    found = percentiles(voxels.select(*keys, inside.alias("value")), (low / 100, high / 100), keys).withColumnsRenamed(names)
+    ends = voxels.groupBy(*keys).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    joined = ends.join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left")
+    return joined.select(*keys, F.coalesce("p0", "least").alias("low"), F.coalesce("p1", "most").alias("high"))
 
 
 def clip_to(voxels: DataFrame, bounds: DataFrame, keys: Sequence[str] = ("vid",), eps: float = 1e-8) -> DataFrame:
     """value clipped to its volume's bounds and laid on [0, 1]; 0 where the bounds are one."""
     span = F.col("high") - F.col("low")
     scaled = F.when(span > eps, (V.clamp(F.col("value"), F.col("low"), F.col("high")) - F.col("low")) / span).otherwise(0.0)
-    return voxels.join(F.broadcast(bounds) if len(keys) == 1 and keys[0] == "modality" else bounds, [*keys]).withColumn("value", scaled).drop("low", "high")
+    return voxels.join(bounds, [*keys]).withColumn("value", scaled).drop("low", "high")
 
 
 def by_modality(voxels: DataFrame, low: float = 0.0, high: float = 97.0, ct: tuple[float, float] = (-150.0, 250.0)) -> DataFrame:

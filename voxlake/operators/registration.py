@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
 from voxlake.operators import features, slice_search, warp
+from voxlake.operators.descent import descend, mean3
 from voxlake.operators.grids import XYZ, full, pooled_features, shapes
-from voxlake.operators.neighbourhood import box_mean, line
+from voxlake.operators.neighbourhood import box_mean
 from voxlake.scratch import dropped, written
 
 #: Weights of the smooth field in the convex rounds. Fixed values.
@@ -36,16 +37,6 @@ def offset_list(reach: int) -> list[tuple[int, int, int]]:
     return [(a, b, e) for a in side for b in side for e in side]
 
 
-def _mean3(x: np.ndarray) -> np.ndarray:
-    """Means of 3^3 cells along the first three axes, zeros beyond the ends."""
-    for axis in range(3):
-        pad = [(1, 1) if k == axis else (0, 0) for k in range(x.ndim)]
-        wide = np.pad(x, pad)
-        take = lambda k: np.take(wide, np.arange(k, k + x.shape[axis]), axis)  # noqa: B023, E731
-        x = (take(0) + take(1) + take(2)) / 3
-    return x
-
-
 def _slab(reach: int, depth: int, means: int):
     """Both sides' voxels of one slab and its surroundings -> the costs of its own voxels of the fixed side."""
 
@@ -69,7 +60,7 @@ def _slab(reach: int, depth: int, means: int):
             cost = ((fixed - moving[a : a + size[0], b : b + size[1], e : e + size[2]]) ** 2).sum(-1)
             for _ in range(means):
                 cost[outside] = 0
-                cost = _mean3(cost)
+                cost = mean3(cost)
             costs[:, k] = cost[d[mine] - first, h[mine], w[mine]]
         ends = pa.array(np.arange(0, costs.size + 1, costs.shape[1]).astype(np.int32))
         kept = rows.select(["pair_id", "d", "h", "w"]).take(pa.array(mine))
@@ -167,89 +158,6 @@ def upsampled(field: DataFrame, factor: int, sizes: DataFrame) -> DataFrame:
     return moved.select(*_AT, *[(F.col(n) * factor).alias(n) for n in names])
 
 
-def _data_gradient(rows: DataFrame, loss: str) -> DataFrame:
-    """rows(pair_id, d, h, w, feat, _s, ...) with _e: the derivative of twelve times the loss by each sampled channel. _s holds
-    the sampled features and then their slopes along each axis. ssd: the mean squared difference over channels and voxels;
-    ncc: one less the correlation of each channel over a pair's voxels, its mean over channels."""
-    n = F.size("feat")
-    sampled = F.slice("_s", F.lit(1), n)
-    if loss == "ssd":
-        return rows.withColumn("_e", V.scale(V.subtract(sampled, F.col("feat")), 24.0 / n / F.col("_voxels")))
-    if loss != "ncc":
-        raise ValueError(f"a loss is ssd or ncc, not {loss!r}")
-    long = rows.select("pair_id", F.posexplode(F.arrays_zip(sampled.alias("m"), F.col("feat").alias("f"))).alias("c", "x"))
-    m, f = F.col("x.m"), F.col("x.f")
-    sums = long.groupBy("pair_id", "c").agg(F.avg(m).alias("am"), F.avg(f).alias("af"), F.avg(m * m).alias("mm"), F.avg(f * f).alias("ff"), F.avg(m * f).alias("mf"))
-    sm, sf = (F.sqrt(F.greatest(F.col(x * 2) - F.col(f"a{x}") * F.col(f"a{x}"), F.lit(0.0))) for x in "mf")
-    below = sm * sf + 1e-6
-    cov = F.col("mf") - F.col("am") * F.col("af")
-    # d ncc / d m = ((f - mean f) - (m - mean m) cov sf / (sm below)) / (voxels below)
-    per = sums.select("pair_id", "c", "am", "af", (1 / below).alias("k"), F.coalesce(F.try_divide(cov * sf, sm * below), F.lit(0.0)).alias("r"))
-    packed = per.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "am", "af", "k", "r"))), lambda x: x).alias("_p"))
-    rows = rows.join(packed, "pair_id")
-    centred = F.zip_with(F.zip_with(sampled, F.col("feat"), lambda a, b: F.struct(a.alias("m"), b.alias("f"))), "_p", lambda x, p: -((x["f"] - p["af"]) - (x["m"] - p["am"]) * p["r"]) * p["k"])
-    return rows.withColumn("_e", V.scale(centred, 12.0 / n / F.col("_voxels")))
-
-
-def descend(
-    field: DataFrame, fixed: DataFrame, moving: DataFrame, weight: float = 1.0, rounds: int = 10, rate: float = 0.5,
-    loss: str = "ssd", inner: int = 0, keep: Sequence[int] = (), smooth_every: int = 0,
-) -> DataFrame:
-    """Adam over twelve times the loss of the features (`_data_gradient`) and, times weight, the mean over voxels of the field's
-    squared neighbour differences. A round smooths the field by `inner` 3^3 means, samples the moving features and their
-    central differences at x + u, forms the gradient, takes it back through the means (which are their own transpose),
-    and moves u; every `smooth_every` rounds u itself is smoothed once. keep: rounds whose smoothed fields are returned, with a
-    column `round`; none: the last round's field, as it stands."""
-    sizes = written(shapes(fixed, ["pair_id"]), "sizes")
-    slopes = moving
-    for c in XYZ:
-        own = line(c, ["pair_id"])
-        ahead, behind = F.coalesce(F.lead("feat").over(own), F.col("feat")), F.coalesce(F.lag("feat").over(own), F.col("feat"))
-        slopes = slopes.withColumn(f"_g{c}", V.scale(V.subtract(ahead, behind), 0.5))
-    # one vector for each voxel: features, then the slopes along each axis
-    source = written(slopes.select(*_AT, F.concat("feat", *[f"_g{c}" for c in XYZ]).alias("feat")), "slopes")
-    voxels = sizes.select("pair_id", (F.col("nd") * F.col("nh") * F.col("nw")).cast("double").alias("_voxels"))
-    moments = [f"{k}{c}" for k in ("m", "v") for c in XYZ]
-    state = written(field.select(*_AT, *_U).withColumns({c: F.lit(0.0) for c in moments}), "descent")
-    kept, last = [], max(keep) if keep else rounds
-    for step in range(1, last + 1):
-        smooth = written(box_mean(state.select(*_AT, *_U), _U, ["pair_id"], times=inner), "descent-smooth") if inner else state.select(*_AT, *_U)
-        if step in keep:
-            kept.append((step, written(smooth, "descent-kept")))
-        sampled = warp.trilinear_features(smooth, source, sizes).withColumnRenamed("feat", "_s")
-        rows = smooth.join(sampled, _AT).join(fixed.select(*_AT, "feat"), _AT).join(voxels, "pair_id")
-        rows = _data_gradient(rows, loss)
-        n = F.size("feat")
-        gradients = []
-        for k, c in enumerate(XYZ):
-            bend = F.lit(0.0)
-            for a in XYZ:
-                own = line(a, ["pair_id"])
-                for move in (F.lag(f"u{c}").over(own), F.lead(f"u{c}").over(own)):
-                    bend = bend + F.coalesce(F.col(f"u{c}") - move, F.lit(0.0))
-            gradients.append((V.dot(F.col("_e"), F.slice("_s", 1 + (k + 1) * n, n)) + 2.0 * weight * bend / F.col("_voxels")).alias(f"_g{c}"))
-        slope = [f"_g{c}" for c in XYZ]
-        found = rows.select(*_AT, *gradients)
-        if inner:
-            found = box_mean(written(found, "descent-gradient"), slope, ["pair_id"], times=inner)
-        rows = state.join(found, _AT)
-        m = {c: 0.9 * F.col(f"m{c}") + 0.1 * F.col(f"_g{c}") for c in XYZ}
-        v = {c: 0.999 * F.col(f"v{c}") + 0.001 * F.col(f"_g{c}") * F.col(f"_g{c}") for c in XYZ}
-        moved = [(F.col(f"u{c}") - rate * (m[c] / (1 - 0.9**step)) / (F.sqrt(v[c] / (1 - 0.999**step)) + 1e-8)).alias(f"u{c}") for c in XYZ]
-        now = written(rows.select(*_AT, *moved, *[m[c].alias(f"m{c}") for c in XYZ], *[v[c].alias(f"v{c}") for c in XYZ]), "descent")
-        if smooth_every and step % smooth_every == 0:
-            now = written(box_mean(now, _U, ["pair_id"]), "descent")
-        dropped(state)
-        state = now
-    if not keep:
-        return state.select(*_AT, *_U)
-    out = [table.select(*_AT, *_U, F.lit(step).alias("round")) for step, table in kept]
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
 def smoothing_levels(fields: DataFrame, counts: Sequence[int]) -> DataFrame:
     """fields(pair_id, level, d, h, w, ud, uh, uw) after each of the counts of smoothings (three 3^3 means each), as levels
     `{level}_s{count}`."""
