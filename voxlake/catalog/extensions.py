@@ -1,12 +1,13 @@
-"""Loading geometry, masks by stage, extensions by name, traces, and registrations of two stages."""
+"""Loading geometry, masks by stage, extensions by name, traces, registrations of two stages, models over slices and volumes."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.catalog.base import INTEN, TOK, VOX, Catalog, entities, inten, r6, tok, vox
-from voxlake.operators import encoders, grids, knn, landmarks, registration, slices
+from voxlake.operators import encoders, grids, knn, landmarks, models, projection, registration, slices, streaming
 from voxlake.operators.pairs import fixed_moving
 from voxlake.plans import experiments as X
 from voxlake.plans import extensions, masks, preprocess
@@ -217,3 +218,66 @@ def R9_two_stage_registration(spark, folder):
     fixed, moving = _sides(spark, folder)
     stage = registration.TwoStage("trans", registration.Elastic(grid=2, reach=2, inverse_rounds=3, adam_grid=1, iters=(60,), loss="ncc", smooths=(0,)), use_mask="elastic")
     return stage(fixed, moving).select("pair_id", "level", "d", "h", "w", *[r6(c).alias(c) for c in ("ud", "uh", "uw")])
+
+
+# ---- models over whole slices and volumes -----------------------------------------------------------------------------
+
+#: Sides of 5 are padded to 6, one pixel before; tokens are sums over 2 x 2 pixels with weights cos(k + 2 y + 3 x), and a position table.
+_PATCHED = TOK + """, px AS (SELECT vid, d AS slice_idx, (h + 1) // 2 AS tok_y, (w + 1) // 2 AS tok_x, (h + 1) % 2 AS y, (w + 1) % 2 AS x, 100 * feat[1] AS value FROM tok),
+ks AS (SELECT unnest(range(0, 4)) AS k),
+tk AS (SELECT vid, slice_idx, tok_y, tok_x, k, 0.1::DOUBLE * k + 0.01::DOUBLE * (tok_y + 2 * tok_x) * k + sum(value * cos(k + 2 * y + 3 * x)) AS t FROM px, ks GROUP BY vid, slice_idx, tok_y, tok_x, k)"""
+
+
+def _patch_model() -> tuple[models.PatchTransformer, dict[str, np.ndarray]]:
+    k, y, x = np.meshgrid(np.arange(4), np.arange(2), np.arange(2), indexing="ij")
+    ty, tx, c = np.meshgrid(np.arange(3), np.arange(3), np.arange(4), indexing="ij")
+    weights = {"patch.weight": np.cos(k + 2 * y + 3 * x)[..., None], "patch.bias": 0.1 * np.arange(4), "position": 0.01 * (ty + 2 * tx) * c}
+    return models.PatchTransformer(models.Layout(2, "pad_to_patch", channels=1), 4), weights
+
+
+def _value_slices(spark, folder):
+    return streaming.packed_slices(slices.serialize(vox(spark, folder).select("vid", "d", "h", "w", "value"), "x").drop("is_end"))
+
+
+@C.add(
+    _PATCHED
+    + """ SELECT vid, CAST(slice_idx AS INTEGER) AS slice_idx, CAST(tok_y AS INTEGER) AS tok_y, CAST(tok_x AS INTEGER) AS tok_x,
+  [round(sum((t - 0.5::DOUBLE * k) * sin(1 + k)), 6) + 0.0, round(sum((t - 0.5::DOUBLE * k) * sin(5 + k)), 6) + 0.0] AS feat FROM tk GROUP BY vid, slice_idx, tok_y, tok_x"""
+)
+def E1_E2_streamed_projection(spark, folder):
+    model, weights = _patch_model()
+    k = np.arange(4)
+    onto = projection.PCA((0.5 * k).tolist(), [np.sin(1 + k).tolist(), np.sin(5 + k).tolist()], [0.5, 0.5])
+    found = streaming.stream(_value_slices(spark, folder), model, weights, {"patch": onto})
+    return found.select("vid", "slice_idx", "tok_y", "tok_x", F.transform("feat", r6).alias("feat"))
+
+
+@C.add(
+    _PATCHED
+    + """, pl AS (SELECT * FROM tk WHERE (slice_idx + tok_y + tok_x) % 2 = 0)
+SELECT vid, CAST(slice_idx AS INTEGER) AS slice_idx, 'patch' AS tap, CAST(tok_y AS INTEGER) AS tok_y, CAST(tok_x AS INTEGER) AS tok_x, list(round(t, 6) + 0.0 ORDER BY k) AS feat FROM pl GROUP BY ALL
+UNION ALL SELECT vid, CAST(slice_idx AS INTEGER), 'tokens', CAST(tok_y AS INTEGER), CAST(tok_x AS INTEGER), [round(sum(t * (1 + k)), 6) + 0.0] FROM pl GROUP BY ALL"""
+)
+def E3_E6_two_taps_of_a_plan(spark, folder):
+    model, weights = _patch_model()
+    onto = projection.PCA([0.0] * 4, [[1.0, 2.0, 3.0, 4.0]], [1.0])
+    whole = tok(spark, folder).select("vid", F.col("d").alias("slice_idx"), F.expr("cast((h + 1) div 2 as int)").alias("tok_y"), F.expr("cast((w + 1) div 2 as int)").alias("tok_x")).distinct()
+    plan = whole.where((F.col("slice_idx") + F.col("tok_y") + F.col("tok_x")) % 2 == 0)
+    found = streaming.stream(_value_slices(spark, folder), model, weights, {"patch": None, "tokens": onto}, plan)
+    return found.select("vid", "slice_idx", "tap", "tok_y", "tok_x", F.transform("feat", r6).alias("feat"))
+
+
+_CONV = VOX + """, o AS (SELECT a.x AS a, b.x AS b, c.x AS c FROM (SELECT unnest([0, 1, 2]) AS x) a, (SELECT unnest([0, 1, 2]) AS x) b, (SELECT unnest([0, 1, 2]) AS x) c), ch AS (SELECT unnest([0, 1]) AS k),
+ne AS (SELECT v.vid, v.d, v.h, v.w, n.d AS nd, n.h AS nh, n.w AS nw, a, b, c, n.value FROM vox v CROSS JOIN o JOIN vox n ON n.vid = v.vid AND n.d = v.d + a - 1 AND n.h = v.h + b - 1 AND n.w = v.w + c - 1),
+l0 AS (SELECT vid, d, h, w, k, greatest(0, 0.5::DOUBLE * k + sum(value * cos(k + a + 2 * b + 3 * c))) AS t FROM ne, ch GROUP BY vid, d, h, w, k)"""
+
+
+@C.add(_CONV + " SELECT ne.vid, ne.d, ne.h, ne.w, [round(0.1 + sum(t * sin(1 + k + a + b + c)), 5) + 0.0] AS feat FROM ne JOIN l0 ON l0.vid = ne.vid AND l0.d = ne.nd AND l0.h = ne.nh AND l0.w = ne.nw GROUP BY ne.vid, ne.d, ne.h, ne.w")
+def E11_volume_convolution(spark, folder):
+    k, a, b, c = np.meshgrid(np.arange(2), np.arange(3), np.arange(3), np.arange(3), indexing="ij")
+    weights = {
+        "layers.0.weight": np.cos(k + a + 2 * b + 3 * c)[..., None], "layers.0.bias": 0.5 * np.arange(2),
+        "layers.1.weight": np.moveaxis(np.sin(1 + k + a + b + c), 0, -1)[None], "layers.1.bias": np.array([0.1]),
+    }
+    found = models.convolved(models.VolumeConvolution(2), weights, vox(spark, folder), depth=2)
+    return found.withColumn("feat", F.transform("feat", lambda x: F.round(x, 5) + 0.0))

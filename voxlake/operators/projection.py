@@ -27,6 +27,12 @@ def _array(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def of_tasks(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The flat array [W, Wx, Wy, Wxx, Wyy, Wxy] of weighted moments of rows."""
+    wx, wy = x * w[:, None], y * w[:, None]
+    return np.concatenate([[w.sum()], wx.sum(0), wy.sum(0), (wx * x).sum(0), (wy * y).sum(0), (wx.T @ y).ravel()])
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, w, x, y) -> group and the flat array [W, Wx, Wy, Wxx, Wyy, Wxy] of weighted moments."""
     sums: dict[str, np.ndarray] = {}
@@ -36,9 +42,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, x, y = batch.column(1).to_numpy(zero_copy_only=False), _array(batch.column(2)), _array(batch.column(3))
         for code, name in enumerate(names):
             at = codes == code
-            ww, xx, yy = w[at], x[at], y[at]
-            wx, wy = xx * ww[:, None], yy * ww[:, None]
-            part = np.concatenate([[ww.sum()], wx.sum(0), wy.sum(0), (wx * xx).sum(0), (wy * yy).sum(0), (wx.T @ yy).ravel()])
+            part = of_tasks(w[at], x[at], y[at])
             sums[name] = sums[name] + part if name in sums else part
     if sums:
         yield pa.RecordBatch.from_pydict({"group": pa.array([*sums], pa.string()), "moments": pa.array([m.tolist() for m in sums.values()], pa.list_(pa.float64()))})
@@ -47,6 +51,11 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def moments(rows: DataFrame) -> DataFrame:
     """group and moments of rows(group, w, x, y), x and y array<double> of one length each."""
     parts = rows.select(F.col("group").cast("string"), F.col("w").cast("double"), "x", "y").mapInArrow(_partial, "group string, moments array<double>")
+    return added(parts)
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """group and moments of parts(group, moments), added by component."""
     long = parts.select("group", F.posexplode("moments").alias("i", "v")).groupBy("group", "i").agg(F.sum("v").alias("v"))
     return long.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("moments"))
 
@@ -93,7 +102,11 @@ class PCA:
         found = moments(rows.select(F.lit("all").alias("group"), F.lit(1.0).alias("w"), x.alias("x"), x.alias("y"))).collect()
         if not found:
             raise ValueError("no rows to fit components to")
-        flat = found[0]["moments"]
+        return cls.of_moments(found[0]["moments"], nc, unit)
+
+    @classmethod
+    def of_moments(cls, flat: Sequence[float], nc: int, unit: bool = False) -> PCA:
+        """From the flat moments of one group, x and y the same vectors."""
         c = int(round((-4 + (16 + 4 * (len(flat) - 1)) ** 0.5) / 2))
         if c > MAX_CHANNELS:
             raise ValueError(f"{c} channels; at most {MAX_CHANNELS}")
