@@ -52,6 +52,31 @@ def S14_zoomed_volume(spark, folder):
     return grids.zoomed(vox(spark, folder), (1.7, 1.0, 0.5)).withColumn("value", r6("value"))
 
 
+def _cubic(source: str, axis: str, size: str, new: str, others: str, out: str) -> str:
+    """SQL of a zoom by cubic splines along one axis: coefficients as sums over the mirrored line, far terms of which vanish, then four taps."""
+    mirrored = lambda i, n: f"CASE WHEN {n} = 1 THEN 0 WHEN abs({i}) % (2 * {n} - 2) < {n} THEN abs({i}) % (2 * {n} - 2) ELSE 2 * {n} - 2 - abs({i}) % (2 * {n} - 2) END"
+    return f"""{out}_n AS (SELECT vid, {others}, {axis} AS i, {size} AS n, {new} AS m, value FROM {source} JOIN z USING (vid)),
+{out}_c AS (SELECT a.vid, {", ".join(f"a.{c}" for c in others.split(", "))}, a.i, any_value(a.n) AS n, any_value(a.m) AS m, CASE WHEN any_value(a.n) = 1 THEN any_value(a.value) ELSE sum(sqrt(3::DOUBLE) * (sqrt(3::DOUBLE) - 2) ** abs(k) * b.value) END AS c
+  FROM (SELECT *, unnest(range(-36, 37)) AS k FROM {out}_n) a JOIN {out}_n b ON b.vid = a.vid AND {" AND ".join(f"b.{c} = a.{c}" for c in others.split(", "))} AND b.i = {mirrored("a.i + k", "a.n")} GROUP BY ALL),
+{out}_p AS (SELECT DISTINCT vid, {others}, n, m, unnest(range(0, m)) AS j FROM {out}_c),
+{out}_t AS (SELECT *, CASE WHEN m > 1 THEN j * (n - 1) / (m - 1)::DOUBLE ELSE 0 END AS x FROM {out}_p),
+{out}_u AS (SELECT *, x - floor(x) AS t, CAST(floor(x) AS INTEGER) AS f, unnest(range(0, 4)) AS k FROM {out}_t),
+{out} AS (SELECT u.vid, {", ".join(f"u.{c}" for c in others.split(", "))}, u.j AS {axis}, sum(c.c * CASE k WHEN 0 THEN (1 - t) ** 3 WHEN 1 THEN 4 - 6 * t ** 2 + 3 * t ** 3 WHEN 2 THEN 4 - 6 * (1 - t) ** 2 + 3 * (1 - t) ** 3 ELSE t ** 3 END / 6) AS value
+  FROM {out}_u u JOIN {out}_c c ON c.vid = u.vid AND {" AND ".join(f"c.{x} = u.{x}" for x in others.split(", "))} AND c.i = {mirrored("f + k - 1", "u.n")} GROUP BY ALL)"""
+
+
+@C.add(
+    _SZ
+    + ", z AS (SELECT vid, nd, nh, nw, greatest(CAST(round_even(nd * 1.7::DOUBLE, 0) AS INTEGER), 1) AS md, greatest(CAST(round_even(nw * 0.5::DOUBLE, 0) AS INTEGER), 1) AS mw FROM sz), "
+    + _cubic("vox", "d", "nd", "md", "h, w", "za")
+    + ", "
+    + _cubic("za", "w", "nw", "mw", "d, h", "zb")
+    + " SELECT vid, CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, round(value, 5) + 0.0 AS value FROM zb"
+)
+def S14_zoomed_by_splines(spark, folder):
+    return grids.zoomed(vox(spark, folder), (1.7, 1.0, 0.5), order=3).withColumn("value", F.round("value", 5) + 0.0)
+
+
 @C.add("SELECT c_custkey AS sample, c_name AS vid FROM customer WHERE c_custkey IN (3, 5, 8, 13, 21)")
 def S4_named_subset(spark, folder):
     chosen = masks.subset('{"test": [3, 5, 8, 13, 21], "train": [1, 2]}', "test")

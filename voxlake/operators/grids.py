@@ -85,10 +85,14 @@ def padded(voxels: DataFrame, before: Sequence[int], after: Sequence[int], value
 
 
 def zoomed(voxels: DataFrame, factors: Sequence[float], column: str = "value", order: int = 1, keys: Sequence[str] = ("vid",)) -> DataFrame:
-    """Volumes with round(n * factor) voxels along each axis; corners meet corners. order 1: linear; 0: the nearest voxel, for
-    labels and masks."""
+    """Volumes with round(n * factor) voxels along each axis; corners meet corners. order 3: cubic splines; 1: linear; 0: the nearest
+    voxel, for labels and masks."""
+    if order == 3:
+        from voxlake.operators import splines
+
+        return splines.zoomed(voxels, factors, column, keys)
     if order not in (0, 1):
-        raise ValueError(f"order must be 0 or 1, not {order}")
+        raise ValueError(f"order must be 0, 1 or 3, not {order}")
     sizes = shapes(voxels, keys)
     new = sizes.select(*keys, *[F.greatest(F.rint(F.col(f"n{c}") * float(f)).cast("int"), F.lit(1)).alias(f"n{c}") for c, f in zip(XYZ, factors, strict=True)])
     old = sizes.select(*keys, *[F.col(f"n{c}").alias(f"_n{c}") for c in XYZ])
