@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING, SCHEMA, rows_of
@@ -99,20 +100,80 @@ def test_one_shard_more_takes_rows_only_into_itself(spark, shards):
     assert [r["b"] for r in moved] == [shards] and abs(moved[0]["count"] - 5000 / (shards + 1)) < 5 * (5000 / (shards + 1)) ** 0.5
 
 
-def test_descent_of_the_tree(spark):
-    """Region by region, rack by rack: the same shards as draws on the driver give, from the same hashes."""
-    tree = sharding.topology(21, weights={3: 2.5, 20: 0.5})
-    leaves = [leaf for region in tree for rack in region["racks"] for leaf in rack["shards"]]
-    rows = spark.range(300).select("id", *[F.xxhash64(F.lit(x["name"]), F.col("id")).alias(x["name"]) for x in leaves], sharding.shard_of(F.col("id"), tree).alias("found")).collect()
-
-    def draw(row, leaf):
-        return -math.log((((row[leaf["name"]] & 0xFFFFFFFFFFFFFFFF) >> 11) + 0.5) / 2.0**53) / leaf["weight"]
-
+def chained(*parts):
+    """Spark's xxhash64 of strings and longs: each seeds the next."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+    return seed
+
+
+def first_points(rack, key, total, finest):
+    """The time of the first point of every smallest block of a rack's axis, halving by halving."""
+    wait = lambda h, size: -math.log(((h >> 11) + 0.5) / 2.0**53) * 4096 / size
+    out = {}
+
+    def halve(start, size, time):
+        if size == finest:
+            out[start] = time
+            return
+        h = chained(rack, start, size, key)
+        later = time + wait(h, size // 2)
+        halve(start, size // 2, time if h % 2 == 0 else later)
+        halve(start + size // 2, size // 2, later if h % 2 == 0 else time)
+
+    start, size = 0, 4096
+    while start < total:
+        halve(start, size, wait(chained(f"{rack}!", start, size, key), size))
+        start = size = start + size
+    return {at: t for at, t in out.items() if at < total}
+
+
+@pytest.mark.parametrize("weights", [{}, {3: 2.5, 20: 0.5}, {0: 0.5, 1: 1.5, 9: 7.0, 20: 1.5}])
+def test_descent_of_the_tree(spark, weights):
+    """Region by region, rack by rack: the shard under the first of all points of the rack with the first one."""
+    tree = sharding.topology(21, weights=weights)
+    rows = spark.range(300).select("id", sharding.shard_of(F.col("id"), tree).alias("found")).collect()
     for row in rows:
-        rack_draw = lambda rack: min((draw(row, x), x["shard"]) for x in rack["shards"])  # noqa: B023, E731
-        region = min(tree, key=lambda r: min(map(rack_draw, r["racks"])))  # noqa: B023
-        rack = min(region["racks"], key=rack_draw)
-        assert rack_draw(rack)[1] == row["found"]
+        def draw(rack, key=row["id"]):
+            points = first_points(rack["name"], key, sum(int(x["weight"] * 4096) for x in rack["shards"]), 2048)
+            return min((t, at) for at, t in points.items())
+
+        region = min(tree, key=lambda r: min(map(draw, r["racks"])))
+        rack = min(region["racks"], key=draw)
+        at, end = draw(rack)[1], 0
+        for leaf in rack["shards"]:
+            end += int(leaf["weight"] * 4096)
+            if at < end:
+                break
+        assert leaf["shard"] == row["found"]
+
+
+@pytest.mark.parametrize("weights", [{0: 1.8, 1: 0.2}, {16: 0.25, 17: 0.25, 18: 2.5}, {36: 3.75, 37: 0.125, 38: 0.0625, 39: 0.0625}])
+def test_equal_sums_move_nothing_out_of_a_rack(spark, weights):
+    before, after = (sharding.shard_of(F.col("id"), sharding.topology(40, weights=w)) for w in ({}, weights))
+    moved = spark.range(40_000).select(before.alias("a"), after.alias("b")).cache()
+    first = min(weights) // 4 * 4
+    assert moved.where("a <> b").count() > 300
+    assert moved.where(f"a <> b AND NOT (a BETWEEN {first} AND {first + 3} AND b BETWEEN {first} AND {first + 3})").count() == 0
+    found = {r["b"]: r["count"] for r in moved.groupBy("b").count().collect()}
+    assert all(abs(found.get(s, 0) - 1000 * w) < 5 * (1000 * w) ** 0.5 + 5 for s, w in weights.items())
+    moved.unpersist()
+
+
+@pytest.mark.parametrize(("weights", "share"), [({5: 2.5, 6: 0.25}, 4.75), ({12: 0.125}, 3.125), ({37: 9.0}, 12.0)])
+def test_other_sums_move_nothing_between_other_racks(spark, weights, share):
+    before, after = (sharding.shard_of(F.col("id"), sharding.topology(40, weights=w)) for w in ({}, weights))
+    moved = spark.range(40_000).select(before.alias("a"), after.alias("b"))
+    own = min(weights) // 4
+    assert moved.where(f"a <> b AND a div 4 <> {own} AND b div 4 <> {own}").count() == 0
+    want = 40_000 * share / (36 + share)
+    assert abs(moved.where(f"b div 4 = {own}").count() - want) < 5 * want**0.5
+
+
+def test_weights_have_a_least_part():
+    with pytest.raises(ValueError, match="at least"):
+        sharding.shard_of(F.lit(1), sharding.topology(3, weights={1: 1e-6}))
 
 
 def test_slots_over_many_buckets(spark):
