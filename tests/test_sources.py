@@ -39,6 +39,26 @@ def test_volume_files(spark, tmp_path):
     assert len(written) == 4 and nifti.decode(bytes(written[0]["content"]))[0].shape == (3, 4, 5)
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_excluded_files_are_never_opened(spark, tmp_path, monkeypatch, broadcast):
+    """A file that a restriction leaves out may be too large for the source, broken, or unreadable."""
+    monkeypatch.setattr(datasets, "BROADCAST_FILES", broadcast)
+    v = np.arange(24.0).reshape(2, 3, 4)
+    for name in ("img0002_tcia_MR", "seg0002_tcia_MR"):
+        (tmp_path / f"{name}.nii.gz").write_bytes(nifti.encode(v))
+    (tmp_path / "img0002_tcia_CT.nii.gz").write_bytes(b"no volume" * 10_000)
+    (tmp_path / "img0004_tcia_MR.nii").write_bytes(b"")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 20_000)
+    try:
+        rows = datasets.dataset(spark, "abdomen", tmp_path.as_uri(), [2], "MR").collect()
+        assert len(rows) == 24 and all(r["value"] == v[r["d"], r["h"], r["w"]] == r["seg"] for r in rows)
+        with pytest.raises(Exception, match="exceeds the max length"):
+            datasets.dataset(spark, "abdomen", tmp_path.as_uri(), [2]).collect()
+        assert datasets.dataset(spark, "abdomen", tmp_path.as_uri(), [99]).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_file_checks(spark):
     listing = spark.createDataFrame([("img0002_tcia_MR.nii.gz",), ("x/img0002_tcia_MR.nii.gz",), ("mask0004_tcia_CT.nii",)], "path string")
     found = datasets.classify_abdomen(listing)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from voxlake.functions import names
 from voxlake.sources import nifti
 
+#: Files whose kinds are broadcast; longer lists are joined by shuffle.
+BROADCAST_FILES = 100_000
 #: Axis names of each collection for slicing along x, y, z. Fixed values.
 AXIS_ORDER = {"abdomen": ("Sagittal", "Coronal", "Axial"), "brain": ("Coronal", "Sagittal", "Axial")}
 
@@ -48,16 +50,18 @@ def incomplete(classified: DataFrame) -> DataFrame:
 
 def dataset(spark: SparkSession, name: str, folder: str, samples: Sequence[int] | None = None, modality: str | None = None) -> DataFrame:
     """vid, sample, modality, d, h, w, value, seg, msk (null: no mask file) of a collection's files. Restrictions are made on
-    the listing, before a file is read."""
+    the listing: files that they leave out are never opened. The list of files, as Spark itself holds it, comes to the driver."""
     if name not in CLASSIFIERS:
         raise ValueError(f"no collection {name!r}; there are {sorted(CLASSIFIERS)}")
-    found = CLASSIFIERS[name](nifti.files(spark, folder))
+    found = CLASSIFIERS[name](nifti.listing(spark, folder))
     if samples is not None:
         found = found.where(F.col("sample").isin(*map(int, samples)))
     if modality is not None:
         found = found.where(F.col("modality") == modality.upper())
-    keys = found.select("path", "kind", "sample", "modality")
-    rows = nifti.voxels(found.select("path", "content")).join(F.broadcast(keys), "path")
+    files = found.select("path", "kind", "sample", "modality").collect()
+    keys = spark.createDataFrame(files, "path string, kind string, sample int, modality string")
+    rows = nifti.voxels(nifti.chosen(spark, [f["path"] for f in files]))
+    rows = rows.join(F.broadcast(keys) if len(files) <= BROADCAST_FILES else keys, "path")
     at = ["sample", "modality", "d", "h", "w"]
     wide = rows.groupBy(*at).agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("vol", "seg", "msk")])
     vid = names.make(F.col("sample"), F.col("modality"), F.col("sample").cast("string"))

@@ -1,7 +1,7 @@
 """NIfTI-1 volumes, plain or gzipped, as tables of voxels.
 
-Files come through Spark's binary source, so any store that Spark reads will do; a task decodes one file at a time and sends
-its voxels on in blocks of whole planes. Only single-file NIfTI-1 with the usual numeric types is read.
+Files come through Spark's binary source, so any store that Spark reads will do; a task decodes one file at a time (a gzipped one can
+only be read from its start, and is held whole) and sends its voxels on in blocks. Only single-file NIfTI-1 with the usual numeric types is read.
 """
 
 from __future__ import annotations
@@ -68,6 +68,18 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nii*").load(folder).select("path", "content")
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path of every volume below a folder; no file is opened, whatever its size."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nii*").load(folder).select("path")
+
+
+def chosen(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and content of these files and of no others."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def voxels(found: DataFrame) -> DataFrame:
     """path, d, h, w, value of files(path, content)."""
 
