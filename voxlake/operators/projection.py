@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
+from voxlake.operators import wide
 from voxlake.operators.grids import XYZ
 
-#: The longest vectors whose matrix the driver solves.
+#: The longest vectors whose matrix the driver solves; longer ones are fitted by products with blocks (`wide`).
 MAX_CHANNELS = 4096
 
 
@@ -96,9 +97,14 @@ class PCA:
 
     @classmethod
     def fit(cls, rows: DataFrame, nc: int, unit: bool = False) -> PCA:
-        """rows(feat). unit: vectors are brought to length 1 first."""
+        """rows(feat). unit: vectors are brought to length 1 first. Vectors of more than MAX_CHANNELS go by `wide.principal`."""
         feat = V.finite(F.col("feat"))
         x = V.unit(feat) if unit else feat
+        first = rows.select(F.size("feat")).first()  # all are of one length
+        channels = first[0] if first else 0
+        if channels > MAX_CHANNELS:
+            mean, values, vectors = wide.principal(rows.select(x.alias("x")), channels, nc)
+            return cls(mean.tolist(), _signed(vectors.T).tolist(), (values / (values.sum() + 1e-8)).tolist(), unit)
         found = moments(rows.select(F.lit("all").alias("group"), F.lit(1.0).alias("w"), x.alias("x"), x.alias("y"))).collect()
         if not found:
             raise ValueError("no rows to fit components to")
@@ -217,7 +223,12 @@ class WPLS:
         x = V.subtract(F.col("x"), my) if means else F.col("x")
         x = F.when(F.col("valid"), x).otherwise(V.scale(x, 0.0))
         group = F.concat_ws("|", F.col("level").cast("string"), "pair_id")
-        found = moments(rows.select(group.alias("group"), (F.col("vw") / F.col("_mw")).alias("w"), x.alias("x"), y.alias("y")))
+        own = rows.select(group.alias("group"), (F.col("vw") / F.col("_mw")).alias("w"), x.alias("x"), y.alias("y"))
+        if channels > MAX_CHANNELS:
+            s, right, left = wide.least_squares(own, channels, nc, alpha, ridge)
+            sign = np.where(left[np.abs(left).argmax(0), np.arange(left.shape[1])] < 0, -1.0, 1.0)
+            return cls((right * sign).tolist(), (left * sign).tolist(), s.tolist(), *(means or (None, None)), *codes)
+        found = moments(own)
         cxy, xv, yv, total = _accumulated(found, channels, alpha)
         denominator = total + 1e-8
         sx, sy = 1 / np.sqrt(xv / denominator + ridge), 1 / np.sqrt(yv / denominator + ridge)
