@@ -121,6 +121,39 @@ def test_runs_resume(spark, tmp_path):
     assert again.finished()
 
 
+@pytest.mark.parametrize("partition", [None, "fold"])
+@pytest.mark.parametrize("pruned", [10_000, 0])
+def test_runs_stopped_at_any_moment(spark, tmp_path, monkeypatch, partition, pruned):
+    """Stopped while rows are written, before the keys, and before the manifest: the rows of a run that never stopped, each once."""
+    monkeypatch.setattr(reports, "PRUNED_ATTEMPTS", pruned)
+    run = reports.Run(spark, tmp_path.as_uri(), ["fold", "task"], partition)
+    tasks = spark.createDataFrame([(k % 2, k, k * 1.5 + copy) for k in range(8) for copy in range(2)], "fold int, task long, value double")
+    key = tasks.select("fold", "task").distinct()
+    assert run.rows() is None and run.done() is None and run.todo(key).count() == 8
+    run.append(tasks.where("task < 2"))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(reports.Run, "_commit", stop)
+        with pytest.raises(KeyboardInterrupt):
+            run.append(tasks.where("task BETWEEN 2 AND 3"))
+    (tmp_path / "rows" / "attempt=0e1" / "_temporary").mkdir(parents=True)
+    tasks.where("task > 4").write.parquet(f"{tmp_path}/rows/attempt=7")
+    again = reports.Run(spark, tmp_path.as_uri(), ["fold", "task"], partition)
+    assert sorted(r["task"] for r in again.todo(key).collect()) == [2, 3, 4, 5, 6, 7]
+    again.append(tasks.where("task BETWEEN 2 AND 5"))
+    again.append(tasks.where("task BETWEEN 4 AND 6").withColumn("value", F.lit(-1.0)))  # 4 and 5 for the second time
+    again.append(tasks.limit(0), key.where("task = 7"))  # a task without rows
+    assert again.todo(key).count() == 0
+    again.finish()
+    want = sorted((k % 2, k, -1.0 if k == 6 else k * 1.5 + copy) for k in range(7) for copy in range(2))
+    assert sorted((r["fold"], r["task"], r["value"]) for r in again.rows().collect()) == want
+    assert sorted(again.rows().columns) == ["fold", "task", "value"]
+    assert len([*(tmp_path / "rows").iterdir()]) == 4 == len([*(tmp_path / "manifest").glob("*.json")])
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5)], "k int, dice double")
     reports.write_by_type({"organs": rows}, f"{tmp_path}/r.csv")

@@ -1,15 +1,21 @@
-"""Report files, and runs that can be taken up again: a table of finished tasks, partitioned results, a guarded config."""
+"""Report files, and runs that can be taken up again: results with a manifest of finished tasks, a guarded config."""
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxlake.plans.experiments import remaining
 
+#: Attempts whose folders are named in a filter and whose order is broadcast; more are joined.
+PRUNED_ATTEMPTS = 10_000
+
 
 def write_csv(report: DataFrame, path: str) -> None:
     """A folder of CSV with a header; other suffixes are errors."""
@@ -35,25 +41,79 @@ def write_by_type(reports: Mapping[str, DataFrame], path: str) -> list[str]:
 
 
 class Run:
-    """Results of tasks in a shared folder. A task's rows are appended in one commit of Spark's, with its keys in them: what
-    is there is done, and a run that was stopped goes on with the rest."""
+    """Results of tasks in a shared folder. Appending writes an attempt's rows and the keys of its tasks into folders of their own, and last
+    a manifest that names the attempt: one small file, made in one step, also on stores that have no renames. Attempts without a manifest
+    don't count, whatever they left; a task that several attempts finished counts once, in the first of them. So a run that was
+    stopped at any moment goes on with the rest, and ends with the rows of one that never stopped."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], partition: str | None = None) -> None:
         self.spark, self.folder, self.keys, self.partition = spark, folder.rstrip("/"), [*keys], partition
 
-    def _exists(self, name: str) -> bool:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def append(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append")
-        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.folder}/rows")
+    def _exists(self, name: str) -> bool:
+        store, path = self._path(name)
+        return store.exists(path)
+
+    def _names(self, name: str) -> list[str]:
+        store, path = self._path(name)
+        return sorted(f.getPath().getName() for f in store.listStatus(path)) if store.exists(path) else []
+
+    def _attempts(self) -> dict[str, str]:
+        """Committed attempts, in the order of their commits: attempt -> manifest."""
+        return {m.split("-", 1)[1].removesuffix(".json"): m for m in self._names("manifest") if m.endswith(".json")}
+
+    def _commit(self, attempt: str, schemas: Mapping[str, StructType]) -> None:
+        store, path = self._path(f"manifest/{time.time_ns():020d}-{attempt}.json")
+        out = store.create(path, False)
+        try:
+            out.write(bytearray(json.dumps({"attempt": attempt} | {k: v.jsonValue() for k, v in schemas.items()}).encode()))
+        finally:
+            out.close()
+
+    def append(self, rows: DataFrame, tasks: DataFrame | None = None) -> None:
+        """Rows of finished tasks. tasks: their keys, where some have no rows; else the keys in rows."""
+        attempt = uuid.uuid4().hex
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.folder}/rows/attempt={attempt}")
+        if tasks is None:
+            tasks = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/rows/attempt={attempt}")
+        tasks = tasks.select(*self.keys).distinct()
+        tasks.write.parquet(f"{self.folder}/tasks/attempt={attempt}")
+        self._commit(attempt, {"rows": rows.schema, "tasks": tasks.schema})
+
+    def _committed(self, name: str) -> DataFrame | None:
+        """A table's rows of committed attempts, with attempt and commit (their order)."""
+        order = self._attempts()
+        if not order:
+            return None
+        names = self.spark.createDataFrame([*order.items()], "attempt string, commit string")
+        saved = self.spark.read.text(f"{self.folder}/manifest/{next(iter(order.values()))}", wholetext=True).first()[0]
+        schema = StructType.fromJson(json.loads(saved)[name]).add("attempt", "string")
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        if len(order) > PRUNED_ATTEMPTS:
+            return rows.join(names, "attempt")
+        return rows.where(F.col("attempt").isin(*order)).join(F.broadcast(names), "attempt")
+
+    def done(self) -> DataFrame | None:
+        """The keys of finished tasks and the attempt that counts for each."""
+        tasks = self._committed("tasks")
+        if tasks is None:
+            return None
+        return tasks.groupBy(*self.keys).agg(F.min(F.struct("commit", "attempt")).alias("_first")).select(*self.keys, F.col("_first.attempt").alias("attempt"))
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/rows") if self._exists("rows") else None
+        rows, done = self._committed("rows"), self.done()
+        if rows is None:
+            return None
+        names = {k: f"_{k}" for k in [*self.keys, "attempt"]}
+        met = rows.join(done.withColumnsRenamed(names), [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left_semi")
+        return met.drop("attempt", "commit")
 
     def todo(self, tasks: DataFrame) -> DataFrame:
-        done = self.rows()
+        done = self.done()
         return tasks if done is None else remaining(tasks, done, self.keys)
 
     def guard(self, config: Mapping) -> None:
@@ -68,9 +128,13 @@ class Run:
             raise ValueError("the config differs: " + "; ".join(f"{r['key']}: {r['saved']} is now {r['current']}" for r in diff))
 
     def finish(self) -> None:
-        """Mark the run as done; rows of attempts that never ended are removed."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/_temporary")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Mark the run as done; what attempts without a manifest left is removed."""
+        kept = self._attempts()
+        for table in ("rows", "tasks"):
+            for name in self._names(table):
+                if name.startswith("attempt=") and name.removeprefix("attempt=") not in kept:
+                    store, path = self._path(f"{table}/{name}")
+                    store.delete(path, True)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/finished")
 
     def finished(self) -> bool:
