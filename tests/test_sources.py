@@ -106,6 +106,51 @@ def test_pipeline_state(spark, sf):
         preprocess.make("other")
 
 
+def _volumes(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(6):
+        modality = ("MR", "CT", "PT")[k % 3]
+        rows += [(f"v{k}", modality, float(x), bool(m)) for x, m in zip(rng.normal(k, 1 + k, 40), rng.random(40) < 0.7, strict=True)]
+    return spark.createDataFrame([*rows, ("v6", "MR", 2.0, False), ("v7", "CT", None, None)], "vid string, modality string, value double, msk boolean")
+
+
+PIPELINES = [
+    [preprocess.Percentile(5.0, 90.0, True, ("MR",)), preprocess.Percentile(0.0, 97.0, False, ("CT",)), preprocess.ZScore(modalities=("PT",))],
+    [preprocess.Percentile(10.0, 95.0), preprocess.ZScore(0.1, 0.8, ("MR", "ct")), preprocess.Window(0.0, 1.0, ("PT",)), preprocess.ZScore(modalities=("PT",))],
+    [preprocess.Window(-5.0, 5.0)],
+]
+
+
+@pytest.mark.parametrize("stages", PIPELINES)
+def test_recorded_states(spark, stages):
+    """States recorded in one go, applied, give what each stage fitted in turn gives; two batches' states are one batch's."""
+    pipeline, voxels = preprocess.Pipeline(stages), _volumes(spark)
+    key = lambda rows: sorted((r["vid"], r["modality"], tuple(r["log"]), None if r["value"] is None else round(r["value"], 9)) for r in rows.where("vid < 'v6'").collect())
+    states = pipeline.record(voxels).cache()
+    assert key(pipeline.apply(voxels, states)) == key(pipeline(voxels))
+    halves = [pipeline.record(voxels.where(x)) for x in ("vid < 'v3'", "vid >= 'v3'")]
+    both = halves[0].unionByName(halves[1])
+    flat = lambda rows: sorted((r["stage"], r["modality"], r["vid"] if "vid" in r else None, sorted((k, None if v is None else round(v, 9)) for k, v in r["state"].items())) for r in rows.collect())
+    assert flat(both) == flat(states)
+    assert flat(pipeline.merged(both)) == flat(pipeline.merged(states))
+    states.unpersist()
+
+
+def test_merged_states(spark):
+    pipeline, voxels = preprocess.Pipeline(PIPELINES[0]), _volumes(spark).where("vid < 'v6'")
+    merged = {(r["stage"], r["modality"]): r["state"] for r in pipeline.merged(pipeline.record(voxels)).collect()}
+    rows = voxels.collect()
+    own = lambda vid, masked: [r["value"] for r in rows if r["vid"] == vid and (r["msk"] or not masked)]
+    assert merged[0, "MR"]["high"] == pytest.approx(np.median([np.percentile(own(v, True), 90) for v in ("v0", "v3")]))
+    assert merged[1, "CT"]["low"] == pytest.approx(np.median([min(own(v, False)) for v in ("v1", "v4")]))
+    both = np.array(own("v2", True) + own("v5", True))
+    assert (merged[2, "PT"]["n"], merged[2, "PT"]["total"]) == (len(both), pytest.approx(both.sum()))
+    brought = [r["value"] for r in pipeline.apply(voxels.where("vid = 'v2'"), pipeline.merged(pipeline.record(voxels))).collect()]
+    assert sorted(brought) == pytest.approx(sorted((x - both.mean()) / (both.std() + 1e-8) for x in own("v2", False)))
+    assert preprocess.Pipeline(PIPELINES[1]).waves() == [[0], [1, 2], [3]] and pipeline.waves() == [[0, 1, 2]]
+
+
 def test_runs_resume(spark, tmp_path):
     run = reports.Run(spark, tmp_path.as_uri(), ["task"])
     tasks = spark.createDataFrame([(k, k * 1.5) for k in range(6)], "task long, value double")

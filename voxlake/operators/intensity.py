@@ -63,6 +63,12 @@ def by_modality(voxels: DataFrame, low: float = 0.0, high: float = 97.0, ct: tup
     return joined.withColumn("value", value).drop("low", "high")
 
 
+def part_of(low: str, high: str, share: Column | float) -> Column:
+    """The value at a share of a range; the ends exactly, which rounding could leave out."""
+    share = F.lit(share) if isinstance(share, float | int) else share
+    return F.when(share == 1, F.col(high)).otherwise(F.col(low) + share * (F.col(high) - F.col(low)))
+
+
 @dataclass
 class ZScore:
     """States (n, total, squares) that merge by addition; only values within a share of the range count."""
@@ -75,8 +81,7 @@ class ZScore:
         inside = voxels.where(F.coalesce(F.col("msk"), F.lit(True)))
         ends = inside.groupBy(*keys).agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
         rows = inside.join(ends, [*keys])
-        span = F.col("_b") - F.col("_a")
-        rows = rows.where((F.col("value") >= F.col("_a") + self.low_share * span) & (F.col("value") <= F.col("_a") + self.high_share * span))
+        rows = rows.where(F.col("value").between(part_of("_a", "_b", self.low_share), part_of("_a", "_b", self.high_share)))
         return rows.groupBy(*keys).agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
 
     def merge(self, states: DataFrame, keys: Sequence[str]) -> DataFrame:
