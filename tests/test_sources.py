@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -9,8 +12,8 @@ from pyspark.sql import functions as F
 
 from voxlake.catalog.base import inten
 from voxlake.functions import grammar, names
-from voxlake.operators import knn, slices
-from voxlake.plans import experiments, preprocess
+from voxlake.operators import knn, numbering, projection, slices, warp
+from voxlake.plans import experiments, extensions, masks, preprocess
 from voxlake.sources import datasets, nifti, reports
 
 
@@ -240,3 +243,72 @@ def test_unknown_modality(spark):
     registry = slices.codes_by_name(spark.createDataFrame([("MR",)], "modality string"))
     with pytest.raises(PySparkException):
         slices.with_codes(spark.createDataFrame([("CT",)], "modality string"), registry).collect()
+
+
+def test_places_without_one_task_for_all(spark):
+    """Places and running sums over ties, nulls and many parts equal those of one sorted list."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 50 == 0 else int(rng.integers(0, 40)), int(k), float(rng.integers(1, 9))) for k in range(500)]
+    frame = spark.createDataFrame(rows, "a int, b int, x double").repartition(7)
+    found = numbering.ordered(frame, ["a", "b"], "place", {"before": F.col("x"), "twice": 2 * F.col("x")}).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    ahead = np.cumsum([0.0, *(r[2] for r in want)])
+    assert sorted((r["place"], r["a"], r["b"], r["before"], r["twice"]) for r in found) == [(k, r[0], r[1], ahead[k], 2 * ahead[k]) for k, r in enumerate(want)]
+    assert numbering.ordered(frame.limit(0), ["a"]).collect() == []
+    ties = numbering.ordered(frame.withColumn("a", F.lit(1)), ["a"]).select("place").collect()
+    assert sorted(r["place"] for r in ties) == [*range(500)]
+
+
+def test_affines_and_matrices_of_columns(spark):
+    rows = spark.createDataFrame([([1.5, 2.0, 0.5], [1.0, -2.0, 3.0])], "s array<double>, t array<double>")
+    made = rows.select(warp.matrices(F.col("s"), F.col("t")).alias("m")).withColumn("a", warp.affines(F.col("m"))).first()
+    assert made["m"] == warp.Affine((1.5, 2.0, 0.5), (1.0, -2.0, 3.0)).matrix() and tuple(made["a"]) == ([1.5, 2.0, 0.5], [1.0, -2.0, 3.0])
+    turned = spark.createDataFrame([([[1.0, 0.1, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]],)], "m array<array<double>>")
+    with pytest.raises(PySparkException, match="only scale and shift"):
+        turned.select(warp.affines(F.col("m"))).collect()
+
+
+def test_modes_permutations_and_experiments_of_columns(spark):
+    texts = ["all", " Elastic + feat", "none", "reg", "feat+reg", "none+affine"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", grammar.mask_modes(F.col("t")).alias("m")).withColumn("s", grammar.registration_stages(F.col("m")))
+    assert {(r["t"], r["m"], r["s"]) for r in rows.collect()} == {(t, grammar.mask_mode(t), grammar.registration_masks(t)) for t in texts}
+    with pytest.raises(PySparkException, match="unknown mask mode"):
+        spark.createDataFrame([("feat+other",)], "t string").select(grammar.mask_modes(F.col("t"))).collect()
+    lists = spark.createDataFrame([("a", "[3, 1, 2, 0]"), ("b", "[7, 8]"), ("c", "[]")], "name string, text string")
+    assert sorted(map(tuple, experiments.permutations(lists).collect())) == [("a", 0, 3, 0), ("a", 1, 1, 0), ("a", 2, 2, 1), ("a", 3, 0, 1), ("b", 0, 7, 0), ("b", 1, 8, 0)]
+    with pytest.raises(PySparkException, match="doesn't divide"):
+        experiments.permutations(lists, 4).collect()
+    folds = experiments.folds(experiments.permutations(lists), 2, ["name"]).where("role = 'test'")
+    assert sorted((r["name"], r["fold"], r["sample"]) for r in folds.collect()) == [("a", 0, 1), ("a", 0, 3), ("a", 1, 0), ("a", 1, 2), ("b", 0, 7), ("b", 0, 8)]
+    config = {"__output_dir__": "out", "__otherwise__": {"lr": "0.1", "epochs": "3"}, "a": {"lr": "0.5"}, "b": {"lr": "__none__"}, "c": None}
+    rows = [("x", k, None if v is None else json.dumps(v) if isinstance(v, dict) else "{}") for k, v in config.items()] + [("y", "d", '{"z": "1"}')]
+    found = {(r["config"], r["name"]): r["settings"] for r in experiments.expanded_rows(spark.createDataFrame(rows, "config string, name string, text string")).collect()}
+    assert found == {("x", e.pop("name")): e for e in experiments.expanded(spark, config)} | {("y", "d"): {"z": "1"}}
+
+
+def test_ladders_of_columns(spark):
+    rows = spark.createDataFrame([(n,) for n in (1, 2, 5)], "n int")
+    for spec in ("linear", "uniform", "exp"):
+        for normalise in (True, False):
+            found = {r["n"]: r["w"] for r in rows.select("n", projection.ladder_of(spec, F.col("n"), normalise).alias("w")).collect()}
+            assert all(np.allclose(found[n], projection.ladder(spec, n, normalise)) for n in found)
+    with pytest.raises(ValueError, match="none of"):
+        projection.ladder_of("other", F.col("n"))
+
+
+def test_states_and_traces_come_back(spark):
+    @dataclasses.dataclass(frozen=True)
+    class Chosen:
+        listed: list
+        fixed: tuple[int, ...] = ()
+        maybe: tuple[str, ...] | None = None
+
+        def sample(self, tokens):
+            return tokens
+
+    registry = extensions.Registry("sampler", extensions.Sampler)
+    registry.register("chosen", Chosen)
+    for one in (Chosen([1, 2], (3,), ("a",)), Chosen([], (), None)):
+        assert registry.restored(registry.state(one)) == one
+    rows = masks.traced(masks.traced(spark.range(1), "cut", by='{"x"}', at=3), "keep")
+    assert rows.select(masks.summary(F.col("trace"))).first()[0] == 'cut(at:3,by:{"x"}) > keep()'

@@ -22,24 +22,25 @@ def _values(name: str) -> str:
 _OUTER = [n for n in X.SEARCH_SPACE if n not in X.WITHIN_RUN]
 _CAST = {n: "INTEGER" if isinstance(X.SEARCH_SPACE[n][0], int) else "DOUBLE" for n in _OUTER}
 _COMBOS = "cb AS (SELECT " + ", ".join(f"CAST({n} AS {_CAST[n]}) AS {n}" for n in _OUTER) + " FROM " + ", ".join(_values(n) for n in _OUTER) + ")"
-_AVOID = [(2, 1, 7), (2, None, 6), (3, 1, 7)]
-_AV = "av AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {'NULL' if b is None else b}, {c})" for a, b, c in _AVOID) + ") t(grid_sp, grid_sp_adam, disp_hw))"
+#: Failed runs are every 29th part; a null takes every value.
+_AV = "av AS (SELECT DISTINCT 2 + p_size % 4 AS grid_sp, CASE WHEN p_partkey % 3 > 0 THEN 1 + p_size % 3 END AS grid_sp_adam, 2 + p_partkey % 6 AS disp_hw FROM part WHERE p_partkey % 29 = 0)"
 _VALID = _COMBOS + ", " + _AV + """, ok AS (SELECT * FROM cb WHERE NOT EXISTS (SELECT 1 FROM av WHERE (av.grid_sp IS NULL OR av.grid_sp = cb.grid_sp) AND (av.grid_sp_adam IS NULL OR av.grid_sp_adam = cb.grid_sp_adam) AND (av.disp_hw IS NULL OR av.disp_hw = cb.disp_hw)))"""
 
 
-def _valid(spark):
-    avoid = spark.createDataFrame(_AVOID, "grid_sp int, grid_sp_adam int, disp_hw int")
+def _valid(spark, folder):
+    failed = table(spark, folder, "part").where("p_partkey % 29 = 0")
+    avoid = failed.select((2 + F.col("p_size") % 4).alias("grid_sp"), F.when(F.col("p_partkey") % 3 > 0, 1 + F.col("p_size") % 3).alias("grid_sp_adam"), (2 + F.col("p_partkey") % 6).alias("disp_hw")).distinct()
     return X.without(X.combinations(spark, X.SEARCH_SPACE), avoid)
 
 
-@C.add(_COMBOS + " SELECT * FROM cb")
+@C.add(_COMBOS + " SELECT s_suppkey, cb.* FROM supplier, cb")
 def X4_parameter_product(spark, folder):
-    return X.combinations(spark, X.SEARCH_SPACE)
+    return X.combinations(table(spark, folder, "supplier").select("s_suppkey"), X.SEARCH_SPACE)
 
 
 @C.add(_VALID + " SELECT * FROM ok")
 def J18_F18_avoid_list(spark, folder):
-    return _valid(spark)
+    return _valid(spark, folder)
 
 
 _DRAW = "md5(concat_ws('|', '42', " + ", ".join(f"CAST({n} AS VARCHAR)" for n in _OUTER) + "))"
@@ -47,7 +48,7 @@ _DRAW = "md5(concat_ws('|', '42', " + ", ".join(f"CAST({n} AS VARCHAR)" for n in
 
 @C.add(_VALID + f" SELECT * FROM ok ORDER BY {_DRAW} LIMIT 400")
 def T7_sampled_sweep(spark, folder):
-    return X.sample(_valid(spark), 400)
+    return X.sample(_valid(spark, folder), 400)
 
 
 @C.add(
@@ -59,7 +60,7 @@ def T7_sampled_sweep(spark, folder):
     + ") SELECT w.parameter, w.value, count(l.value) AS n FROM wanted w LEFT JOIN lg l ON l.parameter = w.parameter AND l.value = w.value GROUP BY w.parameter, w.value"
 )
 def A33_sweep_distribution(spark, folder):
-    return X.distribution(X.sample(_valid(spark), 400), X.SEARCH_SPACE)
+    return X.distribution(X.sample(_valid(spark, folder), 400), X.SEARCH_SPACE)
 
 
 @C.add(
@@ -86,15 +87,24 @@ def F16_leakage_check(spark, folder):
     return X.leakage(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 5 = 0"))
 
 
-@C.add("SELECT CAST(f AS INTEGER) AS fold, CAST(s AS INTEGER) AS sample, CASE WHEN p // 2 = f THEN 'test' ELSE 'search' END AS role FROM (SELECT unnest([5, 2, 7, 0, 1, 6, 3, 4]) AS s, unnest(range(0, 8)) AS p), (SELECT unnest(range(0, 4)) AS f)")
+#: Every customer's list of eight samples, as JSON.
+_PERMS = "pm AS (SELECT c_name AS name, unnest(range(0, 8)) AS p, unnest([c_custkey % 7, c_nationkey, 5, 2, c_custkey, 0, c_custkey % 3, 1]) AS s FROM customer)"
+
+
+def _permutations(spark, folder):
+    k = F.col("c_custkey")
+    values = F.array(*[x.cast("int") for x in (k % 7, F.col("c_nationkey"), F.lit(5), F.lit(2), k, F.lit(0), k % 3, F.lit(1))])
+    return X.permutations(table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.to_json(values).alias("text")))
+
+
+@C.add(_PERMS + " SELECT name, CAST(f AS INTEGER) AS fold, CAST(s AS INTEGER) AS sample, CASE WHEN p // 2 = f THEN 'test' ELSE 'search' END AS role FROM pm, (SELECT unnest(range(0, 4)) AS f)")
 def F17_X3_fold_split(spark, folder):
-    order = X.permutation(spark, '{"perm0": [5, 2, 7, 0, 1, 6, 3, 4]}', "perm0")
-    return X.folds(order, 2).select("fold", F.col("sample").cast("int"), "role")
+    return X.folds(_permutations(spark, folder), 2, ["name"])
 
 
-@C.add("SELECT CAST(p AS INTEGER) AS pos, CAST(s AS INTEGER) AS sample, CAST(p // 2 AS INTEGER) AS fold FROM (SELECT unnest([5, 2, 7, 0, 1, 6, 3, 4]) AS s, unnest(range(0, 8)) AS p)")
+@C.add(_PERMS + " SELECT name, CAST(p AS INTEGER) AS pos, CAST(s AS INTEGER) AS sample, CAST(p // 2 AS INTEGER) AS fold FROM pm")
 def S18_fold_permutation(spark, folder):
-    return X.permutation(spark, '{"perm0": [5, 2, 7, 0, 1, 6, 3, 4], "perm1": [0, 1]}', "perm0").select("pos", F.col("sample").cast("int"), "fold")
+    return _permutations(spark, folder)
 
 
 #: Models are fitted on ten customers each; the batch is all customers in debt.
@@ -121,19 +131,30 @@ def S20_covering_models(spark, folder):
     return X.covering_models(rows, rows.where("model LIKE 'R%'"))
 
 
-@C.add("SELECT name, lr, epochs FROM (VALUES ('a', 0.5::DOUBLE, 3::BIGINT), ('b', NULL, 3), ('c', 0.1, 7)) t(name, lr, epochs)")
+#: A configuration for each segment, an experiment for each of its customers; the segment's largest key is its rate by default.
+_CONFIG = """ex AS (SELECT c_mktsegment AS config, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN concat('{"lr": ', c_nationkey, '}') WHEN 1 THEN '{"lr": "__none__", "epochs": 7}' WHEN 2 THEN '{}' ELSE '{"epochs": 9}' END AS text, c_custkey AS k, c_nationkey AS n,
+  max(c_custkey) OVER (PARTITION BY c_mktsegment) AS m FROM customer)"""
+
+
+@C.add(_CONFIG + " SELECT config, name, CASE k % 4 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN NULL ELSE CAST(m AS VARCHAR) END AS lr, CASE k % 4 WHEN 1 THEN '7' WHEN 3 THEN '9' ELSE '3' END AS epochs FROM ex")
 def S16_S17_expanded_experiments(spark, folder):
-    config = {"__output_dir__": "out", "__otherwise__": {"lr": 0.1, "epochs": 3}, "a": {"lr": 0.5}, "b": {"lr": "__none__"}, "c": {"epochs": 7}}
-    return spark.createDataFrame([(e["name"], e["lr"], e["epochs"]) for e in X.expanded(spark, config)], "name string, lr double, epochs long")
+    k, c = F.col("c_custkey"), table(spark, folder, "customer")
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"lr": '), F.col("c_nationkey").cast("string"), F.lit("}"))).when(k % 4 == 1, '{"lr": "__none__", "epochs": 7}').when(k % 4 == 2, "{}").otherwise('{"epochs": 9}')
+    own = c.select(F.col("c_mktsegment").alias("config"), F.col("c_name").alias("name"), text.alias("text"))
+    base = c.groupBy(F.col("c_mktsegment").alias("config")).agg(F.concat(F.lit('{"epochs": 3, "lr": '), F.max(k).cast("string"), F.lit("}")).alias("text"))
+    out = base.select("config", F.lit("__output_dir__").alias("name"), F.lit("{}").alias("text"))
+    rows = own.unionByName(base.select("config", F.lit("__otherwise__").alias("name"), "text")).unionByName(out)
+    found = X.expanded_rows(rows)
+    return found.select("config", "name", F.col("settings.lr").alias("lr"), F.col("settings.epochs").alias("epochs"))
 
 
 @C.add(
-    "fl AS (SELECT unnest(range(0, 4)) AS fold), "
+    "fl AS (SELECT DISTINCT c_custkey % 4 AS fold FROM customer), "
     + _VALID
     + " SELECT reg, feat, count(*) AS n FROM fl, ok, (SELECT unnest(['ca', 'gica']) AS reg), (SELECT unnest(['cat', 'sum', 'axi']) AS feat) GROUP BY reg, feat"
 )
 def X5_task_space(spark, folder):
-    tasks = X.tasks(spark.range(4).select(F.col("id").cast("int").alias("fold")), _valid(spark), ("ca", "gica"), ("cat", "sum", "axi"))
+    tasks = X.tasks(table(spark, folder, "customer").select((F.col("c_custkey") % 4).cast("int").alias("fold")).distinct(), _valid(spark, folder), ("ca", "gica"), ("cat", "sum", "axi"))
     return tasks.groupBy("reg", "feat").agg(F.count_distinct("task").alias("n"))
 
 
@@ -143,10 +164,15 @@ def K4_remaining_tasks(spark, folder):
     return X.remaining(o.select("quad", "feat"), o.where("o_orderstatus = 'F'"), ["quad", "feat"])
 
 
-@C.add("SELECT key, saved, current FROM (VALUES ('b', '2', '3'), ('c', '3', NULL), ('d', NULL, '4')) t(key, saved, current)")
+@C.add(
+    """SELECT coalesce(a.c_name, b.c_name) AS key, a.c_mktsegment AS saved, b.v AS current FROM (SELECT * FROM customer WHERE c_custkey % 11 <> 0) a
+FULL JOIN (SELECT c_name, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0) b ON a.c_name = b.c_name WHERE a.c_mktsegment IS DISTINCT FROM b.v"""
+)
 def K6_config_diff(spark, folder):
-    a = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "key string, value string")
-    return reports.config_diff(a, spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4")], "key string, value string"))
+    c = table(spark, folder, "customer")
+    now = F.when(F.col("c_custkey") % 5 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    saved = c.where("c_custkey % 11 <> 0").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    return reports.config_diff(saved, c.where("c_custkey % 7 <> 0").select(F.col("c_name").alias("key"), now.alias("value")))
 
 
 @C.add("SELECT o_orderstatus AS run, count(*) AS stages, round(sum(o_totalprice), 2) + 0.0 AS stages_sum_sec FROM orders GROUP BY 1")
@@ -187,9 +213,17 @@ def X2_intersected_names(spark, folder):
     return X.shared(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"))
 
 
-@C.add("SELECT * FROM (VALUES ('all', 'feat+affine+elastic', 'both'), ('elastic+feat', 'feat+elastic', 'elastic'), ('none', 'none', 'none'), ('reg', 'affine+elastic', 'both')) t(text, mode, stages)")
+#: Modes of orders as they might be written.
+_MODES = ("all", " Elastic + feat", "none", "reg", "affine", "feat+feat", "reg+feat", "elastic")
+
+
+@C.add(
+    "SELECT o_orderkey, ['feat+affine+elastic', 'feat+elastic', 'none', 'affine+elastic', 'affine', 'feat', 'feat+affine+elastic', 'elastic'][1 + o_orderkey % 8] AS mode, ['both', 'elastic', 'none', 'both', 'affine', 'none', 'both', 'elastic'][1 + o_orderkey % 8] AS stages FROM orders"
+)
 def F13_F14_mask_modes(spark, folder):
-    return spark.createDataFrame([(t, grammar.mask_mode(t), grammar.registration_masks(t)) for t in ("all", "elastic+feat", "none", "reg")], "text string, mode string, stages string")
+    text = F.element_at(F.array(*map(F.lit, _MODES)), (1 + F.col("o_orderkey") % 8).cast("int"))
+    rows = table(spark, folder, "orders").select("o_orderkey", grammar.mask_modes(text).alias("mode"))
+    return rows.withColumn("stages", grammar.registration_stages(F.col("mode")))
 
 
 @C.add("SELECT o_orderkey AS id, concat_ws('_', o_orderstatus, o_orderpriority, o_orderkey % 3) AS prefix FROM orders")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.catalog.base import INTEN, TOK, VOX, Catalog, entities, inten, r6, tok, vox
 from voxlake.operators import encoders, grids, knn, landmarks, models, projection, registration, slices, streaming
+from voxlake.operators.numbering import ordered
 from voxlake.operators.pairs import fixed_moving
 from voxlake.plans import experiments as X
 from voxlake.plans import extensions, masks, preprocess
@@ -180,7 +181,7 @@ def T2_unravelled_indexes(spark, folder):
 
 @C.add("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS pos, s_name AS vid FROM supplier")
 def P9_T5_restored_order(spark, folder):
-    rows = table(spark, folder, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("pos"), (F.col("s_nationkey") % 3).alias("mod_code"), F.lit(1).alias("n_slices"), F.col("s_name").alias("vid"))
+    rows = ordered(table(spark, folder, "supplier"), ["s_suppkey"], "pos").select((F.col("pos") + 1).alias("pos"), (F.col("s_nationkey") % 3).alias("mod_code"), F.lit(1).alias("n_slices"), F.col("s_name").alias("vid"))
     order = slices.by_modality(rows)
     return slices.restored(order.select("place", "vid"), order).select("pos", "vid")
 
@@ -196,10 +197,15 @@ def K9_pipeline_state(spark, folder):
     return rows.groupBy("vid", "modality").agg(r6(F.avg("value")).alias("mean"))
 
 
-@C.add("SELECT name, lr, epochs FROM (VALUES ('a', 0.5::DOUBLE, 3::BIGINT), ('b', NULL, 3), ('c', 0.1, 7)) t(name, lr, epochs)")
+@C.add("SELECT DISTINCT c_mktsegment AS config, concat('n', c_nationkey) AS name, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_nationkey::DOUBLE / 2 END AS lr, CASE WHEN c_nationkey % 2 = 0 THEN 3 ELSE c_nationkey END::BIGINT AS epochs FROM customer")
 def S16_parsed_experiments(spark, folder):
-    config = X.parsed('{"__otherwise__": {"lr": 0.1, "epochs": 3}, "a": {"lr": 0.5}, "b": {"lr": "__none__"}, "c": {"epochs": 7}}')
-    return spark.createDataFrame([(e["name"], e["lr"], e["epochs"]) for e in X.expanded(spark, config)], "name string, lr double, epochs long")
+    n = F.col("c_nationkey")
+    own = F.create_map(F.lit("lr"), F.when(n % 3 == 0, "__none__").otherwise((n / 2).cast("string")))
+    own = F.when(n % 2 == 0, own).otherwise(F.map_concat(own, F.create_map(F.lit("epochs"), n.cast("string"))))
+    rows = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("config"), F.concat(F.lit("n"), n.cast("string")).alias("name"), F.to_json(own).alias("text")).distinct()
+    base = rows.select("config", F.lit("__otherwise__").alias("name"), F.lit('{"lr": 0.1, "epochs": 3}').alias("text")).distinct()
+    found = X.expanded_rows(rows.unionByName(base))
+    return found.select("config", "name", F.col("settings.lr").cast("double").alias("lr"), F.col("settings.epochs").cast("long").alias("epochs"))
 
 
 # ---- registration ----------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from voxlake.functions import vectors as V
 from voxlake.operators import distance, grids, metrics, neighbourhood, projection, registration, slice_search, warp
 from voxlake.operators.pairs import fixed_moving
 from voxlake.scratch import written
+from voxlake.sources.views import table
 
 C = Catalog()
 AT = ("pair_id", "d", "h", "w")
@@ -33,10 +34,15 @@ def P34_affine_to_dense(spark, folder):
     return out.select(*AT, *[r6(c).alias(c) for c in ("ud", "uh", "uw")])
 
 
-@C.add("SELECT * FROM (VALUES (0, 1.1::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, 0.0, 0.9, 0.0, 0.25), (2, 0.0, 0.0, 1.0, -1.0), (3, 0.0, 0.0, 0.0, 1.0)) t(row, a, b, c, t)")
+@C.add(
+    """SELECT p_partkey, CAST(i AS INTEGER) AS row, CASE i WHEN 0 THEN [1 + p_size / 100.0::DOUBLE, 0, 0, p_retailprice] WHEN 1 THEN [0, 1 + p_partkey % 9 / 10.0::DOUBLE, 0, -p_size] WHEN 2 THEN [0, 0, 0.5, 0.25] ELSE [0, 0, 0, 1] END::DOUBLE[] AS cells,
+  1 + p_size / 100.0::DOUBLE AS scale, p_retailprice AS shift FROM part, (SELECT unnest(range(0, 4)) AS i)"""
+)
 def P35_affine_matrix(spark, folder):
-    again = warp.Affine.from_matrix(AFFINE.matrix())
-    return spark.createDataFrame([(k, *row) for k, row in enumerate(again.matrix())], "row int, a double, b double, c double, t double")
+    scale = F.array(1 + F.col("p_size") / 100.0, 1 + F.col("p_partkey") % 9 / 10.0, F.lit(0.5))
+    shift = F.array(F.col("p_retailprice"), (-F.col("p_size")).cast("double"), F.lit(0.25))
+    rows = table(spark, folder, "part").select("p_partkey", warp.matrices(scale, shift).alias("m")).withColumn("a", warp.affines(F.col("m")))
+    return rows.select("p_partkey", F.posexplode(warp.matrices(F.col("a.scale"), F.col("a.shift"))).alias("row", "cells"), F.element_at("a.scale", 1).alias("scale"), F.element_at("a.shift", 1).alias("shift"))
 
 
 @C.add(
@@ -285,9 +291,15 @@ def A19_pca_of_masked_pooled_voxels(spark, folder):
     return pooled.select("vid", "d", "h", "w", F.transform(model.transform(F.col("feat")), r6).alias("feat"))
 
 
-@C.add("SELECT CAST(k AS INTEGER) AS level, round(1.4 ** k / sum(1.4 ** k) OVER (), 6) + 0.0 AS alpha FROM (SELECT unnest(generate_series(0, 3)) AS k)")
+@C.add(
+    """SELECT s_suppkey, spec, CAST(k AS INTEGER) AS level, round(x / sum(x) OVER (PARTITION BY s_suppkey, spec), 6) + 0.0 AS alpha FROM (
+  SELECT s_suppkey, spec, k, CASE spec WHEN 'linear' THEN 1 + k / greatest(n - 1, 1)::DOUBLE WHEN 'uniform' THEN 1 ELSE 1.4::DOUBLE ** k END AS x
+  FROM (SELECT s_suppkey, 1 + s_nationkey % 6 AS n, unnest(range(0, 1 + s_nationkey % 6)) AS k FROM supplier), (SELECT unnest(['linear', 'uniform', 'exp']) AS spec))"""
+)
 def A21_ladder_weights(spark, folder):
-    return projection.ladder_rows(spark, "exp", 4).select("level", r6("alpha").alias("alpha"))
+    levels = 1 + F.col("s_nationkey") % 6
+    parts = [table(spark, folder, "supplier").select("s_suppkey", F.lit(spec).alias("spec"), F.posexplode(projection.ladder_of(spec, levels)).alias("level", "alpha")) for spec in ("linear", "uniform", "exp")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("alpha", r6("alpha"))
 
 
 _GR = TOK + """, lg AS (SELECT vid, d, h, w, feat, coalesce(lag(feat) OVER a, feat) AS fa, coalesce(lag(feat) OVER b, feat) AS fb, coalesce(lag(feat) OVER c, feat) AS fc

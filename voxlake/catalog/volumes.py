@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.catalog.base import INTEN, TOK, VOX, Catalog, entities, inten, r6, tok, vox
@@ -95,21 +95,21 @@ SELECT vid, CAST(row_number() OVER (ORDER BY code, pos) - 1 AS INTEGER) AS place
 )
 def T4_W4_entity_order(spark, folder):
     sizes = tok(spark, folder).groupBy("vid", "modality").agg((F.max("d") + 1).alias("n_slices"))
-    coded = slices.with_codes(sizes, slices.codes_by_name(sizes)).withColumn("pos", F.row_number().over(Window.orderBy("vid")))
-    return slices.by_modality(coded).select("vid", "place", "ent_ptr")
+    coded = slices.with_codes(sizes, slices.codes_by_name(sizes)).withColumn("pos", F.col("vid"))
+    return slices.by_modality(coded).select("vid", F.col("place").cast("int").alias("place"), "ent_ptr")
 
 
-_INTERIOR = """iv AS (SELECT size, every, (size - 3) // every AS steps FROM (SELECT unnest(generate_series(1, 40)) AS size), (SELECT unnest([1, 2, 3, 4, 7]) AS every)),
+_INTERIOR = """iv AS (SELECT size, every, (size - 3) // every AS steps FROM (SELECT DISTINCT p_size AS size FROM part), (SELECT unnest([1, 2, 3, 4, 7]) AS every)),
 st AS (SELECT *, CASE WHEN r < 1 THEN 1 WHEN r + every * steps > size - 2 THEN size - 2 - every * steps ELSE r END AS start
   FROM (SELECT *, CAST(round_even((1 + size - 2) / 2.0 - every * steps / 2.0, 0) AS BIGINT) AS r FROM iv WHERE size > 2)),
 ix AS (SELECT size, every, start + every * unnest(generate_series(0, steps)) AS i FROM st UNION SELECT size, every, 0 FROM iv UNION SELECT size, every, greatest(size - 1, 0) FROM iv)"""
 
 
-@C.add(_INTERIOR + " SELECT CAST(size AS BIGINT) AS size, CAST(every AS INTEGER) AS every, CAST(i AS INTEGER) AS i FROM ix")
+@C.add(_INTERIOR + " SELECT p_partkey, CAST(every AS INTEGER) AS every, CAST(i AS INTEGER) AS i FROM ix JOIN part ON p_size = size")
 def F4_interior_slices(spark, folder):
     rows = None
     for every in (1, 2, 3, 4, 7):
-        part = spark.range(1, 41).select(F.col("id").alias("size"), F.lit(every).alias("every"), F.explode(slices.interior(F.col("id"), every).cast("array<int>")).alias("i"))
+        part = views.table(spark, folder, "part").select("p_partkey", F.lit(every).alias("every"), F.explode(slices.interior(F.col("p_size"), every).cast("array<int>")).alias("i"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -179,10 +179,10 @@ def P11_pad_slices(spark, folder):
     return grids.pad_slices(s, 7, slices.background(s)).select("vid", "slice_idx", "row", "col", r6("value").alias("value"))
 
 
-@C.add("SELECT CAST(s AS BIGINT) AS size, CAST(s // 14 AS INTEGER) AS gh, CAST((s * 2) // 14 AS INTEGER) AS gw FROM (SELECT unnest(generate_series(14, 60)) AS s)")
+@C.add("SELECT l_orderkey, l_linenumber, CAST((14 + l_suppkey) // 14 AS INTEGER) AS gh, CAST((14 + CAST(l_quantity AS INTEGER)) // 14 AS INTEGER) AS gw FROM lineitem")
 def P12_token_grid(spark, folder):
-    rows = spark.range(14, 61).select(F.col("id").alias("size"))
-    return rows.select("size", grids.token_grid(F.col("size"), F.col("size") * 2, 14).alias("g")).select("size", "g.*")
+    rows = views.table(spark, folder, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", grids.token_grid(14 + F.col("l_suppkey"), 14 + F.col("l_quantity").cast("int"), 14).alias("g")).select("l_orderkey", "l_linenumber", "g.*")
 
 
 @C.add(_SLC + " SELECT vid, slice_idx, CAST(row // 2 AS INTEGER) AS tok_y, CAST(col // 2 AS INTEGER) AS tok_x, avg(CAST(msk AS DOUBLE)) > 0.9 AS msk FROM sl GROUP BY ALL")
@@ -205,10 +205,13 @@ def P13_scatter_tokens(spark, folder):
     return grids.scatter(v.where("msk"), grids.shapes(v)).withColumn("value", r6("value"))
 
 
-@C.add("SELECT CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, round(2.0 * d / 4 - 1, 6) + 0.0 AS nd, round(2.0 * h / 2 - 1, 6) + 0.0 AS nh, 0.0::DOUBLE AS nw FROM (SELECT unnest(generate_series(0, 4)) AS d), (SELECT unnest(generate_series(0, 2)) AS h), (SELECT 0 AS w)")
+@C.add(
+    TOK
+    + """, sz AS (SELECT vid, max(d) AS md, max(h) AS mh, max(w) AS mw FROM tok GROUP BY vid)
+SELECT vid, d, h, w, round(CASE WHEN md > 0 THEN 2.0::DOUBLE * d / md - 1 ELSE 0 END, 6) + 0.0 AS nd, round(CASE WHEN mh > 0 THEN 2.0::DOUBLE * h / mh - 1 ELSE 0 END, 6) + 0.0 AS nh, round(CASE WHEN mw > 0 THEN 2.0::DOUBLE * w / mw - 1 ELSE 0 END, 6) + 0.0 AS nw FROM tok JOIN sz USING (vid)"""
+)
 def P33_identity_grid(spark, folder):
-    size = spark.range(1).select(F.lit(5).alias("nd"), F.lit(3).alias("nh"), F.lit(1).alias("nw"), F.lit("g").alias("vid"))
-    return grids.full(size).select("d", "h", "w", *[r6(grids.normalised(F.col(c), F.col(f"n{c}"))).alias(f"n{c}") for c in "dhw"])
+    return grids.full(grids.shapes(tok(spark, folder))).select("vid", "d", "h", "w", *[r6(grids.normalised(F.col(c), F.col(f"n{c}"))).alias(f"n{c}") for c in "dhw"])
 
 
 @C.add(
@@ -485,11 +488,11 @@ def U9_pipeline_preset(spark, folder):
 # ---- sources ---------------------------------------------------------------------------------------------------------
 
 
-@C.add("SELECT CAST(p AS INTEGER) AS pos, CAST(s AS BIGINT) AS sample, CAST(CASE WHEN p % 2 = 0 THEN s + 2 ELSE s - 2 END AS BIGINT) AS partner FROM (SELECT unnest(range(0, 8)) AS p, unnest(generate_series(2, 16, 2)) AS s)")
+@C.add("SELECT a.p AS pos, a.c_custkey AS sample, b.c_custkey AS partner FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS p, c_custkey FROM customer) a JOIN (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS p, c_custkey FROM customer) b ON b.p = a.p + 1 - 2 * (a.p % 2)")
 def S6_swapped_pairs(spark, folder):
     from voxlake.operators.pairs import swapped_neighbours
 
-    return swapped_neighbours(spark.range(1, 9).select((F.col("id") * 2).alias("sample")))
+    return swapped_neighbours(views.table(spark, folder, "customer").select(F.col("c_custkey").alias("sample")))
 
 
 @C.add(TOK + " SELECT vid, count(*) AS n FROM tok WHERE modality = 'CT' GROUP BY vid")
@@ -514,16 +517,42 @@ def S11_coerced_types(spark, folder):
     return datasets.coerced(rows).select("a", "b", "seg", "msk")
 
 
-@C.add("SELECT vid, fault FROM (VALUES ('b', 'labels of another shape'), ('c', 'affine isn''t 4 x 4'), ('d', 'volume isn''t 3-D')) t(vid, fault)")
+_SHAPES = """sh AS (SELECT p_name || p_partkey AS vid, CASE WHEN p_partkey % 7 = 0 THEN [p_size, 4] ELSE [p_size, 4, 4] END AS shape, CASE WHEN p_partkey % 5 = 0 THEN [p_size + 1, 4, 4] WHEN p_partkey % 5 = 1 THEN NULL ELSE [p_size, 4, 4] END AS seg_shape,
+  CASE WHEN p_partkey % 11 = 0 THEN [4, p_size, 4] END AS msk_shape, CASE WHEN p_partkey % 3 = 0 THEN 4 WHEN p_partkey % 13 = 0 THEN 3 END AS rows_, CASE WHEN p_partkey % 17 = 0 THEN 3 ELSE 4 END AS cols_ FROM part)"""
+
+
+@C.add(
+    _SHAPES
+    + """ SELECT vid, 'volume isn''t 3-D' AS fault FROM sh WHERE len(shape) <> 3 UNION ALL SELECT vid, 'labels of another shape' FROM sh WHERE seg_shape IS NOT NULL AND seg_shape <> shape
+UNION ALL SELECT vid, 'mask of another shape' FROM sh WHERE msk_shape IS NOT NULL AND msk_shape <> shape UNION ALL SELECT vid, 'affine isn''t 4 x 4' FROM sh WHERE rows_ IS NOT NULL AND (rows_ <> 4 OR cols_ <> 4)"""
+)
 def S12_batch_faults(spark, folder):
-    rows = [("a", [2, 2, 2], [2, 2, 2], None, None), ("b", [2, 2, 2], [2, 2, 3], None, None), ("c", [2, 2, 2], None, [2, 2, 2], [[1.0]]), ("d", [2, 2], None, None, None)]
-    return datasets.faults(spark.createDataFrame(rows, "vid string, shape array<int>, seg_shape array<int>, msk_shape array<int>, affine array<array<double>>"))
+    k, size, four = F.col("p_partkey"), F.col("p_size"), F.lit(4)
+    full = F.array(size, four, four)
+    row = F.array_repeat(F.lit(1.0), F.when(k % 17 == 0, 3).otherwise(4))
+    rows = views.table(spark, folder, "part").select(
+        F.concat("p_name", k.cast("string")).alias("vid"),
+        F.when(k % 7 == 0, F.array(size, four)).otherwise(full).alias("shape"),
+        F.when(k % 5 == 0, F.array(size + 1, four, four)).when(k % 5 != 1, full).alias("seg_shape"),
+        F.when(k % 11 == 0, F.array(four, size, four)).alias("msk_shape"),
+        F.when(k % 3 == 0, F.array_repeat(row, 4)).when(k % 13 == 0, F.array_repeat(row, 3)).alias("affine"),
+    )
+    return datasets.faults(rows)
 
 
-@C.add("SELECT path, kind, sample, modality FROM (VALUES ('a/img0002_tcia_MR.nii.gz', 'vol', 2, 'MR'), ('a/seg0002_tcia_MR.nii.gz', 'seg', 2, 'MR'), ('a/mask0012_tcia_CT.nii.gz', 'msk', 12, 'CT'), ('b/HCPT1_12_0000.nii.gz', 'vol', 12, 'T1'), ('b/HCPT2_7.nii.gz', 'seg', 7, 'T2'), ('b/rois/HCPT2_7.nii.gz', 'msk', 7, 'T2')) t(path, kind, sample, modality)")
-def S2_S5_classified_files(spark, folder):
-    paths = ["a/img0002_tcia_MR.nii.gz", "a/seg0002_tcia_MR.nii.gz", "a/mask0012_tcia_CT.nii.gz", "a/notes.txt", "b/HCPT1_12_0000.nii.gz", "b/HCPT2_7.nii.gz", "b/rois/HCPT2_7.nii.gz"]
-    listing = spark.createDataFrame([(p,) for p in paths], "path string")
-    return datasets.classify_abdomen(listing).unionByName(datasets.classify_brain(listing)).select("path", "kind", "sample", "modality")
+_FILES = """fl AS (SELECT c_custkey AS k, concat('a/', CASE c_custkey % 4 WHEN 0 THEN 'img' WHEN 1 THEN 'seg' WHEN 2 THEN 'mask' ELSE 'notes' END, lpad(CAST(c_nationkey AS VARCHAR), 4, '0'), '_tcia_', CASE WHEN c_acctbal < 0 THEN 'MR' ELSE 'CT' END, CASE WHEN c_custkey % 3 = 0 THEN '.nii' ELSE '.nii.gz' END) AS a,
+  concat(CASE WHEN c_custkey % 5 = 0 THEN 'b/rois/' ELSE 'b/' END, 'HCPT', 1 + c_custkey % 2, '_', c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '_0000' ELSE '' END, CASE WHEN c_custkey % 7 = 0 THEN '.json' ELSE '.nii.gz' END) AS b, c_nationkey, c_acctbal FROM customer)"""
 
 
+@C.add(
+    _FILES
+    + """ SELECT a AS path, CASE k % 4 WHEN 0 THEN 'vol' WHEN 1 THEN 'seg' ELSE 'msk' END AS kind, CAST(c_nationkey AS INTEGER) AS sample, CASE WHEN c_acctbal < 0 THEN 'MR' ELSE 'CT' END AS modality FROM fl WHERE k % 4 <> 3
+UNION ALL SELECT b, CASE WHEN k % 5 = 0 THEN 'msk' WHEN k % 3 = 1 THEN 'vol' ELSE 'seg' END, CAST(k AS INTEGER), concat('T', 1 + k % 2) FROM fl WHERE k % 7 <> 0"""
+)
+def S2_S5_classified_files(spark, folder):
+    k, text = F.col("c_custkey"), lambda x: x.cast("string")
+    kind = F.when(k % 4 == 0, "img").when(k % 4 == 1, "seg").when(k % 4 == 2, "mask").otherwise("notes")
+    abdomen = F.concat(F.lit("a/"), kind, F.lpad(text(F.col("c_nationkey")), 4, "0"), F.lit("_tcia_"), F.when(F.col("c_acctbal") < 0, "MR").otherwise("CT"), F.when(k % 3 == 0, ".nii").otherwise(".nii.gz"))
+    brain = F.concat(F.when(k % 5 == 0, "b/rois/").otherwise("b/"), F.lit("HCPT"), text(1 + k % 2), F.lit("_"), text(k), F.when(k % 3 == 1, "_0000").otherwise(""), F.when(k % 7 == 0, ".json").otherwise(".nii.gz"))
+    listing = views.table(spark, folder, "customer").select(F.explode(F.array(abdomen, brain)).alias("path"))
+    return datasets.classify_abdomen(listing).unionByName(datasets.classify_brain(listing)).select("path", "kind", "sample", "modality")

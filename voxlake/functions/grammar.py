@@ -61,6 +61,21 @@ def mask_mode(text: str) -> str:
     return "+".join(a for a in MASK_ATOMS if a in wanted) or "none"
 
 
+def mask_modes(text: Column) -> Column:
+    """`mask_mode` of a column; an unknown part is an error where it is read."""
+    part = lambda p: F.lower(F.trim(p))
+    known = F.create_map(*[x for k, atoms in (*MASK_ALIASES.items(), *((a, (a,)) for a in MASK_ATOMS)) for x in (F.lit(k), F.array(*map(F.lit, atoms)).cast("array<string>"))])
+    atoms = F.flatten(F.transform(F.split(text, "[+]"), lambda p: F.coalesce(F.element_at(known, part(p)), F.raise_error(F.concat(F.lit("unknown mask mode "), p)).cast("array<string>"))))
+    found = F.array_join(F.filter(F.array(*map(F.lit, MASK_ATOMS)), lambda a: F.array_contains(atoms, a)), "+")
+    return F.when(found == "", "none").otherwise(found)
+
+
+def registration_stages(mode: Column) -> Column:
+    """`registration_masks` of a column of modes in their usual form."""
+    affine, elastic = (F.array_contains(F.split(mode, "[+]"), x) for x in ("affine", "elastic"))
+    return F.when(affine & elastic, "both").when(affine, "affine").when(elastic, "elastic").otherwise("none")
+
+
 def registration_masks(mode: str) -> str:
     """Which registration stages a mode masks: none, affine, elastic or both."""
     parts = set(mask_mode(mode).split("+"))

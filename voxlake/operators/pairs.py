@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators.numbering import ordered
+
 
 def _kind() -> Column:
     """SC: the same entity; DS: another subject; DM: another modality; G: both differ."""
@@ -51,7 +53,6 @@ def fixed_moving(entities: DataFrame, fixed: str, moving: str, key: str = "patie
 
 def swapped_neighbours(samples: DataFrame) -> DataFrame:
     """Reverse each two samples in a row: partner is the other one of (0,1), (2,3), ... in the order of samples(sample)."""
-    at = F.row_number().over(Window.orderBy("sample")) - 1
-    rows = samples.withColumn("pos", at)
+    rows = ordered(samples, ["sample"], "pos")
     other = rows.select((F.col("pos") + 1 - 2 * (F.col("pos") % 2)).alias("pos"), F.col("sample").alias("partner"))
     return rows.join(other, "pos").select("pos", "sample", "partner")

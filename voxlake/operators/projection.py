@@ -159,15 +159,18 @@ def ladder(spec: str | Sequence[float], levels: int, normalise: bool = True) ->
     return [a / total for a in out] if normalise and abs(total) > 1e-12 else out
 
 
-def ladder_rows(spark: SparkSession, spec: str, levels: int, normalise: bool = True) -> DataFrame:
-    """level (from 0) and alpha, as expressions over a range."""
-    k = F.col("id").cast("double")
-    raw = {"linear": 1.0 + k / max(levels - 1, 1), "uniform": F.lit(1.0), "exp": F.pow(F.lit(1.4), k)}[spec]
-    rows = spark.range(levels).select(F.col("id").cast("int").alias("level"), raw.alias("alpha"))
-    if not normalise:
-        return rows
-    sums = rows.agg(F.sum("alpha").alias("_t"))
-    return rows.join(F.broadcast(sums)).select("level", (F.col("alpha") / F.col("_t")).alias("alpha"))
+def ladder_of(spec: str, levels: Column, normalise: bool = True) -> Column:
+    """An array with the weight of each level, for as many levels as a column says (1 at least)."""
+    if spec not in ("linear", "uniform", "exp"):
+        raise ValueError(f"{spec!r} is none of linear, uniform, exp")
+    each = F.transform(F.sequence(F.lit(0), levels.cast("int") - 1), lambda k: k.cast("double"))
+    weights = {
+        "linear": lambda k: 1.0 + k / F.greatest(levels - 1, F.lit(1)),
+        "uniform": lambda k: F.lit(1.0),
+        "exp": lambda k: F.pow(F.lit(1.4), k),
+    }
+    raw = F.transform(each, weights[spec])
+    return V.let(raw, lambda v: F.transform(v, lambda x: x / V.total(v))) if normalise else raw
 
 
 def gradient_weight(fixed: DataFrame, mode: str = "edge") -> DataFrame:
@@ -297,4 +300,4 @@ def read(spark: SparkSession, path: str) -> PCA | WPLS:
     return load(spark.read.parquet(path).first()["state"])
 
 
-__all__ = ["PCA", "WPLS", "XYZ", "centred", "covariances", "gradient_weight", "ladder", "ladder_rows", "load", "masked_mean", "moments", "project", "read", "residual_weight", "save", "weighted_means"]
+__all__ = ["PCA", "WPLS", "XYZ", "centred", "covariances", "gradient_weight", "ladder", "ladder_of", "load", "masked_mean", "moments", "project", "read", "residual_weight", "save", "weighted_means"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import vectors as V
+from voxlake.operators.numbering import ordered
 
 #: For each slicing axis the coordinates that become slice index, row and column.
 PLANES = {"x": ("d", "h", "w"), "y": ("h", "d", "w"), "z": ("w", "d", "h")}
@@ -47,9 +48,7 @@ def with_codes(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 def by_modality(entities: DataFrame) -> DataFrame:
     """Entities in stable order of (code, position), with their new place and where their slices start."""
-    order = Window.orderBy("mod_code", "pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return entities.select("*", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.sum("n_slices").over(before), F.lit(0)).cast("long").alias("ent_ptr"))
+    return ordered(entities, ["mod_code", "pos"], "place", {"ent_ptr": F.col("n_slices")})
 
 
 def restored(rows: DataFrame, order: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ SEARCH_SPACE = {
 WITHIN_RUN = ("iters_adam", "iters_smooth")
 
 
-def combinations(spark: SparkSession, space: Mapping[str, Sequence], within: Sequence[str] = WITHIN_RUN) -> DataFrame:
-    """One row for each combination of the outer parameters. Lists are literals of a few values; the product is their size's."""
-    rows = spark.range(1).select()
+def combinations(base: SparkSession | DataFrame, space: Mapping[str, Sequence], within: Sequence[str] = WITHIN_RUN) -> DataFrame:
+    """One row for each combination of the outer parameters, and each row of base, if that is a table of experiments. Lists are literals of a
+    few values; the product is their size's."""
+    rows = base if isinstance(base, DataFrame) else base.range(1).select()
     for name, values in space.items():
         if name not in within:
             rows = rows.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
@@ -91,12 +92,22 @@ def assert_no_leakage(samples: DataFrame, fitted: DataFrame, context: str = "")
         raise ValueError(f"entities of the fit are tested{f' in {context}' if context else ''}: {found}")
 
 
-def folds(order: DataFrame, per_fold: int) -> DataFrame:
-    """fold, sample, role: of order(pos, sample), each fold tests its own run of per_fold samples and searches with the rest."""
-    order = order.select("pos", "sample")
-    every = order.select(F.floor(F.col("pos") / per_fold).cast("int").alias("fold")).distinct()
+def folds(order: DataFrame, per_fold: int, keys: Sequence[str] = ()) -> DataFrame:
+    """[keys,] fold, sample, role: of order([keys,] pos, sample), each fold tests its own run of per_fold samples and searches with the
+    rest. With keys, every key has an order of its own."""
     own = F.when(F.col("fold") == F.floor(F.col("pos") / per_fold), "test").otherwise("search")
-    return order.join(F.broadcast(every)).select("fold", "sample", own.alias("role"))
+    last = order.groupBy(*keys).agg(F.max("pos").alias("_last"))
+    every = last.select(*keys, F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / per_fold).cast("int"))).alias("fold"))
+    rows = order.select(*keys, "pos", "sample")
+    return (rows.join(every, [*keys]) if keys else rows.join(every)).select(*keys, "fold", "sample", own.alias("role"))
+
+
+def permutations(rows: DataFrame, per_fold: int = 2) -> DataFrame:
+    """name, pos, sample, fold of rows(name, text), lists as JSON; a list that per_fold doesn't divide is an error."""
+    values = F.from_json("text", "array<int>")
+    wrong = F.raise_error(F.concat(F.col("name"), F.lit(f" has a number of entries that {per_fold} doesn't divide")))
+    whole = rows.select("name", F.when(F.size(values) % per_fold == 0, values).otherwise(wrong).alias("_v"))
+    return whole.select("name", F.posexplode("_v").alias("pos", "sample")).withColumn("fold", F.floor(F.col("pos") / per_fold).cast("int"))
 
 
 def permutation(spark: SparkSession, text: str, name: str, per_fold: int = 2) -> DataFrame:
@@ -151,6 +162,17 @@ def expanded(spark: SparkSession, config: Mapping) -> list[dict]:
     return [{"name": k, **base, **(clean(v) or {})} for k, v in config.items() if not (k.startswith("__") and k.endswith("__"))]
 
 
+def expanded_rows(rows: DataFrame) -> DataFrame:
+    """config, name and settings of every experiment of rows(config, name, text): text is JSON of one level; the row `__otherwise__` of a
+    configuration holds the defaults of its others, names with double underscores are no experiments, `__none__` is null."""
+    parsed_ = rows.select("config", "name", F.coalesce(F.from_json("text", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("own"))
+    base = parsed_.where("name = '__otherwise__'").select("config", F.col("own").alias("base"))
+    found = parsed_.where("NOT (startswith(name, '__') AND endswith(name, '__'))").join(base, "config", "left")
+    kept = F.map_filter(F.coalesce("base", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("own", k))
+    clean = F.transform_values(F.map_concat(kept, "own"), lambda _, v: F.when(v != "__none__", v))
+    return found.select("config", "name", clean.alias("settings"))
+
+
 def tasks(folds_: DataFrame, combos: DataFrame, methods: Sequence[str], features: Sequence[str]) -> DataFrame:
     """The work list: folds x combinations x methods x features, each with a key."""
     few = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)

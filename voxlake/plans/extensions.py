@@ -10,7 +10,7 @@ import importlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, is_dataclass
-from typing import Protocol, runtime_checkable
+from typing import Protocol, get_args, get_origin, get_type_hints, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +92,12 @@ class Registry:
         return json.dumps({"name": name, **asdict(extension)})
 
     def restored(self, text: str):
-        return self.get({k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+        """The extension of a state; JSON has no tuples, so parameters that are declared as such become them again."""
+        state = json.loads(text)
+        make = self._known.get(state["name"])
+        hints = get_type_hints(make) if isinstance(make, type) else {}
+        tuples = {k for k, hint in hints.items() if tuple in (hint, get_origin(hint), *map(get_origin, get_args(hint)), *get_args(hint))}
+        return self.get({k: tuple(v) if isinstance(v, list) and k in tuples else v for k, v in state.items()})
 
 
 @dataclass(frozen=True)

@@ -74,7 +74,8 @@ def traced(rows: DataFrame, step: str, **parameters) -> DataFrame:
 
 def summary(trace) -> F.Column:
     """What a trace says in one line."""
-    return F.array_join(F.transform(trace, lambda s: F.concat(s["step"], F.lit("("), F.regexp_replace(s["parameters"], '[{}"]', ""), F.lit(")"))), " > ")
+    named = lambda text: F.array_join(F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return F.array_join(F.transform(trace, lambda s: F.concat(s["step"], F.lit("("), named(s["parameters"]), F.lit(")"))), " > ")
 
 
 def chained(first, second) -> F.Column:
