@@ -346,6 +346,50 @@ def test_two_stages(spark):
         registration.dispatched("gica", registration.TwoStage(), {"convex": (fixed, moving)})
 
 
+def test_dispatched_with_an_affine_stage(spark):
+    """`gica` is the two stages on its descriptors: the affine of the convex ones, then both levels; `scale` and `trans` keep their half."""
+    rng = np.random.default_rng(11)
+    base = np.stack([box(rng.normal(size=(18, 9, 9)), 1) * 10 for _ in range(2)], -1)
+    fixed, moving = volume_rows(spark, base[:14]), volume_rows(spark, base[2:16])
+    search = slice_search.SliceSearch(n_scales=3, smooth_matrix=0.0, smooth_scores=0.0)
+    elastic = registration.Elastic(grid=1, reach=1, inverse_rounds=0, adam_grid=1, iters=(2,), smooths=(0,), rate=0.1)
+    key = lambda rows: sorted((r["level"], r["d"], r["h"], r["w"], round(r["ud"], 6), round(r["uh"], 6), round(r["uw"], 6)) for r in rows.collect())
+    stage = registration.TwoStage("trans", elastic, search)
+    found = key(registration.dispatched("gica", stage, {"convex": (fixed, moving), "adam": (fixed, moving)}))
+    assert found == key(stage(fixed, moving)) and {r[0] for r in found} == {"affine", "convex", "e2_s0"}
+    affine = slice_search.refined(search, fixed, moving).first()
+    of = lambda rows: next((r[4:] for r in rows if r[:4] == ("affine", 5, 4, 4)))
+    assert of(found) == pytest.approx((affine["td"], affine["th"], affine["tw"]), abs=1e-6)
+    scaled = key(registration.TwoStage("scale", registration.Elastic(grid=1, reach=1, inverse_rounds=0), search)(fixed, moving))
+    assert of(scaled) == pytest.approx(((affine["sd"] - 1) * 5, (affine["sh"] - 1) * 4, (affine["sw"] - 1) * 4), abs=1e-6)
+    given = spark.createDataFrame([("p", 1.0, 1.0, 1.0, 1.0, 0.0, -1.0)], "pair_id string, sd double, sh double, sw double, td double, th double, tw double")
+    assert of(key(registration.TwoStage(given, registration.Elastic(grid=1, reach=1, inverse_rounds=0), search)(fixed, moving))) == (1.0, 0.0, -1.0)
+    with pytest.raises(ValueError, match="affine stage"):
+        registration.TwoStage("rigid", elastic, search)(fixed, moving)
+
+
+def test_descriptor_of_masked_volumes(spark):
+    """What is outside the mask is filled before the descriptor looks at it: a value there changes nothing."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6, 6, 6))
+    inside = np.zeros(v.shape, bool)
+    inside[1:5, 1:6, :4] = True
+    wild = np.where(inside, v, 1e6)
+    rows = lambda x: volume_rows(spark, x).join(volume_rows(spark, inside.astype(float)).select("pair_id", "d", "h", "w", (F.col("value") > 0).alias("msk")), ["pair_id", "d", "h", "w"])
+    found = [neighbourhood.masked_self_similarity(rows(x), 1, 1, ["pair_id"]) for x in (v, wild)]
+    filled = neighbourhood.self_similarity(neighbourhood.filled_outside(rows(v), ["pair_id"]), 1, 1, ["pair_id"])
+    a, b, c = ({(r["d"], r["h"], r["w"]): r["feat"] for r in x.collect()} for x in (*found, filled))
+    assert len(a) == 216 and all(np.allclose(a[k], b[k]) and np.allclose(a[k], c[k]) for k in a)
+
+
+def test_pooled_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5, 4, 7, 3))
+    found = grids.pooled_features(volume_rows(spark, x).repartition(9), 2, ["pair_id"]).collect()
+    want = x[:4, :, :6].reshape(2, 2, 2, 2, 3, 2, 3).mean((1, 3, 5))
+    assert len(found) == 12 and all(np.allclose(r["feat"], want[r["d"], r["h"], r["w"]]) for r in found)
+
+
 def test_nearest_points(spark):
     rng = np.random.default_rng(12)
     every = [tuple(map(int, x)) for x in np.ndindex(9, 8, 7)]

@@ -299,6 +299,13 @@ def P21_channel_selector(spark, folder):
     return tok(spark, folder).select("vox", F.transform(grammar.select(F.col("feat"), "1:8:2", 64), r6).alias("feat"))
 
 
+@C.add(TOK + " SELECT vox, [round(feat[64], 6) + 0.0, round(feat[1], 6) + 0.0] AS a, [round(feat[8] * 2, 6) + 0.0, round(feat[1] * 2, 6) + 0.0] AS b FROM tok")
+def P22_selected_views(spark, folder):
+    views_ = tok(spark, folder).select("vox", F.col("feat").alias("a"), F.transform(F.slice("feat", 1, 8), lambda x: x * 2).alias("b"))
+    found = grammar.select_all(views_, "[-1, 0]", {"a": 64, "b": 8})
+    return found.select("vox", F.transform("a", r6).alias("a"), F.transform("b", r6).alias("b"))
+
+
 @C.add(TOK + " SELECT vid, d, h, w, list_transform(list_concat(list_transform(feat[1:3], lambda x: x * 2), feat[10:11]), lambda x: round(x, 6) + 0.0) AS feat FROM tok")
 def P23_widened_features(spark, folder):
     t = tok(spark, folder)
@@ -485,6 +492,32 @@ def U9_pipeline_preset(spark, folder):
     return rows.groupBy("vid", "modality", F.array_join("log", ",").alias("log")).agg(r6(F.avg("value")).alias("mean"))
 
 
+@C.add(
+    INTEN
+    + """, nm AS (SELECT vid, CASE modality WHEN 'CT' THEN 'T1' ELSE 'T2' END AS modality, value FROM inten), bd AS (SELECT vid, quantile_cont(value, 0) AS low, quantile_cont(value, 0.995) AS high FROM nm GROUP BY vid)
+SELECT vid, modality, round(avg((least(greatest(value, low), high) - low) / (high - low)), 6) + 0.0 AS mean, 'Percentile' AS log FROM nm JOIN bd USING (vid) GROUP BY vid, modality"""
+)
+def U8_brain_preset(spark, folder):
+    rows = inten(spark, folder).withColumn("modality", F.when(F.col("modality") == "CT", "T1").otherwise("T2"))
+    rows = preprocess.PRESETS["t1_t2"](rows)
+    return rows.groupBy("vid", "modality", F.array_join("log", ",").alias("log")).agg(r6(F.avg("value")).alias("mean"))
+
+
+@C.add(
+    INTEN
+    + """, lo AS (SELECT vid, quantile_cont(value, 0.02) FILTER (msk) AS low, quantile_cont(value, 0.9) FILTER (msk) AS high FROM inten WHERE modality = 'MR' GROUP BY vid)
+SELECT 0 AS stage, 'MR' AS modality, round(median(low), 6) + 0.0 AS a, round(median(high), 6) + 0.0 AS b FROM lo
+UNION ALL SELECT 1, 'CT', count(value)::DOUBLE, round(sum(value), 2) + 0.0 FROM inten WHERE modality = 'CT' AND msk"""
+)
+def U1_recorded_states(spark, folder):
+    pipeline = preprocess.Pipeline([preprocess.Percentile(2.0, 90.0, True, ("MR",)), preprocess.ZScore(modalities=("CT",))])
+    voxels = inten(spark, folder)
+    states = pipeline.record(voxels.where("vid < 'v2'")).unionByName(pipeline.record(voxels.where("vid >= 'v2'")))
+    at = lambda name: F.col("state")[name]
+    found = pipeline.merged(states)
+    return found.select("stage", "modality", F.when(F.col("stage") == 0, r6(at("low"))).otherwise(at("n")).alias("a"), F.when(F.col("stage") == 0, r6(at("high"))).otherwise(F.round(at("total"), 2) + 0.0).alias("b"))
+
+
 # ---- sources ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of a mask mode, in the order in which a mode is written, and its short names.
@@ -48,6 +48,12 @@ def select(feat: Column, spec, size: int) -> Column:
     return F.array(*[F.element_at(feat, k + 1) for k in found]) if found else F.slice(feat, 1, 0)
 
 
+def select_all(rows: DataFrame, spec, sizes: Mapping[str, int]) -> DataFrame:
+    """rows with the same choice of channels in every column of sizes (column -> channels): a pack's views stay alike. A choice that leaves the
+    channels of one of them is an error before anything is read."""
+    return rows.withColumns({name: select(F.col(name), spec, size) for name, size in sizes.items()})
+
+
 def mask_mode(text: str) -> str:
     """The usual form of a mode such as `elastic+feat`: atoms without repeats, in their order, or `none`."""
     wanted: set[str] = set()

@@ -190,6 +190,12 @@ def self_similarity(volumes: DataFrame, radius: int = 2, dilation: int = 2, keys
     return rows.select(*keys, *XYZ, V.let(value, lambda v: F.array(*[F.element_at(v, k + 1) for k in CHANNEL_ORDER])).alias("feat"))
 
 
+def masked_self_similarity(volumes: DataFrame, radius: int = 2, dilation: int = 2, keys: Sequence[str] = ("vid",)) -> DataFrame:
+    """The descriptor of volumes(keys, d, h, w, value, msk) as a model gives it: what is outside a mask is filled from the nearest voxel inside
+    first, so that no patch sees a border which isn't there."""
+    return self_similarity(written(filled_outside(volumes, keys).select(*keys, *XYZ, "value"), "filled"), radius, dilation, keys)
+
+
 def generated_mask(volumes: DataFrame, threshold: float = 0.99, size: int = 3, connectivity: int = 6, radius: int = 2, dilation: int = 2, keys: Sequence[str] = ("vid",)) -> DataFrame:
     """A foreground mask from self-similarity: not all channels above a threshold, holes filled, dilated."""
     found = self_similarity(volumes, radius, dilation, keys)
