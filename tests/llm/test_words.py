@@ -137,6 +137,12 @@ def test_variants_of_odd_rows(odd, odd_rows, empty):
     assert spelling.variants(empty).collect() == []
 
 
+def test_variants_sql(spark, sf, docs):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, spelling.variants(docs).collect()), key=str) == sorted(con.sql(spelling.ORACLE_SQL).fetchall(), key=str)
+
+
 def test_one_edit_by_all_pairs():
     words = [*{"".join(random.Random(k).choice("ab") for _ in range(3 + k % 5)) for k in range(200)}]
     for a in words:

@@ -108,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_source_audit": source_audit.ORACLE_SQL,
     "op12_ngram_join": ngram_join.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }

@@ -194,3 +194,36 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     roots = _roots(rows.where("form IS NOT NULL"))
     discard(words, pairs)
     return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: crc32 by its table of 256 remainders; near words by equal texts after deletions.
+ORACLE_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT n, n::BIGINT AS c, 0 AS k FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counts AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: concat('0x', x[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+  FROM counts, crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, k, concat(substring(word, 1, k), substring(word, k + 2)) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON b.rest = a.rest AND b.k = a.k AND b.word <> a.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, w.n AS other_n, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, encode(other)) AS place FROM near JOIN words w ON w.word = other
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1
+), follow AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r ON r.word = f.word JOIN forms e ON e.word = r.root WHERE e.form IS NULL
+"""
