@@ -15,6 +15,7 @@ empty table or an empty list gives the default verdict or no rows; other columns
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from collections.abc import Iterator
@@ -59,15 +60,18 @@ def candidates(host: Column, path: Column, rules: list[str]) -> Column:
     """Every key that could be a rule of these shapes, longest first."""
     depths = sorted({split_rule(r)[0].count(".") + 1 for r in rules}) or [1]
     lengths = sorted({len(split_rule(r)[1]) for r in rules}) or [0]
-    labels = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    keys = []
-    for d in depths:
-        for n in lengths:
-            key = F.concat(F.substring_index(host, ".", -d), F.substring(path, 1, n))
-            fits = (labels >= d) & (F.char_length(path) >= n) & (host != "")
-            keys.append(F.when(fits, F.struct(F.char_length(key).alias("n"), key.alias("key"))))
-    found = F.filter(F.array(*keys), lambda x: x.isNotNull())
-    return F.transform(F.sort_array(F.array_distinct(found), asc=False), lambda x: x["key"])
+    # two literals, however many shapes the rules have
+    listed = lambda values: F.from_json(F.lit(json.dumps(values)), "array<int>")
+    labels = F.when(host != "", F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1).otherwise(0)
+    longest = F.filter(listed(lengths[::-1]), lambda n: n <= F.char_length(path))
+
+    def keys(d: Column) -> Column:
+        own = F.call_function("substring_index", host, F.lit("."), -d)
+        return F.transform(longest, lambda n: F.concat(own, F.substring(path, F.lit(1), n)))
+
+    found = F.flatten(F.transform(F.filter(listed(depths[::-1]), lambda d: d <= labels), keys))
+    placed = F.transform(F.array_distinct(found), lambda key: F.struct(F.char_length(key).alias("n"), key.alias("key")))
+    return F.transform(F.sort_array(placed, asc=False), lambda x: x["key"])
 
 
 def hashes(key: Column) -> tuple[Column, Column]:
