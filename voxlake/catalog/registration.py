@@ -42,7 +42,7 @@ def P35_affine_matrix(spark, folder):
     scale = F.array(1 + F.col("p_size") / 100.0, 1 + F.col("p_partkey") % 9 / 10.0, F.lit(0.5))
     shift = F.array(F.col("p_retailprice"), (-F.col("p_size")).cast("double"), F.lit(0.25))
     rows = table(spark, folder, "part").select("p_partkey", warp.matrices(scale, shift).alias("m")).withColumn("a", warp.affines(F.col("m")))
-    return rows.select("p_partkey", F.posexplode(warp.matrices(F.col("a.scale"), F.col("a.shift"))).alias("row", "cells"), F.element_at("a.scale", 1).alias("scale"), F.element_at("a.shift", 1).alias("shift"))
+    return rows.select("p_partkey", F.posexplode(warp.matrices(F.col("a.scale"), F.col("a.shift"))).alias("row", "cells"), F.get("a.scale", F.lit(0)).alias("scale"), F.get("a.shift", F.lit(0)).alias("shift"))
 
 
 @C.add(

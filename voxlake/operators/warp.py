@@ -47,19 +47,17 @@ class Affine:
 
 def matrices(scale: Column, shift: Column) -> Column:
     """4 x 4 matrices of the affines with these scales and shifts (arrays of three)."""
-    row = lambda i: F.concat(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: F.when(j == i, F.element_at(scale, i + 1)).otherwise(0.0)), F.array(F.element_at(shift, i + 1)))
+    row = lambda i: F.array(*[F.get(scale, F.lit(i)) if i == j else F.lit(0.0) for j in range(3)], F.get(shift, F.lit(i)))
     return F.array(*[row(i) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
 
 
 def affines(matrix: Column) -> Column:
     """struct(scale, shift) of 4 x 4 matrices; one that does more than scale and shift is an error."""
-    cell = lambda i, j: F.element_at(F.element_at(matrix, i + 1), j + 1)
-    other = [F.abs(cell(i, j)) > 1e-12 for i in range(3) for j in range(3) if i != j]
-    turned = other[0]
-    for x in other[1:]:
-        turned = turned | x
-    found = F.struct(F.array(*[cell(i, i) for i in range(3)]).alias("scale"), F.array(*[cell(i, 3) for i in range(3)]).alias("shift"))
-    return F.when(turned, F.raise_error(F.lit("only scale and shift are allowed"))).otherwise(found)
+    cell = lambda i, j: F.get(F.get(matrix, F.lit(i)), F.lit(j))
+    turned = F.exists(F.array(*[cell(i, j) for i in range(3) for j in range(3) if i != j]), lambda x: F.abs(x) > 1e-12)
+    wrong = F.raise_error(F.lit("only scale and shift are allowed")).cast("double")
+    own = lambda i, j: F.when(turned, wrong).otherwise(cell(i, j)) if i == 0 else cell(i, j)
+    return F.struct(F.array(*[own(i, i) for i in range(3)]).alias("scale"), F.array(*[own(i, 3) for i in range(3)]).alias("shift"))
 
 
 def rescaled(affine: Column, factors: tuple[float, float, float]) -> Column:
