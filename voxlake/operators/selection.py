@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voxlake.scratch import dropped, written
 
 #: Bins of a pass, values that a window sorts, and ranks that are broadcast (more are joined by shuffle).
-BINS, SMALL, BROADCAST_RANKS = 4096, 1 << 14, 100_000
+BINS, SMALL, BROADCAST_RANKS = 4096, 1 << 17, 100_000
 MAX_PASSES = 16
 
 
