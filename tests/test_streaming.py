@@ -205,3 +205,16 @@ def test_convolutions_of_volumes(spark, depth):
     assert models.convolved(model, w, rows.limit(0)).collect() == []
     with pytest.raises(ValueError, match="odd"):
         models.VolumeConvolution(1)({"layers.0.weight": np.zeros((1, 2, 2, 2, 1)), "layers.0.bias": np.zeros(1)}, volume[..., None])
+
+
+def test_convolution_of_volumes_that_lack_voxels(spark):
+    """Voxels that aren't there, a whole plane among them, are 0 in every layer and have no result."""
+    volume, there = RNG.normal(size=(6, 4, 3)), RNG.random((6, 4, 3)) > 0.3
+    there[3], there[5, 2:], there[0, 3, 2] = False, False, True
+    w = {"layers.0.weight": RNG.normal(size=(2, 3, 3, 3, 1)), "layers.0.bias": RNG.normal(size=2), "layers.1.weight": RNG.normal(size=(1, 3, 3, 3, 2)), "layers.1.bias": RNG.normal(size=1)}
+    model = models.VolumeConvolution(2)
+    first = model.__class__(1)({k: v for k, v in w.items() if "0" in k[:8]}, np.where(there, volume, 0)[..., None])
+    want = model.__class__(1)({k.replace("1", "0", 1): v for k, v in w.items() if "1" in k[:8]}, np.maximum(first, 0) * there[..., None])
+    rows = spark.createDataFrame([("a", *map(int, at), float(volume[at])) for at in np.ndindex(volume.shape) if there[at]], "vid string, d int, h int, w int, value double")
+    found = models.convolved(model, w, rows, depth=2).collect()
+    assert len(found) == there.sum() and all(np.allclose(r["feat"], want[r["d"], r["h"], r["w"]]) for r in found)

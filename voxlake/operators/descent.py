@@ -211,12 +211,12 @@ class _Slab:
         })
 
 
-def _pack(names: Sequence[str]):
+def _pack(names: Sequence[str], sized: bool):
     """The voxels of one plane -> one row; lists and numbers of the columns stand one after the other for each voxel."""
 
     def run(rows: pa.Table) -> pa.Table:
         h, w = (rows.column(c).to_numpy().astype(np.int64) for c in ("h", "w"))
-        nh, nw = int(h.max()) + 1, int(w.max()) + 1
+        nh, nw = (rows.column(c)[0].as_py() for c in ("nh", "nw")) if sized else (int(h.max()) + 1, int(w.max()) + 1)
         parts = []
         for name in names:
             values = rows.column(name).combine_chunks()
@@ -224,18 +224,22 @@ def _pack(names: Sequence[str]):
             parts.append(values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(h), -1))
         data = np.concatenate(parts, 1)
         place = h * nw + w
-        if len(np.unique(place)) != len(h) or len(h) != nh * nw:
+        if len(np.unique(place)) != len(h) or (len(h) != nh * nw and not sized):
             raise ValueError(f"plane {rows.column('d')[0]} of pair {rows.column('pair_id')[0]} isn't whole")
-        out = np.empty_like(data)
+        out = np.zeros((nh * nw, data.shape[1]))
         out[place] = data
         return pa.table({"pair_id": rows.column("pair_id")[:1], "d": rows.column("d")[:1].cast(pa.int32()), "nh": pa.array([nh], pa.int32()), "nw": pa.array([nw], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
     return run
 
 
-def packed(volume: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row for each plane of volume(pair_id, d, h, w, names): pair_id, d, nh, nw, data."""
-    return volume.select(*_AT, *names).groupBy("pair_id", "d").applyInArrow(_pack(names), _PLANE)
+def packed(volume: DataFrame, names: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+    """One row for each plane of volume(pair_id, d, h, w, names): pair_id, d, nh, nw, data. A plane that isn't whole is an error; with
+    sizes(pair_id, nh, nw) planes have these sizes and zeros for voxels that aren't there."""
+    rows = volume.select(*_AT, *names)
+    if sizes is not None:
+        rows = rows.join(sizes.select("pair_id", "nh", "nw"), "pair_id")
+    return rows.groupBy("pair_id", "d").applyInArrow(_pack(names, sizes is not None), _PLANE)
 
 
 def unpacked(planes: DataFrame, more: Sequence[str] = ()) -> DataFrame:

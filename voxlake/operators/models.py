@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.operators.descent import packed
+from voxlake.operators.grids import shapes
 
 #: Bytes of weights that are broadcast.
 MAX_WEIGHT_BYTES = 4 << 30
@@ -198,8 +199,9 @@ class VolumeConvolution:
         """Voxels on a side that one voxel's result depends on."""
         return sum(weights[f"layers.{k}.weight"].shape[1] // 2 for k in range(self.layers))
 
-    def __call__(self, weights: Weights, volume: np.ndarray) -> np.ndarray:
-        x = volume
+    def __call__(self, weights: Weights, volume: np.ndarray, present: np.ndarray | None = None) -> np.ndarray:
+        """present (d, h, w): which voxels there are; others are 0 in every layer, as what is beyond the volume."""
+        x = volume if present is None else np.where(present[..., None], volume, 0.0)
         for k in range(self.layers):
             kernel = _checked(weights, f"layers.{k}.weight", None, None, None, None, x.shape[-1])
             r = [s // 2 for s in kernel.shape[1:4]]
@@ -210,27 +212,31 @@ class VolumeConvolution:
             for a, b, e in np.ndindex(*kernel.shape[1:4]):
                 out += wide[a : a + x.shape[0], b : b + x.shape[1], e : e + x.shape[2]] @ kernel[:, a, b, e].T
             x = np.maximum(out, 0) if k + 1 < self.layers else out
+            x = x if present is None else np.where(present[..., None], x, 0.0)
         return x
 
 
 def convolved(model: VolumeConvolution, weights: Weights, volumes: DataFrame, key: str = "vid", value: str = "value", depth: int = 16) -> DataFrame:
     """key, d, h, w, feat of every voxel of volumes(key, d, h, w, value): slabs of `depth` planes, each with the planes that its results
-    depend on. Nulls are 0; a plane that isn't whole is an error; an empty table gives an empty one."""
+    depend on. Nulls are 0; voxels that a volume lacks are as those beyond it; an empty table gives an empty one."""
     spark = volumes.sparkSession
     held, reach = shared(spark, weights), model.reach(weights)
-    planes = packed(volumes.select(F.col(key).cast("string").alias("pair_id"), "d", "h", "w", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")), ["_v"])
+    voxels = volumes.select(F.col(key).cast("string").alias("pair_id"), "d", "h", "w", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"), F.lit(1.0).alias("_there"))
+    planes = packed(voxels, ["_v", "_there"], shapes(voxels, ["pair_id"]))
     ends = [F.floor((F.col("d") + x) / depth).cast("int") for x in (-reach, reach)]
     rows = planes.select("*", F.explode(F.sequence(F.greatest(ends[0], F.lit(0)), ends[1])).alias("slab"))
 
     def run(part: pa.Table) -> pa.Table:
         d, slab, nh, nw = (part.column(c).to_numpy() for c in ("d", "slab", "nh", "nw"))
-        order = np.argsort(d)
-        if len(set(nh.tolist())) > 1 or len(set(nw.tolist())) > 1 or (np.diff(d[order]) != 1).any():
-            raise ValueError(f"planes of {part.column('pair_id')[0]} differ or are missing")
-        x = np.stack([np.frombuffer(part.column("data")[int(k)].as_py(), np.float64).reshape(nh[0], nw[0], 1) for k in order])
-        own = np.flatnonzero((d[order] >= slab[0] * depth) & (d[order] < (slab[0] + 1) * depth))
-        out = model(held.value, x)[own]
-        at = np.stack(np.meshgrid(d[order][own], np.arange(nh[0]), np.arange(nw[0]), indexing="ij"), -1).reshape(-1, 3)
+        first = int(d.min())
+        x = np.zeros((int(d.max()) + 1 - first, nh[0], nw[0], 2))
+        for k, plane in enumerate(d - first):
+            x[plane] = np.frombuffer(part.column("data")[k].as_py(), np.float64).reshape(nh[0], nw[0], 2)
+        there = x[..., 1] > 0
+        own = there.copy()
+        own[: max(0, slab[0] * depth - first)] = own[max(0, (slab[0] + 1) * depth - first) :] = False
+        out = model(held.value, x[..., :1], there)[own]
+        at = np.argwhere(own) + (first, 0, 0)
         ends = pa.array(np.arange(0, out.size + 1, out.shape[-1]).astype(np.int32))
         names = pa.array([part.column("pair_id")[0].as_py()] * len(at), pa.string())
         return pa.table({key: names, **{c: pa.array(at[:, k].astype(np.int32)) for k, c in enumerate("dhw")}, "feat": pa.ListArray.from_arrays(ends, pa.array(out.ravel()))})
