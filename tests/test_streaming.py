@@ -218,3 +218,13 @@ def test_convolution_of_volumes_that_lack_voxels(spark):
     rows = spark.createDataFrame([("a", *map(int, at), float(volume[at])) for at in np.ndindex(volume.shape) if there[at]], "vid string, d int, h int, w int, value double")
     found = models.convolved(model, w, rows, depth=2).collect()
     assert len(found) == there.sum() and all(np.allclose(r["feat"], want[r["d"], r["h"], r["w"]]) for r in found)
+
+
+def test_slices_that_lack_pixels(spark):
+    """They get the size of their entity's other slices, and the background."""
+    rows = slice_rows(spark, [np.arange(6.0).reshape(2, 3) + k for k in range(2)]).where("slice_idx = 0 OR row = 0 AND col < 2")
+    backgrounds = rows.select("vid").distinct().withColumn("bg", F.lit(-7.0))
+    found = {r["slice_idx"]: np.frombuffer(r["data"]).reshape(r["rows"], r["cols"]).tolist() for r in streaming.packed_slices(rows, backgrounds, partial=True).collect()}
+    assert found == {0: [[0, 1, 2], [3, 4, 5]], 1: [[1, 2, -7], [-7, -7, -7]]}
+    with pytest.raises(Exception, match="isn't whole"):
+        streaming.packed_slices(rows.unionByName(rows), partial=True).collect()

@@ -267,7 +267,13 @@ def _patch_model() -> tuple[models.PatchTransformer, dict[str, np.ndarray]]:
 
 
 def _value_slices(spark, folder):
-    return streaming.packed_slices(slices.serialize(vox(spark, folder).select("vid", "d", "h", "w", "value"), "x").drop("is_end"))
+    return streaming.packed_slices(slices.serialize(vox(spark, folder).select("vid", "d", "h", "w", "value"), "x").drop("is_end"), partial=True)
+
+
+def _seen_tokens(spark, folder):
+    """Tokens of at least one pixel: a slice may lack some."""
+    place = [F.expr(f"cast(({c} + 1) div 2 as int)").alias(name) for c, name in (("h", "tok_y"), ("w", "tok_x"))]
+    return tok(spark, folder).select("vid", F.col("d").alias("slice_idx"), *place).distinct()
 
 
 @C.add(
@@ -279,7 +285,7 @@ def E1_E2_streamed_projection(spark, folder):
     model, weights = _patch_model()
     k = np.arange(4)
     onto = projection.PCA((0.5 * k).tolist(), [np.sin(1 + k).tolist(), np.sin(5 + k).tolist()], [0.5, 0.5])
-    found = streaming.stream(_value_slices(spark, folder), model, weights, {"patch": onto})
+    found = streaming.stream(_value_slices(spark, folder), model, weights, {"patch": onto}, _seen_tokens(spark, folder))
     return found.select("vid", "slice_idx", "tok_y", "tok_x", F.transform("feat", r6).alias("feat"))
 
 
@@ -292,8 +298,7 @@ UNION ALL SELECT vid, CAST(slice_idx AS INTEGER), 'tokens', CAST(tok_y AS INTEGE
 def E3_E6_two_taps_of_a_plan(spark, folder):
     model, weights = _patch_model()
     onto = projection.PCA([0.0] * 4, [[1.0, 2.0, 3.0, 4.0]], [1.0])
-    whole = tok(spark, folder).select("vid", F.col("d").alias("slice_idx"), F.expr("cast((h + 1) div 2 as int)").alias("tok_y"), F.expr("cast((w + 1) div 2 as int)").alias("tok_x")).distinct()
-    plan = whole.where((F.col("slice_idx") + F.col("tok_y") + F.col("tok_x")) % 2 == 0)
+    plan = _seen_tokens(spark, folder).where((F.col("slice_idx") + F.col("tok_y") + F.col("tok_x")) % 2 == 0)
     found = streaming.stream(_value_slices(spark, folder), model, weights, {"patch": None, "tokens": onto}, plan)
     return found.select("vid", "slice_idx", "tap", "tok_y", "tok_x", F.transform("feat", r6).alias("feat"))
 

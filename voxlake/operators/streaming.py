@@ -25,19 +25,22 @@ _PACKED = "vid string, dim string, slice_idx int, mod_code int, bg double, rows
 _TOKENS = "vid string, dim string, slice_idx int, mod_code int, tap string, tok_y int, tok_x int, feat array<double>"
 
 
-def packed_slices(slices: DataFrame, backgrounds: DataFrame | None = None) -> DataFrame:
+def packed_slices(slices: DataFrame, backgrounds: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """One row for each slice of slices(vid, dim, slice_idx, row, col, value[, mod_code]), with the background(vid, bg) of its entity. A
-    slice that lacks pixels, or has some twice, is an error; null values are the background."""
+    slice that lacks pixels, or has some twice, is an error; null values are the background. partial: slices have the size of their
+    entity's largest along the axis, and pixels that aren't there are the background."""
     rows = slices.select(*KEYS, "row", "col", F.col("value").cast("double").alias("value"), (F.col("mod_code") if "mod_code" in slices.columns else F.lit(None)).cast("int").alias("mod_code"))
     rows = rows.join(backgrounds.select("vid", F.col("bg").cast("double").alias("bg")), "vid", "left") if backgrounds is not None else rows.withColumn("bg", F.lit(0.0))
+    if partial:
+        rows = rows.join(rows.groupBy("vid", "dim").agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols")), ["vid", "dim"])
 
     def run(part: pa.Table) -> pa.Table:
         row, col = (part.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
-        n, m = int(row.max()) + 1, int(col.max()) + 1
-        if len(row) != n * m or len(np.unique(row * m + col)) != n * m:
+        n, m = (part.column(c)[0].as_py() for c in ("_rows", "_cols")) if partial else (int(row.max()) + 1, int(col.max()) + 1)
+        if len(np.unique(row * m + col)) != len(row) or (len(row) != n * m and not partial):
             raise ValueError(f"slice {part.column('slice_idx')[0]} of {part.column('vid')[0]} isn't whole")
         bg = part.column("bg")[0].as_py() or 0.0
-        out = np.empty(n * m)
+        out = np.full(n * m, float(bg))
         out[row * m + col] = part.column("value").fill_null(bg).to_numpy()
         first = part.select([*KEYS, "mod_code"]).slice(0, 1)
         more = {"bg": pa.array([bg]), "rows": pa.array([n], pa.int32()), "cols": pa.array([m], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())}
