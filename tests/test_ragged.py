@@ -9,7 +9,7 @@ from tests.conftest import SF
 from tests.test_oracle import CASES, plain
 
 NAMES = (
-    "E11_volume_convolution", "E1_E2_streamed_projection", "E3_E6_two_taps_of_a_plan",
+    "E11_volume_convolution", "E1_E2_streamed_projection", "E3_E6_two_taps_of_a_plan", "S14_zoomed_by_splines",
 )
 #: Voxels of the last of five planes of four entities: h = 3 has w < 3 only, and h = 4 none.
 VECTORS = 4 * (4 * 25 + 18)

@@ -52,3 +52,10 @@ def test_planes_must_be_whole(spark):
     with pytest.raises(ValueError, match="0, 1 or 3"):
         grids.zoomed(rows, (2, 2, 2), order=2)
     assert grids.zoomed(rows.limit(0), (2, 2, 2), order=3).collect() == []
+
+
+def test_partial_zoom_of_whole_volumes_is_the_zoom(spark):
+    x = np.random.default_rng(3).normal(size=(4, 5, 3))
+    rows = spark.createDataFrame([("a", *map(int, at), float(x[at])) for at in np.ndindex(x.shape)], "vid string, d int, h int, w int, value double")
+    found = [{(r["d"], r["h"], r["w"]): r["value"] for r in grids.zoomed(rows, (1.5, 0.6, 2.0), order=3, partial=p).collect()} for p in (False, True)]
+    assert found[0].keys() == found[1].keys() and all(np.isclose(found[0][k], found[1][k]) for k in found[0])

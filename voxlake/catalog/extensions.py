@@ -75,7 +75,7 @@ def _cubic(source: str, axis: str, size: str, new: str, others: str, out: str) -
     + " SELECT vid, CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, round(value, 5) + 0.0 AS value FROM zb"
 )
 def S14_zoomed_by_splines(spark, folder):
-    return grids.zoomed(vox(spark, folder), (1.7, 1.0, 0.5), order=3).withColumn("value", F.round("value", 5) + 0.0)
+    return grids.zoomed(vox(spark, folder), (1.7, 1.0, 0.5), order=3, partial=True).withColumn("value", F.round("value", 5) + 0.0)
 
 
 @C.add("SELECT c_custkey AS sample, c_name AS vid FROM customer WHERE c_custkey IN (3, 5, 8, 13, 21)")

@@ -110,13 +110,13 @@ def padded(voxels: DataFrame, before: Sequence[int], after: Sequence[int], value
     return met.select(*keys, *XYZ, (F.coalesce(column, F.lit(value)) if value is not None else F.col(column)).alias(column))
 
 
-def zoomed(voxels: DataFrame, factors: Sequence[float], column: str = "value", order: int = 1, keys: Sequence[str] = ("vid",)) -> DataFrame:
+def zoomed(voxels: DataFrame, factors: Sequence[float], column: str = "value", order: int = 1, keys: Sequence[str] = ("vid",), partial: bool = False) -> DataFrame:
     """Volumes with round(n * factor) voxels along each axis; corners meet corners. order 3: cubic splines; 1: linear; 0: the nearest
-    voxel, for labels and masks."""
+    voxel, for labels and masks. partial: splines of volumes that lack voxels."""
     if order == 3:
         from voxlake.operators import splines
 
-        return splines.zoomed(voxels, factors, column, keys)
+        return splines.zoomed(voxels, factors, column, keys, partial)
     if order not in (0, 1):
         raise ValueError(f"order must be 0, 1 or 3, not {order}")
     sizes = shapes(voxels, keys)
