@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators.grids import XYZ
+from voxlake.operators.grids import XYZ, shapes
 from voxlake.scratch import dropped, written
 
 #: Bytes of planes that a task holds, about, and voxels that are sampled at once.
@@ -100,18 +100,19 @@ class _Slab:
     def __init__(self, plan: Descent, depth: int, halo: int, reach: int, rows: pa.Table) -> None:
         self.plan = plan
         side, d = (rows.column(c).to_numpy() for c in ("side", "d"))
-        plane = int(np.flatnonzero(side == _FIXED)[0])
+        plane = int(np.flatnonzero(side == _STATE)[0])
         self.pair, slab, self.planes, nh, nw = (rows.column(c)[plane].as_py() for c in ("pair_id", "slab", "nd", "nh", "nw"))
         self.own = range(slab * depth, min((slab + 1) * depth, self.planes))
         self.low, self.high = max(0, self.own.start - halo), min(self.planes, self.own.stop + halo)
         self.size = (nh, nw)
 
         def stacked(which: int, low: int, high: int) -> np.ndarray:
-            held = {int(d[k]): rows.column("data")[int(k)].as_py() for k in np.flatnonzero(side == which)}
+            held = {int(d[k]): np.frombuffer(rows.column("data")[int(k)].as_py(), np.float64).reshape(nh, nw, -1) for k in np.flatnonzero(side == which)}
             missing = [k for k in range(low, high) if k not in held]
-            if missing:
+            if missing and (which == _STATE or not held):
                 raise ValueError(f"planes {missing[:5]} of pair {self.pair!r} are missing in one of field, fixed and moving features")
-            return np.stack([np.frombuffer(held[k], np.float64).reshape(nh, nw, -1) for k in range(low, high)])
+            none = np.zeros_like(next(iter(held.values())))
+            return np.stack([held.get(k, none) for k in range(low, high)])
 
         self.fixed, self.state = stacked(_FIXED, self.low, self.high), stacked(_STATE, self.low, self.high)
         self.first = max(0, self.low - reach)
@@ -296,13 +297,16 @@ def descend(
     differences. A round smooths the field by `inner` 3^3 means, samples the moving features and their central differences at
     x + u, forms the gradient, takes it back through the means (which are their own transpose), and moves u; every `smooth_every`
     rounds u itself is smoothed once. keep: rounds whose smoothed fields are returned, with a column `round`; none: the last
-    round's field, as it stands. Volumes are whole grids; a plane that isn't is an error. An empty table gives an empty one."""
+    round's field, as it stands. The field is on whole grids; a plane that isn't is an error. Features that lack voxels of the grid are 0
+    there. An empty table gives an empty one."""
     plan = Descent(weight, rate, loss, inner, smooth_every)
-    features = [written(packed(x, ["feat"]), "descent-features") for x in (fixed, moving)]
+    grid = written(shapes(field, ["pair_id"]), "descent-sizes")
+    within = [x.join(grid.select("pair_id", *[F.col(f"n{c}").alias(f"_n{c}") for c in XYZ]), "pair_id").where(" AND ".join(f"{c} < _n{c}" for c in XYZ)) for x in (fixed, moving)]
+    features = [written(packed(x, ["feat"], grid), "descent-features") for x in within]
     state = written(packed(field.select(*_AT, *_U, *[F.lit(0.0).alias(f"_{k}") for k in range(6)]), [*_U, *(f"_{k}" for k in range(6))]).withColumns({"round": F.lit(0), "far": F.lit(None).cast("double")}), "descent")
     far = field.agg(F.max(F.abs("ud"))).first()[0] or 0.0
-    sizes = features[0].groupBy("pair_id").agg((F.max("d") + 1).alias("nd"), F.max(F.octet_length("data") / (8 * F.col("nh") * F.col("nw"))).cast("int").alias("channels"), F.max(F.col("nh") * F.col("nw")).alias("area"))
-    sizes = written(sizes, "descent-sizes")
+    channels_of = features[0].groupBy("pair_id").agg(F.max(F.octet_length("data") / (8 * F.col("nh") * F.col("nw"))).cast("int").alias("channels"))
+    sizes = written(grid.join(channels_of, "pair_id").select("pair_id", "nd", "channels", (F.col("nh") * F.col("nw")).alias("area")), "descent-sizes")
     pairs, planes, area, channels = sizes.agg(F.count(F.lit(1)), *[F.coalesce(F.max(c), F.lit(1)) for c in ("nd", "area", "channels")]).first()
     small = F.broadcast(sizes.select("pair_id", "nd")) if pairs <= BROADCAST_PAIRS else sizes.select("pair_id", "nd")
     last = max(keep) if keep else rounds
@@ -328,7 +332,7 @@ def descend(
         dropped(*([state] if state not in kept else []), *([sums] if sums is not None else []))
         state, done = now, done + count
         far = state.where("round = 0").agg(F.max("far")).first()[0] or 0.0
-    dropped(*features, sizes)
+    dropped(*features, grid, sizes)
     if not keep:
         return unpacked(state.where("round = 0"))
     out = [unpacked(table.where("round > 0"), ["round"]) for table in kept]
