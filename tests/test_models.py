@@ -476,3 +476,23 @@ def test_ladders():
     assert json.loads(projection.PCA([0.0], [[1.0]], [1.0]).to_json())["kind"] == "pca"
     with pytest.raises(ValueError, match="weights"):
         projection.ladder([1.0], 2)
+
+
+def test_descent_over_features_that_lack_voxels(spark):
+    """They are 0 there, a whole plane among them."""
+    fixed, moving = shifted_pair(spark, (1, 0, 0))
+    still = fixed.select("pair_id", "d", "h", "w", *[F.lit(0.0).alias(c) for c in ("ud", "uh", "uw")])
+    holes = "d = 2 OR d = 7 AND (h > 3 OR h = 3 AND w > 1)"
+    zero = lambda x: x.withColumn("feat", F.when(F.expr(holes), F.transform("feat", lambda v: v * 0.0)).otherwise(F.col("feat")))
+    found = registration.descend(still, fixed.where(f"NOT ({holes})"), moving.where(f"NOT ({holes})"), rounds=3, inner=1)
+    want = registration.descend(still, zero(fixed), zero(moving), rounds=3, inner=1)
+    assert np.allclose(field_of(found, (8, 8, 8)), field_of(want, (8, 8, 8)))
+
+
+def test_features_warped_from_nowhere_are_zero(spark):
+    """A target whose corners all lack a voxel has a vector of zeros, as long as the others."""
+    source = spark.createDataFrame([("p", 0, 0, w, [1.0 + w, 2.0]) for w in (0, 1, 4)], "pair_id string, d int, h int, w int, feat array<double>")
+    sizes = spark.createDataFrame([("p", 1, 1, 5)], "pair_id string, nd int, nh int, nw int")
+    field = warp.Affine((1.0, 1.0, 1.0), (0.0, 0.0, 0.5)).dense(sizes)
+    found = {r["w"]: r["feat"] for r in warp.trilinear_features(field, source, sizes).collect()}
+    assert found == {0: [1.5, 2.0], 1: [1.0, 1.0], 2: [0.0, 0.0], 3: [2.5, 1.0], 4: [5.0, 2.0]}

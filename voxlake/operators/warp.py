@@ -97,26 +97,28 @@ def corners(rows: DataFrame, boundary: str = "clamp") -> DataFrame:
 def _sampled(rows: DataFrame, source: DataFrame, values: list[str], boundary: str) -> DataFrame:
     taps = corners(rows, boundary)
     found = source.select("pair_id", *[F.col(c).alias(f"_{c}") for c in XYZ], *[F.col(v).alias(f"_v{v}") for v in values])
-    met = taps.join(found, ["pair_id", *[f"_{c}" for c in XYZ]], "inner" if boundary == "clamp" else "left")
+    met = taps.join(found, ["pair_id", *[f"_{c}" for c in XYZ]], "left")
     sums = [F.sum(F.coalesce(F.col(f"_v{v}"), F.lit(0.0)) * F.col("_weight")).alias(v) for v in values]
     return met.groupBy("pair_id", *XYZ).agg(*sums)
 
 
 def trilinear(field: DataFrame, source: DataFrame, sizes: DataFrame, values: list[str] | None = None, boundary: str = "clamp") -> DataFrame:
-    """pair_id, d, h, w and the source's values at x + u."""
+    """pair_id, d, h, w and the source's values at x + u; voxels that the source lacks are 0."""
     at = [(F.col(c) + F.col(f"u{c}")).alias(x) for c, x in zip(XYZ, ("x0", "x1", "x2"), strict=True)]
     rows = field.join(sizes, "pair_id").select("pair_id", *XYZ, *at, "nd", "nh", "nw")
     return _sampled(rows, source, values or ["value"], boundary)
 
 
 def trilinear_features(field: DataFrame, source: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The same for vectors in feat: channels are summed by place."""
+    """The same for vectors in feat, of one length in a pair: channels are summed by place."""
     at = [(F.col(c) + F.col(f"u{c}")).alias(x) for c, x in zip(XYZ, ("x0", "x1", "x2"), strict=True)]
     taps = corners(field.join(sizes, "pair_id").select("pair_id", *XYZ, *at, "nd", "nh", "nw"))
-    met = taps.join(source.select("pair_id", *[F.col(c).alias(f"_{c}") for c in XYZ], "feat"), ["pair_id", *[f"_{c}" for c in XYZ]])
+    met = taps.join(source.select("pair_id", *[F.col(c).alias(f"_{c}") for c in XYZ], "feat"), ["pair_id", *[f"_{c}" for c in XYZ]], "left")
     parts = met.groupBy("pair_id", *XYZ).agg(F.collect_list(V.scale(F.col("feat"), F.col("_weight"))).alias("p"))  # eight at most
-    first = F.element_at("p", 1)
-    return parts.select("pair_id", *XYZ, F.aggregate(F.slice("p", 2, 8), first, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)).alias("feat"))
+    first = F.get("p", F.lit(0))
+    moved = parts.select("pair_id", *XYZ, F.aggregate(F.slice("p", 2, 8), first, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)).alias("feat"))
+    lengths = source.groupBy("pair_id").agg(F.max(F.size("feat")).alias("_c"))
+    return moved.join(lengths, "pair_id").select("pair_id", *XYZ, F.coalesce("feat", F.array_repeat(F.lit(0.0), F.col("_c"))).alias("feat"))
 
 
 def mask(field: DataFrame, source: DataFrame, sizes: DataFrame, threshold: float = 0.5) -> DataFrame:
