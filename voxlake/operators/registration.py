@@ -41,7 +41,7 @@ def _slab(reach: int, depth: int, means: int):
     """Both sides' voxels of one slab and its surroundings -> the costs of its own voxels of the fixed side."""
 
     def run(rows: pa.Table) -> pa.Table:
-        side, d, h, w, slab, nd, nh, nw = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "d", "h", "w", "slab", "nd", "nh", "nw"))
+        side, d, h, w, slab, nh, nw = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "d", "h", "w", "slab", "nh", "nw"))
         feat = rows.column("feat").combine_chunks()
         feat = feat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
         first, size = slab[0] * depth - means, (depth + 2 * means, int(nh[0]), int(nw[0]))
@@ -51,15 +51,15 @@ def _slab(reach: int, depth: int, means: int):
         fixed[d[own] - first, h[own], w[own]] = feat[own]
         other = side == 1
         moving[d[other] - first + reach, h[other] + reach, w[other] + reach] = feat[other]
-        plane = np.arange(size[0]) + first
-        outside = (plane < 0) | (plane >= nd[0])
+        absent = np.ones(size, bool)
+        absent[d[own] - first, h[own], w[own]] = False
         mine = np.flatnonzero(own & (d >= slab * depth) & (d < (slab + 1) * depth))
         costs = np.empty((len(mine), (2 * reach + 1) ** 3))
         for k, offset in enumerate(offset_list(reach)):
             a, b, e = (o + reach for o in offset)
             cost = ((fixed - moving[a : a + size[0], b : b + size[1], e : e + size[2]]) ** 2).sum(-1)
             for _ in range(means):
-                cost[outside] = 0
+                cost[absent] = 0
                 cost = mean3(cost)
             costs[:, k] = cost[d[mine] - first, h[mine], w[mine]]
         ends = pa.array(np.arange(0, costs.size + 1, costs.shape[1]).astype(np.int32))
@@ -71,7 +71,8 @@ def _slab(reach: int, depth: int, means: int):
 
 def packed_costs(fixed: DataFrame, moving: DataFrame, reach: int, means: int = 2) -> DataFrame:
     """pair_id, d, h, w, costs: for each voxel the squared feature differences at every offset of `offset_list` (zeros beyond the
-    volume), after 3^3 means. fixed, moving: (pair_id, d, h, w, feat) on one full grid."""
+    volume), after 3^3 means. fixed, moving: (pair_id, d, h, w, feat) on one grid; moving voxels that aren't there have zeros, fixed ones
+    no costs."""
     sizes = shapes(fixed, ["pair_id"])
     widest = sizes.agg(F.coalesce(F.max(F.col("nh") * F.col("nw")), F.lit(1))).first()[0]
     depth = max(1, SLAB_COSTS // (widest * (2 * reach + 1) ** 3))
