@@ -42,7 +42,11 @@ class Affine:
 
     def dense(self, sizes: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
         """Its field on every voxel of sizes(keys, nd, nh, nw)."""
-        return full(sizes, keys).select(*keys, *XYZ, *[u.cast("double").alias(n) for n, u in self.columns().items()])
+        return self.on(full(sizes, keys), keys)
+
+    def on(self, voxels: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+        """Its field on voxels(keys, d, h, w)."""
+        return voxels.select(*keys, *XYZ, *[u.cast("double").alias(n) for n, u in self.columns().items()])
 
 
 def matrices(scale: Column, shift: Column) -> Column:
@@ -144,12 +148,16 @@ def pair_mask(fixed: DataFrame, moved: DataFrame, mode: str) -> DataFrame:
     return both.select("pair_id", *XYZ, masks[mode].alias("msk"))
 
 
-def line(rows: DataFrame, scale: float, shift: float, keys: list[str]) -> DataFrame:
-    """rows(keys, idx, value) resampled along one axis at scale * idx + shift: linear, the ends clamped."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+def line(rows: DataFrame, scale: float, shift: float, keys: list[str], volume: list[str] | None = None) -> DataFrame:
+    """rows(keys, idx, value) resampled along one axis at scale * idx + shift: linear, the ends clamped. volume: keys of what a line is
+    part of, where lines may lack voxels: all are as long as the longest; voxels that aren't there are 0, and what reaches none is left out."""
     at = V.clamp(F.lit(float(scale)) * F.col("idx") + F.lit(float(shift)), 0.0, F.col("_n") - 1)
-    taps = rows.select(*keys, "idx", n.alias("_n")).withColumn("_at", at)
+    if volume is None:
+        taps = rows.select(*keys, "idx", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    else:
+        taps = rows.select(*keys, "idx").join(rows.groupBy(*volume).agg((F.max("idx") + 1).alias("_n")), volume)
+    taps = taps.withColumn("_at", at)
     pair = F.array(F.struct(F.floor("_at").cast("int").alias("s"), (1 - (F.col("_at") - F.floor("_at"))).alias("k")), F.struct(F.least(F.floor("_at") + 1, F.col("_n") - 1).cast("int").alias("s"), (F.col("_at") - F.floor("_at")).alias("k")))
-    taps = taps.select(*keys, "idx", F.explode(pair).alias("t")).select(*keys, "idx", F.col("t.s").alias("_s"), F.col("t.k").alias("_k"))
+    taps = taps.select(*keys, "idx", F.explode(F.filter(pair, lambda t: t["k"] > 0)).alias("t")).select(*keys, "idx", F.col("t.s").alias("_s"), F.col("t.k").alias("_k"))
     source = rows.select(*keys, F.col("idx").alias("_s"), F.col("value").alias("_v"))
     return taps.join(source, [*keys, "_s"]).groupBy(*keys, "idx").agg(F.sum(F.col("_v") * F.col("_k")).alias("value"))
