@@ -11,6 +11,8 @@ from tests.test_oracle import CASES, plain
 NAMES = (
     "E11_volume_convolution", "E1_E2_streamed_projection", "E3_E6_two_taps_of_a_plan", "S14_zoomed_by_splines",
     "J9_warp_trilinear", "J9_warp_features", "J12_field_composition", "J15_cost_volume",
+    "J12_affine_composition", "P33_identity_grid", "P34_affine_to_dense", "J13_line_resample",
+    "W8_box_mean", "W9_gaussian", "W12_binary_dilation", "W10_W11_self_similarity", "W13_fill_holes_26", "W14_generated_mask", "R7_smoothing_snapshots",
 )
 #: Voxels of the last of five planes of four entities: h = 3 has w < 3 only, and h = 4 none.
 VECTORS = 4 * (4 * 25 + 18)

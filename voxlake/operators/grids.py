@@ -24,6 +24,23 @@ def full(sizes: DataFrame, keys: Sequence[str] = ("vid",)) -> DataFrame:
     return out.select(*keys, "nd", "nh", "nw", "d", "h", F.explode(F.expr("sequence(0, nw - 1)")).alias("w"))
 
 
+def holes(voxels: DataFrame, keys: Sequence[str] = ("vid",)) -> DataFrame:
+    """keys, d, h, w of the coordinates within volumes that have no voxel. Planes are counted first, and voxels are asked for in
+    those alone that aren't whole."""
+    planes = voxels.groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("_n"), F.max("h").alias("h"), F.max("w").alias("w"))
+    every = shapes(planes, keys).select("*", F.explode(F.expr("sequence(0, nd - 1)")).alias("d"))
+    lacking = every.join(planes.select(*keys, "d", "_n"), [*keys, "d"], "left").where("coalesce(_n, 0) < nh * nw").drop("_n")
+    cells = lacking.select(*keys, "d", "nw", F.explode(F.expr("sequence(0, nh - 1)")).alias("h")).select(*keys, "d", "h", F.explode(F.expr("sequence(0, nw - 1)")).alias("w"))
+    there = voxels.select(*keys, *XYZ).join(lacking.select(*keys, "d"), [*keys, "d"], "left_semi")
+    return cells.join(there, [*keys, *XYZ], "left_anti").select(*keys, *XYZ)
+
+
+def filled(voxels: DataFrame, values: dict[str, Column], keys: Sequence[str] = ("vid",), lacking: DataFrame | None = None) -> DataFrame:
+    """voxels and their holes, which have these values (other columns null), and `_there`, which tells them apart."""
+    lacking = holes(voxels, keys) if lacking is None else lacking
+    return voxels.withColumn("_there", F.lit(True)).unionByName(lacking.select(*keys, *XYZ, *[x.alias(v) for v, x in values.items()], F.lit(False).alias("_there")), allowMissingColumns=True)
+
+
 def normalised(at: Column, size: Column) -> Column:
     """A voxel coordinate on [-1, 1]; 0 on an axis of one voxel."""
     return F.when(size > 1, 2.0 * at / (size - 1) - 1.0).otherwise(0.0)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import vectors as V
 from voxlake.operators import features, slice_search, warp
 from voxlake.operators.descent import descend, mean3
-from voxlake.operators.grids import XYZ, full, pooled_features, shapes
+from voxlake.operators.grids import XYZ, full, holes, pooled_features, shapes
 from voxlake.operators.neighbourhood import box_mean
 from voxlake.scratch import dropped, written
 
@@ -125,11 +125,13 @@ def chosen(costs: DataFrame, reach: int, near: DataFrame | None = None, weight:
 
 def convex(costs: DataFrame, reach: int, coefficients: Sequence[float] = COEFFICIENTS) -> DataFrame:
     """The coupled rounds over packed costs: a smooth field in voxels of the coarse grid."""
-    smooth = written(box_mean(chosen(costs, reach), _U, ["pair_id"]), "convex")
+    lacking = written(holes(costs, ["pair_id"]), "holes")
+    smooth = written(box_mean(chosen(costs, reach), _U, ["pair_id"], lacking=lacking), "convex")
     for weight in coefficients:
-        now = written(box_mean(chosen(costs, reach, smooth, weight), _U, ["pair_id"]), "convex")
+        now = written(box_mean(chosen(costs, reach, smooth, weight), _U, ["pair_id"], lacking=lacking), "convex")
         dropped(smooth)
         smooth = now
+    dropped(lacking)
     return smooth
 
 
@@ -164,9 +166,10 @@ def smoothing_levels(fields: DataFrame, counts: Sequence[int]) -> DataFrame:
     `{level}_s{count}`."""
     out, keys = None, ["pair_id", "level"]
     now = fields.select(*keys, *XYZ, *_U)
+    lacking = written(holes(now, keys), "holes") if max(counts) else None
     for count in range(max(counts) + 1):
         if count:
-            now = written(box_mean(now, _U, keys, times=3), "smoothing")
+            now = written(box_mean(now, _U, keys, times=3, lacking=lacking), "smoothing")
         if count in counts:
             part = now.withColumn("level", F.concat("level", F.lit(f"_s{count}")))
             out = part if out is None else out.unionByName(part)
