@@ -5,6 +5,10 @@ matrix product, which keeps its own best k for each query, and a window ranks wh
 row: what is shuffled is each block, once for each block of the other side, and k rows for each query and key block. The
 cells of this grid are dealt one by one, so a pair of any size spreads over as many tasks as it has cells. Blocks of both
 sides are large and packed in 32 bits where the features are, which keeps copies few and small.
+
+Blocks smaller than `MIN_BLOCK` are taken together to that size, so that copies stay few whatever was asked for. A cell's scores are made in
+strips of `STRIP` numbers. The largest score of every run of keys bounds the k-th best from below, so only the few scores that
+reach the bound are rounded and sorted. Cells reach Python one or two in a batch, and no cell is ever broadcast.
 """
 
 from __future__ import annotations
@@ -16,21 +20,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one block.
-QUERY_BLOCK, KEY_BLOCK = 4096, 4096
+#: Rows of one block, and the fewest.
+QUERY_BLOCK, KEY_BLOCK, MIN_BLOCK = 16384, 16384, 4096
+#: Scores that a task holds at once, and the most keys of a run.
+STRIP, RUN = 1 << 22, 64
+#: Bytes of one batch that goes to Python: a cell has several millions, and a partition many cells.
+BATCH_BYTES = "4m"
 METRICS = ("cosine", "neg_sq_l2", "dot")
 _EPS = 1e-8
 #: Digits to which scores are compared, so that ties don't hang on the order of additions.
 DIGITS = 9
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def _prepared(x: np.ndarray, metric: str) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + _EPS) if metric == "cosine" else x
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str, out: np.ndarray) -> np.ndarray:
+    """Of prepared vectors, in place."""
+    np.matmul(q, x.T, out=out)
     if metric == "neg_sq_l2":
-        return -((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T)
-    if metric == "cosine":
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + _EPS)
-        x = x / (np.linalg.norm(x, axis=1, keepdims=True) + _EPS)
-    return q @ x.T
+        out *= 2
+        out -= (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
+    return out
+
+
+def _strip_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded scores of the k best of each row, in order; ties to the smaller column."""
+    n, width = scores.shape
+    run = max(1, min(RUN, width // (2 * k)))
+    most = np.maximum.reduceat(scores, np.arange(0, width, run), axis=1) if run > 1 else scores
+    if np.isnan(most).any():
+        column = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(n), column.shape[1])
+        return row, column.ravel(), np.round(scores[row, column.ravel()], DIGITS) + 0.0
+    if most.shape[1] > k:
+        bound = np.partition(most, most.shape[1] - k, axis=1)[:, -k]
+        # rounding may bring together what differs by so much
+        row, column = np.divmod(np.flatnonzero(scores >= (bound - 2 * 10.0**-DIGITS)[:, None]), width)
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    found = np.round(scores[row, column], DIGITS) + 0.0
+    order = np.lexsort((column, -found, row))
+    row, column, found = row[order], column[order], found[order]
+    first = np.searchsorted(row, np.arange(n))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], column[kept], found[kept]
 
 
 def _matrix(cell: pa.Scalar) -> np.ndarray:
@@ -44,17 +79,15 @@ def _best(k: int, metric: str):
             for i in range(batch.num_rows):
                 pair = batch.column(0)[i].as_py()
                 q_ids, k_ids = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 3))
-                found = np.round(_scores(_matrix(batch.column(2)[i]), _matrix(batch.column(4)[i]), metric), DIGITS) + 0.0
                 by_id = np.argsort(k_ids, kind="stable")
-                found, k_ids = found[:, by_id], k_ids[by_id]
-                top = np.argsort(-found, axis=1, kind="stable")[:, :k]
-                out = {
-                    "pair_id": pa.array([pair] * top.size, pa.string()),
-                    "query_id": np.repeat(q_ids, top.shape[1]),
-                    "key_id": k_ids[top.ravel()],
-                    "score": np.take_along_axis(found, top, 1).ravel(),
-                }
-                yield pa.RecordBatch.from_pydict(out)
+                k_ids, q, x = k_ids[by_id], _prepared(_matrix(batch.column(2)[i]), metric), _prepared(_matrix(batch.column(4)[i])[by_id], metric)
+                height = max(1, STRIP // len(x))
+                held = np.empty((min(height, len(q)), len(x)))
+                for at in range(0, len(q), height):
+                    part = q[at : at + height]
+                    row, column, found = _strip_best(_scores(part, x, metric, held[: len(part)]), k)
+                    out = {"pair_id": pa.array([pair] * len(row), pa.string()), "query_id": q_ids[at + row], "key_id": k_ids[column], "score": found}
+                    yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -64,8 +97,10 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, metric: str = "cosine", q
     smaller key. queries(pair_id, query_id, feat), keys(pair_id, key_id, feat): long ids, vectors of one length."""
     if metric not in METRICS:
         raise ValueError(f"{metric!r} is none of {METRICS}")
+    query_block, key_block = max(query_block, MIN_BLOCK), max(key_block, MIN_BLOCK)
     blocks = lambda df, size: df.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     counts = blocks(queries, query_block).withColumnRenamed("blocks", "_nq").join(blocks(keys, key_block).withColumnRenamed("blocks", "_nk"), "pair_id")
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # for the job that the caller runs later
     kind = "array<float>" if {dict(df.dtypes)["feat"] for df in (queries, keys)} == {"array<float>"} else "array<double>"
     vector = F.col("feat").cast(kind).alias("feat")
 
@@ -75,7 +110,8 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, metric: str = "cosine", q
         every = F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)).alias(f"_{other}")
         return packed.select("pair_id", f"_{own}", every, F.col(f"x.{name}").alias(f"{own}_ids"), F.col("x.feat").alias(f"{own}_feats"))
 
-    met = cells(queries, "query_id", "q", "k").join(cells(keys, "key_id", "k", "q"), ["pair_id", "_q", "_k"])
+    # sizes are estimated from files, before blocks are copied: a broadcast would gather all copies
+    met = cells(queries, "query_id", "q", "k").hint("merge").join(cells(keys, "key_id", "k", "q"), ["pair_id", "_q", "_k"])
     met = met.select("pair_id", "q_ids", "q_feats", "k_ids", "k_feats")
     kept = met.mapInArrow(_best(k, metric), "pair_id string, query_id long, key_id long, score double")
     order = Window.partitionBy("pair_id", "query_id").orderBy(F.col("score").desc(), "key_id")
