@@ -38,3 +38,10 @@ def test_strips(monkeypatch):
     scores[5, 2] = np.nan
     row, column, _ = similarity._strip_best(scores, 2)
     assert len(row) == 40 and (column.reshape(20, 2)[6] == np.lexsort((np.arange(1000), -scores[6]))[:2]).all()
+
+
+def test_volumes_of_predictions_ask_once(spark, sf):
+    from voxlake.catalog import matching
+
+    found = matching.C.queries["P38_prediction_volumes"](spark, sf)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

@@ -122,7 +122,7 @@ FROM pairs p JOIN tok t ON t.vid = p.query_vid LEFT JOIN pred ON pred.pair_id =
 )
 def P38_prediction_volumes(spark, folder):
     p, t = _quads(spark, folder), tok(spark, folder)
-    return knn.to_volume(knn.vote(_near(spark, folder), (5,)), t, p)
+    return knn.to_volume(knn.vote(_near(spark, folder), (5,)), t, p, ks=(5,))
 
 
 @C.add(TOK + " SELECT vid, vox FROM tok WHERE msk")

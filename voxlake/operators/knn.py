@@ -87,10 +87,14 @@ def summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def to_volume(predictions: DataFrame, voxels: DataFrame, pairs: DataFrame, background: int = 0) -> DataFrame:
-    """Every voxel of each query entity with its prediction; those outside the mask have the background label."""
-    ks = predictions.select("pair_id", "k").distinct()
-    grid = pairs.join(ks, "pair_id").select("pair_id", "k", F.col("query_vid").alias("vid")).join(voxels.select("vid", F.col("vox").alias("query_id"), "d", "h", "w"), "vid")
+def to_volume(predictions: DataFrame, voxels: DataFrame, pairs: DataFrame, background: int = 0, ks: Sequence[int] | None = None) -> DataFrame:
+    """Every voxel of each query entity with its prediction; those outside the mask have the background label. ks: for every pair, where
+    they are known; else those that a pair has predictions for, which are then made twice."""
+    if ks is None:
+        asked = pairs.join(predictions.select("pair_id", "k").distinct(), "pair_id")
+    else:
+        asked = pairs.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    grid = asked.select("pair_id", "k", F.col("query_vid").alias("vid")).join(voxels.select("vid", F.col("vox").alias("query_id"), "d", "h", "w"), "vid")
     placed = grid.join(predictions, ["pair_id", "k", "query_id"], "left")
     return placed.select("pair_id", "k", "d", "h", "w", F.coalesce("pred", F.lit(background)).cast("short").alias("label"))
 
