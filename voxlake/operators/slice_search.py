@@ -18,6 +18,9 @@ from voxlake.functions import vectors as V
 from voxlake.operators.slices import PLANES
 from voxlake.scratch import dropped, written
 
+#: Cells and rows of a matrix whose scores a task makes at once, at most.
+SCORE_CELLS, SCORE_ROWS = 1 << 20, 256
+
 
 def slice_vectors(voxels: DataFrame, axis: str, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """keys, idx, line, place, feat: each slice along an axis, in lines of places with their features."""
@@ -134,19 +137,50 @@ def scales(low: float = 0.95, high: float = 1.05, n: int = 101) -> list[float]:
     return out
 
 
+def _block_scores(factors: list[float]):
+    """Some rows of a matrix, and all shifts -> for each scale and shift the sum and number of the values along its line."""
+
+    def run(cells: pa.Table, asked: pa.Table) -> pa.Table:
+        shift = asked.column("shift").to_numpy()
+        index, at = np.unique(cells.column("i").to_numpy(), return_inverse=True)
+        width = asked.column("_nj")[0].as_py() if asked.num_rows else 1
+        # a column more for what is beyond the matrix
+        rows = np.full((len(index), width + 1), np.nan)
+        rows[at, cells.column("j").to_numpy()] = cells.column("value").to_numpy(zero_copy_only=False)
+        known = ~np.isnan(rows)
+        rows = np.where(known, rows, 0.0)
+        line = np.arange(len(index))[:, None]
+        total, n = np.empty((len(factors), len(shift))), np.empty((len(factors), len(shift)), np.int64)
+        for s, scale in enumerate(factors):
+            j = np.rint(scale * index[:, None] + shift[None])
+            j = np.where((j >= 0) & (j < width), j, width).astype(np.int64)
+            total[s], n[s] = rows[line, j].sum(0), known[line, j].sum(0)
+        every = pa.array(np.tile(np.arange(len(shift)), len(factors)))
+        return pa.table({
+            **{c: asked.column(c).take(every) for c in ("pair_id", "t", "shift")},
+            "s": pa.array(np.repeat(np.arange(len(factors), dtype=np.int32), len(shift))), "total": pa.array(total.ravel()), "n": pa.array(n.ravel()),
+        }).select(["pair_id", "s", "t", "shift", "total", "n"])
+
+    return run
+
+
 def scores(matrix: DataFrame, factors: list[float], shifts: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """pair_id, s, t, shift, score: the mean of the matrix along j = round-half-even(scale * i + shift), null where fewer
     columns than min_overlap of the smaller side are met. shifts(pair_id, t, shift); matrix indexes run from 0."""
-    spark = matrix.sparkSession
-    table = spark.createDataFrame([*enumerate(factors)], "s int, scale double")
-    rows = matrix.groupBy("pair_id").agg(F.max("i").alias("_i"), F.max("j").alias("_j"))
-    least = min_overlap * F.least(F.col("_i") + 1, F.col("_j") + 1)
-    lines = rows.select("pair_id", "_j", least.alias("_least"), F.explode(F.expr("sequence(0, _i)")).alias("i"))
-    # a table of scales and a table of shifts, both fixed by parameters, for each slice of a pair
-    asked = lines.join(shifts, "pair_id").crossJoin(F.broadcast(table)).withColumn("j", F.rint(F.col("scale") * F.col("i") + F.col("shift")).cast("int"))
-    met = asked.join(matrix, ["pair_id", "i", "j"], "left")
-    out = met.groupBy("pair_id", "s", "t", "shift").agg(F.avg("value").alias("_mean"), F.count("value").alias("_n"), F.first("_least").alias("_least"))
-    return out.select("pair_id", "s", "t", "shift", F.when(F.col("_n") >= F.col("_least"), F.col("_mean")).alias("score"))
+    sizes = matrix.groupBy("pair_id").agg((F.max("i") + 1).alias("_ni"), (F.max("j") + 1).alias("_nj"))
+    # rows of the matrix that a task holds together
+    sizes = sizes.withColumn("_rows", F.greatest(F.least(F.floor(SCORE_CELLS / F.col("_nj")), F.lit(SCORE_ROWS)), F.lit(1)).cast("int"))
+    cells = matrix.join(sizes.select("pair_id", "_rows"), "pair_id").select("pair_id", F.floor(F.col("i") / F.col("_rows")).cast("int").alias("block"), "i", "j", F.col("value").cast("double").alias("value"))
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("_ni") - 1) / F.col("_rows")).cast("int"))).alias("block")
+    asked = shifts.join(sizes.select("pair_id", "_nj", blocks), "pair_id").select("pair_id", "block", "_nj", "t", "shift")
+    kinds = dict(shifts.dtypes)
+    shape = f"pair_id string, s int, t {kinds['t']}, shift {kinds['shift']}, total double, n long"
+    # columns of their own, as shifts may come from the matrix
+    cells, asked = (x.select(*[F.col(c).alias(c) for c in x.columns]).groupBy("pair_id", "block") for x in (cells, asked))
+    parts = cells.cogroup(asked).applyInArrow(_block_scores(factors), shape)
+    out = parts.groupBy("pair_id", "s", "t", "shift").agg(F.sum("total").alias("_total"), F.sum("n").alias("_n")).join(sizes, "pair_id")
+    least = min_overlap * F.least("_ni", "_nj")
+    return out.select("pair_id", "s", "t", "shift", F.when((F.col("_n") >= least) & (F.col("_n") > 0), F.col("_total") / F.col("_n")).alias("score"))
 
 
 def best(score_rows: DataFrame, factors: list[float], weight: float = 0.05) -> DataFrame:
