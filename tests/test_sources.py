@@ -312,3 +312,12 @@ def test_states_and_traces_come_back(spark):
         assert registry.restored(registry.state(one)) == one
     rows = masks.traced(masks.traced(spark.range(1), "cut", by='{"x"}', at=3), "keep")
     assert rows.select(masks.summary(F.col("trace"))).first()[0] == 'cut(at:3,by:{"x"}) > keep()'
+
+
+def test_a_product_is_dealt_to_tasks(spark):
+    """A table of one partition isn't multiplied within one task."""
+    from voxlake.plans import experiments
+
+    found = experiments.combinations(spark.range(40).coalesce(1), {"a": [1, 2], "b": [3, 4, 5]}, ())
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 240 and len({r["part"] for r in rows}) > 1

@@ -24,8 +24,8 @@ WITHIN_RUN = ("iters_adam", "iters_smooth")
 
 def combinations(base: SparkSession | DataFrame, space: Mapping[str, Sequence], within: Sequence[str] = WITHIN_RUN) -> DataFrame:
     """One row for each combination of the outer parameters, and each row of base, if that is a table of experiments. Lists are literals of a
-    few values; the product is their size's."""
-    rows = base if isinstance(base, DataFrame) else base.range(1).select()
+    few values; the product is their size's. A base is dealt to tasks first: a small file would be one task, and so would its product."""
+    rows = base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if isinstance(base, DataFrame) else base.range(1).select()
     for name, values in space.items():
         if name not in within:
             rows = rows.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
