@@ -131,6 +131,40 @@ def test_line_classes_of_odd_rows(odd, empty):
     assert line_dedup.classes(empty).collect() == []
 
 
+def test_entries_of_frequent_words_and_others(spark, monkeypatch):
+    """Entries of words over the bound meet as rows, all others in blocks, in more buckets than one."""
+    monkeypatch.setattr(line_dedup, "BUFFER", 4)
+    monkeypatch.setattr(line_dedup, "BUCKET", 100)
+    rows = corpus(6, 8, 7, 24, 4) + [(1000, "a b"), (1001, "b a"), (1002, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.classes(frame).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected_classes(rows)
+
+
+def test_entries_travel_in_blocks():
+    """A block for each bucket, which holds each entry of its words once; null and empty lists give none."""
+    entry = lambda *pairs: np.array(list(pairs), line_dedup._ENTRY).tobytes()
+    lists = pa.array([entry((5, 3), (6, 7)), b"", entry((7, 1)), entry((5, 2))], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 9, 4, 5], pa.int32()), pa.array([10, 11, 12, 13]), lists, pa.array([1, 2, 3, 4])], ["size", "name", "entries", "s0"])
+    for rows, keep in ((batch, [0, 1, 2, 3]), (batch.slice(2), [2, 3])):
+        found = {}
+        for block in line_dedup._blocks(2, 1)(iter([rows])):
+            for bucket, data in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                assert bucket not in found
+                found[bucket] = [(int(r["word"]), int(r["name"]), r["sketch"].tolist(), int(r["size"]), int(r["place"])) for r in np.frombuffer(data, line_dedup._record(1))]
+        every = [(5, 10, [1], 4, 3), (6, 10, [1], 4, 7), (7, 12, [3], 4, 1), (5, 13, [4], 5, 2)]
+        want = [x for x in every if x[1] - 10 in keep]
+        assert found == {b: own for b in (0, 1) if (own := [x for x in want if x[0] % 2 == b])}
+
+
+def test_short_hashes():
+    texts = ["", "a", "b", "ab", "ba", "\0", "\0\0", "12345678", "12345678\0", "123456789", "912345678", "x" * 64, "x" * 65, "y" + "x" * 64, "x" * 64 + "y", "é", "日本語" * 50]
+    whole = shingles.short_hashes(pa.array(texts))
+    assert len(set(whole.tolist())) == len(texts)
+    assert shingles.short_hashes(pa.array(["q", *texts]).slice(1)).tolist() == whole.tolist()
+    assert shingles.short_hashes(pa.array([], pa.string())).tolist() == []
+
+
 def test_deduplicate_removes_what_matches_names(spark):
     rows = corpus(9, 5, 5, 20, 3)
     frame = spark.createDataFrame(rows, "doc_id long, text string")

@@ -7,7 +7,7 @@ lines. Lines with equal sets are one set, which counts from its first line on.
 A set's words are ordered by rarity: by a frequency that is counted over all lines in a bounded table of hashed counters,
 then by hash. Any one order gives the same result; this one makes beginnings rare. Sets that match share a word in their
 first few: the shorter is indexed by the words of its short prefix, the longer asks with its longer one. Entries of one word
-meet in one task, in the order of lengths, where filters of length, position and sketches (bits of a set's words, which
+meet in one task (in blocks by bucket; those of very frequent words as rows), in the order of lengths, where filters of length, position and sketches (bits of a set's words, which
 differ in no more places than two sets have different words) leave the candidates. No candidate leaves its task as a row: what
 is written are edges that join them to clusters. A large group of lines, each unlike the next by a word, has as many
 matches as pairs, but only as many edges as lines. The words of the sets of clusters are then read again from the texts, and
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from voxlake.llm import counters
 from voxlake.llm.components import components, roots
 from voxlake.llm.scratch import discard, materialise, released
-from voxlake.llm.shingles import mix, string_hashes
+from voxlake.llm.shingles import mix, short_hashes
 
 SIMILARITY = 0.8
 #: Counters of words (8 bytes each on the driver, 4 in tasks).
@@ -49,6 +49,8 @@ STEP = 1024
 BROADCAST_ROWS = 150_000
 #: Entries that a task holds, pairs that it makes at once, and sets on a side of a cell.
 BUFFER, SLAB, CELL = 1 << 18, 1 << 21, 1024
+#: Words (of all texts) for each bucket of entries, and entries that are dealt to buckets at once.
+BUCKET, BLOCK = 1 << 18, 1 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,16 +65,16 @@ class Lines:
         self.text = np.repeat(np.arange(len(texts)), per_text)
         self.number = np.arange(len(flat)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         lists = pc.ascii_split_whitespace(flat)
-        words = lists.flatten().dictionary_encode()
-        table = string_hashes(words.dictionary)
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        line = np.repeat(np.arange(len(flat)), np.asarray(pc.list_value_length(lists)).astype(np.int64))
-        real = np.asarray(pc.not_equal(words.dictionary, "")).astype(bool)[codes] if len(codes) else np.zeros(0, bool)
+        words = lists.flatten()
+        real = np.asarray(pc.binary_length(words)) > 0
+        line = np.repeat(np.arange(len(flat)), np.asarray(pc.list_value_length(lists)).astype(np.int64))[real]
+        coded = pa.array(short_hashes(words)[real]).dictionary_encode()
+        table, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy(zero_copy_only=False)
         often = frequency[counters.places(table, COUNTERS)] if frequency is not None else np.zeros(len(table), np.int64)
         order = np.lexsort((table, often))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        pairs = np.sort(line[real] << 32 | rank[codes[real]])
+        pairs = np.sort(line << 32 | rank[codes])
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
         self.line, at = pairs >> 32, order[pairs & 0xFFFFFFFF] if len(pairs) else np.zeros(0, np.int64)
         self.hashes, self.often = table[at], often[at]
@@ -101,8 +103,9 @@ class Lines:
 
 def _word_list(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of a batch of texts, and how often each occurs."""
-    words = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten().dictionary_encode()
-    return string_hashes(words.dictionary), np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+    words = np.sort(short_hashes(pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten()))
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
+    return words[first], np.diff(np.append(first, len(words)))
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +129,15 @@ def _class(n: np.ndarray, t: float) -> np.ndarray:
 
 
 _SKETCH = ["k0", "k1", "k2", "k3"]
-_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long, size int, k0 long, k1 long, k2 long, k3 long, entries array<struct<word:long,place:int>>"
+_LINES = "doc_id long, m1 long, m2 long, line int, n1 long, n2 long, size int, k0 long, k1 long, k2 long, k3 long, entries binary, hot array<struct<word:long,place:int>>"
+_ENTRY = np.dtype([("word", "<i8"), ("place", "<i4")])
 
 
-def _entries(x: Lines, once: np.ndarray, t: float) -> pa.Array:
+def _entries(x: Lines, once: np.ndarray, t: float, buffer: int) -> tuple[pa.Array, pa.Array]:
     """For each line its prefix words' keys and places, by rarity: four times the position, plus 1 where the word is in the
     shorter prefix that others ask for, plus 2 where the line asks with it. A frequent word's key holds a class of lengths, and a
-    line asks in its own class and the one below. Words that no other line can hold are left out; null where not `once`."""
+    line asks in its own class and the one below. Words that no other line can hold are left out; null where not `once`. First
+    those of words that occur at most `buffer` times, as bytes, then the others."""
     n = x.size
     own = n - least_overlap(n, n, t) + 1
     # a set meets only its own kind where any partner's overlap would be the whole of both
@@ -141,7 +146,8 @@ def _entries(x: Lines, once: np.ndarray, t: float) -> pa.Array:
     given = np.where((np.floor(n / t + 1e-9) > n) | (own > 1), own, 0)
     at = np.arange(len(x.line)) - x.start[x.line]
     keep = once[x.line] & (at < np.maximum(asks, given)[x.line]) & (x.often > 1)
-    word, line, at, many = x.hashes[keep], x.line[keep], at[keep], x.often[keep] > FREQUENT
+    word, line, at, often = x.hashes[keep], x.line[keep], at[keep], x.often[keep]
+    many = often > FREQUENT
     kind = _class(n, t)[line]
     flags = (at < given[line]) + 2 * (at < asks[line])
     with np.errstate(over="ignore"):
@@ -150,13 +156,23 @@ def _entries(x: Lines, once: np.ndarray, t: float) -> pa.Array:
         words = np.concatenate([key(kind), key(kind - 1)[below]])
     places = np.concatenate([at * 4 + flags, at[below] * 4 + 2])
     lines = np.concatenate([line, line[below]])
+    hot = np.concatenate([often, often[below]]) > buffer
     order = np.argsort(lines, kind="stable")
-    rows = pa.StructArray.from_arrays([pa.array(_signed(words[order])), pa.array(places[order].astype(np.int32))], ["word", "place"])
-    ends = np.append(0, np.cumsum(np.bincount(lines, minlength=len(n)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~once, False)), rows)
 
+    def split(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _signed(words[some]), places[some].astype(np.int32), np.append(0, np.cumsum(np.bincount(lines[some], minlength=len(n)))).astype(np.int32)
 
-def _line_rows(shared: Broadcast, t: float):
+    word, place, ends = split(order[~hot[order]])
+    data = np.empty(len(word), _ENTRY)
+    data["word"], data["place"] = word, place
+    there = pa.array(once).buffers()[1]
+    few = pa.Array.from_buffers(pa.binary(), len(n), [there, pa.py_buffer(ends * np.int32(_ENTRY.itemsize)), pa.py_buffer(data)])
+    word, place, ends = split(order[hot[order]])
+    none = np.append(np.diff(ends) == 0, False)
+    return few, pa.ListArray.from_arrays(pa.array(ends, mask=none), pa.StructArray.from_arrays([pa.array(word), pa.array(place)], ["word", "place"]))
+
+
+def _line_rows(shared: Broadcast, t: float, buffer: int):
     """rows(doc_id, m1, m2, text) -> a row for each line with words; of equal sets the first of a step holds the entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +184,8 @@ def _line_rows(shared: Broadcast, t: float):
             once[np.unique(x.n1, return_index=True)[1]] = True
             row, keep = pa.array(x.text[some]), pa.array(some)
             columns = [*(batch.column(k).take(row) for k in range(3)), pa.array(x.number[some].astype(np.int32)), pa.array(_signed(x.n1[some])), pa.array(_signed(x.n2[some]))]
-            columns += [pa.array(x.size[some].astype(np.int32)), *(pa.array(_signed(k[some])) for k in x.sketches()), _entries(x, once, t).take(keep)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2", "size", *_SKETCH, "entries"])
+            columns += [pa.array(x.size[some].astype(np.int32)), *(pa.array(_signed(k[some])) for k in x.sketches()), *(e.take(keep) for e in _entries(x, once, t, buffer))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "m1", "m2", "line", "n1", "n2", "size", *_SKETCH, "entries", "hot"])
 
     return run
 
@@ -205,10 +221,9 @@ def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: n
         yield a, b
 
 
-def _meet(t: float, joined: bool):
-    """Entries(word, size, place, name, sketches ...) in the order of (word, size) -> the names of sets that can match another
-    or, if joined, edges that join all those that can match. Of a word that fills a whole buffer only the sets stay that are
-    long enough for longer ones to come."""
+def _found(t: float, joined: bool):
+    """Entries (word, size, place, name, sketches ...) in the order of (word, size) -> the names of sets that can match another
+    or, if joined, edges that join all those that can match."""
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         word, size, place, name = columns[:4]
@@ -225,6 +240,14 @@ def _meet(t: float, joined: bool):
         far = np.flatnonzero(label != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], ["a", "b"])
 
+    return found
+
+
+def _meet(t: float, joined: bool):
+    """Entries of words with more than a bucket may hold, sorted as rows. Of a word that fills a whole buffer only the sets stay
+    that are long enough for longer ones to come."""
+    found = _found(t, joined)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         fresh = 0
@@ -257,20 +280,109 @@ def _meet(t: float, joined: bool):
     return run
 
 
-def _dealt(rows: DataFrame, sketches: list[F.Column]) -> DataFrame:
+def _record(sketches: int) -> np.dtype:
+    return np.dtype([("word", "<i8"), ("name", "<i8"), ("sketch", "<i8", (sketches,)), ("size", "<i4"), ("place", "<i4")])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and each value's number of bytes."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _blocks(buckets: int, sketches: int):
+    """rows(size, name, entries, sketches ...) -> blocks of entries by the bucket of their word."""
+    record = _record(sketches)
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (rows["word"].view(np.uint64) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = (np.append(first, len(rows)) * record.itemsize).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(rows[order])])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), data], ["bucket", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        number = 0
+        for batch in batches:
+            data, lengths = _bytes_of(batch.column(2))
+            entries, own = data.view(_ENTRY), np.repeat(np.arange(batch.num_rows), lengths // _ENTRY.itemsize)
+            rows = np.empty(len(entries), record)
+            rows["word"], rows["place"] = entries["word"], entries["place"]
+            rows["size"], rows["name"] = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own]
+            for k in range(sketches):
+                rows["sketch"][:, k] = batch.column(3 + k).to_numpy()[own]
+            if len(rows):
+                held.append(rows)
+                number += len(rows)
+            if number >= BLOCK:
+                yield dealt(held)
+                held, number = [], 0
+        if held:
+            yield dealt(held)
+
+    return run
+
+
+def _meet_blocks(t: float, joined: bool, sketches: int):
+    """Blocks(bucket, data) in the order of buckets: a bucket's entries are sorted, and meet, in one step."""
+    found, record = _found(t, joined), _record(sketches)
+
+    def closed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held).view(record)
+        # words of one entry have no pairs
+        order = np.argsort(rows["word"])
+        word = rows["word"][order]
+        same = word[1:] == word[:-1]
+        rows = rows[order[np.append(False, same) | np.append(same, False)]]
+        rows = rows[np.lexsort((rows["name"], rows["size"], rows["word"]))]
+        keys = [rows[c] for c in ("word", "size", "place", "name")]
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in keys], axis=0))[: len(rows)]
+        rows = rows[new]
+        yield from found([*(np.ascontiguousarray(rows[c]) for c in ("word", "size", "place", "name")), *(np.ascontiguousarray(rows["sketch"][:, k]) for k in range(sketches))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        bucket = None
+        for batch in batches:
+            data, lengths = _bytes_of(batch.column(1))
+            ends = np.append(0, np.cumsum(lengths))
+            for k, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket and held:
+                    yield from closed(held)
+                    held = []
+                bucket = b
+                held.append(data[ends[k] : ends[k + 1]].copy())
+        if held:
+            yield from closed(held)
+
+    return run
+
+
+def _met(rows: DataFrame, sketches: list[F.Column], buckets: int, t: float, joined: bool) -> DataFrame:
+    """What the entries of rows find where they meet. Those of very frequent words, which no task may hold together, are rows that
+    Spark sorts; all others travel in blocks."""
+    schema = "a long, b long" if joined else "name long"
     kept = [x.alias(f"s{k}") for k, x in enumerate(sketches)]
-    entries = rows.select(F.explode("entries").alias("e"), "size", F.col("n1").alias("name"), *kept)
-    entries = entries.select("e.word", "size", "e.place", "name", *[f"s{k}" for k in range(len(kept))])
-    return entries.repartition("word").sortWithinPartitions("word", "size", "name")
+    blocks = rows.select("size", F.col("n1").alias("name"), "entries", *kept).mapInArrow(released(_blocks(buckets, len(kept))), "bucket int, data binary")
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_meet_blocks(t, joined, len(kept))), schema)
+    hot = rows.where("hot IS NOT NULL").select(F.explode("hot").alias("e"), "size", F.col("n1").alias("name"), *kept)
+    hot = hot.select("e.word", "size", "e.place", "name", *[f"s{k}" for k in range(len(kept))])
+    return found.unionByName(hot.repartition("word").sortWithinPartitions("word", "size", "name").mapInArrow(released(_meet(t, joined)), schema))
 
 
-def clusters(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
+def clusters(rows: DataFrame, words: int, t: float = SIMILARITY) -> DataFrame:
     """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match. Entries
-    with the four parts of the sketches laid over each other tell which sets have any candidate; those few then meet with their whole sketches."""
-    own = rows.where(F.col("entries").isNotNull())
-    some = materialise(_dealt(own, [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _SKETCH))]).mapInArrow(released(_meet(t, False)), "name long").distinct(), "line-some")
-    few = own.join(some, F.col("n1") == F.col("name"), "left_semi")
-    edges = materialise(_dealt(few, [F.col(k) for k in _SKETCH]).mapInArrow(released(_meet(t, True)), "a long, b long"), "line-edges")
+    with the four parts of the sketches laid over each other tell which sets have any candidate; those few then meet with their whole sketches.
+    words: how many all texts have, which bound what a bucket of entries holds."""
+    own, buckets = rows.where(F.col("entries").isNotNull()), max(words // BUCKET, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = materialise(_met(own, [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _SKETCH))], buckets, t, False).distinct(), "line-some")
+    few = own.select("n1", "size", *_SKETCH, "entries", "hot").join(some, F.col("n1") == F.col("name"), "left_semi")
+    edges = materialise(_met(few, [F.col(k) for k in _SKETCH], buckets, t, True), "line-edges")
     found = materialise(components(edges), "line-clusters")
     discard(some, edges)
     return found.select(F.col("node").alias("name"), F.col("component").alias("cluster"))
@@ -443,9 +555,9 @@ def _linked(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]
     """The lines, the partners of their sets, and the sets that stand in several lines or have a partner."""
     frequency = counters.count(docs.select("text"), _word_list, COUNTERS)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-    rows = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows(shared, t)), _LINES), "lines-whole")
+    rows = materialise(_marked(docs, "text").select(*_ROW, "text").mapInArrow(released(_line_rows(shared, t, BUFFER)), _LINES), "lines-whole")
     shared.destroy()
-    found = clusters(rows, t)
+    found = clusters(rows, int(frequency.sum()), t)
     # lines of sets that stand in several lines or have a candidate; no other matters from here on
     names = rows.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).join(found.select("name", F.lit(True).alias("some")), F.col("n1") == F.col("name"), "left")
     lines = materialise(rows.select(*_ROW, "line", "n1", "n2").join(names.where("n > 1 OR some").select("n1", "n2", "n"), ["n1", "n2"]), "lines")
@@ -485,11 +597,16 @@ def _components(lines: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
     return rows.join(least, "component").select("m1", "m2", "class_id")
 
 
+def _n_lines() -> F.Column:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def _per_row(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """doc_id, m1, m2, source, n_lines, n_links and removed of every row of docs."""
     per = removed.groupBy("m1", "m2", "line").agg(F.first("links").alias("links"), F.first("source").alias("source"), F.first("gone").alias("gone"))
     per = per.groupBy("m1", "m2").agg(F.sum("links").alias("links"), F.min("source").alias("source"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
-    rows = _marked(docs, (F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))).cast("long").alias("n_lines"))
+    rows = _marked(docs, _n_lines().alias("n_lines"))
     out = rows.join(per, ["m1", "m2"], "left")
     return out.select(
         *_ROW,
