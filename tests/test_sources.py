@@ -268,6 +268,15 @@ def test_affines_and_matrices_of_columns(spark):
         turned.select(warp.affines(F.col("m"))).collect()
 
 
+def test_folds_of_lists_are_made_row_by_row(spark):
+    lists = spark.createDataFrame([("a", "[3, 1, 2, 0]"), ("b", "[7, 8]"), ("c", "[]"), ("d", "[5, 5, 4, 3, 2, 1]")], "name string, text string")
+    found = experiments.list_folds(lists)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, experiments.folds(experiments.permutations(lists), 2, ["name"]).collect()))
+    assert found.where("role = 'test'").count() == 12 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(PySparkException, match="doesn't divide"):
+        experiments.list_folds(lists, 4).collect()
+
+
 def test_modes_permutations_and_experiments_of_columns(spark):
     texts = ["all", " Elastic + feat", "none", "reg", "feat+reg", "none+affine"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", grammar.mask_modes(F.col("t")).alias("m")).withColumn("s", grammar.registration_stages(F.col("m")))

@@ -91,20 +91,20 @@ def F16_leakage_check(spark, folder):
 _PERMS = "pm AS (SELECT c_name AS name, unnest(range(0, 8)) AS p, unnest([c_custkey % 7, c_nationkey, 5, 2, c_custkey, 0, c_custkey % 3, 1]) AS s FROM customer)"
 
 
-def _permutations(spark, folder):
+def _sample_lists(spark, folder):
     k = F.col("c_custkey")
     values = F.array(*[x.cast("int") for x in (k % 7, F.col("c_nationkey"), F.lit(5), F.lit(2), k, F.lit(0), k % 3, F.lit(1))])
-    return X.permutations(table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.to_json(values).alias("text")))
+    return table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.to_json(values).alias("text"))
 
 
 @C.add(_PERMS + " SELECT name, CAST(f AS INTEGER) AS fold, CAST(s AS INTEGER) AS sample, CASE WHEN p // 2 = f THEN 'test' ELSE 'search' END AS role FROM pm, (SELECT unnest(range(0, 4)) AS f)")
 def F17_X3_fold_split(spark, folder):
-    return X.folds(_permutations(spark, folder), 2, ["name"])
+    return X.list_folds(_sample_lists(spark, folder), 2)
 
 
 @C.add(_PERMS + " SELECT name, CAST(p AS INTEGER) AS pos, CAST(s AS INTEGER) AS sample, CAST(p // 2 AS INTEGER) AS fold FROM pm")
 def S18_fold_permutation(spark, folder):
-    return _permutations(spark, folder)
+    return X.permutations(_sample_lists(spark, folder))
 
 
 #: Models are fitted on ten customers each; the batch is all customers in debt.

@@ -92,24 +92,38 @@ def assert_no_leakage(samples: DataFrame, fitted: DataFrame, context: str = "")
         raise ValueError(f"entities of the fit are tested{f' in {context}' if context else ''}: {found}")
 
 
+def _role(per_fold: int) -> Column:
+    return F.when(F.col("fold") == F.floor(F.col("pos") / per_fold), "test").otherwise("search")
+
+
 def folds(order: DataFrame, per_fold: int, keys: Sequence[str] = ()) -> DataFrame:
     """[keys,] fold, sample, role: of order([keys,] pos, sample), each fold tests its own run of per_fold samples and searches with the
     rest. With keys, every key has an order of its own."""
-    own = F.when(F.col("fold") == F.floor(F.col("pos") / per_fold), "test").otherwise("search")
     last = order.groupBy(*keys).agg(F.max("pos").alias("_last"))
     every = last.select(*keys, F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / per_fold).cast("int"))).alias("fold"))
     rows = order.select(*keys, "pos", "sample")
-    return (rows.join(every, [*keys]) if keys else rows.join(every)).select(*keys, "fold", "sample", own.alias("role"))
+    return (rows.join(every, [*keys]) if keys else rows.join(every)).select(*keys, "fold", "sample", _role(per_fold).alias("role"))
 
 
-def permutations(rows: DataFrame, per_fold: int = 2) -> DataFrame:
-    """name, pos, sample, fold of rows(name, text), lists as JSON; a list that per_fold doesn't divide is an error."""
+def _lists(rows: DataFrame, per_fold: int) -> DataFrame:
     values = F.from_json("text", "array<int>")
     wrong = F.raise_error(F.concat(F.col("name"), F.lit(f" has a number of entries that {per_fold} doesn't divide")))
-    whole = rows.select("name", F.when(F.size(values) % per_fold == 0, values).otherwise(wrong).alias("_v"))
+    return rows.select("name", F.when(F.size(values) % per_fold == 0, values).otherwise(wrong).alias("_v"))
+
+
+def permutations(rows: DataFrame, per_fold: int = 2) -> DataFrame:
+    """name, pos, sample, fold of rows(name, text), lists as JSON; a list that per_fold doesn't divide is an error."""
+    whole = _lists(rows, per_fold)
     return whole.select("name", F.posexplode("_v").alias("pos", "sample")).withColumn("fold", F.floor(F.col("pos") / per_fold).cast("int"))
 
 
+def list_folds(rows: DataFrame, per_fold: int = 2) -> DataFrame:
+    """name, fold, sample, role of rows(name, text): the `folds` of each list, made row by row, so that nothing is shuffled or sorted."""
+    whole = _lists(rows, per_fold).select("name", F.size("_v").alias("_n"), F.posexplode("_v").alias("pos", "sample"))
+    every = whole.select("name", "pos", "sample", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / per_fold).cast("int"))).alias("fold"))
+    return every.select("name", "fold", "sample", _role(per_fold).alias("role"))
+
+
 def permutation(spark: SparkSession, text: str, name: str, per_fold: int = 2) -> DataFrame:
     """pos, sample, fold of a named list in a JSON text."""
     every = json.loads(text)
