@@ -20,6 +20,8 @@ from voxlake.scratch import dropped, written
 
 #: Cells and rows of a matrix whose scores a task makes at once, at most.
 SCORE_CELLS, SCORE_ROWS = 1 << 20, 256
+#: Slices of a block: a task makes the products of two blocks at once.
+PRODUCT_SLICES = 256
 
 
 def slice_vectors(voxels: DataFrame, axis: str, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -32,29 +34,61 @@ def norms(vectors: DataFrame, keys: tuple[str, ...] = ("pair_id",), eps: float =
     return vectors.groupBy(*keys, "idx").agg((F.sqrt(F.sum(V.dot(F.col("feat"), F.col("feat")))) + eps).alias("norm"))
 
 
-def _line_products(a: pa.Table, b: pa.Table) -> pa.Table:
-    """Products of the same line of every slice of a with every slice of b."""
-    if not a.num_rows or not b.num_rows:
-        return pa.table({"pair_id": pa.array([], pa.string()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
-    sides, width = [], 1 + max(int(x.column("place").to_numpy().max()) for x in (a, b))
-    for side in (a, b):
-        index, at = np.unique(side.column("idx").to_numpy(), return_inverse=True)
-        feat = side.column("feat").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(side.num_rows, -1)
-        lines = np.zeros((len(index), width, feat.shape[1]))
-        lines[at, side.column("place").to_numpy()] = feat
-        sides.append((index, lines.reshape(len(index), -1)))
-    (i, x), (j, y) = sides
-    pair = pa.array([a.column("pair_id")[0].as_py()] * (len(i) * len(j)), pa.string())
-    return pa.table({"pair_id": pair, "i": np.repeat(i, len(j)).astype(np.int32), "j": np.tile(j, len(i)).astype(np.int32), "value": (x @ y.T).ravel()})
+def _line_products(size: int):
+    """One line of a block of slices of a with the same line of a block of b -> their products, packed, of the first ni and nj slices."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(_PACKED, (pa.string(), *[pa.int32()] * 4, pa.binary()), strict=True)})
+        sides, width = [], 1 + max(int(x.column("place").to_numpy().max()) for x in (a, b))
+        for side in (a, b):
+            at = side.column("idx").to_numpy() % size
+            feat = side.column("feat").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(side.num_rows, -1)
+            lines = np.zeros((at.max() + 1, width, feat.shape[1]))
+            lines[at, side.column("place").to_numpy()] = feat
+            sides.append(lines.reshape(len(lines), -1))
+        x, y = sides
+        few = {c: a.column(c)[:1] for c in ("pair_id", "_a", "_b")}
+        return pa.table({**few, "ni": pa.array([len(x)], pa.int32()), "nj": pa.array([len(y)], pa.int32()), "data": pa.array([(x @ y.T).tobytes()], pa.binary())})
+
+    return run
+
+
+def _sums(size: int):
+    """The lines' products of two blocks of slices -> the cells of their sum that aren't 0."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        total = np.zeros((size, size))
+        for ni, nj, data in zip(parts.column("ni").to_pylist(), parts.column("nj").to_pylist(), parts.column("data"), strict=True):
+            total[:ni, :nj] += np.frombuffer(data.as_buffer(), np.float64).reshape(ni, nj)
+        i, j = np.nonzero(total)
+        pair = parts.column("pair_id")[:1].take(pa.array(np.zeros(len(i), np.int64)))
+        first = {c: parts.column(f"_{n}")[0].as_py() * size for c, n in (("i", "a"), ("j", "b"))}
+        return pa.table({"pair_id": pair, "i": (i + first["i"]).astype(np.int32), "j": (j + first["j"]).astype(np.int32), "value": total[i, j]})
+
+    return run
+
+
+_PACKED = ("pair_id", "_a", "_b", "ni", "nj", "data")
 
 
 def cosine_matrix(a: DataFrame, b: DataFrame, indexes_a: DataFrame, indexes_b: DataFrame, eps: float = 1e-10) -> DataFrame:
-    """The cosine of every slice of a with every slice of b. One line of all slices of a pair is a task's matrix product; what
-    is shuffled is each voxel once, and then the lines' matrices, summed up within tasks first."""
-    # columns of their own, as both sides may be one table
-    lines = lambda v: v.select(*[F.col(c).alias(c) for c in ("pair_id", "line", "idx", "place", "feat")]).groupBy("pair_id", "line")
-    parts = lines(a).cogroup(lines(b)).applyInArrow(_line_products, "pair_id string, i int, j int, value double")
-    sums = parts.groupBy("pair_id", "i", "j").agg(F.sum("value").alias("value"))
+    """The cosine of every slice of a with every slice of b. One line of two blocks of slices of a pair is a task's matrix product, and
+    two blocks' lines are summed up in one step, so no task holds a whole matrix; what is shuffled is each voxel once for each block of
+    the other side, and then the lines' products, packed."""
+    size_ = PRODUCT_SLICES
+    block = F.floor(F.col("idx") / size_).cast("int")
+
+    def lines(v: DataFrame, own: str, other: str, indexes: DataFrame, others: DataFrame):
+        # columns of their own, as both sides may be one table
+        v = v.select(*[F.col(c).alias(c) for c in ("pair_id", "line", "idx", "place", "feat")])
+        met = others.groupBy("pair_id").agg(F.collect_set(block).alias("_met"))
+        met = indexes.select(F.col("pair_id").alias("pair_id"), F.col("idx").alias("idx")).join(met, "pair_id").select("pair_id", "idx", block.alias(own), F.explode("_met").alias(other))
+        return v.join(met, ["pair_id", "idx"]).select("pair_id", "line", "_a", "_b", "idx", "place", "feat").groupBy("pair_id", "line", "_a", "_b")
+
+    sides = lines(a, "_a", "_b", indexes_a, indexes_b).cogroup(lines(b, "_b", "_a", indexes_b, indexes_a))
+    parts = sides.applyInArrow(_line_products(size_), "pair_id string, _a int, _b int, ni int, nj int, data binary")
+    sums = parts.groupBy("pair_id", "_a", "_b").applyInArrow(_sums(size_), "pair_id string, i int, j int, value double")
     size = lambda v, n: norms(v, eps=eps).select("pair_id", F.col("idx").alias(n), F.col("norm").alias(f"_{n}"))
     cells = indexes_a.select("pair_id", F.col("idx").alias("i")).join(indexes_b.select("pair_id", F.col("idx").alias("j")), "pair_id")
     found = cells.join(sums, ["pair_id", "i", "j"], "left").join(size(a, "i"), ["pair_id", "i"], "left").join(size(b, "j"), ["pair_id", "j"], "left")
@@ -108,15 +142,23 @@ def smoothed(cells: DataFrame, sigma: float, row: str = "i", col: str = "j", val
     return cells.drop(value).join(out, ["pair_id", row, col], "left")
 
 
+def _beside(rows: DataFrame, by: str, **whole: tuple) -> DataFrame:
+    """rows with aggregates (function, column) of their whole matrix: first those of each row or column (by), one row each, then of
+    these. Cells are joined by pair and row or column, so no task holds a whole matrix."""
+    pair = Window.partitionBy("pair_id")
+    few = rows.groupBy("pair_id", by).agg(*[f(c).alias(n) for n, (f, c) in whole.items()])
+    return rows.join(few.select("pair_id", by, *[f(n).over(pair).alias(n) for n, (f, _) in whole.items()]), ["pair_id", by])
+
+
 def reweighted(matrix: DataFrame, blend: bool = True, eps: float = 1e-10) -> DataFrame:
     """To [0, 1]; then the mean of row and column shares weighted by each other's sums, to [0, 1] again."""
 
-    def unit(rows: DataFrame) -> DataFrame:
-        ends = rows.groupBy("pair_id").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    def unit(rows: DataFrame, by: str) -> DataFrame:
         span = F.col("_b") - F.col("_a")
-        return rows.join(ends, "pair_id").select("pair_id", "i", "j", F.when(span > 0, (F.col("value") - F.col("_a")) / span).otherwise(F.col("value")).alias("value"))
+        value = F.when(span > 0, (F.col("value") - F.col("_a")) / span).otherwise(F.col("value"))
+        return _beside(rows, by, _a=(F.min, "value"), _b=(F.max, "value")).select("pair_id", "i", "j", value.alias("value"))
 
-    rows = unit(matrix)
+    rows = unit(matrix, "i")
     if not blend:
         return rows
     by_row, by_col = Window.partitionBy("pair_id", "i"), Window.partitionBy("pair_id", "j")
@@ -124,9 +166,9 @@ def reweighted(matrix: DataFrame, blend: bool = True, eps: float = 1e-10) -> Dat
         "_r": F.col("value") / F.greatest(F.sum("value").over(by_row), F.lit(eps)),
         "_c": F.col("value") / F.greatest(F.sum("value").over(by_col), F.lit(eps)),
     })
-    sums = rows.groupBy("pair_id").agg(F.sum("_r").alias("_sr"), F.sum("_c").alias("_sc"))
+    rows = _beside(rows, "j", _sr=(F.sum, "_r"), _sc=(F.sum, "_c"))
     mixed = (F.col("_r") * F.col("_sc") + F.col("_c") * F.col("_sr")) / F.greatest(F.col("_sr") + F.col("_sc"), F.lit(eps))
-    return unit(rows.join(sums, "pair_id").select("pair_id", "i", "j", mixed.alias("value")))
+    return unit(rows.select("pair_id", "i", "j", mixed.alias("value")), "j")
 
 
 def scales(low: float = 0.95, high: float = 1.05, n: int = 101) -> list[float]:
