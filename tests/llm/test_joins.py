@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,6 +142,78 @@ def test_entries_of_frequent_words_and_others(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found} == expected_classes(rows)
 
 
+def entries_of_words(rng, words, count):
+    """Entries in the order of (word, size): of each word a large kind of sets that look alike, and others."""
+    rows = []
+    for w in range(words):
+        base = rng.integers(-(2**62), 2**62)
+        for _ in range(count):
+            alike = rng.random() < 0.8
+            rows.append((w, int(rng.integers(40, 45)), int(rng.integers(0, 3)) * 4 + int(rng.integers(1, 4)), int(rng.integers(0, words * count)), int(base if alike else rng.integers(-(2**62), 2**62))))
+    columns = [np.array(c) for c in zip(*sorted(set(rows)), strict=True)]
+    return [columns[0], columns[1].astype(np.int32), columns[2].astype(np.int32), columns[3], columns[4]]
+
+
+@pytest.mark.parametrize("joined", [False, True])
+@pytest.mark.parametrize("slab", [50, 700, 1 << 21])
+def test_candidates_of_slabs(monkeypatch, joined, slab):
+    """Any slabs tell the same sets, or components, as all pairs do."""
+    monkeypatch.setattr(line_dedup, "SLAB", slab)
+    word, size, place, name, sketch = columns = entries_of_words(np.random.default_rng(3), 4, 60)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(word)), np.arange(len(word)), indexing="ij"))
+    keep = (word[a] == word[b]) & (place[a] & 2 > 0) & (place[b] & 1 > 0) & (size[b] <= size[a]) & (size[b] >= np.ceil(0.8 * size[a] - 1e-9))
+    a, b = line_dedup._likely(a[keep], b[keep], size.astype(int), place.astype(int), sketch.view(np.uint64)[:, None], name, 0.8)
+    found = [r for batch in line_dedup._found(0.8, joined)(columns) for r in batch.to_pylist()]
+    if not joined:
+        assert sorted(r["name"] for r in found) == sorted(set(name[a].tolist()) | set(name[b].tolist()))
+        return
+    group = lambda pairs: {x: frozenset(c) for c in groups_of(pairs) for x in c}
+    assert group([(r["a"], r["b"]) for r in found]) == group(zip(name[a].tolist(), name[b].tolist(), strict=True))
+
+
+def groups_of(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    found = {}
+    for x in root:
+        found.setdefault(find(x), set()).add(x)
+    return found.values()
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_candidates_of_a_large_group_are_never_held_together(monkeypatch, joined):
+    """Of 6,000 sets that all look alike, of 18 million pairs, a slab exists at once."""
+    monkeypatch.setattr(line_dedup, "SLAB", 1 << 16)
+    n = 6000
+    columns = [np.zeros(n, np.int64), np.full(n, 40, np.int32), np.full(n, 3, np.int32), np.arange(n), np.zeros(n, np.int64)]
+    tracemalloc.start()
+    try:
+        found = sum(batch.num_rows for batch in line_dedup._found(0.8, joined)(columns))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == n - joined and peak < 32e6
+
+
+def test_entries_of_one_word_are_cut(spark, monkeypatch):
+    """No word keeps more entries than two blocks have, and each given entry meets each asking one once."""
+    monkeypatch.setattr(line_dedup, "BUFFER", 50)
+    rows = [(7, 10, 4 * (k % 2) + 1 + k % 3, k, 0) for k in range(400)] + [(8, 10, 3, k, 0) for k in range(20)]
+    frame = spark.createDataFrame(rows, "word long, size int, place int, name long, s0 long")
+    large = spark.createDataFrame([(7, 400)], "word long, n long")
+    out = [tuple(r) for r in line_dedup._cut(frame, large).collect()]
+    assert max(Counter(r[0] for r in out).values()) <= 160
+    meet = lambda rows: Counter((a[3], b[3], a[2] >> 2, b[2] >> 2) for a in rows for b in rows if a[0] == b[0] and a[2] & 2 and b[2] & 1)
+    assert meet(out) == meet(rows)
+
+
 def test_entries_travel_in_blocks():
     """A block for each bucket, which holds each entry of its words once; null and empty lists give none."""
     entry = lambda *pairs: np.array(list(pairs), line_dedup._ENTRY).tobytes()

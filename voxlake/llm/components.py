@@ -17,9 +17,10 @@ MAX_ROUNDS = 100
 STEP, SMALL = 1 << 17, 1 << 20
 
 
-def roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least number of the component of each of the numbers below count, which edges between a and b join."""
-    label = np.arange(count)
+def roots(count: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The least number of the component of each of the numbers below count, which edges between a and b join; label: what this
+    gave for other edges, which hold as well."""
+    label = np.arange(count) if label is None else label.copy()
     while len(a):
         x, y = label[a], label[b]
         open_ = x != y

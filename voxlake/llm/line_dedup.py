@@ -50,7 +50,7 @@ BROADCAST_ROWS = 150_000
 #: Entries that a task holds, pairs that it makes at once, and sets on a side of a cell.
 BUFFER, SLAB, CELL = 1 << 18, 1 << 21, 1024
 #: Words (of all texts) for each bucket of entries, and entries that are dealt to buckets at once.
-BUCKET, BLOCK = 1 << 18, 1 << 20
+BUCKET, BLOCK = 1 << 18, 1 << 19
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -190,62 +190,100 @@ def _line_rows(shared: Broadcast, t: float, buffer: int):
     return run
 
 
-def _pairs_of(word: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: np.ndarray, name: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of sets that can match, of entries in the order of (word, size): the pairs of one word in which the shorter is
-    long enough, enough words can follow the shared one, and the sketches don't differ too much. Only slabs of pairs exist
-    at once."""
-    group = np.cumsum(np.append(False, word[1:] != word[:-1])).astype(np.int64) << 32
-    given, asks = np.flatnonzero(place & 1), np.flatnonzero(place & 2)
-    sizes = group[given] + size[given]
-    lo = np.searchsorted(sizes, group[asks] + np.ceil(size[asks] * t - 1e-9).astype(np.int64))
-    count = np.searchsorted(sizes, group[asks] + size[asks], side="right") - lo
+def _likely(a: np.ndarray, b: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: np.ndarray, name: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of entries of one word in which enough words can follow the shared one, and the sketches don't differ
+    too much."""
+    keep = (size[b] < size[a]) | (name[a] > name[b])
+    a, b = a[keep], b[keep]
+    need = least_overlap(size[a], size[b], t)
+    i, j = place[a] >> 2, place[b] >> 2
+    keep = 1 + np.minimum(size[a] - i, size[b] - j) - 1 + np.minimum(i, j) >= need
+    a, b, room = a[keep], b[keep], (size[a] + size[b] - 2 * need)[keep]
+    apart = np.zeros(len(a), np.int64)
+    for k in range(sketches.shape[1]):
+        apart += np.bitwise_count(sketches[a, k] ^ sketches[b, k])
+        keep = apart <= room
+        a, b, room, apart = a[keep], b[keep], room[keep], apart[keep]
+    return a, b
+
+
+def _spread(asks: np.ndarray, lo: np.ndarray, count: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each asking entry beside its `count` given ones from `lo` on."""
+    return np.repeat(asks, count), given[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+
+
+def _slabs(count: np.ndarray) -> Iterator[slice]:
+    """Entries whose pairs a task makes at once."""
     ends = np.cumsum(count)
     at = 0
-    while at < len(asks):
+    while at < len(count):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, side="right")))
-        n = count[at:end]
-        a = np.repeat(asks[at:end], n)
-        b = given[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:end], n)]
+        yield slice(at, end)
         at = end
-        keep = (size[b] < size[a]) | (name[a] > name[b])
-        a, b = a[keep], b[keep]
-        need = least_overlap(size[a], size[b], t)
-        i, j = place[a] >> 2, place[b] >> 2
-        keep = 1 + np.minimum(size[a] - i, size[b] - j) - 1 + np.minimum(i, j) >= need
-        a, b, room = a[keep], b[keep], (size[a] + size[b] - 2 * need)[keep]
-        apart = np.zeros(len(a), np.int64)
-        for k in range(sketches.shape[1]):
-            apart += np.bitwise_count(sketches[a, k] ^ sketches[b, k])
-            keep = apart <= room
-            a, b, room, apart = a[keep], b[keep], room[keep], apart[keep]
-        yield a, b
 
 
 def _found(t: float, joined: bool):
     """Entries (word, size, place, name, sketches ...) in the order of (word, size) -> the names of sets that can match another
-    or, if joined, edges that join all those that can match."""
+    or, if joined, edges that join all those that can match. Of a step's pairs only a slab exists at once: what a slab tells goes
+    into one number for each set (its component or, if not joined, -1 once it can match some other)."""
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        word, size, place, name = columns[:4]
+        word, size, place, name = columns[0], columns[1].astype(np.int64), columns[2].astype(np.int64), columns[3]
         sketches = np.stack([c.view(np.uint64) for c in columns[4:]], 1)
-        pairs = [*_pairs_of(word, size.astype(np.int64), place.astype(np.int64), sketches, name, t)]
-        a, b = (np.concatenate([name[:0], *(name[p[k]] for p in pairs)]) for k in (0, 1))
-        if not len(a):
-            return
-        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        likely = lambda a, b: _likely(a, b, size, place, sketches, name, t)
+        group = np.cumsum(np.append(False, word[1:] != word[:-1])[: len(word)]).astype(np.int64)
+        given, asks = np.flatnonzero(place & 1), np.flatnonzero(place & 2)
+        least = np.ceil(size * t - 1e-9).astype(np.int64)
+        sizes = (group[given] << 32) + size[given]
+        lo = np.searchsorted(sizes, (group[asks] << 32) + least[asks])
+        count = np.searchsorted(sizes, (group[asks] << 32) + size[asks], side="right") - lo
+        if count.sum() <= SLAB:
+            a, b = likely(*_spread(asks, lo, count, given))
+            if not len(a):
+                return
+            names, at = np.unique(np.concatenate([name[a], name[b]]), return_inverse=True)
+            state = roots(len(names), at[: len(a)], at[len(a) :]) if joined else np.full(len(names), -1)
+        else:
+            names, at = np.unique(name, return_inverse=True)
+            state = np.arange(len(names))
+
+            def learn(a: np.ndarray, b: np.ndarray) -> None:
+                nonlocal state
+                if joined:
+                    state = roots(len(names), at[a], at[b], state)
+                else:
+                    state[at[a]] = state[at[b]] = -1
+
+            total = np.bincount(group[asks], count, minlength=group[-1] + 1)
+            few = total[group[asks]] <= SLAB
+            for some in _slabs(count[few]):
+                learn(*likely(*_spread(asks[few][some], lo[few][some], count[few][some], given)))
+            for g in np.flatnonzero(total > SLAB):
+                # the longest first, which meet all others; two of one state tell nothing new, and most soon have the same one
+                own, rest = given[group[given] == g], asks[group[asks] == g][::-1]
+                while len(rest):
+                    common = int(np.bincount(state[at[own]]).argmax()) if joined else -1
+                    others, same = own[state[at[own]] != common], state[at[rest]] == common
+                    low, number = np.zeros((2, len(rest)), np.int64)
+                    for kind, partners in ((same, others), (~same, own)):
+                        low[kind] = np.searchsorted(size[partners], least[rest[kind]])
+                        number[kind] = np.searchsorted(size[partners], size[rest[kind]], side="right") - low[kind]
+                    some = next(_slabs(number))
+                    for kind, partners in ((same[some], others), (~same[some], own)):
+                        learn(*likely(*_spread(rest[some][kind], low[some][kind], number[some][kind], partners)))
+                    rest = rest[some.stop :]
         if not joined:
-            yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[state == -1])], ["name"])
             return
-        label = roots(len(names), at[: len(a)], at[len(a) :])
-        far = np.flatnonzero(label != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], ["a", "b"])
+        far = np.flatnonzero(state != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[state[far]])], ["a", "b"])
 
     return found
 
 
 def _meet(t: float, joined: bool):
     """Entries of words with more than a bucket may hold, sorted as rows. Of a word that fills a whole buffer only the sets stay
-    that are long enough for longer ones to come."""
+    that are long enough for longer ones to come (`_cut` bounds how many entries have one word)."""
     found = _found(t, joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +304,9 @@ def _meet(t: float, joined: bool):
             yield from found([c[:done] for c in columns])
             kept = np.arange(done, len(word))
             if done == len(word) and not last:
-                kept = np.flatnonzero(columns[1] >= math.ceil(t * columns[1][-1] - 1e-9))
+                # these have met each other, and no later one is shorter: they only wait to be asked for
+                kept = np.flatnonzero((columns[1] >= math.ceil(t * columns[1][-1] - 1e-9)) & (columns[2] & 1 > 0))
+                columns[2] = columns[2] & ~2
             held = [[c[kept] for c in columns]] if len(kept) else []
 
         for batch in batches:
@@ -363,7 +403,7 @@ def _meet_blocks(t: float, joined: bool, sketches: int):
     return run
 
 
-def _met(rows: DataFrame, sketches: list[F.Column], buckets: int, t: float, joined: bool) -> DataFrame:
+def _met(rows: DataFrame, sketches: list[F.Column], buckets: int, large: DataFrame | None, t: float, joined: bool) -> DataFrame:
     """What the entries of rows find where they meet. Those of very frequent words, which no task may hold together, are rows that
     Spark sorts; all others travel in blocks."""
     schema = "a long, b long" if joined else "name long"
@@ -371,20 +411,44 @@ def _met(rows: DataFrame, sketches: list[F.Column], buckets: int, t: float, join
     blocks = rows.select("size", F.col("n1").alias("name"), "entries", *kept).mapInArrow(released(_blocks(buckets, len(kept))), "bucket int, data binary")
     found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_meet_blocks(t, joined, len(kept))), schema)
     hot = rows.where("hot IS NOT NULL").select(F.explode("hot").alias("e"), "size", F.col("n1").alias("name"), *kept)
-    hot = hot.select("e.word", "size", "e.place", "name", *[f"s{k}" for k in range(len(kept))])
+    hot = _cut(hot.select("e.word", "size", "e.place", "name", *[f"s{k}" for k in range(len(kept))]), large)
     return found.unionByName(hot.repartition("word").sortWithinPartitions("word", "size", "name").mapInArrow(released(_meet(t, joined)), schema))
 
 
+def _large(rows: DataFrame) -> DataFrame | None:
+    """word and n of the words of more than BUFFER entries that are rows: one for each BUFFER of such entries, at most."""
+    words = rows.where("hot IS NOT NULL").select(F.explode("hot.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = materialise(words.where(F.col("n") > BUFFER), "line-large-words")
+    return None if found.isEmpty() else found
+
+
+def _cut(entries: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Entries of a word in `large` dealt to blocks of BUFFER: each two blocks meet under a word of their own, the one asked for
+    and the other asking, so that no task holds all entries of a word."""
+    if large is None:
+        return entries
+    marked = entries.join(F.broadcast(large), "word", "left")
+    whole = marked.where("n IS NULL").select(*entries.columns)
+    number = F.ceil(F.col("n") / BUFFER).cast("int")
+    rows = marked.where("n IS NOT NULL").withColumns({"_own": F.pmod(F.xxhash64(F.lit("block"), "name"), number).cast("int"), "_with": F.explode(F.sequence(F.lit(0), number - 1))})
+    sides = []
+    for bit, cell in ((1, ("_own", "_with")), (2, ("_with", "_own"))):
+        word, place = F.xxhash64("word", *cell).alias("word"), F.col("place").bitwiseAND(F.lit(-4 + bit)).alias("place")
+        sides.append(rows.where(F.col("place").bitwiseAND(F.lit(bit)) != 0).select(*[{"word": word, "place": place}.get(c, F.col(c)) for c in entries.columns]))
+    return whole.unionByName(sides[0]).unionByName(sides[1])
+
+
 def clusters(rows: DataFrame, words: int, t: float = SIMILARITY) -> DataFrame:
     """name (half of a set's) and cluster of the sets that can match another: sets of different clusters don't match. Entries
     with the four parts of the sketches laid over each other tell which sets have any candidate; those few then meet with their whole sketches.
     words: how many all texts have, which bound what a bucket of entries holds."""
     own, buckets = rows.where(F.col("entries").isNotNull()), max(words // BUCKET, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    some = materialise(_met(own, [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _SKETCH))], buckets, t, False).distinct(), "line-some")
+    large = _large(own)
+    some = materialise(_met(own, [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _SKETCH))], buckets, large, t, False).distinct(), "line-some")
     few = own.select("n1", "size", *_SKETCH, "entries", "hot").join(some, F.col("n1") == F.col("name"), "left_semi")
-    edges = materialise(_met(few, [F.col(k) for k in _SKETCH], buckets, t, True), "line-edges")
+    edges = materialise(_met(few, [F.col(k) for k in _SKETCH], buckets, large, t, True), "line-edges")
     found = materialise(components(edges), "line-clusters")
-    discard(some, edges)
+    discard(some, edges, *([large] if large is not None else []))
     return found.select(F.col("node").alias("name"), F.col("component").alias("cluster"))
 
 
