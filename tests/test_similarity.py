@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxlake.operators import similarity
@@ -45,3 +46,30 @@ def test_volumes_of_predictions_ask_once(spark, sf):
 
     found = matching.C.queries["P38_prediction_volumes"](spark, sf)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_blocks_are_written_once(spark, monkeypatch):
+    """However many blocks a pair has, a shuffle holds each of its rows once; of 36 query blocks and 25 key blocks here."""
+    monkeypatch.setattr(similarity, "MIN_BLOCK", 1)
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 1)
+    rng = np.random.default_rng(0)
+    vectors = {p: (rng.normal(size=(n, 4)), rng.normal(size=(m, 4))) for p, n, m in (("a", 120, 200), ("b", 60, 50), ("only queries", 5, 0), ("only keys", 0, 5))}
+    rows = lambda side, name: spark.createDataFrame([(p, i, r.tolist()) for p, v in vectors.items() for i, r in enumerate(v[side])], f"pair_id string, {name} long, feat array<double>")
+    found = similarity.top_k(rows(0, "query_id"), rows(1, "key_id"), 3, "dot", 5, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    want = {(p, i, int(j)) for p in "ab" for i, s in enumerate(np.round(vectors[p][0] @ vectors[p][1].T, 9)) for j in np.lexsort((np.arange(len(s)), -s))[:3]}
+    assert {(r["pair_id"], r["query_id"], r["key_id"]) for r in found.collect()} == want
+
+
+def test_best_of_a_part():
+    """Blocks of keys that come one after the other leave k rows for each query, ties to the smaller key."""
+    rng = np.random.default_rng(1)
+    q, x = rng.integers(-2, 3, (7, 3)).astype(float), rng.integers(-2, 3, (40, 3)).astype(float)
+    ids = rng.permutation(40)
+    cells = [("p", 0, list(range(7)), q.tolist(), ids[at : at + 8].tolist(), x[at : at + 8].tolist()) for at in range(0, 40, 8)]
+    columns = ["pair_id", "_q", "q_ids", "q_feats", "k_ids", "k_feats"]
+    batches = [pa.RecordBatch.from_pydict({c: [r[k]] for k, c in enumerate(columns)}) for r in cells]
+    found = [tuple(r.values()) for batch in similarity._best(2, "dot")(iter(batches)) for r in batch.to_pylist()]
+    scores = q @ x.T
+    assert found == [("p", i, int(ids[j]), scores[i, j]) for i in range(7) for j in np.lexsort((ids, -scores[i]))[:2]]
