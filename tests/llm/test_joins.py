@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tracemalloc
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -394,3 +395,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in found.collect()}
     assert got["x7"] == "hub" and got["n0049"] == "n0000" and got["n0050"] == "n0050" and len(set(got.values())) == 7
     assert found.groupBy("node").count().where(F.col("count") > 1).count() == 0
+
+
+@pytest.mark.parametrize("step", [None, 10])
+def test_contraction_lets_go_of_its_edges(monkeypatch, step):
+    """Where components are found, the texts of the edges that they come from are gone."""
+    seen, alive = [], []
+
+    def roots(*args):
+        alive.append(sum(x() is not None for x in seen[:-1]))
+        return own(*args)
+
+    def batches():
+        for k in range(40):
+            batch = pa.RecordBatch.from_pydict({"a": [f"n{k + 1}", f"n{k + 100}"], "b": [f"n{k}", f"m{k}"]})
+            seen.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    own = components.roots
+    monkeypatch.setattr(components, "roots", roots)
+    found = [(r["a"], r["b"]) for batch in components._contract(step)(batches()) for r in batch.to_pylist()]
+    assert alive and not any(alive)
+    pairs = [(f"n{k + 1}", f"n{k}") for k in range(40)] + [(f"n{k + 100}", f"m{k}") for k in range(40)]
+    assert set(map(frozenset, groups_of(found))) == set(map(frozenset, groups_of(pairs)))
+    assert all(a > b for a, b in found)

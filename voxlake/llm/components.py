@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.scratch import discard, materialise
+from voxlake.llm.scratch import discard, give_back, materialise
 
 MAX_ROUNDS = 100
 #: Edges that one step of a task contracts at once, and edges (about 40 bytes each) of a graph that one task may hold.
@@ -34,13 +34,23 @@ def roots(count: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = N
 def _contract(step: int | None):
     """Stars in place of the edges of a step (None: of all of a task's): each node but the least of a component, and that one."""
 
-    def stars(edges: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
-        ends = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (edges.column(0), edges.column(1))]
-        nodes = pa.concat_arrays(ends)
-        names = nodes.unique()
-        names = names.take(pc.sort_indices(names))
-        place = pc.index_in(nodes, names).to_numpy(zero_copy_only=False).astype(np.int64)
-        label = roots(len(names), place[: len(ends[0])], place[len(ends[0]) :])
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        number = sum(batch.num_rows for batch in held)
+        nodes = pa.concat_arrays([batch.column(k) for k in (0, 1) for batch in held])
+        # texts take most of the memory: none is kept longer than it is read
+        held.clear()
+        coded = nodes.dictionary_encode()
+        del nodes
+        names, place = coded.dictionary, coded.indices.to_numpy()
+        del coded
+        if not step:
+            give_back()
+        order = pc.sort_indices(names)
+        names = names.take(order)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        place = rank[place]
+        label = roots(len(names), place[:number], place[number:])
         far = np.flatnonzero(label != np.arange(len(names)))
         return pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], ["a", "b"])
 
@@ -50,11 +60,12 @@ def _contract(step: int | None):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
+            del batch
             if step and rows >= step:
-                yield stars(pa.Table.from_batches(held))
-                held, rows = [], 0
+                yield stars(held)
+                rows = 0
         if rows:
-            yield stars(pa.Table.from_batches(held))
+            yield stars(held)
 
     return run
 
